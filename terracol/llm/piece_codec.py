@@ -53,6 +53,7 @@ class PieceCodec:
         unknown = " ⁇ "
         self.plain = [unknown.encode() if sp.is_unknown(i) else b"" if sp.is_control(i) else b"" if sp.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.raw = dict(zip(self.byte_ids.values(), (bytes([b]) for b in self.byte_ids), strict=True))
+        self.controls = {i for i in range(n) if sp.is_control(i)}
         self.joined = [self.raw.get(i, p) for i, p in enumerate(self.plain)]
 
     def merge(self, text: str) -> list[int]:
@@ -135,13 +136,13 @@ class PieceCodec:
         first = next((i for i in ids if joined[i]), None)
         cut = first is not None and first not in self.raw and self.pieces[first].startswith(MARK)
         try:
-            out = raw.decode()
+            out = raw.decode() if self.controls.isdisjoint(ids) else self._decode_broken(ids)
         except UnicodeDecodeError:
             out = self._decode_broken(ids)
         return out[1:] if cut else out
 
     def _decode_broken(self, ids: list[int]) -> str:
-        """Runs of byte tokens that aren't UTF-8: each byte that can't begin or go on a character is U+FFFD."""
+        """Runs of byte tokens that aren't UTF-8, or are cut by control tokens: each byte that can't begin or go on a character is U+FFFD."""
         out, run = [], b""
         for i in [*ids, None]:
             if i in self.raw:
