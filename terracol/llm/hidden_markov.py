@@ -100,7 +100,7 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
         if held + r["words"] > SYMBOLS:
             break
         least, held = r["n"], held + r["words"]
-    top = counts.where(F.col("n") >= least).toPandas().sort_values("word")
+    top = counts.where(F.col("n") >= least).toArrow().to_pandas().sort_values("word")
     index = {bytes(w): i for i, w in enumerate(top["word"])}
     rest = counts.where(F.col("n") < least)
     class_counts, class_words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
@@ -328,7 +328,7 @@ def train(symbols: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: i
             ids = np.concatenate([at, size + np.arange(states + 1)])
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array(rows[:, j]) for j in range(states))], names=["symbol", *names])
 
-        found = symbols.mapInArrow(run, "symbol int, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+        found = symbols.mapInArrow(run, "symbol int, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow().to_pandas()
         all_counts = np.zeros((size + states + 1, states))
         all_counts[found["symbol"].to_numpy()] = found[names].to_numpy()
         m = maximise(all_counts[-1], all_counts[size : size + states], all_counts[:size], unigram)

@@ -53,7 +53,7 @@ def ngram_counts(docs: DataFrame, target_ids: frozenset) -> np.ndarray:
         at = np.nonzero(counts[0])[0]
         yield batch(bucket=pa.array(at.astype(np.int32)), raw=pa.array(counts[0][at]), target=pa.array(counts[1][at]))
 
-    rows = docs.select("doc_id", utf8().alias("b")).mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    rows = docs.select("doc_id", utf8().alias("b")).mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow().to_pandas()
     out = np.zeros((2, BUCKETS), np.int64)
     out[0, rows["bucket"]], out[1, rows["bucket"]] = rows["raw"], rows["target"]
     return out
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> tuple[Ratio, fr
         return ratio, target, -np.inf
     scores = written(weigh(docs.select("doc_id", "text"), ratio, target, seed=seed).select("doc_id", "log_weight", "key"))
     known = docs.sparkSession.createDataFrame(judged, "doc_id long, good int")
-    fitted = scores.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("log_weight"), F.min("good").alias("good")).toPandas()
+    fitted = scores.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("log_weight"), F.min("good").alias("good")).toArrow().to_pandas()
     cut = cut_point(fitted["log_weight"].to_numpy(float), fitted["good"].to_numpy(int) == 1)
     if cut == -np.inf:
         return ratio, target, cut

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, slices, utf8, word_hashes, written
+from .common import batch, utf8, written
 
 WINDOW = 20
 FIRST_LEVEL = 5
@@ -52,26 +52,61 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
-class Windows:
-    """Hashes of a document's spans of words, from prefix sums modulo 2^64."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTES = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_BASES[0]))
 
-    def __init__(self, hashes: np.ndarray):
-        self.n = len(hashes)
-        self.prefix = []
-        for base in _BASES:
-            up = _power(base, self.n + 1)[0]
-            self.prefix.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: self.n], dtype=np.uint64)]))
 
-    def spans(self, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-        down = _power(_BASES[which], self.n + 1)[1]
-        return _mix((self.prefix[which][end] - self.prefix[which][start]) * down[start])
+class Prefix:
+    """Span hashes of a sequence of 64-bit numbers, from prefix sums modulo 2^64."""
 
-    def all(self, length: int, which: int = 0) -> np.ndarray:
-        k = self.n - length + 1
-        if k <= 0:
-            return np.zeros(0, np.uint64)
-        p = self.prefix[which]
-        return _mix((p[length:] - p[:k]) * _power(_BASES[which], self.n + 1)[1][:k])
+    def __init__(self, values: np.ndarray, base: int):
+        self.base, n = base, len(values)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * _power(base, n + 1)[0][:n], out=self.sums[1:])
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mix((self.sums[end] - self.sums[start]) * _power(self.base, len(self.sums))[1][start])
+
+    def all(self, length: int) -> np.ndarray:
+        n = len(self.sums) - length
+        return _mix((self.sums[length:] - self.sums[:n]) * _power(self.base, len(self.sums))[1][:n])
+
+
+class Words:
+    """Word hashes of many texts in a row: ``doc`` has each word's text, ``at`` its place in the text."""
+
+    def __init__(self, texts: pa.Array):
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        word = ~_SPACE[data]
+        outside = np.concatenate([[True], ~word, [True]])
+        start = np.nonzero(word & (outside[:-2] | edge[:-1]))[0]
+        end = np.nonzero(word & (outside[2:] | edge[1:]))[0] + 1
+        self.doc = np.searchsorted(offsets, start, side="right") - 1
+        first = np.searchsorted(start, offsets[:-1])
+        self.at = np.arange(len(start)) - first[self.doc]
+        self.hashes = Prefix(_BYTES[data], _BASES[1]).spans(start, end)
+        self.prefix = [Prefix(self.hashes, b) for b in _BASES]
+
+    def windows(self, window: int) -> np.ndarray:
+        """Mask of the starts whose window lies in one text."""
+        n = len(self.doc) - window + 1
+        return self.doc[:n] == self.doc[window - 1 :] if n > 0 else np.zeros(0, bool)
+
+
+def text_groups(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``most`` bytes of text; a longer text comes alone."""
+    for b in batches:
+        sizes = np.diff(np.frombuffer(b.column(column).buffers()[1], np.int32, b.num_rows + 1, b.column(column).offset * 4)).astype(np.int64)
+        at = 0
+        while at < b.num_rows:
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))
+            yield b.slice(at, n)
+            at += n
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -108,20 +143,21 @@ def make_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> Filter:
     """Filter of the long column ``h``: tasks set bits, words of 64 bits are joined by OR; bits / 64 words at most
     reach the driver."""
     at = f"(h & {bits - 1}L)"
-    rows = hashes.selectExpr(f"int(shiftright({at}, 6)) AS word", f"shiftleft(1L, int({at} & 63L)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    rows = hashes.selectExpr(f"int(shiftright({at}, 6)) AS word", f"shiftleft(1L, int({at} & 63L)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(max(1, bits // 64), np.uint64)
-    words[rows["word"].to_numpy()] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return Filter(words, bits)
 
 
-def _survivors(w: Windows, window: int, passed: list[tuple[int, Filter]]) -> tuple[np.ndarray, np.ndarray | None]:
+def _survivors(w: Words, window: int, passed: list[tuple[int, Filter]]) -> tuple[np.ndarray, np.ndarray]:
     """Mask of windows whose stand-ins passed every level so far, and the first level's stand-ins."""
-    alive = np.ones(max(0, w.n - window + 1), bool)
-    first = None
-    for length, seen in passed:
-        s = standins(w.all(length), window, length)
-        first = s if first is None else first
-        alive &= seen.has(s)
+    alive = w.windows(window)
+    first = np.zeros(len(alive), np.uint64)
+    for i, (length, seen) in enumerate(passed):
+        if len(alive):
+            s = standins(w.prefix[0].all(length), window, length)
+            first = s if i == 0 else first
+            alive = alive & seen.has(s)
     return alive, first
 
 
@@ -130,52 +166,31 @@ def repeated_standins(docs: DataFrame, window: int, length: int, passed: list[tu
     model = docs.sparkSession.sparkContext.broadcast(passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 512):
-            found = []
-            for text in part.column(1).to_pylist():
-                words = text.split()
-                if len(words) < window:
-                    continue
-                w = Windows(word_hashes(words))
-                h = w.all(length)
-                alive, _ = _survivors(w, window, model.value)
-                s = np.where(alive, standins(h, window, length), np.uint64(0))
-                width = window - length + 1
-                edge = np.zeros(width - 1, np.uint64)
-                chosen = _slide(np.concatenate([edge, s, edge]), width, False) == h
-                found.append(h[chosen])
-            if found:
-                h, n = np.unique(np.concatenate(found), return_counts=True)
-                yield batch(h=pa.array(h.view(np.int64)), n=pa.array(n.astype(np.int32)))
-
-    rows = docs.mapInArrow(run, "h long, n int")
-    return rows.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-
-
-def _stretches(docs: DataFrame, window: int, passed: list[tuple[int, Filter]]) -> DataFrame:
-    """(doc, lo, len, k1, k2, a, own): stretches of neighbouring surviving windows with one stand-in ``a``: ``len``
-    windows from word ``lo``, with two hashes of their words; ``own`` if the stand-in is there more than once, so that
-    a window may be repeated inside the stretch."""
-    model = docs.sparkSession.sparkContext.broadcast(passed)
-    length = passed[0][0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 512):
-            out = []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                words = text.split()
-                if len(words) < window:
-                    continue
-                w = Windows(word_hashes(words))
-                lo, hi, first = _runs(w, window, model.value)
-                if len(lo):
-                    k = [w.spans(lo, hi + window - 1, i) for i in (0, 1)]
-                    out.append((np.full(len(lo), doc), lo, hi - lo, k[0], k[1], first[lo], _places(w.all(length), lo, hi - lo + window - length, first[lo]) > 1))
-            if out:
-                doc, lo, n, k1, k2, a, own = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield batch(doc=pa.array(doc), lo=pa.array(lo.astype(np.int32)), len=pa.array(n.astype(np.int32)), k1=pa.array(k1.view(np.int64)), k2=pa.array(k2.view(np.int64)), a=pa.array(a.view(np.int64)), own=pa.array(own))
-
-    return docs.mapInArrow(run, "doc long, lo int, len int, k1 long, k2 long, a long, own boolean")
+        for part in text_groups(batches, 1):
+            w = Words(part.column(1))
+            alive, _ = _survivors(w, window, model.value)
+            if not alive.any():
+                continue
+            h = w.prefix[0].all(length)
+            s = np.where(alive, standins(h, window, length), np.uint64(0))
+            width = window - length + 1
+            edge = np.zeros(width - 1, np.uint64)
+            chosen = _slide(np.concatenate([edge, s, edge]), width, False) == h
+            h, n = np.unique(h[chosen], return_counts=True)
+            yield batch(h=pa.array(h.view(np.int64)), n=pa.array(n.astype(np.int32)))
+
+    return docs.mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+
+
+def _runs(w: Words, window: int, passed: list[tuple[int, Filter]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and past-last window of each stretch of neighbouring survivors with one stand-in, and the stand-ins."""
+    alive, first = _survivors(w, window, passed)
+    at = np.nonzero(alive)[0]
+    if not len(at):
+        return at, at, first
+    new = np.concatenate([[True], (np.diff(at) > 1) | (first[at[1:]] != first[at[:-1]]) | (w.doc[at[1:]] != w.doc[at[:-1]])])
+    starts = np.nonzero(new)[0]
+    return at[starts], at[np.append(starts[1:], len(at)) - 1] + 1, first
 
 
 def _places(h: np.ndarray, lo: np.ndarray, n: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -185,61 +200,79 @@ def _places(h: np.ndarray, lo: np.ndarray, n: np.ndarray, a: np.ndarray) -> np.n
     return np.bincount(which, h[at] == a[which], minlength=len(lo))
 
 
-def _runs(w: Windows, window: int, passed: list[tuple[int, Filter]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and past-last window of each stretch, and the first level's stand-ins."""
-    alive, first = _survivors(w, window, passed)
-    at = np.nonzero(alive)[0]
-    if not len(at):
-        return at, at, first
-    new = np.concatenate([[True], (np.diff(at) > 1) | (first[at[1:]] != first[at[:-1]])])
-    starts = np.nonzero(new)[0]
-    return at[starts], at[np.append(starts[1:], len(at)) - 1] + 1, first
+def _later_here(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Mask of rows whose key also stands at an earlier place among these rows."""
+    order = np.lexsort((lo, doc, k2, k1))
+    same = np.concatenate([[False], (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])])
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    late = same & ((doc[order] != doc[order][head]) | (lo[order] != lo[order][head]))
+    out = np.zeros(len(order), bool)
+    out[order] = late
+    return out
 
 
-def _place_hash(doc: int, lo: np.ndarray) -> np.ndarray:
-    return _mix(_mix(np.uint64(doc * _BASES[0] & 0xFFFFFFFFFFFFFFFF) + lo.astype(np.uint64)))
+def _places_of(part: pa.RecordBatch, w: Words, at: np.ndarray) -> np.ndarray:
+    return part.column(0).to_numpy(zero_copy_only=False)[w.doc[at]]
 
 
-def _windows_of(docs: DataFrame, window: int, passed: list[tuple[int, Filter]], chosen: Filter) -> DataFrame:
-    """(doc, lo, k1, k2) of every single window in the chosen stretches."""
-    model = docs.sparkSession.sparkContext.broadcast((passed, chosen))
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``later`` for rows whose key (k1, k2) is also at an earlier (doc, lo). Rows known to be later in their task keep
+    that mark and come under keys of their own, so a key brings one row a group of texts at most to its window."""
+    rows = rows.withColumn("k1", F.when(F.col("later"), F.xxhash64("doc", "lo")).otherwise(F.col("k1")))
+    return rows.withColumn("later", F.col("later") | (F.rank().over(Window.partitionBy("k1", "k2").orderBy("later", "doc", "lo")) > 1))
+
+
+def _stretches(docs: DataFrame, window: int, passed: list[tuple[int, Filter]]) -> DataFrame:
+    """(doc, lo, len, k1, k2, a, own, later): stretches of neighbouring surviving windows with one stand-in ``a``:
+    ``len`` windows from word ``lo``, with two hashes of their words; ``own`` if the stand-in is there more than once,
+    so that a window may be repeated inside the stretch."""
+    model = docs.sparkSession.sparkContext.broadcast(passed)
+    length = passed[0][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed, chosen = model.value
-        for part in slices(batches, 512):
-            out = []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                words = text.split()
-                if len(words) < window:
-                    continue
-                w = Windows(word_hashes(words))
-                lo, hi, _ = _runs(w, window, passed)
-                take = chosen.has(_place_hash(doc, lo)) if len(lo) else np.zeros(0, bool)
-                if take.any():
-                    at = np.concatenate([np.arange(a, b) for a, b in zip(lo[take].tolist(), hi[take].tolist(), strict=True)])
-                    out.append((np.full(len(at), doc), at, w.spans(at, at + window, 0), w.spans(at, at + window, 1)))
-            if out:
-                doc, at, k1, k2 = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield batch(doc=pa.array(doc), lo=pa.array(at.astype(np.int32)), k1=pa.array(k1.view(np.int64)), k2=pa.array(k2.view(np.int64)))
+        for part in text_groups(batches, 1):
+            w = Words(part.column(1))
+            lo, hi, first = _runs(w, window, model.value)
+            if not len(lo):
+                continue
+            n, a, doc, at = hi - lo, first[lo], _places_of(part, w, lo), w.at[lo]
+            k1 = w.prefix[0].spans(lo, hi + window - 1) + n.astype(np.uint64)
+            k2 = w.prefix[1].spans(lo, hi + window - 1)
+            own = _places(w.prefix[0].all(length), lo, n + window - length, a) > 1
+            yield batch(doc=pa.array(doc), lo=pa.array(at.astype(np.int32)), len=pa.array(n.astype(np.int32)), k1=pa.array(k1.view(np.int64)), k2=pa.array(k2.view(np.int64)), a=pa.array(a.view(np.int64)), own=pa.array(own), later=pa.array(_later_here(k1, k2, doc, at)))
+
+    return docs.mapInArrow(run, "doc long, lo int, len int, k1 long, k2 long, a long, own boolean, later boolean")
 
-    return docs.mapInArrow(run, "doc long, lo int, k1 long, k2 long")
 
+def _place_hash(doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return _mix(_mix(doc.astype(np.int64).view(np.uint64) * np.uint64(_BASES[0]) + lo.astype(np.uint64)))
 
-def _firsts(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n"), *more)
 
+def _windows_of(docs: DataFrame, window: int, passed: list[tuple[int, Filter]], chosen: Filter) -> DataFrame:
+    """(doc, lo, k1, k2, later) of every single window in the chosen stretches."""
+    model = docs.sparkSession.sparkContext.broadcast((passed, chosen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed, chosen = model.value
+        for part in text_groups(batches, 1):
+            w = Words(part.column(1))
+            lo, hi, _ = _runs(w, window, passed)
+            take = chosen.has(_place_hash(_places_of(part, w, lo), w.at[lo])) if len(lo) else np.zeros(0, bool)
+            if not take.any():
+                continue
+            lo, n = lo[take], (hi - lo)[take]
+            i = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            k1, k2 = (p.spans(i, i + window) for p in w.prefix)
+            doc, at = _places_of(part, w, i), w.at[i]
+            yield batch(doc=pa.array(doc), lo=pa.array(at.astype(np.int32)), k1=pa.array(k1.view(np.int64)), k2=pa.array(k2.view(np.int64)), later=pa.array(_later_here(k1, k2, doc, at)))
 
-def _later(rows: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key also occurs at an earlier (doc, lo)."""
-    return rows.join(firsts.where("n > 1").select(*keys, "first"), keys).where(F.struct("doc", "lo") > F.col("first"))
+    return docs.mapInArrow(run, "doc long, lo int, k1 long, k2 long, later boolean")
 
 
 def _place_filter(places: DataFrame) -> Filter:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc = b.column(0).to_numpy().astype(np.int64).view(np.uint64)
-            h = _mix(_mix(doc * np.uint64(_BASES[0]) + b.column(1).to_numpy().astype(np.uint64)))
-            yield batch(h=pa.array(h.view(np.int64)))
+            yield batch(h=pa.array(_place_hash(b.column(0).to_numpy(), b.column(1).to_numpy()).view(np.int64)))
 
     return make_filter(places.mapInArrow(run, "h long"))
 
@@ -255,15 +288,13 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, first: int = FIRST_
             return docs.sparkSession.createDataFrame([], "doc long, lo int, hi int")
     if not passed:
         raise ValueError("the first level must be shorter than the window")
-    stretches = written(_stretches(docs, window, passed))
-    keys = ["k1", "k2", "len"]
-    starts = _firsts(stretches, keys, F.min("a").alias("a"), F.max("own").alias("own"))
-    whole = _later(stretches, starts, keys).select("doc", "lo", (F.col("lo") + F.col("len") + (window - 1)).cast("int").alias("hi"))
+    stretches = written(_ranked(_stretches(docs, window, passed)).select("doc", "lo", "len", "a", "own", "later", F.xxhash64("k1", "k2").alias("kind")))
+    whole = stretches.where("later").select("doc", "lo", (F.col("lo") + F.col("len") + (window - 1)).cast("int").alias("hi"))
     # a stand-in that is once in one kind of stretch has nothing left to compare
-    mixed = starts.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select("a")
-    places = starts.where("own").unionByName(starts.where("NOT own").join(mixed, "a", "left_semi").select(*starts.columns)).select("first.doc", "first.lo")
-    singles = written(_windows_of(docs, window, passed, _place_filter(places)))
-    single = _later(singles, _firsts(singles, ["k1", "k2"]), ["k1", "k2"]).select("doc", "lo", (F.col("lo") + window).cast("int").alias("hi"))
+    starts = stretches.where("NOT later").select("doc", "lo", "a", "own")
+    mixed = stretches.where("NOT later").groupBy("a").agg((F.min("kind") < F.max("kind")).alias("mixed")).where("mixed").select("a")
+    places = starts.where("own").unionByName(starts.where("NOT own").join(mixed, "a", "left_semi").select(*starts.columns)).select("doc", "lo")
+    single = _ranked(_windows_of(docs, window, passed, _place_filter(places))).where("later").select("doc", "lo", (F.col("lo") + window).cast("int").alias("hi"))
     return whole.unionAll(single)
 
 
@@ -276,8 +307,9 @@ def drop_repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW, f
     other. A null doc_id comes after all others. Null and blank texts have no words; an empty table gives an empty
     result; other columns are ignored.
 
-    Copies and shared passages cost one row a stretch of windows and place; hot keys are counted up before they are
-    shuffled and their join is one that Spark splits. Filters held by tasks have FILTER_BITS bits at any size.
+    Copies and shared passages cost one row a stretch of windows and place. A task marks what is repeated among its
+    own texts before anything is shuffled, so a hot passage sends a row for each group of texts, not for each text.
+    Filters held by tasks have FILTER_BITS bits at any size.
     """
     late = F.lit((1 << 63) - 1)
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), late).alias("doc"), utf8(text).alias("b"))
@@ -285,7 +317,7 @@ def drop_repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW, f
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), late).alias("doc"), utf8(text).alias("b")).join(spans, "doc", "left").select("doc_id", "b", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 512):
+        for part in text_groups(batches, 1):
             n_words, n_removed, kept = [], [], []
             for b, lo, hi in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 words = b.split()
