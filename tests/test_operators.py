@@ -1,0 +1,189 @@
+"""Golden fixtures and properties of the raster, join, score and graph operators."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from terracol.functions import columns as C
+from terracol.operators import aggregates as A
+from terracol.operators import graph as G
+from terracol.operators import joins as J
+from terracol.operators import raster as R
+from terracol.sources import tables as S
+
+
+def cells(spark, at):
+    return spark.createDataFrame([tuple(x) for x in at], "row int, col int")
+
+
+def at(df):
+    return {(r["row"], r["col"]) for r in df.collect()}
+
+
+def scores(spark, true, pred):
+    return spark.createDataFrame([(float(a), float(b)) for a, b in zip(true, pred, strict=True)], "y_true double, y_pred double")
+
+
+def test_merge_close_points(spark):
+    data = [(1, 2, 20), (1.2, 2.2, 80), (2.2, 2.2, 25), (2.5, 2.5, 80), (3.5, 2.9, 50), (3.4, 2.8, 10), (5, 5, 80), (4.9, 5.1, 90), (6.1, 2.8, 90), (6.0, 2.9, 99)]
+    p = spark.createDataFrame([(i, float(x), float(y), float(v)) for i, (x, y, v) in enumerate(data)], "idx long, lon double, lat double, pci double")
+    got = {(round(r["lon"], 6), round(r["lat"], 6), r["pci"]) for r in J.merge_close_points(p, 0.8).collect()}
+    assert got == {(1.1, 2.1, 20), (2.35, 2.35, 25), (3.45, 2.85, 10), (4.95, 5.05, 80), (6.05, 2.85, 90)}
+    line = spark.createDataFrame([(0, 0.0, 0.0, 3.0), (1, 0.5, 0.0, 2.0), (2, 1.0, 0.0, 1.0)], p.schema)
+    assert {(r["idx"], r["lon"], r["pci"]) for r in J.merge_close_points(line, 0.6).collect()} == {(0, 0.25, 2.0), (2, 0.75, 1.0)}
+    first = {(r["idx"], r["lon"]) for r in J.merge_close_points(line, 0.6, "first_location").collect()}
+    assert first == {(0, 0.0), (2, 0.5)}
+    assert {r["lon"] for r in J.merge_close_points(line, 0.6, "middle_location").collect()} == {0.0, 0.5}
+
+
+def test_scores(spark):
+    c = A.classification_metrics(scores(spark, [0, 1, 2, 0, 1], [0, 1, 1, 0, 1])).first()
+    assert [round(c[k], 6) for k in ("accuracy", "precision", "recall", "f1")] == [0.8, 0.666667, 0.8, 0.72]
+    r = A.regression_metrics(scores(spark, [85, 70, 55, 40], [82, 68, 58, 42])).first()
+    assert [round(r[k], 6) for k in ("mae", "mse", "rmse", "r2")] == [2.5, 6.5, 2.54951, 0.976889]
+    five = scores(spark, [85, 70, 55, 40, 25], [82, 68, 58, 42, 28])
+    assert A.pci_metrics(five).first()["within"] == 0.0 and A.pci_metrics(five, 5).first()["within"] == 1.0
+    assert A.regression_metrics(scores(spark, [1, 1], [1, 1])).first()["r2"] == 1.0
+    assert A.confusion_matrix(five).count() == 100
+
+
+def test_spectral_stats(spark):
+    r = A.spectral_stats(spark.createDataFrame([(0, i, [v]) for i, v in enumerate([1.0, 2.0, 4.0, 8.0])], "row int, col int, bands array<double>")).first()
+    assert [round(r[k], 6) for k in ("mean", "median", "std", "sem", "margin", "iqr", "min", "max")] == [3.75, 3.0, 3.095696, 1.547848, 4.925943, 3.25, 1.0, 8.0]
+
+
+def test_histogram_and_columns(spark):
+    v = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 5, 6)], "value double")
+    assert {(r["bin"], r["n"], r["area"]) for r in A.grouped_histogram(v).collect()} == {(2.0, 1, 16.0), (4.0, 2, 32.0), (6.0, 1, 16.0)}
+    one = spark.range(1)
+    y, u, w = C.rgb_to_yuv(F.lit(1.0), F.lit(1.0), F.lit(1.0))
+    assert [round(x, 9) for x in one.select(y, u, w).first()] == [1.0, 0.00001, 0.0]
+    p = spark.createDataFrame([(float(x),) for x in (29, 30, 70, 80, 86)], "x double")
+    assert [[bool(t) for t in r] for r in p.select(*C.divide_ranges(F.col("x"))).collect()] == [[1, 0, 0], [0, 1, 0], [0, 1, 0], [0, 0, 0], [0, 0, 1]]
+    with pytest.raises(ValueError):
+        C.divide_ranges(F.col("x"), 1, 2)
+    assert one.select(C.nan_nonpositive(F.lit(float("nan")))).first()[0] is None
+    lat, lon = C.utm_to_wgs84_sql("331000D", "4690000D", "17")
+    r = one.selectExpr(f"{lat} AS lat", f"{lon} AS lon").first()
+    assert abs(r["lat"] - 42.3435) < 0.01 and abs(r["lon"] + 83.0515) < 0.01
+    lat, lon = C.utm_to_wgs84_sql("500000D", "0D", "17")
+    assert tuple(one.selectExpr(lat, lon).first()) == pytest.approx((0.0, -81.0), abs=1e-9)
+    lat, lon = C.itm_to_wgs84_sql("219529.584D", "626907.39D")
+    assert tuple(one.selectExpr(lat, lon).first()) == pytest.approx((31.734394, 35.204517), abs=1e-3)
+    with pytest.raises(ValueError):
+        C.transform_crs(F.lit(1), F.lit(1), "EPSG:1", "EPSG:2")
+
+
+def test_crop_and_patches(spark):
+    px = spark.createDataFrame([(r, c, float(c), float(r), float(r * 5 + c)) for r in range(5) for c in range(5)], "row int, col int, lon double, lat double, value double")
+    assert at(R.roi_crop(px, (0.5, 3.5, 0.5, 3.5))) == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert len(R.patch_origins(10, 10, 4, 0.2)) == 9 and len(R.patch_origins(11, 11, 4, 0.2)) == 16
+    for size in (10, 11):
+        img = spark.createDataFrame([(r, c) for r in range(size) for c in range(size)], "row int, col int")
+        got = {}
+        for r in R.tile_patches(img, size, size, 4, 0.2).collect():
+            got.setdefault(r["patch_id"], set()).add((r["row"] - r["r"], r["col"] - r["c"]))
+        assert [got[i] for i in sorted(got)] == [{o} for o in R.patch_origins(size, size, 4, 0.2)]
+    with pytest.raises(ValueError):
+        R.patch_origins(10, 10, 4, 0.9)
+
+
+def test_morphology(spark):
+    one = cells(spark, [(6, 6)])
+    assert [R.dilate(one, se, 20, 20).count() for se in (R.disk(1), R.square(3), R.square(10))] == [5, 9, 100]
+    assert min(at(R.dilate(one, R.square(10), 20, 20))) == (1, 1)
+    block = cells(spark, [(r, c) for r in range(3) for c in range(3)])
+    assert at(R.erode(block, R.square(3), 9, 9)) == {(1, 1)}
+    labels = spark.createDataFrame([(0, 0, 3.0), (0, 1, 5.0)], "row int, col int, value double")
+    got = {(r["row"], r["col"]): r["value"] for r in R.morph_multiclass(labels, R.square(3), "dilation", 4, 4).collect()}
+    assert got == {(r, c): 3.0 if c < 2 else 5.0 for r in (0, 1) for c in (0, 1, 2)}
+    rnd = random.Random(1)
+    some = cells(spark, {(rnd.randrange(8), rnd.randrange(8)) for _ in range(30)})
+    opened = R.morph_open(some, R.square(3), 8, 8)
+    assert at(R.erode(some, R.square(3), 8, 8)) <= at(some) <= at(R.dilate(some, R.square(3), 8, 8))
+    assert at(R.morph_open(opened, R.square(3), 8, 8)) == at(opened)
+
+
+def test_offset(spark):
+    ideal, seen = cells(spark, [(2, 2), (2, 3)]), cells(spark, [(1, 1), (1, 2)])
+    assert tuple(R.best_offset(ideal, seen, 2).first()) == (1, 1, 2)
+    rnd = random.Random(2)
+    a = {(rnd.randrange(40), rnd.randrange(40)) for _ in range(150)}
+    moved = R.apply_offset(cells(spark, a), spark.createDataFrame([(4, -3)], "dy int, dx int"), 40, 40)
+    assert tuple(R.best_offset(moved, cells(spark, a), 6).first())[:2] == (4, -3)
+
+
+def test_fold(spark):
+    x = spark.createDataFrame([(0, 5, 0, 1.0), (0, 6, 1, 2.0), (0, 7, 2, 3.0), (0, 8, 3, 4.0), (0, 4, 0, 9.0)], "region int, row int, col int, value double")
+    assert {(r["r"], r["c"], r["value"]) for r in R.fold_to_frame(x, 4).collect()} == {(2, 0, 1.0), (1, 1, 2.0), (0, 2, 3.0), (3, 3, 4.0)}
+
+
+def test_components_and_paths(spark):
+    c = cells(spark, [(0, 0), (1, 1), (3, 3)])
+    assert len({r["component"] for r in G.connected_components(c, True).collect()}) == 2
+    assert len({r["component"] for r in G.connected_components(c).collect()}) == 3
+    full = cells(spark, [(r, k) for r in range(3) for k in range(3)] + [(9, 9)])
+    pairs = spark.createDataFrame([(1, 0, 0, 2, 2), (2, 0, 0, 9, 9)], "pair_id long, r0 int, c0 int, r1 int, c1 int")
+    got = {}
+    for r in G.shortest_paths(full, pairs).collect():
+        got.setdefault(r["pair_id"], []).append((r["step"], r["row"], r["col"]))
+    assert sorted(got[1]) == [(0, 0, 0), (1, 1, 1), (2, 2, 2)] and got[2] == [(0, 9, 9)]
+    snake = [(0, i) for i in range(30)] + [(1, 29)] + [(2, i) for i in range(30)] + [(3, 0)] + [(4, i) for i in range(30)]
+    assert {r["component"] for r in G.connected_components(cells(spark, snake)).collect()} == {1}
+
+
+def test_nearest_matches_brute_force(spark):
+    rnd = random.Random(3)
+    a = [(i, rnd.random() * 50, rnd.random() * 50) for i in range(60)]
+    b = [(i, round(rnd.random() * 5, 1), round(rnd.random() * 5, 1)) for i in range(80)]
+    left = spark.createDataFrame(a, "i int, lx double, ly double")
+    right = spark.createDataFrame(b, "j int, rx double, ry double")
+    got = {r["i"]: r["j"] for r in J.nearest(left, right, "i", ["j"], 0.3).collect()}
+    assert got == {i: min(b, key=lambda p: ((x - p[1]) * (x - p[1]) + (y - p[2]) * (y - p[2]), p[0]))[0] for i, x, y in a}
+    plan = J.within(left, right, 0.5)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_lines_and_paths(spark):
+    v = spark.createDataFrame([(1, 0, 0, 0), (1, 1, 4, 2)], "line int, ord int, x int, y int")
+    got = at(R.rasterize_line(R.polyline_edges(v)))
+    assert len(got) == 5 and {(0, 0), (2, 4)} <= got
+    path = R.resample_path(v, 5).orderBy("k").collect()
+    assert [(r["x"], r["y"]) for r in path] == [(0.0, 0.0), (1.0, 0.5), (2.0, 1.0), (3.0, 1.5), (4.0, 2.0)]
+    p = spark.createDataFrame([(1, 0, 5.0, 0.0), (1, 1, 0.0, 0.0), (1, 2, 2.0, 0.0)], "line int, idx int, x double, y double")
+    assert [r["idx"] for r in R.greedy_path_order(p).orderBy("ord").collect()] == [1, 2, 0]
+
+
+def test_sources(spark, tmp_path):
+    f = tmp_path / "p.csv"
+    f.write_text("X,Y,Cond,Seg_ID\n42.3,-83.0,55,a\n42.4,-83.1,60,b\n")
+    r = S.scan_points(spark, str(f)).orderBy("lat").first()
+    assert (r["lon"], r["lat"], r["pci"], r["seg_id"]) == (-83.0, 42.3, 55.0, "a")
+    with pytest.raises(ValueError):
+        S.normalise_points(spark.createDataFrame([(1,)], "x int"))
+    g = tmp_path / "r.json"
+    g.write_text(json.dumps({"features": [{"properties": {"seg_id": "7"}, "geometry": {"coordinates": [[1.0, 2.0], [3.0, 4.0]]}}]}))
+    assert [tuple(x) for x in S.scan_roads_geojson(spark, str(g)).orderBy("ord").collect()] == [("7", 0, 1.0, 2.0), ("7", 1, 3.0, 4.0)]
+    u = tmp_path / "l.json"
+    u.write_text('{"7": 2.9, "8": 1.0}')
+    assert S.scan_seg_lut(spark, str(u)).count() == 2
+    path, built = str(tmp_path / "m"), []
+    make = lambda: built.append(1) or cells(spark, [(1, 1), (5, 6)])
+    roi = (0.0, 9.0, 0.0, 9.0)
+    assert at(S.mask_cache_or_build(spark, path, roi, make)[0]) == {(1, 1), (5, 6)}
+    assert S.mask_cache_or_build(spark, path, (-1.0, 9.0, 0.0, 9.0), make)[1] is False and built == [1]
+    assert at(S.scan_mask_cropped(spark, path, (1, 5, 1, 6))) == {(0, 0)}
+    S.write_patches({"labels": cells(spark, [(1, 1)])}, str(tmp_path / "out"), (-83.4, -83.1, 42.2, 42.6), 2)
+    assert spark.read.parquet(str(tmp_path / "out" / "labels")).first()["roi_key"] == "-83_-83_42_43"
+    assert S.read_regions(spark, str(tmp_path / "none")) is None
+    a = spark.createDataFrame([(0, 0, [1.0])], "row int, col int, bands array<double>")
+    with pytest.raises(ValueError):
+        S.concat_band_sets(a, a.limit(0))
+
+
+def test_queries_have_matching_names():
+    import __spark_entry__
+
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
