@@ -70,6 +70,6 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
         for i, x in enumerate(found):
             if x is None:
                 found[i] = x = xxhash.xxh64_intdigest(words[i])
-                if len(_known_words) < 400_000:
+                if len(_known_words) < 250_000:
                     _known_words[words[i]] = x
     return np.array(found, dtype=np.uint64)

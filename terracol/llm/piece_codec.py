@@ -28,7 +28,7 @@ _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 class PieceCodec:
     """Encoder and decoder for one SentencePiece BPE model with byte fallback and the identity normalizer."""
 
-    def __init__(self, path: str, cache_units: int = 400_000):
+    def __init__(self, path: str, cache_units: int = 250_000):
         import ahocorasick
         import sentencepiece
 
