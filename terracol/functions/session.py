@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -14,3 +15,9 @@ def materialised(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="terracol-"))
     return df.checkpoint(eager=True)
+
+
+def shared_path(spark, name: str) -> str:
+    """A new path below spark.checkpoint.dir for a written table that is read again."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="terracol-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -118,3 +118,56 @@ def consecutive_pairs(points: DataFrame, block: int = 100_000) -> DataFrame:
     inside = p.withColumn("_n", F.lead(F.struct("idx", "seg_id")).over(Window.partitionBy("_b").orderBy("idx")))
     both = inside.join(follow, "_b").withColumn("_n", F.coalesce("_n", "_after"))
     return both.where(F.col("_n.seg_id") == F.col("seg_id")).select("idx", F.col("_n.idx").alias("next_idx"), "seg_id")
+
+
+def edge_meets_box(x: Column, y: Column, width: Column, height: Column) -> Column:
+    """Whether the edge (x0, y0)-(x1, y1) shares a point with the box from (x, y), borders included: the extents meet and
+    the box's corners don't all lie strictly on one side of the edge's line."""
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    extents = (F.least(x0, x1) <= x + width) & (F.greatest(x0, x1) >= x) & (F.least(y0, y1) <= y + height) & (F.greatest(y0, y1) >= y)
+    sides = [(x1 - x0) * (v - y0) - (y1 - y0) * (u - x0) for u in (x, x + width) for v in (y, y + height)]
+    return extents & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+
+def grid_steps(pixels: DataFrame) -> tuple[float, float]:
+    """(lon_step, lat_step): the distance between the first two columns and the first two rows; 0 with only one."""
+    ends = pixels.agg(F.min("row").alias("row"), F.min("col").alias("col")).first()
+    if ends["row"] is None:
+        return 0.0, 0.0
+    lon = [r[0] for r in pixels.where(F.col("row") == ends["row"]).orderBy("col").select("lon").limit(2).collect()]
+    lat = [r[0] for r in pixels.where(F.col("col") == ends["col"]).orderBy("row").select("lat").limit(2).collect()]
+    return tuple(abs(v[1] - v[0]) if len(v) == 2 else 0.0 for v in (lon, lat))
+
+
+def road_pixels(pixels: DataFrame, edges: DataFrame, height: int, width: int, steps: tuple[float, float] | None = None) -> DataFrame:
+    """(row, col) of pixels whose box [lon, lon + step] x [lat, lat + step] meets an edge (x0, y0, x1, y1).
+
+    The last row and column are never tested. A pixel has one bucket of the grid's own step; an edge is sent to the
+    buckets of the boxes it can meet, column by column along it, so its copies follow its length and not its extent.
+    Edges with a null end meet nothing.
+    """
+    sx, sy = steps or grid_steps(pixels)
+    inner = pixels.where((F.col("row") < height - 1) & (F.col("col") < width - 1)).select("row", "col", "lon", "lat")
+    if not (sx > 0 and sy > 0):
+        return inner.select("row", "col").where(F.lit(False))
+    slack = 1e-6
+    e = edges.select(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).where("x0 + y0 + x1 + y1 IS NOT NULL")
+    low, high = F.least("x0", "x1"), F.greatest("x0", "x1")
+    cell = lambda v, step, off: F.floor(v / F.lit(step) + F.lit(off)).cast("long")
+    e = e.withColumn("_bx", F.explode(F.sequence(cell(low, sx, -1 - slack), cell(high, sx, slack))))
+    # the part of the edge over the two columns that a box of this bucket can cover
+    flat = F.col("x0") == F.col("x1")
+    slope = (F.col("y1") - F.col("y0")) / F.when(flat, F.lit(1.0)).otherwise(F.col("x1") - F.col("x0"))
+    on = lambda x: F.when(flat, F.col("y0")).otherwise(F.col("y0") + slope * (F.least(F.greatest(x, low), high) - F.col("x0")))
+    left, right = on((F.col("_bx") - slack) * F.lit(sx)), on((F.col("_bx") + 2 + slack) * F.lit(sx))
+    right = F.when(flat, F.col("y1")).otherwise(right)
+    e = e.withColumn("_by", F.explode(F.sequence(cell(F.least(left, right), sy, -1 - slack), cell(F.greatest(left, right), sy, slack))))
+    p = inner.withColumn("_px", cell(F.col("lon"), sx, 0)).withColumn("_py", cell(F.col("lat"), sy, 0))
+    meets = edge_meets_box(F.col("lon"), F.col("lat"), F.lit(sx), F.lit(sy))
+    return p.join(e, (F.col("_px") == F.col("_bx")) & (F.col("_py") == F.col("_by")) & meets, "left_semi").select("row", "col")
+
+
+def roads_in_bbox(edges: DataFrame, roi: tuple, line: str = "line") -> DataFrame:
+    """Edges of the roads that meet the box (lon_min, lon_max, lat_min, lat_max) with at least one edge."""
+    box = [F.lit(float(v)) for v in (roi[0], roi[2], roi[1] - roi[0], roi[3] - roi[2])]
+    return edges.join(edges.where(edge_meets_box(*box)).select(line).distinct(), line, "left_semi")

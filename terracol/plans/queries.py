@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terracol.functions import columns as C
+from terracol.functions.session import materialised, shared_path
 from terracol.operators import aggregates as A
 from terracol.operators import graph as G
 from terracol.operators import joins as J
@@ -52,6 +53,13 @@ def s1_scan_points(s, d):
     return S.normalise_points(T.points(s, d).select("idx", F.col("lat").alias("X"), F.col("lon").alias("Y"), F.col("pci").alias("COND"), F.col("seg_id").alias("Seg_ID")))
 
 
+@query("SELECT line::VARCHAR AS seg_id, (row_number() OVER (PARTITION BY line ORDER BY ord) - 1)::INT AS ord, x::DOUBLE AS x, y::DOUBLE AS y FROM verts", "verts")
+def s2_scan_roads_geojson(s, d):
+    path = shared_path(s, "roads")
+    S.write_roads_geojson(T.verts(s, d).withColumnRenamed("line", "seg_id"), path)
+    return S.scan_roads_geojson(s, path, multi_line=False)
+
+
 @query("SELECT event_id, 'k' AS seg_id, json_extract(props, '$.k')::DOUBLE AS pci FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def s3_scan_seg_lut(s, d):
     return s.read.parquet(f"{d}/events.parquet").select("event_id", F.explode(F.from_json("props", "map<string,double>")).alias("seg_id", "pci"))
@@ -63,6 +71,22 @@ def s4_scan_mask_cropped(s, d):
     return R.crop_to(T.road(s, d), rect)
 
 
+@query("SELECT row, col FROM road", "road")
+def s5_write_mask(s, d):
+    path = shared_path(s, "mask")
+    S.write_mask(T.road(s, d), path, ROI)
+    return s.read.parquet(path)
+
+
+@query("SELECT row, col, false AS within FROM road", "road")
+def s6_mask_cache_or_build(s, d):
+    path = shared_path(s, "mask")
+    S.mask_cache_or_build(s, path, ROI, lambda: T.road(s, d))
+    wider = (ROI[0] - 1, *ROI[1:])
+    cells, within = S.mask_cache_or_build(s, path, wider, lambda: T.gray(s, d))
+    return cells.withColumn("within", F.lit(within))
+
+
 @query("SELECT row, col, band, value FROM bandlong", "bandlong")
 def s7_stack_bands(s, d):
     return A.long_bands(A.stack_bands(A.long_bands(T.bandpix(s, d), "row", "col")), "row", "col")
@@ -74,6 +98,27 @@ def s8_concat_band_sets(s, d):
     return A.long_bands(S.concat_band_sets(p, p), "row", "col")
 
 
+@query("SELECT row, col, value, 2 AS data_source, '-83_-83_42_42' AS roi_key FROM classes", "classes")
+def s9_write_patches(s, d):
+    path = shared_path(s, "patches")
+    S.write_patches({"labels": T.classes(s, d)}, path, ROI, 2)
+    return s.read.parquet(f"{path}/labels")
+
+
+@query("SELECT value, min(row) AS min_row, min(col) AS min_col, max(row) + 1 AS max_row, max(col) + 1 AS max_col FROM classes GROUP BY value", "classes")
+def s10_read_regions(s, d):
+    path = shared_path(s, "regions")
+    A.bounding_boxes(T.classes(s, d)).write.parquet(path)
+    return S.read_regions(s, path)
+
+
+@query("SELECT row, col, lon, lat, value, 3 AS data_source FROM grid WHERE value > 100000", "grid")
+def s11_scan_pixel_table(s, d):
+    path = shared_path(s, "pixels")
+    T.grid(s, d).withColumn("data_source", F.when(F.col("value") > 100000, 3).otherwise(2)).write.partitionBy("data_source").parquet(path)
+    return S.scan_pixel_table(s, path, 3)
+
+
 # --- columns ---------------------------------------------------------------------------------------------------
 @query(f"SELECT row, col, value FROM grid WHERE {ROI_SQL}", "grid")
 def p1_roi_filter_pixels(s, d):
@@ -112,9 +157,9 @@ def p7_nan_nonpositive(s, d):
     return A.long_bands(T.bandpix(s, d), "row", "col").withColumn("value", C.nan_nonpositive(F.col("value")))
 
 
-@query("SELECT coalesce(a.row, b.row) AS row, coalesce(a.col, b.col) AS col, coalesce(a.value, b.value) AS value FROM (SELECT * FROM classes WHERE value > 3) a FULL JOIN (SELECT row, col, value FROM grid WHERE col < 50) b ON a.row = b.row AND a.col = b.col", "classes", "grid")
+@query("SELECT coalesce(a.row, b.row) AS row, coalesce(a.col, b.col) AS col, coalesce(a.value, b.value) AS value FROM (SELECT * FROM classes WHERE value > 3) a FULL JOIN (SELECT row, col, value FROM grid WHERE value > 100000) b ON a.row = b.row AND a.col = b.col", "classes", "grid")
 def p8_or_nan(s, d):
-    return R.or_nan(T.classes(s, d).where("value > 3"), T.grid(s, d).where("col < 50"))
+    return R.or_nan(T.classes(s, d).where("value > 3"), T.grid(s, d).where("value > 100000"))
 
 
 @query(f"SELECT row, col FROM {RGB_SQL} WHERE abs(r - g) <= 0.1::DOUBLE AND abs(r - b) <= 0.1::DOUBLE AND abs(g - b) <= 0.1::DOUBLE AND (r + g + b) / 3 < 0.92::DOUBLE", "bandpix")
@@ -235,9 +280,6 @@ def _point_ends(s, d, keep=("idx",)):
     return T.points(s, d).select(*keep, F.col("lon").alias("lx"), F.col("lat").alias("ly"))
 
 
-NEAREST_PIXEL = "SELECT idx, arg_min((row, col), (d2, row, col)) AS best FROM (SELECT idx, row, col, (p.lon - g.lon) * (p.lon - g.lon) + (p.lat - g.lat) * (p.lat - g.lat) AS d2 FROM points p, grid g WHERE abs(p.lon - g.lon) < 0.02 AND abs(p.lat - g.lat) < 0.06) GROUP BY idx"
-
-
 @query("SELECT p.idx, b.row, b.col FROM points p, LATERAL (SELECT row, col FROM grid g ORDER BY (p.lon - g.lon) * (p.lon - g.lon) + (p.lat - g.lat) * (p.lat - g.lat), row, col LIMIT 1) b", "points", "grid")
 def j3_nearest_pixel(s, d):
     return J.nearest(_point_ends(s, d), _pixel_ends(s, d), "idx", ["row", "col"], T.STEP).select("idx", "row", "col")
@@ -254,9 +296,12 @@ def j4_nearest_road_cell(s, d):
     return J.nearest(g, r, "k", ["near_row", "near_col"], 2.0).select("row", "col", "near_row", "near_col")
 
 
-@query("SELECT g.row, g.col, arg_min(p.pci, ((g.lon - p.lon) * (g.lon - p.lon) + (g.lat - p.lat) * (g.lat - p.lat), p.idx)) AS value FROM (SELECT g.* FROM grid g JOIN road USING (row, col)) g, points p WHERE abs(g.lon - p.lon) < 0.004::DOUBLE AND abs(g.lat - p.lat) < 0.004::DOUBLE AND g.row < 135 GROUP BY ALL", "grid", "road", "points")
+NEAREST_POINT = "SELECT g.row, g.col, {} AS {} FROM {} g, LATERAL (SELECT pci FROM points p ORDER BY (g.lon - p.lon) * (g.lon - p.lon) + (g.lat - p.lat) * (g.lat - p.lat), p.idx LIMIT 1) b"
+
+
+@query(NEAREST_POINT.format("b.pci", "value", "(SELECT grid.* FROM grid JOIN road USING (row, col))"), "grid", "road", "points")
 def j5_nearest_value_interp(s, d):
-    g = T.grid(s, d).join(T.road(s, d), ["row", "col"]).where("row < 135").select("row", "col", F.col("lon").alias("lx"), F.col("lat").alias("ly"), (F.col("row") * 100 + F.col("col")).alias("k"))
+    g = T.grid(s, d).join(T.road(s, d), ["row", "col"]).select("row", "col", F.col("lon").alias("lx"), F.col("lat").alias("ly"), (F.col("row") * 100 + F.col("col")).alias("k"))
     p = T.points(s, d).select("idx", "pci", F.col("lon").alias("rx"), F.col("lat").alias("ry"))
     return J.nearest(g, p, "k", ["idx"], T.STEP).select("row", "col", F.col("pci").alias("value"))
 
@@ -271,11 +316,11 @@ def j6_proximity_mask(s, d):
     return J.near_any(g, p, 0.0005).select("row", "col")
 
 
-@query("SELECT a.idx, CASE WHEN b.pci < 30 THEN 'below_30' WHEN b.pci <= 70 THEN 'between_30_and_70' ELSE 'above_70' END AS category FROM points a, LATERAL (SELECT pci FROM points b WHERE b.idx % 3 = 1 ORDER BY (a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat), b.idx LIMIT 1) b WHERE a.idx % 3 = 0", "points")
+@query(NEAREST_POINT.format("CASE WHEN b.pci < 30 THEN 'below_30' WHEN b.pci <= 70 THEN 'between_30_and_70' ELSE 'above_70' END", "category", "grid"), "grid", "points")
 def j7_nearest_category(s, d):
-    a = T.points(s, d).where("idx % 3 = 0").select("idx", F.col("lon").alias("lx"), F.col("lat").alias("ly"))
-    b = T.points(s, d).where("idx % 3 = 1").select(F.col("idx").alias("j"), "pci", F.col("lon").alias("rx"), F.col("lat").alias("ry"))
-    return J.nearest(a, b, "idx", ["j"], T.STEP).select("idx", C.pci_category(F.col("pci")).alias("category"))
+    g = T.grid(s, d).select("row", "col", F.col("lon").alias("lx"), F.col("lat").alias("ly"), (F.col("row") * 100 + F.col("col")).alias("k"))
+    p = T.points(s, d).select("idx", "pci", F.col("lon").alias("rx"), F.col("lat").alias("ry"))
+    return J.nearest(g, p, "k", ["idx"], T.STEP).select("row", "col", C.pci_category(F.col("pci")).alias("category"))
 
 
 LINE_SQL = "cells AS (SELECT DISTINCT (y0 + CASE WHEN n = 0 THEN 0 ELSE sign(y1 - y0) * ((2 * abs(y1 - y0) * t + n) // (2 * n)) END)::INT AS row, (x0 + CASE WHEN n = 0 THEN 0 ELSE sign(x1 - x0) * ((2 * abs(x1 - x0) * t + n) // (2 * n)) END)::INT AS col FROM (SELECT *, unnest(range(n + 1)) AS t FROM (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS n FROM edges WHERE x1 IS NOT NULL)))"
@@ -286,14 +331,31 @@ def w9_rasterize_line(s, d):
     return R.rasterize_line(R.polyline_edges(T.verts(s, d))).select("row", "col").distinct()
 
 
-@query(f"SELECT * FROM (WITH {LINE_SQL}, hits AS (SELECT c.row, c.col, v.ord, (c.row - v.y) * (c.row - v.y) + (c.col - v.x) * (c.col - v.x) AS d2 FROM cells c, (SELECT * FROM verts WHERE ord % 50 = 0) v) SELECT row, col, CASE WHEN sqrt(min(d2)) <= 3.5::DOUBLE THEN arg_min(ord % 101, (d2, ord)) END AS value FROM hits GROUP BY ALL)", "verts", "edges")
+@query(f"SELECT * FROM (WITH {LINE_SQL}, hits AS (SELECT c.row, c.col, v.ord, (c.row - v.y) * (c.row - v.y) + (c.col - v.x) * (c.col - v.x) AS d2 FROM cells c, verts v) SELECT row, col, CASE WHEN sqrt(min(d2)) <= 3.5::DOUBLE THEN arg_min(ord % 101, (d2, ord)) END AS value FROM hits GROUP BY ALL)", "verts", "edges")
 def j8_line_pixel_values(s, d):
     cells = R.rasterize_line(R.polyline_edges(T.verts(s, d))).select("row", "col").distinct().select("row", "col", F.col("col").cast("double").alias("lx"), F.col("row").cast("double").alias("ly"))
-    v = T.verts(s, d).where("ord % 50 = 0").select("ord", (F.col("ord") % 101).alias("value"), F.col("x").cast("double").alias("rx"), F.col("y").cast("double").alias("ry"))
+    v = T.verts(s, d).select("ord", (F.col("ord") % 101).alias("value"), F.col("x").cast("double").alias("rx"), F.col("y").cast("double").alias("ry"))
     best = J.within(cells, v, 3.5, inclusive=True).groupBy("row", "col").agg(F.min_by("value", F.struct("d2", "ord")).alias("value"))
     return cells.select("row", "col").join(best, ["row", "col"], "left")
 
 
+MEETS = "least(x0, x1) <= px + pw AND greatest(x0, x1) >= px AND least(y0, y1) <= py + ph AND greatest(y0, y1) >= py AND least({s}) <= 0 AND greatest({s}) >= 0"
+MEETS = MEETS.format(s=", ".join(f"(x1 - x0) * ({v} - y0) - (y1 - y0) * ({u} - x0)" for u in ("px", "(px + pw)") for v in ("py", "(py + ph)")))
+
+
+@query(f"SELECT row, col FROM (SELECT row, col, lon AS px, lat AS py, 0.0004::DOUBLE AS pw, 0.0004::DOUBLE AS ph FROM grid, size WHERE row < h - 1 AND col < w - 1) WHERE EXISTS (SELECT 1 FROM roads WHERE {MEETS})", "grid", "size", "roads")
+def j9_road_pixel_intersect(s, d):
+    return J.road_pixels(T.grid(s, d), R.polyline_edges(T.road_vertices(s, d)), T.height(s, d), T.WIDTH, (T.STEP, T.STEP))
+
+
+BOX = (-83.2712, -83.2708, 42.2331, 42.2333)
+
+
+@query(f"SELECT * FROM roads WHERE line IN (SELECT line FROM roads, (SELECT {BOX[0]}::DOUBLE AS px, {BOX[2]}::DOUBLE AS py, {BOX[1]}::DOUBLE - {BOX[0]}::DOUBLE AS pw, {BOX[3]}::DOUBLE - {BOX[2]}::DOUBLE AS ph) WHERE {MEETS})", "roads")
+def j10_roads_in_bbox(s, d):
+    return J.roads_in_bbox(R.polyline_edges(T.road_vertices(s, d)), BOX)
+
+
 @query("SELECT r.row, r.col FROM road r JOIN gray g ON r.row = g.row AND r.col = g.col", "road", "gray")
 def j11_mask_and(s, d):
     return R.mask_and(T.road(s, d), T.gray(s, d))
@@ -450,13 +512,6 @@ DILATED = f"SELECT DISTINCT (row + i)::INT AS row, (col + j)::INT AS col FROM {{
 ERODED = f"SELECT (row + i)::INT AS row, (col + j)::INT AS col FROM {{}}, {SQUARE3}, size WHERE row + i BETWEEN 0 AND h - 1 AND col + j BETWEEN 0 AND w - 1 GROUP BY ALL HAVING count(*) = 9"
 
 
-def _sparse(s, d):
-    return T.road(s, d).where("(row * 31 + col * 17) % 11 = 0")
-
-
-SPARSE = "(SELECT * FROM road WHERE (row * 31 + col * 17) % 11 = 0)"
-
-
 @query(DILATED.format("road"), "road", "size")
 def w1_dilate(s, d):
     return R.dilate(T.road(s, d), R.square(3), T.height(s, d), T.WIDTH)
@@ -590,15 +645,16 @@ def m1_false_color_pca(s, d):
 
 
 # --- graphs ----------------------------------------------------------------------------------------------------
-REACH = "SELECT row, col, dense_rank() OVER (ORDER BY low) AS component FROM (WITH RECURSIVE c AS (SELECT row, col, row * 100 + col AS k FROM {t}), e AS (SELECT a.k AS a, b.k AS b FROM c a JOIN c b ON {near}), reach(a, b) AS (SELECT k, k FROM c UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a) SELECT k // 100 AS row, k % 100 AS col, min(b) AS low FROM reach JOIN c ON reach.a = c.k GROUP BY k)"
+REACH = "SELECT row, col, dense_rank() OVER (ORDER BY v) AS component FROM (WITH RECURSIVE c AS (SELECT row, col, row * 100 + col AS k FROM {t}), e AS (SELECT a.k AS a, b.k AS b FROM c a JOIN c b ON {near} AND a.k <> b.k), low(k, v) USING KEY (k) AS (SELECT k, k AS v FROM c UNION SELECT * FROM (SELECT e.b AS k, min(l.v) AS v FROM low l JOIN e ON l.k = e.a JOIN recurring.low r ON r.k = e.b WHERE l.v < r.v GROUP BY e.b)) SELECT row, col, v FROM low JOIN c USING (k))"
+EIGHT, FOUR = "abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1", "abs(a.row - b.row) + abs(a.col - b.col) = 1"
 
 
-@query("SELECT row::INT AS row, col::INT AS col, component FROM (" + REACH.format(t=SPARSE, near="abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.k <> b.k") + ")", "road")
+@query(REACH.format(t="road", near=EIGHT), "road")
 def g1_connected_components(s, d):
-    return G.connected_components(_sparse(s, d), eight=True)
+    return G.connected_components(T.road(s, d), eight=True)
 
 
-@query("SELECT row::INT AS row, col::INT AS col, component FROM (" + REACH.format(t="gray", near="abs(a.row - b.row) + abs(a.col - b.col) = 1") + ")", "gray")
+@query(REACH.format(t="gray", near=FOUR), "gray")
 def g1_connected_components_4(s, d):
     return G.connected_components(T.gray(s, d))
 
@@ -622,7 +678,7 @@ def g3_segment_burn(s, d):
     return G.segment_burn(G.shortest_paths(T.classes(s, d).where("value > 0"), p), p)[0]
 
 
-@query("SELECT row::INT AS row, col::INT AS col, component FROM (" + REACH.format(t="(SELECT row, col FROM classes WHERE value > 4)", near="abs(a.row - b.row) + abs(a.col - b.col) = 1") + ")", "classes")
+@query(REACH.format(t="(SELECT row, col FROM classes WHERE value > 4)", near=FOUR), "classes")
 def g4_extract_instances(s, d):
     return G.extract_instances(T.classes(s, d).where("value > 4"))
 
@@ -636,12 +692,13 @@ def g5_process_labeled_image(s, d):
 # --- compositions ----------------------------------------------------------------------------------------------
 def _scene(s, d) -> P.Scene:
     pixels = T.grid(s, d).select("row", "col", "lon", "lat", F.array("value", F.col("value") / 2, F.col("value") / 3).alias("bands"))
-    return P.Scene(pixels, T.road(s, d), T.points(s, d), T.height(s, d), T.WIDTH)
+    roads = J.road_pixels(pixels, R.polyline_edges(T.road_vertices(s, d)), T.height(s, d), T.WIDTH, (T.STEP, T.STEP))
+    return P.Scene(pixels, materialised(roads), T.points(s, d), T.height(s, d), T.WIDTH)
 
 
 @query()
 def w18_centerline_windows(s, d):
-    return R.centerline_windows(_sparse(s, d).unionByName(T.road(s, d).where("col % 9 < 2")).distinct(), length=4, overlap=0.5, width=3)
+    return R.centerline_windows(T.road(s, d), length=4, overlap=0.5, width=3)
 
 
 @query()
@@ -690,3 +747,11 @@ def v2_validate_points(s, d):
 @query("SELECT 'unique:row,col' AS \"check\", count(*) - count(DISTINCT row * 1000 + col) AS n FROM road", "road")
 def v3_validate_mask(s, d):
     return S.violations(T.road(s, d), unique=("row", "col"))
+
+
+@query("SELECT row, col, CASE WHEN value > 0 THEN value / 2 END AS value FROM classes", "classes")
+def u1_custom_stage(s, d):
+    def halve(labels):
+        return labels.withColumn("value", F.col("value") / 2)
+
+    return T.classes(s, d).withColumn("value", C.nan_nonpositive(F.col("value"))).transform(halve)

@@ -18,6 +18,7 @@ SQL = {
     "points": "SELECT event_id AS idx, -83.28::DOUBLE + ((event_id * 37) % 1000) * 0.00004::DOUBLE AS lon, 42.23::DOUBLE + ((event_id * 97) % 700) * 0.00008::DOUBLE AS lat, (event_id % 101)::DOUBLE AS pci, user_id AS seg_id FROM events",
     "verts": "SELECT c_nationkey AS line, c_custkey AS ord, (c_custkey % 100)::INT AS x, ((c_custkey * 7) % 90)::INT AS y FROM customer",
     "edges": "SELECT line, ord, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM (SELECT c_nationkey AS line, c_custkey AS ord, (c_custkey % 100)::INT AS x, ((c_custkey * 7) % 90)::INT AS y FROM customer) WINDOW w AS (PARTITION BY line ORDER BY ord)",
+    "roads": "SELECT line, ord, x0, y0, x1, y1 FROM (SELECT line, ord, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM (SELECT c_nationkey AS line, c_custkey AS ord, -83.28::DOUBLE + (c_custkey % 100) * 0.0004::DOUBLE + 0.00013::DOUBLE AS x, 42.23::DOUBLE + ((c_custkey * 7) % 90) * 0.0004::DOUBLE + 0.00017::DOUBLE AS y FROM customer) WINDOW w AS (PARTITION BY line ORDER BY ord)) WHERE x1 IS NOT NULL",
     "scores": "SELECT l_suppkey % 5 AS dataset_id, (l_quantity::INT % 5)::DOUBLE AS y_true, (l_linenumber % 5)::DOUBLE AS y_pred FROM lineitem",
     "size": "SELECT max(o_orderkey // 100)::INT + 1 AS h, 100 AS w FROM orders",
 }
@@ -66,6 +67,12 @@ def verts(spark, d):
     return _t(spark, d, "customer").select(F.col("c_nationkey").alias("line"), k.alias("ord"), (k % 100).cast("int").alias("x"), ((k * 7) % 90).cast("int").alias("y"))
 
 
+def road_vertices(spark, d):
+    """The lines' vertices as longitudes and latitudes."""
+    place = lambda v, origin, off: F.lit(origin) + F.col(v) * F.lit(STEP) + F.lit(off)
+    return verts(spark, d).select("line", "ord", place("x", LON0, 0.00013).alias("x"), place("y", LAT0, 0.00017).alias("y"))
+
+
 def lut(spark, d):
     return _t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("seg_id"), (F.col("n_regionkey") + 1).cast("double").alias("pci"))
 

@@ -31,11 +31,24 @@ def scan_points(spark: SparkSession, path: str, geographic: bool = True) -> Data
     return normalise_points(spark.read.csv(path, header=True), geographic)
 
 
-def scan_roads_geojson(spark: SparkSession, path: str) -> DataFrame:
-    f = spark.read.json(path, multiLine=True).select(F.explode("features").alias("f"))
+GEOJSON = "features array<struct<properties:struct<seg_id:string>,geometry:struct<coordinates:array<array<double>>>>>"
+
+
+def scan_roads_geojson(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(seg_id, ord, x, y) of feature collections: one a file or, with multi_line False, one a line, which splits."""
+    f = spark.read.json(path, schema=GEOJSON, multiLine=multi_line).select(F.explode("features").alias("f"))
     return f.select(F.col("f.properties.seg_id").cast("string").alias("seg_id"), F.posexplode("f.geometry.coordinates").alias("ord", "p")).select("seg_id", "ord", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"))
 
 
+def write_roads_geojson(vertices: DataFrame, path: str) -> None:
+    """One feature collection a line, holding one road of (seg_id, ord, x, y)."""
+    at = F.transform(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))), lambda v: F.array(v["x"].cast("double"), v["y"].cast("double")))
+    roads = vertices.groupBy("seg_id").agg(at.alias("at"))
+    geometry = F.struct(F.lit("LineString").alias("type"), F.col("at").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("seg_id").cast("string").alias("seg_id")).alias("properties"), geometry.alias("geometry"))
+    roads.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("value")).write.mode("overwrite").text(path)
+
+
 def parse_lut(df: DataFrame, text: str = "value") -> DataFrame:
     return df.select(F.explode(F.from_json(text, "map<string,double>")).alias("seg_id", "pci"))
 

@@ -156,6 +156,42 @@ def test_lines_and_paths(spark):
     assert [r["idx"] for r in R.greedy_path_order(p).orderBy("ord").collect()] == [1, 2, 0]
 
 
+def test_road_pixels_match_brute_force(spark):
+    rnd = random.Random(4)
+    height, width, sx, sy = 12, 15, 0.5, 0.25
+    px = [(r, c, -3.1 + c * sx, -1.2 + r * sy) for r in range(height) for c in range(width)]
+    edges = [tuple(rnd.uniform(a, b) for a, b in ((-4, 5), (-2, 3), (-4, 5), (-2, 3))) for _ in range(4)]
+    edges += [(-2.6, -1.0, -2.6, -0.3), (-1.3, -0.71, 3.0, -0.71), (0.6, 0.05, 0.6, 0.05), (-2.1, -0.7, -2.1, -0.45), (9.0, 9.0, 9.5, 9.5)]
+
+    def meets(e, x, y, w, h):
+        """Clip the edge to the box, one border at a time."""
+        x0, y0, x1, y1 = e
+        t0, t1 = 0.0, 1.0
+        for p, q in ((x0 - x1, x0 - x), (x1 - x0, x + w - x0), (y0 - y1, y0 - y), (y1 - y0, y + h - y0)):
+            if p == 0:
+                if q < 0:
+                    return False
+            elif p < 0:
+                t0 = max(t0, q / p)
+            else:
+                t1 = min(t1, q / p)
+        return t0 <= t1
+
+    pixels = spark.createDataFrame(px, "row int, col int, lon double, lat double")
+    assert J.grid_steps(pixels) == pytest.approx((sx, sy)) and J.grid_steps(pixels.where("row = 99")) == (0.0, 0.0)
+    for chosen in (edges, *[[e] for e in edges]):
+        df = spark.createDataFrame([(1, *e) for e in chosen] + [(2, None, 0.0, 1.0, 1.0)], "line int, x0 double, y0 double, x1 double, y1 double")
+        want = {(r, c) for r, c, x, y in px if r < height - 1 and c < width - 1 and any(meets(e, x, y, sx, sy) for e in chosen)}
+        got = J.road_pixels(pixels, df, height, width, (sx, sy))
+        assert at(got) == want and got.count() == len(want)
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert J.road_pixels(pixels.where("row < 1"), df, 1, width).count() == 0
+    lines = spark.createDataFrame([(i, *e) for i, e in enumerate(edges)] + [(0, 0.0, 0.0, 0.1, 0.1)], "line int, x0 double, y0 double, x1 double, y1 double")
+    near = [i for i, e in enumerate(edges) if i == 0 or meets(e, -0.05, -0.05, 1.0, 1.0)]
+    assert sorted(r["line"] for r in J.roads_in_bbox(lines, (-0.05, 0.95, -0.05, 0.95)).collect()) == sorted(near + [0])
+
+
 def test_sources(spark, tmp_path):
     f = tmp_path / "p.csv"
     f.write_text("X,Y,Cond,Seg_ID\n42.3,-83.0,55,a\n42.4,-83.1,60,b\n")
@@ -166,6 +202,9 @@ def test_sources(spark, tmp_path):
     g = tmp_path / "r.json"
     g.write_text(json.dumps({"features": [{"properties": {"seg_id": "7"}, "geometry": {"coordinates": [[1.0, 2.0], [3.0, 4.0]]}}]}))
     assert [tuple(x) for x in S.scan_roads_geojson(spark, str(g)).orderBy("ord").collect()] == [("7", 0, 1.0, 2.0), ("7", 1, 3.0, 4.0)]
+    roads = spark.createDataFrame([("7", 1, 3.0, 4.0), ("7", 0, 1.0, 2.0), (None, 0, 5.0, 6.0)], "seg_id string, ord int, x double, y double")
+    S.write_roads_geojson(roads, str(tmp_path / "roads"))
+    assert {tuple(x) for x in S.scan_roads_geojson(spark, str(tmp_path / "roads"), multi_line=False).collect()} == {tuple(x) for x in roads.collect()}
     u = tmp_path / "l.json"
     u.write_text('{"7": 2.9, "8": 1.0}')
     assert S.scan_seg_lut(spark, str(u)).count() == 2
