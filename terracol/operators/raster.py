@@ -220,7 +220,7 @@ def resample_path(points: DataFrame, n: int = 100, line: str = "line", order: st
     w = Window.partitionBy(line).orderBy(order)
     step = F.sqrt((F.col("x") - F.lag("x").over(w)) * (F.col("x") - F.lag("x").over(w)) + (F.col("y") - F.lag("y").over(w)) * (F.col("y") - F.lag("y").over(w)))
     p = points.select(line, order, "x", "y", F.coalesce(step, F.lit(0.0)).alias("_s"))
-    p = p.withColumn("_at", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_s").over(Window.partitionBy(line)))
+    p = p.withColumn("_at", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.max("_at").over(Window.partitionBy(line)))
     p = p.withColumn("_u", F.when(F.col("_all") > 0, F.col("_at") / F.col("_all")).otherwise(0.0))
     e = p.select(line, "x", "y", "_u", F.lead("x").over(w).alias("_x"), F.lead("y").over(w).alias("_y"), F.lead("_u").over(w).alias("_v")).where("_v > _u")
     t = F.explode(F.sequence(F.ceil(F.col("_u") * (n - 1)).cast("int"), F.when(F.col("_v") >= 1, F.lit(n - 1)).otherwise(F.ceil(F.col("_v") * (n - 1)).cast("int") - 1)))

@@ -551,9 +551,13 @@ def w6_sobel(s, d):
     return rounded(g.where("gx IS NOT NULL AND gy IS NOT NULL").select("row", "col", "gx", "gy"), "gx", "gy", digits=2)
 
 
-@query()
+SMOOTH = "smooth AS (SELECT g.row, g.col, sum(b.value * exp(-((g.row - b.row) * (g.row - b.row) + (g.col - b.col) * (g.col - b.col)) / 2.0::DOUBLE)) / (SELECT sum(exp(-((i.range - 2) * (i.range - 2) + (j.range - 2) * (j.range - 2)) / 2.0::DOUBLE)) FROM range(5) i, range(5) j) AS value FROM grid g JOIN big b ON b.row BETWEEN g.row - 2 AND g.row + 2 AND b.col BETWEEN g.col - 2 AND g.col + 2 GROUP BY ALL HAVING count(*) = 25)"
+AGAIN = MIRROR.format(e=0, k=1, t="smooth").replace("big AS", "wide AS")
+
+
+@query(f"SELECT * FROM (WITH {MIRROR.format(e=0, k=2, t='grid')}, {SMOOTH}, {AGAIN} SELECT g.row, g.col, round(sum(b.value * CASE WHEN b.row = g.row AND b.col = g.col THEN -4 ELSE 1 END), 4) AS value FROM smooth g JOIN wide b ON abs(b.row - g.row) + abs(b.col - g.col) <= 1 AND b.row BETWEEN g.row - 1 AND g.row + 1 AND b.col BETWEEN g.col - 1 AND g.col + 1 GROUP BY ALL HAVING count(*) = 5)", "grid", "size")
 def w7_laplacian_of_gaussian(s, d):
-    return R.laplacian_of_gaussian(T.grid(s, d), T.height(s, d), T.WIDTH, 1.0)
+    return rounded(R.laplacian_of_gaussian(T.grid(s, d), T.height(s, d), T.WIDTH, 1.0).where("value IS NOT NULL"), "value", digits=4)
 
 
 @query()
@@ -624,7 +628,7 @@ def w19_greedy_path_order(s, d):
     return R.greedy_path_order(T.verts(s, d).withColumnRenamed("ord", "idx"))
 
 
-@query()
+@query("SELECT line, k::INT AS k, round(x + (nx - x) * f, 6) AS x, round(y + (ny - y) * f, 6) AS y FROM (SELECT *, (k / 99.0::DOUBLE - u) / (v - u) AS f FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(u) OVER w AS v FROM (SELECT *, reach / max(reach) OVER (PARTITION BY line) AS u FROM (SELECT *, sum(step) OVER (PARTITION BY line ORDER BY ord ROWS UNBOUNDED PRECEDING) AS reach FROM (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS step FROM verts WINDOW w AS (PARTITION BY line ORDER BY ord)))) WINDOW w AS (PARTITION BY line ORDER BY ord)), range(100) t(k) WHERE v > u AND k / 99.0::DOUBLE >= u AND (k / 99.0::DOUBLE < v OR (v >= 1 AND k = 99)))", "verts")
 def w20_resample_path(s, d):
     return rounded(R.resample_path(T.verts(s, d)), "x", "y")
 
