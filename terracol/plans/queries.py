@@ -560,7 +560,14 @@ def w7_laplacian_of_gaussian(s, d):
     return rounded(R.laplacian_of_gaussian(T.grid(s, d), T.height(s, d), T.WIDTH, 1.0).where("value IS NOT NULL"), "value", digits=4)
 
 
-@query()
+BRIGHT = "bright AS (SELECT row, col, 0.299::DOUBLE * v + 0.587::DOUBLE * v + 0.114::DOUBLE * v AS value FROM (SELECT row, col, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS v FROM grid))"
+NINE = "JOIN {} b ON b.row BETWEEN g.row - 1 AND g.row + 1 AND b.col BETWEEN g.col - 1 AND g.col + 1 GROUP BY ALL HAVING count(*) = 9"
+MEAN = f"mean AS (SELECT g.row, g.col, sum(b.value) / 9 AS value FROM bright g {NINE.format('big')})"
+STEEP = f"steep AS (SELECT g.row, g.col, sqrt(sum(b.value * (g.col - b.col) * CASE WHEN b.row = g.row THEN 2 ELSE 1 END) ** 2 + sum(b.value * (g.row - b.row) * CASE WHEN b.col = g.col THEN 2 ELSE 1 END) ** 2) AS magnitude FROM mean g {NINE.format('wide')})"
+GROWN = f"SELECT (row + i)::INT AS row, (col + j)::INT AS col, min(value) AS value FROM classes, {SQUARE3}, size WHERE value > 0 AND row + i BETWEEN 0 AND h - 1 AND col + j BETWEEN 0 AND w - 1 GROUP BY 1, 2"
+
+
+@query(f"SELECT * FROM (WITH {BRIGHT}, {MIRROR.format(e=1, k=1, t='bright')}, {MEAN}, {MIRROR.format(e=1, k=1, t='mean').replace('big AS', 'wide AS')}, {STEEP} SELECT l.row, l.col, CASE WHEN coalesce(magnitude, 0) > 1.5::DOUBLE THEN NULL ELSE value END AS value FROM ({GROWN}) l LEFT JOIN steep s ON l.row = s.row AND l.col = s.col)", "grid", "classes", "size")
 def w8_grad_object_removal(s, d):
     v = A.normalize_minmax(T.grid(s, d)).select("row", "col", *[F.col("value").alias(c) for c in "rgb"])
     return R.grad_object_removal(v, T.classes(s, d), T.height(s, d), T.WIDTH, 1.5)
