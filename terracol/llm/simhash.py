@@ -9,18 +9,17 @@ by their Hamming distance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, shuffle_partitions, slices, utf8, written
+from .shingle_sets import links_between, shingle_hashes, verified_pairs, with_cells, with_sets
 
-SEED = 42
 BITS = 4
 BLOCKS = 6
 #: Rows of a cell that one task compares with each other; larger cells are dealt out as pairs of such parts.
@@ -30,16 +29,10 @@ _ODD = 0x5555555555555555
 
 def text_fingerprint(text: bytes, words: int = 4) -> int:
     """64-bit SimHash of a lower-cased text's word shingles, repeats included; 0 without words."""
-    parts = text.lower().split()
-    if not parts:
+    h = shingle_hashes(text, words)
+    n = len(h)
+    if not n:
         return 0
-    joined = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(parts) - words + 1)
-    ends = ends[words - 1 :] if len(parts) >= words else ends[-1:]
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -193,7 +186,34 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", words: int = 4, bits: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", words: int = 5, jaccard: float = 0.8) -> DataFrame:
+    """One row per document: doc_id, ``fp`` (long, the hash of its set of word shingles) and ``component_id``, the
+    smallest doc_id reachable over links of documents whose sets have at least this Jaccard similarity.
+
+    Candidates share a MinHash cell (see shingle_sets, which states the share of pairs at 0.8 that do not) and every
+    link is checked exactly. First the members of each cell are compared with its first one, then what the components
+    of these links leave apart in a cell is compared pair by pair. Equal sets are one node, however many documents
+    share it. Null and blank texts are one group. Nulls, repeated rows and other columns as in simhash_duplicates.
+    """
+    found = written(with_cells(docs, text=text, words=words))
+    nodes = written(found.groupBy(F.col("fp").alias("node"), "cells").agg(F.min("doc_id").alias("low")))
+    cells = nodes.select("node", F.explode("cells").alias("cell"))
+    crowded = cells.groupBy("cell").agg(F.min("node").alias("lead"), F.count("*").alias("rows")).where("rows > 1")
+    shared = written(cells.join(crowded, "cell").select("cell", "node", "lead", "rows"))
+    members = written(nodes.select("node", "low").join(shared.select("node").distinct(), "node", "left_semi"))
+    picked = docs.join(members.select(F.col("low").alias("_id")).distinct(), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    if not members.where("low IS NULL").isEmpty():
+        picked = picked.unionAll(docs.where("doc_id IS NULL"))
+    sets = written(with_sets(picked, text=text, words=words).join(members.select("node"), "node", "left_semi").distinct())
+    stars = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    edges = written(verified_pairs(stars, sets, jaccard))
+    placed = shared.join(connected_components(members, edges), "node")
+    apart = placed.where("rows > 2").groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("cell")
+    rest = links_between(placed.join(apart, "cell").select("cell", "node", "component", "rows"), sets, jaccard)
+    return _classes(found, nodes, connected_components(nodes, edges.unionByName(rest)))
+
+
+def simhash_duplicates(docs: DataFrame, *, text: str = "text", words: int = 4, bits: int = BITS) -> DataFrame:
     """One row per document: doc_id, ``fp`` (long) and ``component_id``, the smallest doc_id reachable over links of
     fingerprints that differ in at most ``bits`` (at most 4) bits.
 
@@ -207,6 +227,10 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", words: int = 4, bits
     found = written(fingerprints(docs, text=text, words=words))
     nodes = written(found.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("low")))
     classes = connected_components(nodes, link_fingerprints(nodes.select("node", F.col("node").alias("fp")), bits))
+    return _classes(found, nodes, classes)
+
+
+def _classes(found: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
     members = nodes.join(classes, "node")
     low = members.groupBy("component").agg(F.min("low").alias("component_id"))
     by_fp = members.join(low, "component").select(F.col("node").alias("fp"), "component_id")
@@ -214,16 +238,16 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", words: int = 4, bits
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return simhash_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each near-duplicate group: the one with the smallest doc_id.
+def keep_one(docs: DataFrame, by: Callable[..., DataFrame] = simhash_duplicates, **how) -> DataFrame:
+    """docs with one document of each group that ``by`` finds: the one with the smallest doc_id.
 
     Rows that repeat an id inside a group count as copies, so one of them stays. In a group whose ids are all null
     the rows stay, as none can be told from the others. Other columns pass through unchanged.
     """
-    classes = written(near_duplicates(docs, **how))
+    classes = written(by(docs, **how))
     ids = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     repeated = not ids.where("rows > 1").isEmpty()
     kept = docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi").select(*docs.columns)
