@@ -16,31 +16,37 @@ def _line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(bare).alias("x"), F.xxhash64(F.lit(1), bare).alias("y"))
 
 
-def boilerplate_lines(pages: DataFrame, *, host: str = "host", text: str = "text", ratio: float = 0.3, min_pages: int = 5) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, *, host: str = "host", text: str = "text", ratio: float = 0.3, min_pages: int = 5, min_line_pages: int = 1, copies_once: bool = False) -> DataFrame:
     """(host, line key struct, pages, host_pages) of every line on more than ``ratio`` of its host's pages.
 
-    A page counts once for a line. Hosts of fewer than ``min_pages`` pages are not judged. Counts are added up before
-    the shuffle, which carries 16-byte line keys, not lines.
+    A page counts once for a line. Hosts of fewer than ``min_pages`` pages are not judged, nor are lines on fewer than
+    ``min_line_pages``. With ``copies_once`` a host's pages of equal text count as one page, for its lines and for its
+    total alike. Counts are added up before the shuffle, which carries 16-byte line keys, not lines; so are copies.
     """
-    lines = pages.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x) != ""), _line_key))).alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("pages"))
-    totals = pages.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= min_pages)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    keys = F.array_distinct(F.transform(F.filter(F.split(whole, "\n"), lambda x: F.trim(x) != ""), _line_key))
+    page = pages.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(whole).alias("x"), F.xxhash64(F.lit(1), whole).alias("y"), keys.alias("keys"))
+    counted, listed = page.select("host", "x", "y"), page
+    if copies_once:
+        counted, listed = counted.distinct(), listed.distinct()
+    counts = listed.select("host", F.explode("keys").alias("line")).groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_line_pages)
+    totals = counted.groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= min_pages)
     return counts.join(totals, "host").where(F.col("pages") > F.col("host_pages") * F.lit(float(ratio)))
 
 
-def drop_boilerplate(pages: DataFrame, *, host: str = "host", text: str = "text", ratio: float = 0.3, min_pages: int = 5, dropped: str | None = None) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, *, host: str = "host", text: str = "text", ratio: float = 0.3, min_pages: int = 5, min_line_pages: int = 1, copies_once: bool = False, dropped: str | None = None) -> DataFrame:
     """The pages with boilerplate lines taken out of ``text``; with ``dropped``, a column of that name counts them.
 
     Lines are compared without white space at their ends; blank lines stay. Null texts stay null, pages with a null
-    host or on hosts of fewer than ``min_pages`` pages stay as they are, a repeated row is a page of its own, other
-    columns pass through, and an empty table gives an empty result. A page whose lines all go keeps its row, with an
+    host or on hosts of fewer than ``min_pages`` pages stay as they are, a repeated row is a page of its own (unless
+    ``copies_once``), other columns pass through, and an empty table gives an empty result. A page whose lines all go keeps its row, with an
     empty text.
 
     A host has at most (mean distinct lines of its pages) / ratio boilerplate lines, so its list is short however
     many pages it has. Lists go to every executor while they hold BROADCAST_LINES lines at most; beyond, pages meet
     their list by a join on the host, whose hot keys Spark splits.
     """
-    found = written(boilerplate_lines(pages, host=host, text=text, ratio=ratio, min_pages=min_pages).select("host", "line"))
+    found = written(boilerplate_lines(pages, host=host, text=text, ratio=ratio, min_pages=min_pages, min_line_pages=min_line_pages, copies_once=copies_once).select("host", "line"))
     small = found.count() <= BROADCAST_LINES
     lists = found.groupBy("host").agg(F.collect_list("line").alias("_lines")).withColumnRenamed("host", "_host")
     joined = pages.join(F.broadcast(lists) if small else lists, F.col(host) == F.col("_host"), "left")
