@@ -53,16 +53,19 @@ def connected_components(cells: DataFrame, eight: bool = False, by: str | None =
     return cell.join(label, "node").join(number, "to").select(*keys, "row", "col", "component")
 
 
-def shortest_paths(cells: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def shortest_paths(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair_id, step, row, col): a shortest 8-neighbour path for each pair inside the box of its ends; without one, the
-    stop cell alone. pairs has pair_id, r0, c0, r1, c1. All pairs advance together, a step a round."""
+    stop cell alone. pairs has pair_id, r0, c0, r1, c1. All pairs advance together, a step a round, until no
+    front is left."""
     p = pairs.select("pair_id", "r0", "c0", "r1", "c1", F.least("r0", "r1").alias("a"), F.greatest("r0", "r1").alias("b"), F.least("c0", "c1").alias("c"), F.greatest("c0", "c1").alias("d"))
     mask = cells.select("row", "col").distinct()
     front = materialised(p.join(mask, (F.col("r0") == F.col("row")) & (F.col("c0") == F.col("col"))).select("pair_id", "row", "col", F.lit(0).alias("step")))
     seen = front
     box = p.select("pair_id", "a", "b", "c", "d", "r1", "c1")
     done = front.limit(0).select("pair_id")
-    for k in range(1, max_rounds):
+    k = 0
+    while True:
+        k += 1
         grown = front.join(done, "pair_id", "left_anti").join(box, "pair_id").withColumn("m", F.explode(_moves(EIGHT)))
         grown = grown.withColumn("row", F.col("row") + F.col("m.i")).withColumn("col", F.col("col") + F.col("m.j")).where("row BETWEEN a AND b AND col BETWEEN c AND d").select("pair_id", "row", "col").distinct()
         front = materialised(grown.join(mask, ["row", "col"], "left_semi").join(seen, ["pair_id", "row", "col"], "left_anti").select("pair_id", "row", "col", F.lit(k).alias("step")))

@@ -70,11 +70,11 @@ def nearest(left: DataFrame, right: DataFrame, key: str, order: list[str], cell:
         cell *= 2
 
 
-def merge_close_points(points: DataFrame, threshold: float, method: str = "mean_min", max_rounds: int = 1000) -> DataFrame:
+def merge_close_points(points: DataFrame, threshold: float, method: str = "mean_min") -> DataFrame:
     """Greedy merge in idx order: a point not yet absorbed leads and merges all points closer than ``threshold``.
 
     Returns idx (leader), lon, lat, pci. A point leads if none of its earlier neighbours does; rounds settle every
-    point whose earlier neighbours are settled, so their number follows the longest chain, not the point count.
+    point whose earlier neighbours are settled, so their number follows the longest chain, not the point count; they end when no pair is open.
     """
     p = points.select("idx", "lon", "lat", "pci")
     a = p.select(F.col("idx").alias("i"), F.col("lon").alias("lx"), F.col("lat").alias("ly"))
@@ -83,9 +83,7 @@ def merge_close_points(points: DataFrame, threshold: float, method: str = "mean_
     earlier = pairs.where("j < i").select("i", "j")
     state = materialised(p.select(F.col("idx").alias("i")).join(earlier.select("i").distinct(), "i", "left_anti").withColumn("leads", F.lit(True)))
     open_ = materialised(earlier)
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         known = open_.join(state.select(F.col("i").alias("j"), "leads"), "j", "left")
         verdict = known.groupBy("i").agg(F.max(F.coalesce("leads", F.lit(False))).alias("absorbed"), F.count_if(F.col("leads").isNull()).alias("waiting"))
         settled = verdict.where("absorbed OR waiting = 0").select("i", (~F.col("absorbed")).alias("leads"))
