@@ -329,8 +329,11 @@ def train_val_split(patches: DataFrame, share: float, seed: int = 42, key: str =
     return patches.withColumn("role", F.when(h % 1000 < int(round(1000 * share)), "val").otherwise("train"))
 
 
-def centerline_windows(cells: DataFrame, length: int, overlap: float, width: int) -> DataFrame:
-    """Windows along each connected component: (component, window, row, col, k), k cells across the mean direction.
+def centerline_windows(cells: DataFrame, pixels: DataFrame, length: int, overlap: float, width: int, image_height: int, image_width: int) -> DataFrame:
+    """Windows along each connected component, sampled from the image: (component, window, i, k, row, col, center_row,
+    center_col) with the other columns of pixels (null where the image has no row); cell i of the window, k cells across.
+
+    A window with any cell outside image_height x image_width is dropped. Its centre is its cell length // 2.
 
     A component's cells are ordered by (row, col); windows of ``length`` cells start every int(length (1 - overlap))
     cells while one fits; each of their cells is sampled at k = -width // 2 ... width // 2 across. Numbering takes a
@@ -351,5 +354,10 @@ def centerline_windows(cells: DataFrame, length: int, overlap: float, width: int
     size = F.sqrt(F.col("tr") * F.col("tr") + F.col("tc") * F.col("tc"))
     t = t.where("tr IS NOT NULL AND (tr <> 0 OR tc <> 0)").select("component", "window", (-F.col("tc") / size).alias("pr"), (F.col("tr") / size).alias("pc"))
     half = width // 2
+    m = m.withColumn("i", (F.col("i") - F.col("window") * step).cast("int"))
     j = m.join(t, ["component", "window"]).withColumn("k", F.explode(F.sequence(F.lit(-half), F.lit(half))))
-    return j.select("component", "window", F.rint(F.col("row") + F.col("k") * F.col("pr")).cast("int").alias("row"), F.rint(F.col("col") + F.col("k") * F.col("pc")).cast("int").alias("col"), "k")
+    j = j.select("component", "window", "i", "k", F.col("row").alias("_r"), F.col("col").alias("_c"), F.rint(F.col("row") + F.col("k") * F.col("pr")).cast("int").alias("row"), F.rint(F.col("col") + F.col("k") * F.col("pc")).cast("int").alias("col"))
+    inner = F.col("row").between(0, image_height - 1) & F.col("col").between(0, image_width - 1)
+    middle = (F.col("i") == length // 2) & (F.col("k") == 0)
+    whole = j.groupBy("component", "window").agg(F.min(inner).alias("_in"), F.min(F.when(middle, F.col("_r"))).alias("center_row"), F.min(F.when(middle, F.col("_c"))).alias("center_col"))
+    return j.drop("_r", "_c").join(whole.where("_in").drop("_in"), ["component", "window"]).join(pixels, ["row", "col"], "left")

@@ -709,7 +709,7 @@ def _scene(s, d) -> P.Scene:
 
 @query()
 def w18_centerline_windows(s, d):
-    return R.centerline_windows(T.road(s, d), length=4, overlap=0.5, width=3)
+    return R.centerline_windows(T.road(s, d), T.grid(s, d).select("row", "col", "value"), 4, 0.5, 3, T.height(s, d), T.WIDTH)
 
 
 @query()
