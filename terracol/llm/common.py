@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +21,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where none is (tests, one machine)."""
+    """The folder named by spark.checkpoint.dir or set as checkpoint folder. Without one a local session gets a
+    temporary folder of its own; a cluster session is refused, as its executors share no local folder."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="terracol-")
-        sc.setCheckpointDir(named)
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="terracol-"))
         named = sc.getCheckpointDir()
     return named
 
 
+def unused(columns: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each lengthened until no given column has it (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

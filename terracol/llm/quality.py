@@ -9,17 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices, utf8, word_hashes, written
+from .common import batch, slices, unused, utf8, word_hashes, written
 
 #: Hash buckets of unigrams and bigrams together; also the number of rows that reach the driver.
 BUCKETS = 1 << 18
-#: Labelled rows that the target model and the cut are fitted on, at most, picked by a hash of their doc_id.
+#: Labelled rows that the target model and the share are taken from, at most, picked by a hash of their doc_id.
 LABELLED = 16_384
 SEED = 23
-#: Weights are tempered: exp(mean log ratio / TEMPERATURE). The mean, as sums favour or punish length.
-TEMPERATURE = 0.002
-#: How much more a good document lost counts than a bad one kept, for the cut.
-GOOD_COUNTS = 4.0
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -69,47 +65,34 @@ class Ratio:
         self.expected = counts[0] * self.share
         self.table = np.log(counts[1] + steady) - np.log(self.expected + steady)
 
-    def mean(self, f: np.ndarray, own: bool) -> float:
-        """Mean over a document's n-grams; with ``own``, of a target document, after its own counts are taken out."""
+    def log_weight(self, f: np.ndarray, own: bool) -> float:
+        """Sum over a document's n-grams; with ``own``, of a target document, after its own counts are taken out."""
         if not len(f):
             return 0.0
         if not own:
-            return float(self.table[f].mean())
+            return float(self.table[f].sum())
         at, n = np.unique(f, return_counts=True)
-        return float((n * (np.log(self.target[at] - n + self.steady) - np.log(np.maximum(self.expected[at] - n * self.share, 0) + self.steady))).sum() / len(f))
+        return float((n * (np.log(self.target[at] - n + self.steady) - np.log(np.maximum(self.expected[at] - n * self.share, 0) + self.steady))).sum())
 
 
-def weigh(docs: DataFrame, ratio: Ratio, target: frozenset, *, seed: int = SEED, text: str = "text") -> DataFrame:
-    """Append log_weight (mean log ratio of the whole text's n-grams over TEMPERATURE) and key (log_weight plus Gumbel
-    noise from a hash of doc_id and seed); columns of these names are replaced."""
+def weigh(docs: DataFrame, ratio: Ratio, target: frozenset, *, seed: int = SEED, text: str = "text", names: tuple[str, str] = ("log_weight", "key")) -> DataFrame:
+    """Append, under ``names``, the log weight (sum of the log ratios of all n-grams of the whole text) and the key
+    that the draw goes by (log weight plus Gumbel noise from a hash of doc_id and seed). No column may have these names."""
     model = docs.sparkSession.sparkContext.broadcast((ratio, target))
-    keep = [c for c in docs.columns if c not in ("log_weight", "key")]
+    keep = docs.columns
+    weight, key = names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, target = model.value
         for part in slices(batches):
             texts = part.column(keep.index(text)).cast(pa.binary()).to_pylist()
             ids = part.column(keep.index("doc_id")).to_pylist()
-            weights = [ratio.mean(features(t or b""), i in target) / TEMPERATURE for i, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weights, pa.float64())], names=[*keep, "log_weight"])
+            weights = [ratio.log_weight(features(t or b""), i in target) for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weights, pa.float64())], names=[*keep, weight])
 
-    scored = docs.select(*keep).mapInArrow(run, docs.select(*keep).schema.add("log_weight", "double"))
+    scored = docs.mapInArrow(run, docs.select("*").schema.add(weight, "double"))
     unit = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    return scored.withColumn("key", F.col("log_weight") - F.log(-F.log(unit)))
-
-
-def cut_point(weights: np.ndarray, good: np.ndarray) -> float:
-    """The log weight that parts good from bad labelled documents best: most of GOOD_COUNTS x (share of good kept) +
-    (share of bad rejected), and of equal cuts the lowest. Without both kinds nothing is rejected."""
-    if not good.any() or good.all():
-        return -np.inf
-    order = np.argsort(-weights, kind="stable")
-    w, g = weights[order], good[order]
-    gain = GOOD_COUNTS * np.cumsum(g) / g.sum() - np.cumsum(~g) / (~g).sum()
-    last = np.append(w[1:] != w[:-1], True)
-    gain = np.where(last, gain, -np.inf)
-    at = int(np.nonzero(gain >= gain.max() - 1e-12)[0][-1])
-    return float((w[at] + w[at + 1]) / 2) if at + 1 < len(w) else -np.inf
+    return scored.withColumn(key, F.col(weight) - F.log(-F.log(unit)))
 
 
 def kth_key(scores: DataFrame, k: int, column: str = "key", fan: int = 1024) -> float:
@@ -136,43 +119,44 @@ def kth_key(scores: DataFrame, k: int, column: str = "key", fan: int = 1024) ->
             above += bins[b]["n"]
 
 
-def fit(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> tuple[Ratio, frozenset, float]:
-    """The ratio of the two models, the ids of the target documents, and the key from which documents are drawn."""
-    good = labelled_sample(labels)
-    target = frozenset(k for k, v in good.items() if v == 1)
+def fit(docs: DataFrame, labels: DataFrame, *, share: float | None = None, seed: int = SEED) -> tuple[Ratio, frozenset, float]:
+    """The ratio of the two models, the ids of the target documents, and the key of the last document drawn."""
+    kinds = labelled_sample(labels)
+    target = frozenset(k for k, v in kinds.items() if v == 1)
+    if share is None:
+        share = sum(v != 0 for v in kinds.values()) / len(kinds) if target else 1.0
     ratio = Ratio(ngram_counts(docs, target))
-    judged = [(k, v) for k, v in good.items() if v >= 0]
-    if not judged:
+    if share >= 1:
         return ratio, target, -np.inf
-    scores = written(weigh(docs.select("doc_id", "text"), ratio, target, seed=seed).select("doc_id", "log_weight", "key"))
-    known = docs.sparkSession.createDataFrame(judged, "doc_id long, good int")
-    fitted = scores.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("log_weight"), F.min("good").alias("good")).toArrow().to_pandas()
-    cut = cut_point(fitted["log_weight"].to_numpy(float), fitted["good"].to_numpy(int) == 1)
-    if cut == -np.inf:
-        return ratio, target, cut
-    return ratio, target, kth_key(scores, scores.where(F.col("log_weight") > cut).count())
-
-
-def resample(docs: DataFrame, labels: DataFrame, *, seed: int = SEED) -> DataFrame:
-    """The documents that importance resampling keeps: docs' own columns, log_weight and key.
-
-    The target model counts the n-grams of good labelled documents (LABELLED rows at most), the raw model those of
-    all documents; a document's weight is the ratio of its probabilities, tempered and by the n-gram. As many documents are drawn as have a
-    weight over the cut fitted on the same labelled rows, without replacement, by the largest weights plus Gumbel
-    noise. Junk lies far below the cut and clean text far above, so noise only matters between.
-
-    Null and blank texts have weight 0, above any cut below 0. A null doc_id draws as 0 does; repeated rows
-    draw alike and are kept or rejected together, as are ties at the last place. Without good or without bad labels
-    all documents are kept; an empty table gives an empty result; other columns pass through. Texts never move:
-    counts of BUCKETS rows a task and the scores' counts are all that is shuffled.
+    scores = written(weigh(docs.select("doc_id", "text"), ratio, target, seed=seed).select("key"))
+    return ratio, target, kth_key(scores, round(share * scores.count()))
+
+
+def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None, seed: int = SEED) -> DataFrame:
+    """The documents that importance resampling draws: docs' own columns, log_weight and key (docs' columns of these
+    names are left out).
+
+    The target model counts the hashed unigrams and bigrams of good labelled documents (LABELLED rows at most), the
+    raw model those of all documents; a document's log weight is the log ratio of its probabilities under the two. Of
+    N documents round(share x N) are drawn without replacement: those with the largest log weights plus Gumbel noise.
+    ``share`` is by default the labelled documents' share that has quality 1, which is all that bad labels are used for.
+
+    Null and blank texts have log weight 0. A null doc_id draws as 0 does; repeated rows draw alike and are kept or
+    rejected together, as are ties at the last place. Without good labels, or at a share of 1, all documents are
+    kept; an empty table gives an empty result; other columns pass through. Texts never move: counts of BUCKETS rows
+    a task and the scores' counts are all that is shuffled.
     """
-    ratio, target, least = fit(docs, labels, seed)
-    return weigh(docs, ratio, target, seed=seed).where(F.col("key") >= F.lit(float(least)))
+    return _drawn(docs.drop("log_weight", "key"), labels, ("log_weight", "key"), share, seed)
+
+
+def _drawn(docs: DataFrame, labels: DataFrame, names: tuple[str, str], share: float | None, seed: int) -> DataFrame:
+    ratio, target, least = fit(docs, labels, share=share, seed=seed)
+    return weigh(docs, ratio, target, seed=seed, names=names).where(F.col(names[1]) >= F.lit(float(least)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that :func:`resample` keeps, with docs' own columns."""
-    return resample(docs, labels).select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, *, share: float | None = None, seed: int = SEED) -> DataFrame:
+    """The rows of docs that :func:`resample` draws, with docs' own columns, whatever their names."""
+    return _drawn(docs, labels, tuple(unused(docs.columns, "_log_weight", "_key")), share, seed).select(*docs.columns)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,15 +1,17 @@
 """Removal of repeated word windows by level-wise doubling.
 
-A window of 20 words can only be repeated if the shorter windows in it are. Level by level (5, then 10 words, then
-20), each window is stood for by the least hash of the windows of that length inside it; windows whose stand-in
-occurs once only drop out, the others are extended to twice the length. What is left at 20 words is decided exactly:
-stretches of neighbouring windows first, whole, then the single windows of each first stretch.
+A window of 20 words can only be repeated if every shorter window in it is. Each window of 20 is stood for, at 5 words,
+by the window of least hash inside it; where that one is repeated it alone is extended to twice its length, by the
+words on either side, and the extension of least hash stands for the window at 10 words; where that is repeated too the
+window itself is compared. Windows whose stand-in occurs once drop out at its level. Hashes only sieve: what is left at
+20 words is decided by a 128-bit BLAKE2 digest of the words themselves, for stretches of neighbouring windows first,
+whole, then for the single windows of each first stretch.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,15 @@ from .common import batch, utf8, written
 
 WINDOW = 20
 FIRST_LEVEL = 5
-#: Bits of the filters of repeated hashes that tasks hold: a false hit keeps a window for the next level, no more.
-FILTER_BITS = 1 << 26
+#: Bits of a filter of repeated hashes, at most; it has 8 for each hash up to there. A false hit keeps a window for the
+#: next level, no more.
+FILTER_BITS = 1 << 28
+#: Digests that a task remembers, so that a hot passage leaves it once or a few times.
+REMEMBERED = 100_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_MODULI = ((2147483647, 1103515245), (2147483629, 1852640303))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_prime_powers: dict[int, np.ndarray] = {}
 
 
 def levels(window: int = WINDOW, first: int = FIRST_LEVEL) -> list[int]:
@@ -52,9 +59,16 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+def _prime_power(p: int, base: int, n: int) -> np.ndarray:
+    up = _prime_powers.get(p, np.ones(1, np.int64))
+    while len(up) < n:
+        up = np.concatenate([up, up * pow(base, len(up), p) % p])
+        _prime_powers[p] = up
+    return up
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTES = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_BASES[0]))
 
 
 class Prefix:
@@ -65,18 +79,32 @@ class Prefix:
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values * _power(base, n + 1)[0][:n], out=self.sums[1:])
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * _power(self.base, len(self.sums))[1][start])
-
     def all(self, length: int) -> np.ndarray:
         n = len(self.sums) - length
         return _mix((self.sums[length:] - self.sums[:n]) * _power(self.base, len(self.sums))[1][:n])
 
 
+def _word_hashes(data: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of words that stand one after another in ``data``: polynomials of their bytes modulo two primes."""
+    if not len(length):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(length) - length
+    place = np.arange(len(data)) - np.repeat(first, length)
+    longest = int(length.max())
+    out = []
+    for p, base in _MODULI:
+        terms = (data.astype(np.int64) + 1) * _prime_power(p, base, longest)[place]
+        if longest > 1 << 20:  # sums of more would not fit
+            terms %= p
+        out.append((np.add.reduceat(terms, first) % p).astype(np.uint64))
+    return _mix(out[0] << np.uint64(31) | out[1])
+
+
 class Words:
-    """Word hashes of many texts in a row: ``doc`` has each word's text, ``at`` its place in the text."""
+    """Words of many texts in a row: ``doc`` has each word's text, ``at`` its place in the text."""
 
     def __init__(self, texts: pa.Array):
+        self.texts = texts
         offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
@@ -87,16 +115,28 @@ class Words:
         start = np.nonzero(word & (outside[:-2] | edge[:-1]))[0]
         end = np.nonzero(word & (outside[2:] | edge[1:]))[0] + 1
         self.doc = np.searchsorted(offsets, start, side="right") - 1
-        first = np.searchsorted(start, offsets[:-1])
-        self.at = np.arange(len(start)) - first[self.doc]
-        self.hashes = Prefix(_BYTES[data], _BASES[1]).spans(start, end)
-        self.prefix = [Prefix(self.hashes, b) for b in _BASES]
+        self.first = np.searchsorted(start, offsets[:-1])
+        self.at = np.arange(len(start)) - self.first[self.doc]
+        self.size = end - start
+        self.prefix = Prefix(_word_hashes(data[word], self.size), _BASES[0])
 
     def windows(self, window: int) -> np.ndarray:
         """Mask of the starts whose window lies in one text."""
         n = len(self.doc) - window + 1
         return self.doc[:n] == self.doc[window - 1 :] if n > 0 else np.zeros(0, bool)
 
+    def digests(self, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the 128-bit digests of the n words from each lo, joined by one space."""
+        found, text, ends, now = [], b"", None, -1
+        for d, a, k in zip(self.doc[lo].tolist(), self.at[lo].tolist(), n.tolist(), strict=True):
+            if d != now:
+                now, text = d, b" ".join(self.texts[d].as_py().split())
+                z = self.first[d + 1] if d + 1 < len(self.first) else len(self.size)
+                ends = [0, *np.cumsum(self.size[self.first[d] : z] + 1).tolist()]
+            found.append(blake2b(text[ends[a] : ends[a + k] - 1], digest_size=16).digest())
+        both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
+
 
 def text_groups(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Batches cut to about ``most`` bytes of text; a longer text comes alone."""
@@ -109,20 +149,28 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 <<
             at += n
 
 
-def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Least (or greatest) of each ``width`` neighbours."""
-    f = np.minimum if least else np.maximum
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        x = f(x[: len(x) - step], x[step:])
-        have += step
-    return x
+def _least(h: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Place of the least hash in each [low, high], the first of equal ones, from tables of powers of two."""
+    tables = [np.arange(len(h))]
+    while 1 << len(tables) <= int((high - low).max(initial=0)) + 1:
+        t, step = tables[-1], 1 << len(tables) - 1
+        a, b = t[: len(t) - step], t[step:]
+        tables.append(np.where(h[b] < h[a], b, a))
+    level = np.log2(high - low + 1).astype(np.int64)
+    a, b = np.empty(len(low), np.int64), np.empty(len(low), np.int64)
+    for k, t in enumerate(tables):
+        here = level == k
+        a[here], b[here] = t[low[here]], t[high[here] - (1 << k) + 1]
+    return np.where(h[b] < h[a], b, a)
 
 
-def standins(h: np.ndarray, window: int, length: int) -> np.ndarray:
-    """For each window, the least hash of the spans of ``length`` words in it."""
-    return _slide(h, window - length + 1, True)
+def extended(h: np.ndarray, window: int, length: int, before: np.ndarray | None) -> np.ndarray:
+    """For each window the place of its stand-in of ``length`` words, whose hashes are h: the least of those in it, of
+    those that extend the stand-in ``before`` of half the length if there is one."""
+    i = np.arange(len(h) - (window - length))
+    if before is None:
+        return _least(h, i, i + window - length)
+    return _least(h, np.maximum(i, before - length // 2), np.minimum(i + window - length, before))
 
 
 class Filter:
@@ -131,17 +179,16 @@ class Filter:
     def __init__(self, words: np.ndarray, bits: int):
         self.words, self.bits = words, np.uint64(bits - 1)
 
-    def __contains__(self, x):
-        raise TypeError("use has()")
-
     def has(self, x: np.ndarray) -> np.ndarray:
         at = x & self.bits
         return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def make_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> Filter:
-    """Filter of the long column ``h``: tasks set bits, words of 64 bits are joined by OR; bits / 64 words at most
-    reach the driver."""
+def make_filter(hashes: DataFrame, most: int | None = None) -> Filter:
+    """Filter of the long column ``h``, which is written and counted first: tasks set bits, words of 64 bits are joined
+    by OR; ``most`` / 64 words (FILTER_BITS / 64) at most reach the driver."""
+    hashes = written(hashes)
+    bits = min(most or FILTER_BITS, max(64, 1 << (8 * hashes.count()).bit_length()))
     at = f"(h & {bits - 1}L)"
     rows = hashes.selectExpr(f"int(shiftright({at}, 6)) AS word", f"shiftleft(1L, int({at} & 63L)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(max(1, bits // 64), np.uint64)
@@ -149,16 +196,17 @@ def make_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> Filter:
     return Filter(words, bits)
 
 
-def _survivors(w: Words, window: int, passed: list[tuple[int, Filter]]) -> tuple[np.ndarray, np.ndarray]:
-    """Mask of windows whose stand-ins passed every level so far, and the first level's stand-ins."""
-    alive = w.windows(window)
-    first = np.zeros(len(alive), np.uint64)
-    for i, (length, seen) in enumerate(passed):
-        if len(alive):
-            s = standins(w.prefix[0].all(length), window, length)
-            first = s if i == 0 else first
-            alive = alive & seen.has(s)
-    return alive, first
+def _survivors(w: Words, window: int, passed: list[tuple[int, Filter]]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Mask of windows whose stand-ins passed every level so far, the first level's stand-ins, the last one's places."""
+    alive, first, at = w.windows(window), np.zeros(0, np.uint64), None
+    if not alive.any():
+        return alive, np.zeros(len(alive), np.uint64), np.zeros(len(alive), np.int64)
+    for length, seen in passed:
+        h = w.prefix.all(length)
+        at = extended(h, window, length, at)
+        first = first if len(first) else h[at]
+        alive = alive & seen.has(h[at])
+    return alive, first, at
 
 
 def repeated_standins(docs: DataFrame, window: int, length: int, passed: list[tuple[int, Filter]]) -> DataFrame:
@@ -166,17 +214,13 @@ def repeated_standins(docs: DataFrame, window: int, length: int, passed: list[tu
     model = docs.sparkSession.sparkContext.broadcast(passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_groups(batches, 1):
-            w = Words(part.column(1))
-            alive, _ = _survivors(w, window, model.value)
+        for part in text_groups(batches, 2):
+            w = Words(part.column(2))
+            alive, _, at = _survivors(w, window, model.value)
             if not alive.any():
                 continue
-            h = w.prefix[0].all(length)
-            s = np.where(alive, standins(h, window, length), np.uint64(0))
-            width = window - length + 1
-            edge = np.zeros(width - 1, np.uint64)
-            chosen = _slide(np.concatenate([edge, s, edge]), width, False) == h
-            h, n = np.unique(h[chosen], return_counts=True)
+            h = w.prefix.all(length)
+            h, n = np.unique(h[np.unique(extended(h, window, length, at)[alive])], return_counts=True)
             yield batch(h=pa.array(h.view(np.int64)), n=pa.array(n.astype(np.int32)))
 
     return docs.mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
@@ -184,7 +228,7 @@ def repeated_standins(docs: DataFrame, window: int, length: int, passed: list[tu
 
 def _runs(w: Words, window: int, passed: list[tuple[int, Filter]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and past-last window of each stretch of neighbouring survivors with one stand-in, and the stand-ins."""
-    alive, first = _survivors(w, window, passed)
+    alive, first, _ = _survivors(w, window, passed)
     at = np.nonzero(alive)[0]
     if not len(at):
         return at, at, first
@@ -200,101 +244,123 @@ def _places(h: np.ndarray, lo: np.ndarray, n: np.ndarray, a: np.ndarray) -> np.n
     return np.bincount(which, h[at] == a[which], minlength=len(lo))
 
 
-def _later_here(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Mask of rows whose key also stands at an earlier place among these rows."""
-    order = np.lexsort((lo, doc, k2, k1))
-    same = np.concatenate([[False], (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])])
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    late = same & ((doc[order] != doc[order][head]) | (lo[order] != lo[order][head]))
-    out = np.zeros(len(order), bool)
-    out[order] = late
-    return out
+class Seen:
+    """Digests that a task met, with their earliest places so far."""
+
+    def __init__(self):
+        self.first: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+    def later(self, k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, th: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Mask of rows whose digest this task also met at an earlier (doc, th, lo), here or before."""
+        order = np.lexsort((lo, th, doc, k2, k1))
+        k = k1[order], k2[order]
+        same = np.concatenate([[False], (k[0][1:] == k[0][:-1]) & (k[1][1:] == k[1][:-1])])
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        out = np.zeros(len(order), bool)
+        out[order] = same & ((doc[order] != doc[order][head]) | (th[order] != th[order][head]) | (lo[order] != lo[order][head]))
+        here = np.nonzero(~out)[0]
+        for i, *x in zip(here.tolist(), *(c[here].tolist() for c in (k1, k2, doc, th, lo)), strict=True):
+            key, place = (x[0], x[1]), (x[2], x[3], x[4])
+            held = self.first.get(key)
+            if held is None:
+                if len(self.first) < REMEMBERED:
+                    self.first[key] = place
+            elif held < place:
+                out[i] = True
+            else:
+                self.first[key] = place
+        return out
 
 
-def _places_of(part: pa.RecordBatch, w: Words, at: np.ndarray) -> np.ndarray:
-    return part.column(0).to_numpy(zero_copy_only=False)[w.doc[at]]
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``later`` for rows whose digest (k1, k2) is also at an earlier (doc, th, lo). Rows known to be later in their
+    task keep that mark and come under keys of their own, so a hot digest brings few rows a task to its window."""
+    rows = rows.withColumn("k1", F.when(F.col("later"), F.xxhash64("doc", "th", "lo")).otherwise(F.col("k1")))
+    return rows.withColumn("later", F.col("later") | (F.rank().over(Window.partitionBy("k1", "k2").orderBy("later", "doc", "th", "lo")) > 1))
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """``later`` for rows whose key (k1, k2) is also at an earlier (doc, lo). Rows known to be later in their task keep
-    that mark and come under keys of their own, so a key brings one row a group of texts at most to its window."""
-    rows = rows.withColumn("k1", F.when(F.col("later"), F.xxhash64("doc", "lo")).otherwise(F.col("k1")))
-    return rows.withColumn("later", F.col("later") | (F.rank().over(Window.partitionBy("k1", "k2").orderBy("later", "doc", "lo")) > 1))
+_ROW = "doc long, th long, lo int, k1 long, k2 long, later boolean"
+
+
+def _rows(part: pa.RecordBatch, w: Words, at: np.ndarray, n: np.ndarray, seen: Seen) -> dict[str, pa.Array]:
+    doc, th = (part.column(i).to_numpy(zero_copy_only=False)[w.doc[at]] for i in (0, 1))
+    lo, (k1, k2) = w.at[at], w.digests(at, n)
+    return {"doc": pa.array(doc), "th": pa.array(th), "lo": pa.array(lo.astype(np.int32)), "k1": pa.array(k1), "k2": pa.array(k2), "later": pa.array(seen.later(k1, k2, doc, th, lo))}
 
 
 def _stretches(docs: DataFrame, window: int, passed: list[tuple[int, Filter]]) -> DataFrame:
-    """(doc, lo, len, k1, k2, a, own, later): stretches of neighbouring surviving windows with one stand-in ``a``:
-    ``len`` windows from word ``lo``, with two hashes of their words; ``own`` if the stand-in is there more than once,
+    """(doc, th, lo, k1, k2, later, len, a, own): stretches of neighbouring surviving windows with one stand-in ``a``:
+    ``len`` windows from word ``lo``, with the digest of their words; ``own`` if the stand-in is there more than once,
     so that a window may be repeated inside the stretch."""
     model = docs.sparkSession.sparkContext.broadcast(passed)
     length = passed[0][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_groups(batches, 1):
-            w = Words(part.column(1))
+        seen = Seen()
+        for part in text_groups(batches, 2):
+            w = Words(part.column(2))
             lo, hi, first = _runs(w, window, model.value)
             if not len(lo):
                 continue
-            n, a, doc, at = hi - lo, first[lo], _places_of(part, w, lo), w.at[lo]
-            k1 = w.prefix[0].spans(lo, hi + window - 1) + n.astype(np.uint64)
-            k2 = w.prefix[1].spans(lo, hi + window - 1)
-            own = _places(w.prefix[0].all(length), lo, n + window - length, a) > 1
-            yield batch(doc=pa.array(doc), lo=pa.array(at.astype(np.int32)), len=pa.array(n.astype(np.int32)), k1=pa.array(k1.view(np.int64)), k2=pa.array(k2.view(np.int64)), a=pa.array(a.view(np.int64)), own=pa.array(own), later=pa.array(_later_here(k1, k2, doc, at)))
+            n, a = hi - lo, first[lo]
+            own = _places(w.prefix.all(length), lo, n + window - length, a) > 1
+            yield batch(**_rows(part, w, lo, n + window - 1, seen), len=pa.array(n.astype(np.int32)), a=pa.array(a.view(np.int64)), own=pa.array(own))
 
-    return docs.mapInArrow(run, "doc long, lo int, len int, k1 long, k2 long, a long, own boolean, later boolean")
+    return docs.mapInArrow(run, _ROW + ", len int, a long, own boolean")
 
 
-def _place_hash(doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    return _mix(_mix(doc.astype(np.int64).view(np.uint64) * np.uint64(_BASES[0]) + lo.astype(np.uint64)))
+def _place_hash(doc: np.ndarray, th: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    a, b, c = (x.astype(np.int64).view(np.uint64) for x in (doc, th, lo))
+    return _mix(_mix(a * np.uint64(_BASES[0]) ^ b) + c * np.uint64(_BASES[1]))
 
 
 def _windows_of(docs: DataFrame, window: int, passed: list[tuple[int, Filter]], chosen: Filter) -> DataFrame:
-    """(doc, lo, k1, k2, later) of every single window in the chosen stretches."""
+    """(doc, th, lo, k1, k2, later) of every single window in the chosen stretches."""
     model = docs.sparkSession.sparkContext.broadcast((passed, chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed, chosen = model.value
-        for part in text_groups(batches, 1):
-            w = Words(part.column(1))
+        seen = Seen()
+        for part in text_groups(batches, 2):
+            w = Words(part.column(2))
             lo, hi, _ = _runs(w, window, passed)
-            take = chosen.has(_place_hash(_places_of(part, w, lo), w.at[lo])) if len(lo) else np.zeros(0, bool)
+            doc, th = (part.column(i).to_numpy(zero_copy_only=False)[w.doc[lo]] for i in (0, 1))
+            take = chosen.has(_place_hash(doc, th, w.at[lo]))
             if not take.any():
                 continue
             lo, n = lo[take], (hi - lo)[take]
             i = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            k1, k2 = (p.spans(i, i + window) for p in w.prefix)
-            doc, at = _places_of(part, w, i), w.at[i]
-            yield batch(doc=pa.array(doc), lo=pa.array(at.astype(np.int32)), k1=pa.array(k1.view(np.int64)), k2=pa.array(k2.view(np.int64)), later=pa.array(_later_here(k1, k2, doc, at)))
+            yield batch(**_rows(part, w, i, np.full(len(i), window), seen))
 
-    return docs.mapInArrow(run, "doc long, lo int, k1 long, k2 long, later boolean")
+    return docs.mapInArrow(run, _ROW)
 
 
 def _place_filter(places: DataFrame) -> Filter:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(h=pa.array(_place_hash(b.column(0).to_numpy(), b.column(1).to_numpy()).view(np.int64)))
+            yield batch(h=pa.array(_place_hash(*(b.column(i).to_numpy() for i in range(3))).view(np.int64)))
 
     return make_filter(places.mapInArrow(run, "h long"))
 
 
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, first: int = FIRST_LEVEL) -> DataFrame:
-    """(doc, lo, hi): word spans [lo, hi) covered by windows whose words also start earlier (smaller doc_id, or the
-    same document at an earlier word). ``docs`` has ``doc`` (long, not null) and ``b`` (UTF-8 text)."""
+    """(doc, th, lo, hi): word spans [lo, hi) covered by windows whose words also start earlier, by doc, th and place.
+    ``docs`` has ``doc`` and ``th`` (long, not null) and ``b`` (UTF-8 text)."""
     passed: list[tuple[int, Filter]] = []
     for length in levels(window, first):
         again = make_filter(repeated_standins(docs, window, length, passed))
         passed = [*passed, (length, again)]
         if not again.words.any():  # no candidate survives
-            return docs.sparkSession.createDataFrame([], "doc long, lo int, hi int")
+            return docs.sparkSession.createDataFrame([], "doc long, th long, lo int, hi int")
     if not passed:
         raise ValueError("the first level must be shorter than the window")
-    stretches = written(_ranked(_stretches(docs, window, passed)).select("doc", "lo", "len", "a", "own", "later", F.xxhash64("k1", "k2").alias("kind")))
-    whole = stretches.where("later").select("doc", "lo", (F.col("lo") + F.col("len") + (window - 1)).cast("int").alias("hi"))
+    stretches = written(_ranked(_stretches(docs, window, passed)).select("doc", "th", "lo", "len", "a", "own", "later", F.xxhash64("k1", "k2").alias("kind")))
+    whole = stretches.where("later").select("doc", "th", "lo", (F.col("lo") + F.col("len") + (window - 1)).cast("int").alias("hi"))
     # a stand-in that is once in one kind of stretch has nothing left to compare
-    starts = stretches.where("NOT later").select("doc", "lo", "a", "own")
+    starts = stretches.where("NOT later").select("doc", "th", "lo", "a", "own")
     mixed = stretches.where("NOT later").groupBy("a").agg((F.min("kind") < F.max("kind")).alias("mixed")).where("mixed").select("a")
-    places = starts.where("own").unionByName(starts.where("NOT own").join(mixed, "a", "left_semi").select(*starts.columns)).select("doc", "lo")
-    single = _ranked(_windows_of(docs, window, passed, _place_filter(places))).where("later").select("doc", "lo", (F.col("lo") + window).cast("int").alias("hi"))
+    places = starts.where("own").unionByName(starts.where("NOT own").join(mixed, "a", "left_semi").select(*starts.columns)).select("doc", "th", "lo")
+    single = _ranked(_windows_of(docs, window, passed, _place_filter(places))).where("later").select("doc", "th", "lo", (F.col("lo") + window).cast("int").alias("hi"))
     return whole.unionAll(single)
 
 
@@ -302,19 +368,22 @@ def drop_repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW, f
     """doc_id, n_words, n_removed and ``kept_text``: each whole text without the words covered by a window of
     ``window`` words that also starts earlier, its kept words joined by one space.
 
-    "Earlier" is by doc_id, then by place in the document, on the texts as given. Rows that share a doc_id are one
-    place: repeats between them at the same word are not earlier, so repeated rows are not removed against each
-    other. A null doc_id comes after all others. Null and blank texts have no words; an empty table gives an empty
-    result; other columns are ignored.
+    "Earlier" is by doc_id, then by place in the document, on the texts as given. Rows that share a doc_id and their
+    text are one document, given more than once: they keep the same words and are not removed against each other. Rows
+    that share a doc_id but not their text are documents of their own, ordered by a hash of the text; so are rows with
+    a null doc_id, which come after all others. Null and blank texts have no words; an empty table gives an empty
+    result; other columns are ignored, whatever their names.
 
     Copies and shared passages cost one row a stretch of windows and place. A task marks what is repeated among its
-    own texts before anything is shuffled, so a hot passage sends a row for each group of texts, not for each text.
-    Filters held by tasks have FILTER_BITS bits at any size.
+    own texts before anything is shuffled and remembers REMEMBERED digests, so a hot passage sends a row or a few for
+    each task. Filters held by tasks have 8 bits a repeated hash and FILTER_BITS at most; with far more hashes they
+    sieve less and more windows reach the comparison of digests, which is exact.
     """
     late = F.lit((1 << 63) - 1)
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), late).alias("doc"), utf8(text).alias("b"))
-    spans = repeated_spans(slim, window=window, first=first).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), late).alias("doc"), utf8(text).alias("b")).join(spans, "doc", "left").select("doc_id", "b", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), late).alias("doc"), F.xxhash64(utf8(text)).alias("th"), utf8(text).alias("b"))
+    spans = repeated_spans(slim, window=window, first=first).groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), late).alias("doc"), F.xxhash64(utf8(text)).alias("th"), utf8(text).alias("b"))
+    joined = given.join(spans, ["doc", "th"], "left").select("doc_id", "b", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_groups(batches, 1):

@@ -273,9 +273,15 @@ def test_hidden_markov_learns(spark):
     assert r[0] > r[1]
 
 
+def text_hash(t):
+    h = xxhash.xxh64_intdigest((t or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute_repeats(table, window=20):
+    """Rows of one id and text are one document; of one id and other texts, documents ordered by the text's hash."""
     seen, out = {}, []
-    table = sorted(((r[0] if r[0] is not None else (1 << 63) - 1, r[0], WORD.findall(r[1] or "")) for r in table), key=lambda r: r[0])
+    table = [((i if i is not None else (1 << 63) - 1, text_hash(t)), i, WORD.findall(t or "")) for i, t, *_ in table]
     for key, _, w in table:
         for i in range(len(w) - window + 1):
             k = tuple(w[i : i + window])
@@ -290,23 +296,95 @@ def brute_repeats(table, window=20):
     return Counter(out)
 
 
-@pytest.mark.parametrize("bits", [1 << 26, 64])
-def test_substring_dedup(docs, none, monkeypatch, bits):
-    monkeypatch.setattr(substring_dedup.make_filter, "__defaults__", (bits,))
+@pytest.mark.parametrize("bits,remembered", [(1 << 26, 100_000), (64, 0), (64, 5)])
+def test_substring_dedup(docs, none, monkeypatch, bits, remembered):
+    monkeypatch.setattr(substring_dedup, "FILTER_BITS", bits)
+    monkeypatch.setattr(substring_dedup, "REMEMBERED", remembered)
     assert by_row(substring_dedup.repeat_report(docs)) == brute_repeats(rows())
     assert substring_dedup.repeat_report(none).count() == 0
 
 
+def test_substring_dedup_shared_and_null_ids(spark):
+    """Null ids, one id with texts of other lengths, repeated rows, periodic texts, very long words that differ."""
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    passage, own, tail = [word() for _ in range(30)], [word() for _ in range(40)], [word() for _ in range(19)]
+    thue = "".join("ab"[i.bit_count() & 1] for i in range(4096))
+    table = [(1, " ".join(passage)), (2, " ".join(passage)), (2, " ".join(own)), (2, " ".join([word(), *passage, *own[:25]])), (2, " ".join(own))]
+    table += [(None, " ".join([*own, word()])), (None, " ".join(passage[:25])), (None, " ".join(passage[:25])), (None, None), (None, "")]
+    table += [(7, " ".join([thue, *tail])), (8, " ".join([thue.translate(str.maketrans("ab", "ba")), *tail]))]
+    table += [(9, " ".join("abc"[i % 3] for i in range(100))), (10, " ".join("abc"[i % 3] for i in range(1, 60))), (11, "  ".join([thue, *tail]) + "\n")]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in table], "doc_id long, text string, th int, later string").repartition(4)
+    got = by_row(substring_dedup.repeat_report(docs))
+    assert got == brute_repeats(table) and (8, 20, 0, hashlib.sha256(table[11][1].encode()).hexdigest()) in got
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_substring_dedup_random(spark, seed):
+    """Texts of few words, so that windows repeat at many places and overlap."""
+    rnd = random.Random(seed)
+    pool = [[rnd.choice("abcdefgh") * rnd.randint(1, 2) for _ in range(rnd.randint(5, 60))] for _ in range(8)]
+    table = [(rnd.choice([None, *range(12)]), " ".join(x for _ in range(rnd.randint(0, 4)) for x in rnd.choice(pool))) for _ in range(40)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    assert by_row(substring_dedup.repeat_report(docs)) == brute_repeats(table)
+
+
+def test_word_hashes_differ():
+    words = [b"a" * n for n in range(1, 40)] + [bytes([i]) for i in range(33, 120)] + [b"ab", b"ba", b"x" * (1 << 20) + b"xy", b"x" * (1 << 20) + b"yx"]
+    h = substring_dedup._word_hashes(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]))
+    assert len(set(h.tolist())) == len(set(words))
+
+
+def drawn(table, labels, share):
+    """The draw by plain counting: sums of log ratios, Gumbel noise from the row's hash, the k largest keys."""
+    from math import log
+
+    kinds = {i: 0 if q != 1 else -1 if t == 1 else 1 for i, q, t in labels if i is not None and q is not None}
+    raw, target = Counter(), Counter()
+    grams = lambda t: quality.features((t or "").encode()).tolist()
+    for i, t in table:
+        raw.update(grams(t))
+        if kinds.get(i) == 1:
+            target.update(grams(t))
+    part = sum(target.values()) / sum(raw.values())
+    out = []
+    for i, t in table:
+        own = Counter(grams(t)) if kinds.get(i) == 1 else Counter()
+        weight = sum(log(target[g] - own[g] + 8) - log(max((raw[g] - own[g]) * part, 0) + 8) for g in grams(t))
+        h = xxhash.xxh64_intdigest((quality.SEED).to_bytes(4, "little"), xxhash.xxh64_intdigest((i or 0).to_bytes(8, "little", signed=True), 42))
+        out.append((weight - log(-log(((h >> 11) + 0.5) / 2.0**53)), weight, i))
+    if share is None:
+        share = sum(v != 0 for v in kinds.values()) / len(kinds)
+    return sorted(out, key=lambda r: -r[0])[: round(share * len(table))], out
+
+
+@pytest.mark.parametrize("share", [None, 0.3, 0.85])
+def test_quality_draw(spark, share):
+    rnd = random.Random(5)
+    word = lambda w: rnd.choice(["the", "and", "of", "house", "tree", "river", "is", "was"]) + ("" if rnd.random() < w else "*")
+    table = [(i, " ".join(word(0.9 if i < 200 else 0.4) for _ in range(rnd.randint(1, 40)))) for i in range(300)] + [(300, None), (301, "")]
+    labels = [(i, int(i < 200), int(i % 9 == 0)) for i in range(0, 300, 3)] + [(None, 1, 0), (5, None, None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    got = quality.resample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), share=share).collect()
+    want, scored = drawn(table, labels, share)
+    assert sorted(r["doc_id"] for r in got) == sorted(i for _, _, i in want)
+    weights = {i: (k, w) for k, w, i in scored}
+    assert all(np.allclose((r["key"], r["log_weight"]), weights[r["doc_id"]]) for r in got)
+    by_weight = sorted(scored, key=lambda r: -r[1])[: len(want)]
+    assert share is None or {i for _, _, i in by_weight} != {i for _, _, i in want}  # the noise decides near the last place
+
+
 def test_quality(spark, none):
     rnd = random.Random(5)
     word = lambda: rnd.choice(["the", "and", "of", "house", "tree", "river", "is", "was"])
     good = [(i, " ".join(word() for _ in range(80))) for i in range(0, 200)]
     bad = [(i, " ".join(word() + "***" for _ in range(80))) for i in range(200, 260)]
-    docs = spark.createDataFrame([(*r, "x", 1.0) for r in [*good, *bad, good[0], (300, None), (301, ""), (None, good[1][1])]], "doc_id long, text string, key string, log_weight double")
+    docs = spark.createDataFrame([(*r, f"k{r[0]}", 1.5) for r in [*good, *bad, good[0], (300, None), (301, ""), (None, good[1][1])]], "doc_id long, text string, key string, log_weight double")
     labels = spark.createDataFrame([(i, int(i < 200), 0) for i in range(0, 260, 3)] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
     kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and set(by_row(kept)) <= set(by_row(docs))  # key and log_weight stay the user's
     ids = Counter(r["doc_id"] for r in kept.collect())
-    assert kept.columns == docs.columns and ids == Counter([*range(200), 0, 300, 301, None])
+    assert ids[0] == 2 and sum(i is not None and 200 <= i < 260 for i in ids) <= 2 and len([i for i in ids if i is not None and i < 200]) >= 197
     assert quality.keep_good(docs, labels.limit(0)).count() == docs.count()
     assert quality.keep_good(docs.limit(0), labels).count() == 0
 
