@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 #: Boilerplate lines up to this number are sent to every executor; more are joined by a shuffle.
 BROADCAST_LINES = 200_000
@@ -16,12 +16,13 @@ def _line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(bare).alias("x"), F.xxhash64(F.lit(1), bare).alias("y"))
 
 
-def boilerplate_lines(pages: DataFrame, *, host: str = "host", text: str = "text", ratio: float = 0.3, min_pages: int = 5, min_line_pages: int = 1, copies_once: bool = False) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, *, host: str = "host", text: str = "text", ratio: float = 0.3, min_line_pages: int = 2, copies_once: bool = False) -> DataFrame:
     """(host, line key struct, pages, host_pages) of every line on more than ``ratio`` of its host's pages.
 
-    A page counts once for a line. Hosts of fewer than ``min_pages`` pages are not judged, nor are lines on fewer than
-    ``min_line_pages``. With ``copies_once`` a host's pages of equal text count as one page, for its lines and for its
-    total alike. Counts are added up before the shuffle, which carries 16-byte line keys, not lines; so are copies.
+    A page counts once for a line. Lines on fewer than ``min_line_pages`` pages repeat nothing and are not judged, so
+    a host of one page keeps its text. With ``copies_once`` a host's pages of equal text count as one page, for its
+    lines and for its total alike. Counts are added up before the shuffle, which carries 16-byte line keys, not lines;
+    so are copies.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     keys = F.array_distinct(F.transform(F.filter(F.split(whole, "\n"), lambda x: F.trim(x) != ""), _line_key))
@@ -30,32 +31,37 @@ def boilerplate_lines(pages: DataFrame, *, host: str = "host", text: str = "text
     if copies_once:
         counted, listed = counted.distinct(), listed.distinct()
     counts = listed.select("host", F.explode("keys").alias("line")).groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_line_pages)
-    totals = counted.groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= min_pages)
+    totals = counted.groupBy("host").agg(F.count("*").alias("host_pages"))
     return counts.join(totals, "host").where(F.col("pages") > F.col("host_pages") * F.lit(float(ratio)))
 
 
-def drop_boilerplate(pages: DataFrame, *, host: str = "host", text: str = "text", ratio: float = 0.3, min_pages: int = 5, min_line_pages: int = 1, copies_once: bool = False, dropped: str | None = None) -> DataFrame:
-    """The pages with boilerplate lines taken out of ``text``; with ``dropped``, a column of that name counts them.
+def drop_boilerplate(pages: DataFrame, *, host: str = "host", text: str = "text", ratio: float = 0.3, min_line_pages: int = 2, copies_once: bool = False, dropped: str | None = None) -> DataFrame:
+    """The pages with boilerplate lines taken out of ``text``; with ``dropped``, a column of that name counts them (a
+    column of pages with this name is left out).
 
     Lines are compared without white space at their ends; blank lines stay. Null texts stay null, pages with a null
-    host or on hosts of fewer than ``min_pages`` pages stay as they are, a repeated row is a page of its own (unless
-    ``copies_once``), other columns pass through, and an empty table gives an empty result. A page whose lines all go keeps its row, with an
-    empty text.
+    host stay as they are, a repeated row is a page of its own (unless ``copies_once``), other columns pass through
+    whatever their names, and an empty table gives an empty result. A line at exactly the ratio stays. A page whose
+    lines all go keeps its row, with an empty text. Pages of any length are taken whole.
 
     A host has at most (mean distinct lines of its pages) / ratio boilerplate lines, so its list is short however
-    many pages it has. Lists go to every executor while they hold BROADCAST_LINES lines at most; beyond, pages meet
-    their list by a join on the host, whose hot keys Spark splits.
+    many pages it has; a page meets its host's list as two sets of 64-bit hashes, of which only the common ones are
+    looked up line by line. Lists go to every executor while they hold BROADCAST_LINES lines at most; beyond, pages
+    meet their list by a join on the host, whose hot keys Spark splits.
     """
-    found = written(boilerplate_lines(pages, host=host, text=text, ratio=ratio, min_pages=min_pages, min_line_pages=min_line_pages, copies_once=copies_once).select("host", "line"))
+    pages = pages.drop(dropped) if dropped else pages
+    key, lines, kept = unused(pages.columns, "_host", "_lines", "_kept")
+    found = written(boilerplate_lines(pages, host=host, text=text, ratio=ratio, min_line_pages=min_line_pages, copies_once=copies_once).select("host", F.col("line.x").alias("x")))
     small = found.count() <= BROADCAST_LINES
-    lists = found.groupBy("host").agg(F.collect_list("line").alias("_lines")).withColumnRenamed("host", "_host")
-    joined = pages.join(F.broadcast(lists) if small else lists, F.col(host) == F.col("_host"), "left")
+    lists = found.groupBy(F.col("host").alias(key)).agg(F.collect_set("x").alias(lines))
+    joined = pages.join(F.broadcast(lists) if small else lists, F.col(host) == F.col(key), "left")
     parts = F.split(F.col(text), "\n")
-    kept = F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_lines"), _line_key(x)))
-    out = joined.withColumn("_kept", F.when(F.col("_lines").isNotNull() & F.col(text).isNotNull(), kept))
-    columns = [F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in pages.columns]
+    mine = F.array_intersect(F.transform(parts, lambda x: F.xxhash64(F.trim(x))), F.col(lines))
+    out = joined.withColumn(lines, F.when(F.col(lines).isNotNull() & F.col(text).isNotNull(), mine))
+    out = out.withColumn(kept, F.when(F.size(lines) > 0, F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(lines), F.xxhash64(F.trim(x))))))
+    columns = [F.when(F.col(kept).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in pages.columns]
     if dropped:
-        columns.append(F.coalesce(F.size(parts) - F.size("_kept"), F.lit(0)).cast("long").alias(dropped))
+        columns.append(F.coalesce(F.size(parts) - F.size(kept), F.lit(0)).cast("long").alias(dropped))
     return out.select(*columns)
 
 
@@ -83,10 +89,10 @@ WITH p AS (
   FROM pages
 ), lines AS (
   SELECT page_id, host, unnest(list_distinct(list_transform(list_filter(parts, lambda x: trim(x, ' ') <> ''), lambda x: trim(x, ' ')))) AS line FROM p WHERE host IS NOT NULL
-), hosts AS (SELECT host, count(*) AS host_pages FROM p WHERE host IS NOT NULL GROUP BY host HAVING count(*) >= 5),
+), hosts AS (SELECT host, count(*) AS host_pages FROM p WHERE host IS NOT NULL GROUP BY host),
 boiler AS (
   SELECT host, list(line) AS lines FROM (
-    SELECT host, line FROM lines JOIN hosts USING (host) GROUP BY host, line, host_pages HAVING count(*) > host_pages * 0.3::DOUBLE
+    SELECT host, line FROM lines JOIN hosts USING (host) GROUP BY host, line, host_pages HAVING count(*) >= 2 AND count(*) > host_pages * 0.3::DOUBLE
   ) GROUP BY host
 ), kept AS (
   SELECT page_id, p.host, parts, CASE WHEN lines IS NULL THEN parts ELSE list_filter(parts, lambda x: trim(x, ' ') = '' OR NOT list_contains(lines, trim(x, ' '))) END AS keep

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 #: ASCII white space, as a character class of both regular expressions and btrim.
 _SPACE = " \t\n\x0b\x0c\r"
+#: Bins of a hash that a source's documents stand in.
+BINS = 1 << 16
 #: Sources up to this number are sent to every executor; more are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -48,32 +50,69 @@ def hash_unit(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def hash_bin(key: Column, seed: int) -> Column:
+    """One of BINS bins that depends on key and seed alone."""
+    return F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}")).cast("binary")), 1, 4), 16, 10).cast("int")
+
+
+def _drawn_bins(bins: DataFrame, rates: DataFrame, small: bool, seed: int) -> DataFrame:
+    """rates with ``cut``: a source's bins below it are drawn once more. Those are the bins, in order, that together
+    hold the words that whole copies leave open; the bin in which that number falls is drawn with the probability of
+    the share of it that is missing."""
+    need = (F.col("rate") - F.floor("rate")) * F.col("source_size")
+    order = Window.partitionBy("source").orderBy("bin")
+    b = bins.join(F.broadcast(rates) if small else rates, bins["source"].eqNullSafe(rates["source"])).select(bins["source"], "bin", "size", need.alias("need"))
+    b = b.where("need > 0").withColumn("after", F.sum("size").over(order)).withColumn("before", F.col("after") - F.col("size"))
+    crossing = hash_unit(F.concat(F.coalesce("source", F.lit("")), F.lit(":cut")), seed) * F.col("size") < F.col("need") - F.col("before")
+    cuts = b.where((F.col("after") <= F.col("need")) | ((F.col("before") < F.col("need")) & crossing)).groupBy("source").agg((F.max("bin") + 1).alias("cut"))
+    return rates.join(cuts, rates["source"].eqNullSafe(cuts["source"]), "left").select(rates["source"], "source_size", "target", "rate", F.coalesce("cut", F.lit(0)).alias("cut"))
+
+
+MADE = ("size", "source_size", "target", "rate", "copies")
+
+
+def _planned(docs: DataFrame, names: tuple[str, ...], weights: tuple[float, ...], cap: float, seed: int) -> DataFrame:
+    """docs with MADE under the given names, none of which docs has."""
+    size, source_size, target, rate, copies = names
+    source, cut, at = unused([*docs.columns, *names], "_source", "_cut", "_bin")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    bins = written(docs.select("source", hash_bin(key, seed).alias("bin"), word_count().alias("size")).groupBy("source", "bin").agg(F.sum("size").alias("size")))
+    rates = written(source_targets(bins.select("source", "size"), weights, cap))
+    small = rates.count() <= BROADCAST_SOURCES
+    rates = written(_drawn_bins(bins, rates, small, seed)).toDF(source, source_size, target, rate, cut)
+    joined = docs.join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col(source)), "left")
+    joined = joined.withColumn(size, word_count()).withColumn(at, hash_bin(key, seed))
+    taken = (F.floor(rate) + (F.col(at) < F.col(cut)).cast("long")).cast("long")
+    return joined.withColumn(copies, taken).select(*docs.columns, *names)
+
+
 def mix_plan(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17) -> DataFrame:
     """Append ``size``, ``source_size``, ``target``, ``rate`` and ``copies`` to the columns of docs.
 
-    A document is taken floor(rate) times, and once more if a hash of its doc_id and ``seed`` falls below the rate's
-    fraction; reruns and other partitionings give the same copies. Sizes are word counts of whole texts (null: 0).
+    A document is taken floor(rate) times, and once more with the probability of the rate's fraction, by a hash of its
+    doc_id and ``seed``. The draws of a source depend on each other: documents stand in BINS bins by their hash, and
+    bins are drawn in order until the words that whole copies leave open are there, so a source's taken words miss
+    their target by the words of one bin at most (one document, where a source has far fewer documents than BINS).
+    Reruns and other partitionings give the same copies. Sizes are word counts of whole texts (null: 0).
+
     A null source is a source of its own; a null doc_id hashes as an empty string, so such rows are drawn together,
-    as are repeated ids. Sources without words have target and copies 0; an empty table gives an empty result.
-    Columns of docs with the names of the outputs are replaced.
+    as are repeated ids and rows. Sources without words have target and copies 0; an empty table gives an empty
+    result. Columns of docs with the names of the outputs are replaced, others pass through whatever their names.
 
-    Only sums per source are shuffled (added up before the shuffle, so a hot source costs one row a task); the
-    per-source rates, one row a source, are broadcast up to BROADCAST_SOURCES and joined by a shuffle beyond.
+    Only word sums per source and bin are shuffled (added up before the shuffle, so a hot source costs BINS rows a
+    task at most); the per-source rates, one row a source, are broadcast up to BROADCAST_SOURCES and joined by a
+    shuffle beyond. Texts don't move.
     """
-    made = ["size", "source_size", "target", "rate", "copies"]
-    sized = docs.drop(*made).withColumn("size", word_count())
-    rates = written(source_targets(docs.select("source", word_count().alias("size")), weights, cap)).withColumnRenamed("source", "_source")
-    small = rates.count() <= BROADCAST_SOURCES
-    joined = sized.join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    whole = F.floor("rate")
-    more = hash_unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) < F.col("rate") - whole
-    return joined.withColumn("copies", (whole + more.cast("long")).cast("long"))
+    return _planned(docs.drop(*MADE), MADE, weights, cap, seed)
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed table: every document's row ``copies`` times, with docs' own columns and ``copy`` (from 0)."""
-    plan = mix_plan(docs, **how)
-    return plan.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1))).select(*[c for c in docs.columns if c != "copy"], "copy")
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17) -> DataFrame:
+    """The mixed table: every document's row ``copies`` times (see :func:`mix_plan`), with docs' own columns whatever
+    their names and ``copy`` (from 0; a column of docs with this name is left out)."""
+    docs = docs.drop("copy")
+    names = tuple(unused(docs.columns, *("_" + m for m in MADE)))
+    plan = _planned(docs, names, weights, cap, seed).where(F.col(names[-1]) > 0)
+    return plan.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(names[-1]).cast("int") - 1)).alias("copy"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -98,8 +137,17 @@ WITH sized AS (
 ), chosen AS (SELECT (SELECT level FROM levels WHERE level <= bound ORDER BY place LIMIT 1) AS level),
 targets AS (
   SELECT source, source_size, CASE WHEN chosen.level IS NULL THEN most ELSE least(most, chosen.level * weight) END AS target FROM levels, chosen
-), rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM targets)
-SELECT doc_id, size, source_size, target,
-  (size * (floor(rate) + (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':17'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate))::INT))::BIGINT AS taken
-FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source
+), rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM targets),
+placed AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':17'), 1, 4))::BIGINT AS bin FROM sized),
+bins AS (SELECT source, bin, sum(size)::BIGINT AS size FROM placed GROUP BY source, bin),
+open AS (
+  SELECT b.source, bin, b.size, (rate - floor(rate)) * source_size AS need, (sum(b.size) OVER (PARTITION BY b.source ORDER BY bin))::BIGINT AS upto
+  FROM bins b JOIN rates ON b.source IS NOT DISTINCT FROM rates.source
+), cuts AS (
+  SELECT source, max(bin) + 1 AS cut FROM open
+  WHERE need > 0 AND (upto <= need OR (upto - size < need AND ('0x' || substr(md5(coalesce(source, '') || ':cut:17'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE * size < need - (upto - size)))
+  GROUP BY source
+)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + (bin < coalesce(cut, 0))::INT))::BIGINT AS taken
+FROM placed JOIN rates ON placed.source IS NOT DISTINCT FROM rates.source LEFT JOIN cuts ON placed.source IS NOT DISTINCT FROM cuts.source
 """

@@ -119,12 +119,18 @@ def kth_key(scores: DataFrame, k: int, column: str = "key", fan: int = 1024) ->
             above += bins[b]["n"]
 
 
+def good_share(good: int, n: int) -> float:
+    """Upper 95 % bound (one-sided, normal) of the share of which ``good`` of n rows were seen; 1 for no rows."""
+    s = good / n if n else 1.0
+    return min(1.0, s + 1.645 * (s * (1 - s) / max(n, 1)) ** 0.5)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, share: float | None = None, seed: int = SEED) -> tuple[Ratio, frozenset, float]:
     """The ratio of the two models, the ids of the target documents, and the key of the last document drawn."""
     kinds = labelled_sample(labels)
     target = frozenset(k for k, v in kinds.items() if v == 1)
     if share is None:
-        share = sum(v != 0 for v in kinds.values()) / len(kinds) if target else 1.0
+        share = good_share(sum(v != 0 for v in kinds.values()), len(kinds)) if target else 1.0
     ratio = Ratio(ngram_counts(docs, target))
     if share >= 1:
         return ratio, target, -np.inf
@@ -139,7 +145,8 @@ def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None,
     The target model counts the hashed unigrams and bigrams of good labelled documents (LABELLED rows at most), the
     raw model those of all documents; a document's log weight is the log ratio of its probabilities under the two. Of
     N documents round(share x N) are drawn without replacement: those with the largest log weights plus Gumbel noise.
-    ``share`` is by default the labelled documents' share that has quality 1, which is all that bad labels are used for.
+    ``share`` is by default the upper 95 % bound of the share of quality 1 that the labelled documents show, as a clean
+    document lost costs more than a bad one kept; bad labels are used for nothing else.
 
     Null and blank texts have log weight 0. A null doc_id draws as 0 does; repeated rows draw alike and are kept or
     rejected together, as are ties at the last place. Without good labels, or at a share of 1, all documents are

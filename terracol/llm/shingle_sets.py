@@ -56,14 +56,14 @@ def set_cells(hashes: np.ndarray) -> list[int]:
 
 
 def with_cells(docs: DataFrame, *, text: str, words: int) -> DataFrame:
-    """doc_id, ``fp`` (the hash of the text's shingle set) and ``cells`` of every document."""
+    """doc_id, ``text_hash``, ``fp`` (the hash of the text's shingle set) and ``cells`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sets = [np.unique(shingle_hashes(t, words)) for t in part.column(1).to_pylist()]
-            yield batch(doc_id=part.column(0), fp=pa.array([set_id(x) for x in sets], pa.int64()), cells=pa.array([set_cells(x) for x in sets], pa.list_(pa.int64())))
+            sets = [np.unique(shingle_hashes(t, words)) for t in part.column(2).to_pylist()]
+            yield batch(doc_id=part.column(0), text_hash=part.column(1), fp=pa.array([set_id(x) for x in sets], pa.int64()), cells=pa.array([set_cells(x) for x in sets], pa.list_(pa.int64())))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(text).alias("b")).mapInArrow(run, "doc_id long, fp long, cells array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(utf8(text)).alias("text_hash"), utf8(text).alias("b")).mapInArrow(run, "doc_id long, text_hash long, fp long, cells array<long>")
 
 
 def with_sets(docs: DataFrame, *, text: str, words: int) -> DataFrame:

@@ -2,26 +2,28 @@
 
 Each 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments. The Manhattan distance of two such
 vectors is at most their Hamming distance, so fingerprints at most 4 bits apart are at most 4 apart in the vector
-space, and of 6 blocks of segments at least 2 have equal counts. The grid therefore has a cell for each pair of
-blocks and each value of their counts; candidates share a cell, are cut by the Manhattan distance, and are verified
-by their Hamming distance.
+space, and of b blocks of segments at least b - 4 have equal counts. The grid therefore has a cell for each choice of
+b - 4 blocks and each value of their counts; candidates share a cell, are cut by the Manhattan distance, and are
+verified by their Hamming distance. b follows the number of fingerprints, so that chance fills cells with few of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, shuffle_partitions, slices, utf8, written
+from .common import batch, shuffle_partitions, slices, unused, utf8, written
 from .shingle_sets import links_between, shingle_hashes, verified_pairs, with_cells, with_sets
 
 BITS = 4
-BLOCKS = 6
+#: Chance that two random two-bit segments have equal counts, and the cost of a pair as a share of a row's.
+SAME_COUNT, PAIR_COST = 0.375, 0.02
 #: Rows of a cell that one task compares with each other; larger cells are dealt out as pairs of such parts.
 CELL_ROWS = 1024
 _ODD = 0x5555555555555555
@@ -40,14 +42,14 @@ def text_fingerprint(text: bytes, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", words: int = 4) -> DataFrame:
-    """doc_id and ``fp``, the SimHash of the whole text as a signed long. Null and blank texts have fp 0."""
+    """doc_id, ``text_hash`` and ``fp``, the SimHash of the whole text as a signed long. Null and blank texts have fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = np.array([text_fingerprint(t, words) for t in part.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield batch(doc_id=part.column(0), fp=pa.array(found))
+            found = np.array([text_fingerprint(t, words) for t in part.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield batch(doc_id=part.column(0), text_hash=part.column(1), fp=pa.array(found))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(text).alias("b")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(utf8(text)).alias("text_hash"), utf8(text).alias("b")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def segment_counts(fp: Column) -> Column:
@@ -57,10 +59,21 @@ def segment_counts(fp: Column) -> Column:
     return F.shiftleft(fp.bitwiseAND(half).bitwiseAND(odd), 1).bitwiseOR(fp.bitwiseXOR(half).bitwiseAND(odd))
 
 
-def _masks() -> list[int]:
-    edges = [round(i * 32 / BLOCKS) for i in range(BLOCKS + 1)]
-    block = [sum(3 << 2 * s for s in range(edges[i], edges[i + 1])) for i in range(BLOCKS)]
-    masks = [sum(block[i] for i in c) for c in combinations(range(BLOCKS), BLOCKS - BITS)]
+def grid_blocks(n: int, bits: int = BITS) -> int:
+    """How many blocks the segments are cut into for n fingerprints: the number that makes a fingerprint cheapest. It
+    costs a row in each of C(blocks, bits) grids and, PAIR_COST a piece, the others that chance puts into its cells."""
+
+    def cost(blocks: int) -> float:
+        by_chance = n * SAME_COUNT ** (32 * (blocks - bits) / blocks)
+        return comb(blocks, bits) * (1 + PAIR_COST * by_chance)
+
+    return min(range(bits + 2, 3 * bits + 1), key=cost)
+
+
+def _masks(blocks: int, bits: int = BITS) -> list[int]:
+    edges = [round(i * 32 / blocks) for i in range(blocks + 1)]
+    block = [sum(3 << 2 * s for s in range(edges[i], edges[i + 1])) for i in range(blocks)]
+    masks = [sum(block[i] for i in c) for c in combinations(range(blocks), blocks - bits)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -69,9 +82,8 @@ def _links(fp: np.ndarray, cell: np.ndarray, bits: int) -> tuple[np.ndarray, np.
     n = len(fp)
     u = fp.view(np.uint64)
     label = np.arange(n)
-    segments = np.empty((n, 8), np.int8)
-    for k in range(8):
-        segments[:, k] = np.bitwise_count((u >> np.uint64(8 * k)) & np.uint64(0xFF))
+    odd = np.uint64(_ODD)
+    pair, one = u & (u >> np.uint64(1)) & odd, (u ^ (u >> np.uint64(1))) & odd  # segments with count 2 and with count 1
     active = np.arange(n)
     shift = 1
     pairs_a, pairs_b = [], []
@@ -100,7 +112,9 @@ def _links(fp: np.ndarray, cell: np.ndarray, bits: int) -> tuple[np.ndarray, np.
         if not len(active):
             break
         a, b = active, active + shift
-        near = np.abs(segments[a] - segments[b]).sum(axis=1) <= bits  # Manhattan distance of 8-bit segments: the bound
+        # Manhattan distance of the counts: 1 for a 1 against another count, 2 for a 2 against a 0
+        apart = np.bitwise_count(one[a] ^ one[b]) + 2 * np.bitwise_count((pair[a] ^ pair[b]) & ~(one[a] | one[b]))
+        near = apart <= bits
         a, b = a[near], b[near]
         same = np.bitwise_count(u[a] ^ u[b]) <= bits
         a, b = a[same], b[same]
@@ -117,7 +131,7 @@ def _links(fp: np.ndarray, cell: np.ndarray, bits: int) -> tuple[np.ndarray, np.
     return moved, label[moved]
 
 
-def link_fingerprints(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+def link_fingerprints(nodes: DataFrame, bits: int = BITS, blocks: int | None = None) -> DataFrame:
     """Edges (a, b) between ``node`` ids of distinct ``fp``: a spanning forest of every grid cell's links.
 
     A cell of more than CELL_ROWS rows is dealt into parts by a hash of the fingerprint and every pair of parts is
@@ -126,7 +140,8 @@ def link_fingerprints(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """
     spark = nodes.sparkSession
     counts = segment_counts(F.col("fp"))
-    cells = nodes.select("node", "fp", F.posexplode(F.array(*[counts.bitwiseAND(F.lit(m)) for m in _masks()])).alias("grid", "cell"))
+    masks = _masks(blocks or grid_blocks(nodes.count()))
+    cells = nodes.select("node", "fp", F.posexplode(F.array(*[counts.bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell"))
     sizes = cells.groupBy("grid", "cell").agg(F.count("*").alias("rows")).where("rows > 1")
     parts = F.ceil(F.col("rows") / CELL_ROWS).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -196,15 +211,12 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", words: int = 5, jacc
     share it. Null and blank texts are one group. Nulls, repeated rows and other columns as in simhash_duplicates.
     """
     found = written(with_cells(docs, text=text, words=words))
-    nodes = written(found.groupBy(F.col("fp").alias("node"), "cells").agg(F.min("doc_id").alias("low")))
+    nodes = written(_first_rows(found.groupBy(F.col("fp").alias("node"), "cells")))
     cells = nodes.select("node", F.explode("cells").alias("cell"))
     crowded = cells.groupBy("cell").agg(F.min("node").alias("lead"), F.count("*").alias("rows")).where("rows > 1")
     shared = written(cells.join(crowded, "cell").select("cell", "node", "lead", "rows"))
-    members = written(nodes.select("node", "low").join(shared.select("node").distinct(), "node", "left_semi"))
-    picked = docs.join(members.select(F.col("low").alias("_id")).distinct(), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-    if not members.where("low IS NULL").isEmpty():
-        picked = picked.unionAll(docs.where("doc_id IS NULL"))
-    sets = written(with_sets(picked, text=text, words=words).join(members.select("node"), "node", "left_semi").distinct())
+    members = written(nodes.select("node", "low", "low_hash").join(shared.select("node").distinct(), "node", "left_semi"))
+    sets = written(with_sets(_rows_of(docs, members.select("low", "low_hash"), text), text=text, words=words).join(members.select("node"), "node", "left_semi").distinct())
     stars = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     edges = written(verified_pairs(stars, sets, jaccard))
     placed = shared.join(connected_components(members, edges), "node")
@@ -225,34 +237,49 @@ def simhash_duplicates(docs: DataFrame, *, text: str = "text", words: int = 4, b
     if bits > BITS:
         raise ValueError("the grid covers at most 4 differing bits")
     found = written(fingerprints(docs, text=text, words=words))
-    nodes = written(found.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("low")))
+    nodes = written(_first_rows(found.groupBy(F.col("fp").alias("node"))))
     classes = connected_components(nodes, link_fingerprints(nodes.select("node", F.col("node").alias("fp")), bits))
     return _classes(found, nodes, classes)
 
 
+def _first_rows(groups) -> DataFrame:
+    """The group's keys with ``low`` and ``low_hash``: its row of smallest doc_id (null last), of these of smallest text hash."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    return groups.agg(F.min(first).alias("_first")).select("*", F.col("_first.doc_id").alias("low"), F.col("_first.text_hash").alias("low_hash")).drop("_first")
+
+
+def _rows_of(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """The rows of docs with the (doc_id, text hash) of ``rows``, which has two columns of any names."""
+    key, of = unused(docs.columns, "_id", "_text_hash")
+    named = rows.toDF(key, of).distinct()
+    return docs.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(utf8(text)) == F.col(of)), "left_semi").select(*docs.columns)
+
+
 def _classes(found: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    members = nodes.join(classes, "node")
-    low = members.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_fp = members.join(low, "component").select(F.col("node").alias("fp"), "component_id")
-    return found.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    """doc_id, fp, component_id, text_hash and first_hash (text hash of the component's first row) of every row found."""
+    members = written(nodes.select("node", "low", "low_hash").join(classes, "node"))
+    first = members.select("component", F.col("low").alias("doc_id"), F.col("low_hash").alias("text_hash")).groupBy("component")
+    low = written(_first_rows(first))  # on its own, so that a hot component's join is split
+    by_fp = members.select("node", "component").join(low, "component").select(F.col("node").alias("fp"), F.col("low").alias("component_id"), F.col("low_hash").alias("first_hash"))
+    return found.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id", "text_hash", "first_hash")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
     return simhash_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, by: Callable[..., DataFrame] = simhash_duplicates, **how) -> DataFrame:
-    """docs with one document of each group that ``by`` finds: the one with the smallest doc_id.
+def keep_one(docs: DataFrame, by: Callable[..., DataFrame] = simhash_duplicates, *, text: str = "text", **how) -> DataFrame:
+    """docs with one row of each group that ``by`` finds: the one of smallest doc_id (null last), of rows that share
+    this id the one of smallest text hash, of rows that repeat id and text any.
 
-    Rows that repeat an id inside a group count as copies, so one of them stays. In a group whose ids are all null
-    the rows stay, as none can be told from the others. Other columns pass through unchanged.
+    So null ids and repeated ids are rows like others: a group whose ids are all null keeps one row, and of two rows
+    with one id and different texts each stays or goes with its own group. An empty table gives an empty result;
+    other columns pass through unchanged, whatever their names.
     """
-    classes = written(by(docs, **how))
-    ids = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    repeated = not ids.where("rows > 1").isEmpty()
-    kept = docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi").select(*docs.columns)
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    if classes.where("doc_id IS NULL AND component_id IS NULL").isEmpty():
+    classes = written(by(docs, text=text, **how))
+    first = classes.where((F.col("doc_id").eqNullSafe(F.col("component_id"))) & (F.col("text_hash") == F.col("first_hash")))
+    kept = _rows_of(docs, first.select("doc_id", "text_hash"), text)
+    if first.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
         return kept
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    (of,) = unused(docs.columns, "_text_hash")
+    return kept.withColumn(of, F.xxhash64(utf8(text))).dropDuplicates(["doc_id", of]).drop(of)
