@@ -1,4 +1,11 @@
-"""Exact top-k inner-product search by pivot-table elimination."""
+"""Exact top-k inner-product search by pivot-table elimination.
+
+The pivot table holds each vector's distances to the pivots, computed once. |q - x| is at least the greatest
+|d(q, p) - d(x, p)| over the pivots p, so q.x is at most (q.q + x.x - bound^2) / 2. Candidates stand in blocks by their
+nearest pivot; the least and greatest distances of a block bound all of it. A query first searches a block of its own
+cell, which gives it a k-th score, and then only the blocks whose bound reaches that score; in a block it scores
+candidates in the order of their bounds until these fall below its k-th score.
+"""
 
 from __future__ import annotations
 
@@ -13,12 +20,16 @@ from .common import batch, shuffle_partitions, written
 
 PIVOTS = 32
 PIVOT_SAMPLE = 1024
-QUERY_ROWS = 512
+#: Rows of a block, on average at most; a task holds one block and a batch of queries.
 CANDIDATE_ROWS = 8192
+#: Blocks whose bounds a task holds at a time.
+BLOCKS_AT_A_TIME = 1 << 16
+_LONG = (1 << 63) - 1
 
 
 def integer_vector(c: str, scale: int = 256) -> Column:
-    """floor(scale * x) of each component as double; null if the vector or a component is null or not finite."""
+    """floor(scale * x) of each component as double, at the nearest long where it fits none; null if the vector or a
+    component is null or not finite."""
     v = F.transform(F.col(c), lambda x: x.cast("double"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     return F.when(F.col(c).isNotNull() & ~bad, F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x)))
@@ -42,99 +53,177 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
-def search_block(q_ids, q, c_ids, c, pivots, k):
+def _products(q: np.ndarray, c: np.ndarray):
+    """A function (candidate rows, query row) -> their exact integer inner products, or the nearest longs."""
+    reach = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(c.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
+    kind = np.float64 if reach < 2.0**53 else np.int64 if reach < 2.0**62 else object
+    qk, ck = q.astype(kind), c.astype(kind)
+    if kind is object:
+        return lambda rows, i: np.array([max(-_LONG - 1, min(_LONG, v)) for v in ck[rows] @ qk[i]], np.int64)
+    return lambda rows, i: (ck[rows] @ qk[i]).astype(np.int64)
+
+
+def search_block(q_ids, q, qd, qq, floor, c_ids, c, cd, cc, k):
     """The k best candidates of this block for each query as (query index, candidate index, score) arrays.
 
-    |q - x| is at least the greatest |d(q, p) - d(x, p)| over the pivots p, so q.x is at most
-    (q.q + x.x - bound^2) / 2. Candidates are scored in order of that limit until it falls below the k-th score.
+    qd and cd are distances to the pivots, qq and cc squared lengths, ``floor`` the score that a query's k-th is known
+    to reach. Candidates are scored in order of their limit until it falls below the k-th score or the floor.
     """
-    qf, cf = q.astype(np.float64), c.astype(np.float64)
-    qd, cd = _distances(qf, pivots), _distances(cf, pivots).T.copy()
-    qq, cc = (qf * qf).sum(axis=1), (cf * cf).sum(axis=1)
-    wide = bool(len(q) and len(c)) and float(np.abs(qf).max()) * float(np.abs(cf).max()) * q.shape[1] >= 2.0**62
-    exact = c.astype(object) if wide else c
+    score, cd = _products(q, c), np.ascontiguousarray(cd.T)
     out_q, out_c, out_s = [], [], []
     for i in range(len(q)):
         bound = np.zeros(len(c))
-        for p in range(len(pivots)):
+        for p in range(len(cd)):
             np.maximum(bound, np.abs(cd[p] - qd[i, p]), out=bound)
         limit = (qq[i] + cc - bound * bound) / 2 + 1e-9 * (qq[i] + cc) + 1
-        limit[c_ids == q_ids[i]] = -np.inf
-        order = np.argsort(-limit, kind="stable")
-        order = order[: len(c) - int(np.isneginf(limit).sum())]
-        best_c, best_s, at, step = np.zeros(0, np.int64), np.zeros(0, exact.dtype), 0, 64
-        query = q[i].astype(object) if wide else q[i]
-        while at < len(order) and (len(best_s) < k or limit[order[at]] >= best_s[-1]):
-            some = order[at : at + step]
+        some = np.nonzero((limit >= floor[i]) & (c_ids != q_ids[i]))[0]
+        order = some[np.argsort(-limit[some], kind="stable")]
+        best_c, best_s, at, step = np.zeros(0, np.int64), None, 0, 64
+        while at < len(order) and (len(best_c) < k or limit[order[at]] >= best_s[-1]):
+            rows = order[at : at + step]
             at, step = at + step, min(2 * step, 4096)
-            cand, score = np.concatenate([best_c, some]), np.concatenate([best_s, exact[some] @ query])
-            top = np.lexsort((c_ids[cand], -score))[:k]
-            best_c, best_s = cand[top], score[top]
-        out_q.append(np.full(len(best_c), i))
-        out_c.append(best_c)
-        out_s.append(best_s)
+            cand, found = np.concatenate([best_c, rows]), score(rows, i)
+            found = found if best_s is None else np.concatenate([best_s, found])
+            top = np.lexsort((c_ids[cand], ~found))[:k]  # ~: descending, for the least long too
+            best_c, best_s = cand[top], found[top]
+        if len(best_c):
+            out_q.append(np.full(len(best_c), i))
+            out_c.append(best_c)
+            out_s.append(best_s)
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_c, out_s))
 
 
+_TABLE = "vec_id long, row long, vector array<long>, dim int, cell int, norm double, dist array<double>"
+
+
+def pivot_table(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """vec_id, row, vector, its length ``dim``, the nearest pivot ``cell``, the squared length and all distances."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column(2).value_lengths().to_numpy()
+            for dim in np.unique(dims):
+                part = b.take(pa.array(np.nonzero(dims == dim)[0]))
+                x = part.column(2).flatten().to_numpy().reshape(part.num_rows, dim).astype(np.float64)
+                d = _distances(x, pivots.get(int(dim), np.zeros((1, dim))))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * d.shape[1]), pa.array(d.reshape(-1)))
+                yield batch(vec_id=part.column(0), row=part.column(1), vector=part.column(2), dim=pa.array(np.full(len(x), dim, np.int32)), cell=pa.array(d.argmin(axis=1).astype(np.int32)), norm=pa.array((x * x).sum(axis=1)), dist=lists)
+
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), F.col("vector").cast("array<long>").alias("vector")).mapInArrow(run, _TABLE)
+
+
+def search_blocks(rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, row, vec_id, score): the k best of each block for each of its queries. ``rows`` has the columns of the
+    pivot table, ``block``, ``kind`` (0: candidate, 1: query) and ``floor``. A task holds one block's candidates, which
+    come first, and takes its queries as they come."""
+    ready = rows.repartition(shuffle_partitions(rows.sparkSession), "block").sortWithinPartitions("block", "kind").select("block", "kind", "vec_id", "row", "norm", "floor", "vector", "dist")
+
+    def arrays(parts: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(parts)
+        n = t.num_rows
+        lists = [t.column(c).combine_chunks().flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, 0)) for c in ("vector", "dist")]
+        return [t.column(c).to_numpy() for c in ("vec_id", "row", "norm", "floor")] + lists
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block = None, [], None
+        for b in batches:
+            keys = b.column(0).to_numpy() * 2 + b.column(1).to_numpy()
+            edges = [0, *(np.nonzero(np.diff(keys))[0] + 1).tolist(), len(keys)]
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                if a == z:
+                    continue
+                at, kind = divmod(int(keys[a]), 2)
+                if at != now:
+                    now, held, block = at, [], None
+                if kind == 0:
+                    held.append(b.slice(a, z - a))
+                elif held or block:
+                    block, held = block or arrays(held), []
+                    c_ids, _, cc, _, c, cd = block
+                    q_ids, q_rows, qq, floor, q, qd = arrays([b.slice(a, z - a)])
+                    i, j, s = search_block(q_ids, q, qd, qq, floor, c_ids, c, cd, cc, k)
+                    if len(i):
+                        yield batch(query_id=pa.array(q_ids[i]), row=pa.array(q_rows[i]), vec_id=pa.array(c_ids[j]), score=pa.array(s))
+
+    return ready.mapInArrow(run, "query_id long, row long, vec_id long, score long")
+
+
+def _blocks_to_search(queries: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The rows of queries, which have ``first`` (the block searched already) and ``floor``, once for each other block
+    whose bound reaches the floor. BLOCKS_AT_A_TIME bounds at most reach the driver and a task at once."""
+    spark, out, start = queries.sparkSession, None, 0
+    last = bounds.agg(F.max("block")).first()[0]
+    while start <= last:
+        some = bounds.where(F.col("block").between(start, start + BLOCKS_AT_A_TIME - 1)).orderBy("block").toArrow()
+        by_dim: dict[int, tuple] = {}
+        dims = some["dim"].to_numpy()
+        for dim in np.unique(dims).tolist():
+            t = some.filter(pa.array(dims == dim))
+            near, far = (np.array(t[c].to_pylist(), dtype=np.float64).reshape(t.num_rows, -1) for c in ("near", "far"))
+            by_dim[dim] = t["block"].to_numpy(), near, far, t["longest"].to_numpy()
+        shared = spark.sparkContext.broadcast(by_dim)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for dim, norm, floor, first, dist in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                    if dim not in shared.value:
+                        out.append([])
+                        continue
+                    block, near, far, longest = shared.value[dim]
+                    d = np.array(dist)[None]
+                    gap = np.maximum(near - d, d - far).max(axis=1, initial=0.0)
+                    limit = (norm + longest - gap * gap) / 2 + 1e-9 * (norm + longest) + 1
+                    out.append(block[(limit >= floor) & (block != first)].tolist())
+                yield batch(row=b.column(0), blocks=pa.array(out, pa.list_(pa.int64())))
+
+        chosen = queries.select("row", "dim", "norm", "floor", "first", "dist").mapInArrow(run, "row long, blocks array<long>")
+        more = queries.join(chosen.select("row", F.explode("blocks").alias("block")), "row")
+        out = more if out is None else out.unionByName(more)
+        start += BLOCKS_AT_A_TIME
+    return out
+
+
 def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query row, ties to smaller vec_id.
 
     Both inputs have (vec_id, vector array<long>). A candidate with the query's vec_id is the query itself and takes
     no part, nor do null vectors or null ids or vectors of another length. A repeated query row is answered once for
-    each row; a repeated candidate row counts once for each row. An empty side gives an empty result.
+    each row; a repeated candidate row counts once for each row. Products are exact whatever their size; one beyond
+    the range of a long counts as the nearest long, in the ranking too. An empty side gives an empty result; other
+    columns are ignored.
 
-    Queries and candidates are dealt into blocks of bounded size; each pair of blocks is one group of at most
-    QUERY_ROWS x CANDIDATE_ROWS pairs in about 10 MB, which returns k rows a query; these meet in a window of k rows
-    a candidate block for each query. Pivots come from a bounded sample of PIVOT_SAMPLE rows; they only steer the
-    order, so the result does not depend on them.
+    Candidates move once, to blocks of CANDIDATE_ROWS rows or so; queries move to the blocks that they search. A block
+    returns k rows a query, which meet in a window for each query. Pivots come from a bounded sample of PIVOT_SAMPLE
+    rows; they only steer order and elimination, so the result does not depend on them.
     """
-    spark = queries.sparkSession
-    queries = queries.where("vec_id is not null and vector is not null")
-    candidates = candidates.where("vec_id is not null and vector is not null")
+    queries, candidates = (df.where("vec_id is not null and vector is not null").select("vec_id", "vector") for df in (queries, candidates))
     sample = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("vector").collect()
     by_size: dict[int, list] = {}
     for r in sample:
         by_size.setdefault(len(r["vector"]), []).append(r["vector"])
     pivots = {d: spread_pivots(np.array(v, dtype=np.float64).reshape(len(v), d)) for d, v in by_size.items()}
-    q_blocks, c_blocks = (max(1, -(-df.count() // rows)) for df, rows in ((queries, QUERY_ROWS), (candidates, CANDIDATE_ROWS)))
-    row = F.monotonically_increasing_id()
-    q = queries.select("vec_id", "vector", row.alias("row")).withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(q_blocks)).cast("int"))
-    c = candidates.select("vec_id", "vector", row.alias("row")).withColumn("cb", F.pmod(F.xxhash64("row"), F.lit(c_blocks)).cast("int"))
-    q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))).withColumn("kind", F.lit(1))
-    c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).withColumn("kind", F.lit(0))
-    both = q.unionByName(c).withColumn("dim", F.size("vector"))
-    ready = both.repartition(shuffle_partitions(spark), "qb", "cb").sortWithinPartitions("qb", "cb", "dim", "kind").select("qb", "cb", "dim", "kind", "vec_id", "row", "vector")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-        for b in batches:
-            keys = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
-            edges = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1), len(keys)]
-            for a, z in zip(edges[:-1], edges[1:], strict=True):
-                if a == z:
-                    continue
-                if key is not None and tuple(keys[a]) != key:
-                    yield from search(held)
-                    held = []
-                key = tuple(keys[a])
-                held.append(b.slice(a, z - a))
-        if held:
-            yield from search(held)
-
-    def search(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
-        dim = t.column("dim")[0].as_py()
-        kind = t.column("kind").to_numpy()
-        ids, rows = t.column("vec_id").to_numpy(), t.column("row").to_numpy()
-        v = t.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), dim)
-        qs, cs = kind == 1, kind == 0
-        p = pivots.get(dim, np.zeros((0, dim)))
-        i, j, s = search_block(ids[qs], v[qs], ids[cs], v[cs], p, k)
-        if len(i):
-            yield batch(query_id=pa.array(ids[qs][i]), row=pa.array(rows[qs][i]), vec_id=pa.array(ids[cs][j]), score=pa.array(s.tolist(), pa.int64()))
-
-    found = ready.mapInArrow(run, "query_id long, row long, vec_id long, score long")
+    q, c = written(pivot_table(queries, pivots)), written(pivot_table(candidates, pivots))
+    none = queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    cells = c.groupBy("dim", "cell").agg(F.ceil(F.count("*") / CANDIDATE_ROWS).cast("long").alias("parts")).orderBy("dim", "cell").collect()
+    if not cells:
+        return none
+    ends = np.cumsum([r["parts"] for r in cells])
+    named = queries.sparkSession.createDataFrame([(r["dim"], r["cell"], r["parts"], int(e) - r["parts"]) for r, e in zip(cells, ends, strict=True)], "dim int, cell int, parts long, base long")
+    block = F.col("base") + F.pmod(F.xxhash64("row"), F.col("parts"))
+    rows = c.join(F.broadcast(named), ["dim", "cell"]).withColumn("block", block).drop("parts", "base")
+    dist = lambda f: F.array(*[f(F.get("dist", F.lit(i))) for i in range(PIVOTS)])
+    bounds = written(rows.groupBy("block", "dim").agg(dist(F.min).alias("near"), dist(F.max).alias("far"), F.max("norm").alias("longest")).withColumns({n: F.filter(n, lambda x: x.isNotNull()) for n in ("near", "far")}))
+    rows = rows.withColumn("kind", F.lit(0)).withColumn("floor", F.lit(0.0))
+    lowest = F.lit(float("-inf"))
+    placed = q.join(F.broadcast(named), ["dim", "cell"], "left").withColumn("first", F.coalesce(block, F.lit(-1).cast("long"))).drop("parts", "base")
+    home = placed.where("first >= 0").withColumn("block", F.col("first")).withColumn("kind", F.lit(1)).withColumn("floor", lowest)
+    found = written(search_blocks(rows.unionByName(home.select(*rows.columns)), k))
+    kth = found.groupBy("row").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    reached = F.when((F.col("n") == k) & (F.col("least") > -_LONG - 1), F.col("least").cast("double"))
+    placed = written(placed.join(kth, "row", "left").withColumn("floor", F.coalesce(reached, lowest)).drop("least", "n"))
+    rest = _blocks_to_search(placed, bounds).withColumn("kind", F.lit(1))
+    found = found.unionByName(search_blocks(rows.unionByName(rest.select(*rows.columns)), k))
     best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

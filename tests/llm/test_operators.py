@@ -302,24 +302,56 @@ def test_mixing_draws_by_the_fraction(spark):
         assert abs(drawn[s, "more"] / drawn[s, "n"] - drawn[s, "f"]) < 0.08
 
 
-@pytest.mark.parametrize("blocks", [(512, 8192), (3, 7)])
-def test_topk(spark, monkeypatch, blocks):
-    monkeypatch.setattr(topk, "QUERY_ROWS", blocks[0])
-    monkeypatch.setattr(topk, "CANDIDATE_ROWS", blocks[1])
+def brute_top(f, queries, k):
+    want = Counter()
+    for q in queries:
+        long = lambda v: max(-(1 << 63), min((1 << 63) - 1, v))
+        best = sorted((-long(sum(a * b for a, b in zip(f[q], f[c], strict=True))), c) for c in f if c != q and len(f[c]) == len(f[q]))[:k]
+        want.update((q, n + 1, c, -s) for n, (s, c) in enumerate(best))
+    return want
+
+
+@pytest.mark.parametrize("block,at_a_time", [(8192, 1 << 16), (7, 3)])
+def test_topk(spark, monkeypatch, block, at_a_time):
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", block)
+    monkeypatch.setattr(topk, "BLOCKS_AT_A_TIME", at_a_time)
     rnd = np.random.default_rng(4)
     v = {i: [float(x) for x in rnd.normal(size=6).round(2)] for i in range(0, 400, 2)}
     v[50], v[2], v[4], v[6], v[8] = v[0], v[10], None, [1.0, None, 2.0, 3.0, 4.0, 5.0], [float("nan")] + v[12][1:]
     v[14] = [float("inf")] + v[12][1:]
     df = spark.createDataFrame([(k, x, 1) for k, x in v.items()], "vec_id long, embedding array<float>, score int")
     f = {k: [floor(256 * float(np.float32(y))) for y in x] for k, x in v.items() if x and all(y is not None and np.isfinite(y) for y in x)}
-    want = set()
-    for q in (k for k in f if k % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(f[q], f[c], strict=True)), c) for c in f if c != q)[:5]
-        want |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(best)}
-    assert {tuple(r) for r in topk.top_k_report(df).collect()} == want
+    assert by_row(topk.top_k_report(df)) == brute_top(f, [k for k in f if k % 50 == 0], 5)
     assert topk.top_k_report(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e7, 1e10, 1e17])
+def test_topk_of_wide_and_mixed_vectors(spark, monkeypatch, scale):
+    """Scores past 2^53, 2^62 and a long; vectors of other lengths, empty ones, all equal ones."""
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 10)
+    rnd = np.random.default_rng(7)
+    f = {i: [int(x) for x in (rnd.normal(size=(i % 3) * 2) * scale)] for i in range(60)}
+    f |= {i: [3, 4] for i in range(60, 75)}
+    df = spark.createDataFrame(list(f.items()), "vec_id long, vector array<long>")
+    got = topk.exact_top_k(df.where("vec_id % 2 = 0"), df, 4)
+    assert by_row(got) == brute_top(f, [i for i in f if i % 2 == 0], 4)
+
+
+def test_topk_skips_blocks_of_far_clusters(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 50)
+    rnd = np.random.default_rng(9)
+    centre = rnd.normal(size=(12, 8))
+    centre = (centre / np.linalg.norm(centre, axis=1)[:, None] * 4000).round()
+    f = {i: [int(x) for x in centre[i % 12] + rnd.integers(-20, 20, 8)] for i in range(1200)}
+    df = spark.createDataFrame(list(f.items()), "vec_id long, vector array<long>")
+    searched = []
+    plain = topk._blocks_to_search
+    monkeypatch.setattr(topk, "_blocks_to_search", lambda q, b: searched.append((q.count() * b.count(), plain(q, b).count())) or plain(q, b))
+    got = topk.exact_top_k(df.where("vec_id % 10 = 0"), df, 5)
+    assert by_row(got) == brute_top(f, [i for i in f if i % 10 == 0], 5)
+    assert searched[0][1] < 0.2 * searched[0][0]
+
+
 def test_hidden_markov_exact():
     rng, k, size = np.random.default_rng(0), 3, 40
     m = hidden_markov.maximise(rng.random(k), rng.random((k, k)), rng.random((size, k)) * 9, np.full(size, 1 / size))
