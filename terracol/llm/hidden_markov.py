@@ -23,10 +23,9 @@ STATES = 4
 #: Most words that are symbols of their own (the rest share CLASSES symbols): bounds the model and what a task sends.
 SYMBOLS = 1 << 18
 CLASSES = 256
-#: Baum-Welch rounds over all training documents, after a start fitted on START_DOCS of them.
-ROUNDS = 2
-START_DOCS = 384
-START_ROUNDS = 25
+#: Baum-Welch rounds as (one in so many training documents, by a hash of doc_id; rounds): the first bring the states
+#: apart over a share of the corpus, the last are over all of it.
+SCHEDULE = ((16, 8), (4, 3), (1, 2))
 #: Share of the unigram distribution in each state's emissions.
 PRIOR = 0.15
 CHUNK = 64
@@ -94,7 +93,7 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     """Totals and the most frequent words; also the count from which words are symbols. SYMBOLS words and a row for
     each class and each distinct count reach the driver."""
     tokens, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    spread = counts.groupBy("n").agg(F.count("*").alias("words")).where(F.col("n") > tokens // (SYMBOLS * 8)).orderBy(F.desc("n")).limit(SYMBOLS + 1).collect()
+    spread = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(SYMBOLS + 1).collect()
     least, held = (spread[0]["n"] + 1 if spread else 1), 0
     for r in spread:
         if held + r["words"] > SYMBOLS:
@@ -287,51 +286,55 @@ def maximise(start: np.ndarray, steps: np.ndarray, emits: np.ndarray, unigram: n
     return Model(start / start.sum(), steps / steps.sum(axis=1)[:, None], emits / emits.sum(axis=0)[None])
 
 
-def first_model(sample: list[np.ndarray], unigram: np.ndarray, states: int = STATES, seed: int = 5) -> Model:
-    """A start for Baum-Welch: a few rounds on a bounded sample, from states that tend to stay as they are."""
+def first_model(unigram: np.ndarray, states: int = STATES, seed: int = 5) -> Model:
+    """Where Baum-Welch begins: seeded noise around the unigram distribution, and states that tend to stay as they are."""
     rng = np.random.default_rng(seed)
-    size = len(unigram)
     step = np.full((states, states), 0.05 / max(1, states - 1))
     np.fill_diagonal(step, 0.95 if states > 1 else 1.0)
-    noise = unigram[:, None] * rng.gamma(1.0, 1.0, (size, states)) + 1e-12
-    m = Model(np.full(states, 1 / states), step, noise / noise.sum(axis=0)[None])
-    if not sample:
-        return m
-    chunks = [Chunks(g) for g in _groups(iter(sample))]
-    for _ in range(START_ROUNDS):
-        parts = [c.counts(m, size) for c in chunks]
-        m = maximise(*(sum(p[i] for p in parts) for i in range(3)), unigram)
-    return m
+    noise = unigram[:, None] * rng.gamma(1.0, 1.0, (len(unigram), states)) + 1e-12
+    return Model(np.full(states, 1 / states), step, noise / noise.sum(axis=0)[None])
 
 
-def train(symbols: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over the rows (symbols) of all training documents. A task sends its expected counts, a row for each
-    symbol it met; they are added up by symbol, and SYMBOLS + CLASSES rows at most reach the driver."""
-    spark = symbols.sparkSession
-    unigram, size = vocab.unigram, len(vocab.index) + CLASSES
-    sample = symbols.orderBy(F.xxhash64("symbols")).limit(START_DOCS).collect()
-    m = first_model([np.array(r["symbols"], dtype=np.int64) for r in sample], unigram, states)
+def corpus_counts(symbols: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of starts, steps and emissions over the rows (symbols). A task sends a row for each symbol it
+    met; they are added up by symbol, and one row a symbol reaches the driver."""
+    size, states = m.emit.shape
     names = [f"s{j}" for j in range(states)]
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(m)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model = shared.value
-            start, steps, emits = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
-            for group in _groups(s for b in batches for s in _sequences(b.column(0))):
-                a, b, c = Chunks(group).counts(model, size)
-                start += a
-                steps += b
-                emits += c
-            at = np.nonzero(emits.any(axis=1))[0]
-            rows = np.concatenate([emits[at], steps, start[None]])
-            ids = np.concatenate([at, size + np.arange(states + 1)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array(rows[:, j]) for j in range(states))], names=["symbol", *names])
-
-        found = symbols.mapInArrow(run, "symbol int, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow().to_pandas()
-        all_counts = np.zeros((size + states + 1, states))
-        all_counts[found["symbol"].to_numpy()] = found[names].to_numpy()
-        m = maximise(all_counts[-1], all_counts[size : size + states], all_counts[:size], unigram)
+    shared = symbols.sparkSession.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        start, steps, emits = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
+        for group in _groups(s for b in batches for s in _sequences(b.column(0))):
+            a, b, c = Chunks(group).counts(model, size)
+            start += a
+            steps += b
+            emits += c
+        at = np.nonzero(emits.any(axis=1))[0]
+        rows = np.concatenate([emits[at], steps, start[None]])
+        ids = np.concatenate([at, size + np.arange(states + 1)])
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array(rows[:, j]) for j in range(states))], names=["symbol", *names])
+
+    found = symbols.mapInArrow(run, "symbol int, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow().to_pandas()
+    counts = np.zeros((size + states + 1, states))
+    counts[found["symbol"].to_numpy()] = found[names].to_numpy()
+    return counts[-1], counts[size : size + states], counts[:size]
+
+
+def train(coded: DataFrame, vocab: Vocabulary, states: int = STATES, schedule: tuple[tuple[int, int], ...] = SCHEDULE) -> Model:
+    """Baum-Welch from seeded noise over the training rows (doc_id, symbols), every count taken from the partitions.
+    Rounds on one in ``share`` documents read a table of their own; SYMBOLS + CLASSES rows at most reach the driver a
+    round. A share that holds no document changes nothing."""
+    unigram = vocab.unigram
+    m = first_model(unigram, states)
+    for share, rounds in schedule:
+        some = coded.select("symbols")
+        if share > 1:
+            some = written(coded.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("symbols"))
+        for _ in range(rounds):
+            start, steps, emits = corpus_counts(some, m)
+            if emits.any():
+                m = maximise(start, steps, emits, unigram)
     return m
 
 
@@ -356,7 +359,7 @@ def score_documents(docs: DataFrame, *, text: str = "text") -> DataFrame:
     counts = written(training_counts(slim))
     vocab, least = vocabulary(counts)
     coded = written(encoded(slim, vocab).withColumn("row", F.monotonically_increasing_id()))
-    model = train(coded.where("NOT held_out").select("symbols"), vocab)
+    model = train(coded.where("NOT held_out").select("doc_id", "symbols"), vocab)
     spark = docs.sparkSession
 
     total = F.lit(float(vocab.tokens + 0.5 * (vocab.words + 1)))

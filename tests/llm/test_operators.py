@@ -139,20 +139,37 @@ def test_prefix_hashes():
     assert all((x == y).all() for x, y in zip(tail.prefixes, fingerprints.PrefixHash.of(a[:300] + b[:50]).prefixes, strict=True))
 
 
+def plain_prints(text):
+    """Class minima of the hashes of all 8-character spans, each hash computed from its characters alone."""
+    mask = (1 << 64) - 1
+    spans = [text[i : i + 8] for i in range(len(text) - 7)] if len(text) >= 8 else [text] if text else []
+    least = {}
+    for span in spans:
+        h = [sum((ord(c) + 1) * pow(b, k, p) for k, c in enumerate(span)) % p for b, p in zip(fingerprints.BASES, fingerprints.MODULI, strict=True)]
+        x = (((h[0] << 31) | h[1]) + (len(span) if len(text) < 8 else 0)) * 0x9E3779B97F4A7C15 & mask
+        x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 32
+        least[x >> 58] = min(least.get(x >> 58, mask), x & (1 << 58) - 1)
+    return [(least[k] >> 16) % 0xFFFF if k in least else 0xFFFF for k in range(64)]
+
+
+def plain_likeness(a, b):
+    filled = [(x, y) for x, y in zip(a, b, strict=True) if (x, y) != (0xFFFF, 0xFFFF)]
+    return sum(x == y for x, y in filled) / len(filled) if filled else 1.0
+
+
 def test_fingerprints(docs, none):
-    got = fingerprints.fingerprint_with_next(docs).collect()
     order = sorted(rows(), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] or ""))
     texts = [r[1] or "" for r in order]
-    want, prints = Counter(), {}
+    want, as_text = Counter(), lambda f: "".join(f"{x:04x}" for x in f)
     for k, r in enumerate(order):
         t, after = texts[k], texts[(k + 1) % len(texts)]
         cut = len(t) // 3
-        want[r[0], len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()] += 1
-        prints[t] = fingerprints.as_hex(fingerprints.fingerprint(fingerprints.PrefixHash.of(t)))
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
-    ids = {r[0]: r[1] or "" for r in order}
-    assert all(r["fingerprint"] == prints[ids[r["doc_id"]]] for r in got)
-    assert all(0 <= r[c] <= 1 for r in got for c in ("near_edited", "near_next"))
+        edited = t[: len(t) - cut] + after[:cut]
+        a, b, c = plain_prints(t), plain_prints(edited), plain_prints(after)
+        common = next((i for i, (x, y) in enumerate(zip(t, edited, strict=False)) if x != y), min(len(t), len(edited)))
+        want[r[0], len(t), hashlib.sha256(edited.encode()).hexdigest(), as_text(a), as_text(b), plain_likeness(a, b), plain_likeness(a, c), common] += 1
+    assert by_row(fingerprints.fingerprint_with_next(docs)) == want
     assert fingerprints.fingerprint_with_next(none).count() == 0
     assert fingerprints.fingerprint_with_next(docs.where("doc_id = 24")).first()["near_next"] == 1.0
 
@@ -352,22 +369,78 @@ def test_topk_skips_blocks_of_far_clusters(spark, monkeypatch):
     assert searched[0][1] < 0.2 * searched[0][0]
 
 
+def plain_forward_backward(seqs, m):
+    """Log probability, and expected starts, steps and emissions, from unscaled forward and backward tables."""
+    size, k = m.emit.shape
+    logs, start, steps, emits = [], np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
+    for s in seqs:
+        n = len(s)
+        f, b, scale = np.zeros((n, k)), np.ones((n, k)), np.zeros(n)
+        for t in range(n):
+            f[t] = (m.start if t == 0 else f[t - 1] @ m.step) * m.emit[s[t]]
+            scale[t] = f[t].sum()
+            f[t] /= scale[t]
+        for t in range(n - 2, -1, -1):
+            b[t] = m.step @ (m.emit[s[t + 1]] * b[t + 1]) / scale[t + 1]
+        logs.append(np.log(scale).sum())
+        start += f[0] * b[0]
+        for t in range(n):
+            emits[s[t]] += f[t] * b[t]
+            if t:
+                steps += f[t - 1][:, None] * m.step * (m.emit[s[t]] * b[t])[None] / scale[t]
+    return np.array(logs), start, steps, emits
+
+
 def test_hidden_markov_exact():
     rng, k, size = np.random.default_rng(0), 3, 40
-    m = hidden_markov.maximise(rng.random(k), rng.random((k, k)), rng.random((size, k)) * 9, np.full(size, 1 / size))
-    seqs = [rng.integers(0, size, n) for n in (1, 5, 64, 65, 300)]
-    want = []
-    for s in seqs:
-        v, total = m.start * m.emit[s[0]], 0.0
-        for x in s[1:]:
-            total, v = total + np.log(v.sum()), v / v.sum()
-            v = (v @ m.step) * m.emit[x]
-        want.append(total + np.log(v.sum()))
+    m = hidden_markov.maximise(rng.random(k), rng.random((k, k)) * 20, rng.random((size, k)) ** 4 * 9, np.full(size, 1 / size))
+    seqs = [rng.integers(0, size, n) for n in (1, 5, 64, 65, 300, 1, 129)]
     c = hidden_markov.Chunks(seqs)
-    assert np.allclose(c.log_probabilities(m), want)
-    start, steps, emits = c.counts(m, size)
-    assert np.isclose(start.sum(), len(seqs)) and np.isclose(steps.sum(), sum(len(s) - 1 for s in seqs))
-    assert np.allclose(emits.sum(axis=1), np.bincount(np.concatenate(seqs), minlength=size))
+    want = plain_forward_backward(seqs, m)
+    assert np.allclose(c.log_probabilities(m), want[0])
+    assert all(np.allclose(a, b) for a, b in zip(c.counts(m, size), want[1:], strict=True))
+
+
+def test_hidden_markov_trains_over_partitions(spark, none):
+    """Two rounds over partitions equal two rounds of the plain recursion, from the same start."""
+    rng, k = np.random.default_rng(3), 3
+    index = {f"w{i}".encode(): i for i in range(20)}
+    seqs = [rng.integers(0, 20 + hidden_markov.CLASSES, n) for n in (3, 70, 150, 1, 33, 64)]
+    flat = np.bincount(np.concatenate(seqs), minlength=20 + hidden_markov.CLASSES)
+    vocab = hidden_markov.Vocabulary(index, flat[:20], flat[20:], np.ones(hidden_markov.CLASSES, np.int64), int(flat.sum()), 20)
+    m = hidden_markov.first_model(vocab.unigram, k)
+    for _ in range(2):
+        m = hidden_markov.maximise(*plain_forward_backward(seqs, m)[1:], vocab.unigram)
+    coded = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(seqs)], "doc_id long, symbols array<int>").repartition(3)
+    got = hidden_markov.train(coded, vocab, k, ((1, 2),))
+    assert np.allclose(got.start, m.start) and np.allclose(got.step, m.step) and np.allclose(got.emit, m.emit)
+    unchanged = hidden_markov.train(coded.limit(0), vocab, k, ((4, 1), (1, 1)))
+    assert np.allclose(unchanged.emit, hidden_markov.first_model(vocab.unigram, k).emit)
+
+
+def test_hidden_markov_score_is_the_models(spark, monkeypatch):
+    """score is the forward probability of a text's symbols times the share of each rare word in its class."""
+    kept = {}
+    plain = hidden_markov.train
+    monkeypatch.setattr(hidden_markov, "train", lambda coded, vocab: kept.update(vocab=vocab, model=plain(coded, vocab)) or kept["model"])
+    monkeypatch.setattr(hidden_markov, "SYMBOLS", 12)
+    rnd = random.Random(2)
+    table = [(i, " ".join(f"W{min(int(rnd.expovariate(0.08)), 60)}" for _ in range(rnd.randint(0, 90)))) for i in range(40)]
+    got = {r["doc_id"]: r["score"] for r in hidden_markov.score_documents(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    v, m = kept["vocab"], kept["model"]
+    assert abs(m.emit.sum(axis=0) - 1).max() < 1e-9 and len(v.index) <= 12
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    c = Counter(w for i, t in table if not held(i) for w in [*lower(t).split(), ""])
+    for i, t in table:
+        words = [w.encode() for w in [*lower(t).split(), ""]]
+        rare = [w for w in words if w not in v.index]
+        s = np.array([v.index[w] if w in v.index else len(v.index) + hidden_markov._class(w) for w in words])
+        log = plain_forward_backward([s], m)[0][0] / np.log(10)
+        for w in rare:
+            k = hidden_markov._class(w)
+            inside = [n for x, n in c.items() if x.encode() not in v.index and hidden_markov._class(x.encode()) == k]
+            log += log10((c[w.decode()] + 0.5) / (sum(inside) + 0.5 * (len(inside) + 1)))
+        assert abs(got[i] - log) < 1e-6
 
 
 @pytest.mark.parametrize("symbols", [1 << 18, 40])
