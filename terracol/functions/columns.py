@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the data model: sensors, their RGB bands, condition class edges.
@@ -105,14 +105,15 @@ GRS80_F = 1 / 298.257222101
 
 
 def mercator_to_tm_sql(e: str, n: str, *, lon0: str, lat0: float = 0.0, k0: float, fe: float, fn: float, f: float = WGS84_F, a: float = WGS84_A) -> tuple[str, str]:
-    """SQL expressions of (lat, lon) in degrees for a transverse Mercator place, by the series in the third flattening."""
+    """SQL expressions of (lat, lon) in degrees for a transverse Mercator place, by the series in the third flattening, to its fourth power."""
     from math import atanh, radians, sin, sqrt
 
     n3 = f / (2 - f)
     big = a / (1 + n3) * (1 + n3**2 / 4 + n3**4 / 64)
-    beta = (n3 / 2 - 2 * n3**2 / 3 + 37 * n3**3 / 96, n3**2 / 48 + n3**3 / 15, 17 * n3**3 / 480)
-    alpha = (n3 / 2 - 2 * n3**2 / 3 + 5 * n3**3 / 16, 13 * n3**2 / 48 - 3 * n3**3 / 5, 61 * n3**3 / 240)
-    delta = (2 * n3 - 2 * n3**2 / 3 - 2 * n3**3, 7 * n3**2 / 3 - 8 * n3**3 / 5, 56 * n3**3 / 15)
+    n2, n4 = n3**2, n3**4
+    beta = (n3 / 2 - 2 * n2 / 3 + 37 * n3**3 / 96 - n4 / 360, n2 / 48 + n3**3 / 15 - 437 * n4 / 1440, 17 * n3**3 / 480 - 37 * n4 / 840, 4397 * n4 / 161280)
+    alpha = (n3 / 2 - 2 * n2 / 3 + 5 * n3**3 / 16 + 41 * n4 / 180, 13 * n2 / 48 - 3 * n3**3 / 5 + 557 * n4 / 1440, 61 * n3**3 / 240 - 103 * n4 / 140, 49561 * n4 / 161280)
+    delta = (2 * n3 - 2 * n2 / 3 - 2 * n3**3 + 116 * n4 / 45, 7 * n2 / 3 - 8 * n3**3 / 5 - 227 * n4 / 45, 56 * n3**3 / 15 - 136 * n4 / 35, 4279 * n4 / 630)
     if lat0:
         s = sin(radians(lat0))
         ecc = 2 * sqrt(n3) / (1 + n3)
@@ -138,26 +139,75 @@ def utm_to_wgs84_sql(e: str, n: str, zone: str, north: bool = True) -> tuple[str
     return mercator_to_tm_sql(e, n, lon0=f"(({zone}) * 6 - 183)", k0=0.9996, fe=500000.0, fn=0.0 if north else 10000000.0)
 
 
-def itm_to_wgs84_sql(e: str, n: str) -> tuple[str, str]:
-    """(lat, lon) of an Israeli transverse Mercator place. The datum shift is the three translations of the usual
-    seven-parameter one to first order; about 1e-5 degrees."""
-    lat, lon = mercator_to_tm_sql(e, n, lon0="CAST(35.20451694444444 AS DOUBLE)", lat0=31.734393611111113, k0=1.0000067, fe=219529.584, fn=626907.39, f=GRS80_F)
-    tx, ty, tz = -24.0024, -17.1032, -17.8444
-    p, q = f"radians({lat})", f"radians({lon})"
-    e2 = GRS80_F * (2 - GRS80_F)
-    w = f"(1 - {e2!r} * sin({p}) * sin({p}))"
-    dlat = f"(-sin({p}) * cos({q}) * ({tx}) - sin({p}) * sin({q}) * ({ty}) + cos({p}) * ({tz})) / ({WGS84_A} * (1 - {e2!r}) / ({w} * sqrt({w})))"
-    dlon = f"(-sin({q}) * ({tx}) + cos({q}) * ({ty})) / ({WGS84_A} / sqrt({w}) * cos({p}))"
-    return f"({lat} + degrees({dlat}))", f"({lon} + degrees({dlon}))"
-
-
-def transform_crs(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
-    """(x, y) between EPSG:4326 (lon, lat) and EPSG:3857; other pairs are rejected."""
-    radius = F.lit(WGS84_A)
+# EPSG:2039's projection, and its seven-parameter shift to WGS84 (position vector: metres, arc seconds,
+# parts per million).
+ITM_LON0, ITM_LAT0, ITM_K0, ITM_FE, ITM_FN = 35.20451694444444, 31.734393611111113, 1.0000067, 219529.584, 626907.39
+ITM_SHIFT = (-24.0024, -17.1032, -17.8444)
+ITM_TURN = (-0.33077, -1.85269, 1.66969)
+ITM_SCALE = 5.4248
+
+
+def itm_to_wgs84(df: DataFrame, x: str, y: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """df with ``lat`` and ``lon`` in WGS84 degrees of the Israeli transverse Mercator place (x, y): the projection is
+    undone on GRS80, the place at height 0 is taken to geocentric coordinates, shifted, turned and scaled, and taken
+    back to latitude and longitude by Bowring's formula. Null coordinates give null."""
+    a, e2 = WGS84_A, GRS80_F * (2 - GRS80_F)
+    w2, f2 = WGS84_F * (2 - WGS84_F), WGS84_F
+    geo = mercator_to_tm_sql(f"`{x}`", f"`{y}`", lon0=f"CAST({ITM_LON0!r} AS DOUBLE)", lat0=ITM_LAT0, k0=ITM_K0, fe=ITM_FE, fn=ITM_FN, f=GRS80_F)
+    taken = {c.lower() for c in df.columns}
+    own = []
+    for name in ("_p", "_q", "_x", "_y", "_z"):
+        while name in taken:
+            name += "_"
+        own.append(name)
+    p, q, gx, gy, gz = own
+    d = df.withColumns({p: F.radians(F.expr(geo[0])), q: F.radians(F.expr(geo[1]))})
+    n = F.lit(a) / F.sqrt(1 - F.lit(e2) * F.sin(p) * F.sin(p))
+    c = (n * F.cos(p) * F.cos(q), n * F.cos(p) * F.sin(q), n * (1 - e2) * F.sin(p))
+    rx, ry, rz = (v * 3.141592653589793 / 648000 for v in ITM_TURN)
+    k = 1 + ITM_SCALE * 1e-6
+    turned = (c[0] - rz * c[1] + ry * c[2], rz * c[0] + c[1] - rx * c[2], -ry * c[0] + rx * c[1] + c[2])
+    d = d.withColumns({g: F.lit(t) + F.lit(k) * v for g, t, v in zip((gx, gy, gz), ITM_SHIFT, turned, strict=True)})
+    b = a * (1 - f2)
+    flat = F.sqrt(F.col(gx) * F.col(gx) + F.col(gy) * F.col(gy))
+    t = F.atan2(F.col(gz) * a, flat * b)
+    second = w2 / (1 - w2)
+    phi = F.atan2(F.col(gz) + second * b * F.pow(F.sin(t), F.lit(3.0)), flat - w2 * a * F.pow(F.cos(t), F.lit(3.0)))
+    return d.withColumns({lat: F.degrees(phi), lon: F.degrees(F.atan2(gy, gx))}).select(*[c for c in df.columns if c not in (lat, lon)], lat, lon)
+
+
+def _utm(code: str) -> tuple[int, bool] | None:
+    """(zone, north) of EPSG:326zz and EPSG:327zz."""
+    if code.startswith(("EPSG:326", "EPSG:327")) and code[8:].isdigit() and 1 <= int(code[8:]) <= 60:
+        return int(code[8:]), code[7] == "6"
+    return None
+
+
+def transform_crs(df: DataFrame, x: str, y: str, source: str, target: str, out: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """df with the place (x, y) in another system, under the names ``out``; of EPSG:4326 x is the longitude.
+
+    Known are EPSG:4326 to and from EPSG:3857, and EPSG:326zz, EPSG:327zz (UTM) and EPSG:2039 (ITM) to EPSG:4326 and
+    EPSG:3857. Other pairs are refused. Null coordinates give null.
+    """
+    rest = [c for c in df.columns if c not in out]
+    u, v = F.col(x), F.col(y)
     if source == target:
-        return x, y
+        return df.select(*rest, u.alias(out[0]), v.alias(out[1]))
+    if target == "EPSG:3857" and source != "EPSG:4326":
+        geo = transform_crs(df, x, y, source, "EPSG:4326", out)
+        return transform_crs(geo, *out, "EPSG:4326", target, out)
+    radius = F.lit(WGS84_A)
     if (source, target) == ("EPSG:4326", "EPSG:3857"):
-        return radius * F.radians(x), radius * F.log(F.tan(F.lit(0.7853981633974483) + F.radians(y) / 2))
-    if (source, target) == ("EPSG:3857", "EPSG:4326"):
-        return F.degrees(x / radius), F.degrees(2 * F.atan(F.exp(y / radius)) - F.lit(1.5707963267948966))
-    raise ValueError(f"{source} to {target} is not supported")
+        places = radius * F.radians(u), radius * F.log(F.tan(F.lit(0.7853981633974483) + F.radians(v) / 2))
+    elif (source, target) == ("EPSG:3857", "EPSG:4326"):
+        places = F.degrees(u / radius), F.degrees(2 * F.atan(F.exp(v / radius)) - F.lit(1.5707963267948966))
+    elif target == "EPSG:4326" and _utm(source):
+        zone, north = _utm(source)
+        lat, lon = utm_to_wgs84_sql(f"`{x}`", f"`{y}`", str(zone), north)
+        places = F.expr(lon), F.expr(lat)
+    elif (source, target) == ("EPSG:2039", "EPSG:4326"):
+        moved = itm_to_wgs84(df, x, y, "_lat", "_lon")
+        return moved.select(*rest, F.col("_lon").alias(out[0]), F.col("_lat").alias(out[1]))
+    else:
+        raise ValueError(f"{source} to {target} is not supported")
+    return df.select(*rest, places[0].alias(out[0]), places[1].alias(out[1]))

@@ -2,16 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import ceil, floor
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracol.functions.columns import PIXEL_AREA, nan_nonpositive, no_nan
+from terracol.functions.session import materialised
 
 
 def long_bands(pixels: DataFrame, *keep: str) -> DataFrame:
     return pixels.select(*keep, F.posexplode("bands").alias("band", "value"))
 
 
+#: Rows of one range that exact_quantiles sorts, and the bins it cuts larger ones into.
+SORTED_ROWS = 1 << 20
+BINS = 1024
+
+
+def exact_quantiles(values: DataFrame, probs: list[float]) -> DataFrame:
+    """(band, q): the quantiles of the non-null, non-NaN ``value`` of each band, linear between neighbours; a band
+    without values has no row.
+
+    A wanted rank's range is cut into BINS bins, whose counts tell where the rank lies, until SORTED_ROWS rows or fewer
+    are left in it; these alone are sorted. So no task holds a band, and a row a band, range and bin reaches the driver.
+    """
+    spark = values.sparkSession
+    v = values.where(F.col("value").isNotNull() & ~F.isnan("value")).select("band", F.col("value").cast("double").alias("value"))
+    ends = {r["band"]: r for r in v.groupBy("band").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()}
+    state = {}  # (band, rank) -> low, high, rows below low, rows inside
+    for band, r in ends.items():
+        for p in probs:
+            for rank in {floor(p * (r["n"] - 1)), ceil(p * (r["n"] - 1))}:
+                state[band, rank] = (r["low"], r["high"], 0, r["n"])
+
+    def inside(keys: list) -> DataFrame:
+        ranges = sorted({(band, *state[band, rank][:2]) for band, rank in keys})
+        return v.join(F.broadcast(spark.createDataFrame(ranges, "band int, low double, high double")), "band").where("value BETWEEN low AND high")
+
+    while True:
+        wide = [k for k, (low, high, _, n) in state.items() if n > SORTED_ROWS and low < high]
+        if not wide:
+            break
+        at = F.least(F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
+        rows = inside(wide).groupBy("band", "low", "high", at.alias("bin")).agg(F.count("*").alias("n"), F.min("value").alias("a"), F.max("value").alias("b")).collect()
+        by_range: dict[tuple, list] = {}
+        for r in sorted(rows, key=lambda r: r["bin"]):
+            by_range.setdefault((r["band"], r["low"], r["high"]), []).append(r)
+        for band, rank in wide:
+            low, high, below, _ = state[band, rank]
+            for r in by_range[band, low, high]:
+                if below + r["n"] > rank:
+                    state[band, rank] = (r["a"], r["b"], below, r["n"])
+                    break
+                below += r["n"]
+    found = {k: s[0] for k, s in state.items() if s[0] == s[1]}
+    rest = [k for k in state if k not in found]
+    if rest:
+        wanted = spark.createDataFrame([(band, *state[band, rank][:2], rank, rank - state[band, rank][2] + 1) for band, rank in rest], "band int, low double, high double, rank long, at long")
+        order = inside(rest).withColumn("at", F.row_number().over(Window.partitionBy("band", "low", "high").orderBy("value")))
+        found |= {(r["band"], r["rank"]): r["value"] for r in order.join(F.broadcast(wanted), ["band", "low", "high", "at"]).collect()}
+    out = []
+    for band, r in ends.items():
+        q = []
+        for p in probs:
+            h = p * (r["n"] - 1)
+            a, b = found[band, floor(h)], found[band, ceil(h)]
+            q.append(a + (b - a) * (h - floor(h)))
+        out.append((band, q))
+    return spark.createDataFrame(out, "band int, q array<double>")
+
+
 def band_stats(pixels: DataFrame, **aggregates) -> DataFrame:
     """One row: for each name an array over bands. One pass; band counts are small, pixels only feed partial sums."""
     per = long_bands(pixels).groupBy("band").agg(*[a.alias(k) for k, a in aggregates.items()])
@@ -33,11 +94,24 @@ def normalize_minmax(df: DataFrame, value: str = "value") -> DataFrame:
     return df.crossJoin(F.broadcast(ends)).withColumn(value, (F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))).drop("_low", "_high")
 
 
+def _band_map(table: DataFrame) -> Column:
+    """A literal map from band to ``q`` of a table with one row a band."""
+    rows = table.select("band", "q").collect()
+    if not rows:
+        return F.create_map().cast("map<int,array<double>>")
+    return F.create_map(*[x for r in rows for x in (F.lit(r["band"]), F.array(*[F.lit(v) for v in r["q"]]))])
+
+
 def normalize_p95(pixels: DataFrame) -> DataFrame:
     """Each band over its 95th percentile (linear between values) of what is above 0, where that is above 0."""
     clean = pixels.withColumn("bands", F.transform("bands", nan_nonpositive))
-    top = band_stats(clean, top=F.percentile("value", F.lit(0.95)))
-    return clean.crossJoin(F.broadcast(top)).withColumn("bands", F.zip_with("bands", "top", lambda x, m: F.when(m > 0, x / m).otherwise(x))).drop("top")
+    top = _band_map(exact_quantiles(long_bands(clean), [0.95]))
+
+    def scale(x: Column, i: Column) -> Column:
+        m = F.get(F.try_element_at(top, i), F.lit(0))
+        return F.when(m > 0, x / m).otherwise(x)
+
+    return clean.withColumn("bands", F.transform("bands", scale))
 
 
 def normalize_zscore(pixels: DataFrame) -> DataFrame:
@@ -46,9 +120,15 @@ def normalize_zscore(pixels: DataFrame) -> DataFrame:
 
 
 def normalize_robust(pixels: DataFrame) -> DataFrame:
-    s = band_stats(pixels, q=F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    iqr = lambda i: F.get("q", i)[2] - F.get("q", i)[0]
-    return pixels.crossJoin(F.broadcast(s)).withColumn("bands", F.transform("bands", lambda x, i: (x - F.get("q", i)[1]) / F.when(iqr(i) != 0, iqr(i)))).drop("q")
+    """Each band less its median, over its interquartile range; null where that is 0."""
+    table = _band_map(exact_quantiles(long_bands(pixels), [0.25, 0.5, 0.75]))
+
+    def scale(x: Column, i: Column) -> Column:
+        q = F.try_element_at(table, i)
+        iqr = F.get(q, F.lit(2)) - F.get(q, F.lit(0))
+        return (x - F.get(q, F.lit(1))) / F.when(iqr != 0, iqr)
+
+    return pixels.withColumn("bands", F.transform("bands", scale))
 
 
 def t_quantile(df: int, p: float = 0.975) -> float:
@@ -77,11 +157,13 @@ def t_quantile(df: int, p: float = 0.975) -> float:
 def spectral_stats(pixels: DataFrame) -> DataFrame:
     """Per band: n (null pixels too), mean, median, std, sem, margin (95 % t), iqr, min, max."""
     v = no_nan(F.col("value"))
-    q = lambda p: F.percentile(v, F.lit(p))
-    s = long_bands(pixels).groupBy("band").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), q(0.5).alias("median"), F.stddev_samp(v).alias("std"), (q(0.75) - q(0.25)).alias("iqr"), F.min(v).alias("min"), F.max(v).alias("max"))
+    s = materialised(long_bands(pixels).groupBy("band").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")))
     sizes = [r["n"] for r in s.select("n").distinct().collect()]  # one number a band at most
     quantile = s.sparkSession.createDataFrame([(n, t_quantile(n - 1)) for n in sizes], "n long, t double")
-    return s.join(F.broadcast(quantile), "n").withColumn("sem", F.col("std") / F.sqrt("n")).withColumn("margin", F.col("sem") * F.col("t")).drop("t")
+    q = exact_quantiles(long_bands(pixels), [0.25, 0.5, 0.75])
+    s = s.join(F.broadcast(quantile), "n").join(F.broadcast(q), "band", "left")
+    sem = F.col("std") / F.sqrt("n")
+    return s.select("band", "n", "mean", F.col("q")[1].alias("median"), "std", sem.alias("sem"), (sem * F.col("t")).alias("margin"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "min", "max")
 
 
 def mask_values_per_band(pixels: DataFrame, cells: DataFrame) -> DataFrame:
@@ -89,7 +171,9 @@ def mask_values_per_band(pixels: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def mask_average_per_band(pixels: DataFrame, cells: DataFrame) -> DataFrame:
-    return mask_values_per_band(pixels, cells).groupBy("band").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"))
+    values = mask_values_per_band(pixels, cells)
+    q = exact_quantiles(values, [0.5])
+    return values.groupBy("band").agg(F.avg("value").alias("mean")).join(F.broadcast(q), "band", "left").select("band", "mean", F.col("q")[0].alias("median"))
 
 
 def value_histogram(df: DataFrame, value: str = "value") -> DataFrame:
@@ -169,13 +253,21 @@ def pci_metrics(df: DataFrame, tolerance: float = 1.0, *by: str) -> DataFrame:
     return out
 
 
+#: Labels that a full confusion matrix is made for, at most.
+LABELS = 4096
+
+
 def confusion_matrix(df: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Every pair of labels with its count; labels (a ``label`` column, few rows) default to those that occur."""
+    """(y_true, y_pred, n): the pairs that occur; with labels (a ``label`` column, LABELS rows at most), every pair of
+    these, 0 where it doesn't occur."""
     c = confusion_counts(df)
     if labels is None:
-        labels = c.select(F.col("y_true").alias("label")).unionByName(c.select(F.col("y_pred").alias("label"))).distinct()
-    a, b = labels.select(F.col("label").alias("y_true")), labels.select(F.col("label").alias("y_pred"))
-    return a.crossJoin(F.broadcast(b)).join(c, ["y_true", "y_pred"], "left").select("y_true", "y_pred", F.coalesce("n", F.lit(0)).alias("n"))
+        return c.select("y_true", "y_pred", "n")
+    names = [r["label"] for r in labels.select("label").distinct().limit(LABELS + 1).collect()]
+    if len(names) > LABELS:
+        raise ValueError(f"a full matrix is made for {LABELS} labels at most")
+    every = labels.select(F.col("label").alias("y_true")).distinct().withColumn("y_pred", F.explode(F.array(*[F.lit(v) for v in names])))
+    return every.join(c, ["y_true", "y_pred"], "left").select("y_true", "y_pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def classification_report(df: DataFrame) -> DataFrame:
@@ -216,6 +308,3 @@ def false_color_pca(pixels: DataFrame) -> DataFrame:
 def stack_bands(rasters: DataFrame) -> DataFrame:
     return rasters.groupBy("row", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "value"))), lambda x: x["value"]).alias("bands"))
 
-
-def window_over_file(order: str, *by: str):
-    return Window.partitionBy(*by).orderBy(order)

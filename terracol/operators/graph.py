@@ -2,42 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracol.functions.session import materialised
+from terracol.functions.session import materialised, numbered
 from terracol.operators.aggregates import bounding_boxes
-from terracol.operators.raster import dilate, disk
+from terracol.operators.raster import disk
 
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 EIGHT = [*FOUR, (-1, -1), (-1, 1), (1, -1), (1, 1)]
 
 
+#: Side of the squares whose cells are joined in one task, and the cells of a box that a path is searched in at once.
+TILE = 256
+BOX_CELLS = 1 << 20
+
+
 def _moves(around):
     return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around])
 
 
+def tile_roots(row: np.ndarray, col: np.ndarray, eight: bool) -> np.ndarray:
+    """For the cells of one square, in any order, the place of the first cell (by row and column) each is joined to."""
+    order = np.lexsort((col, row))
+    r, c = row[order] - row.min(), col[order] - col.min()
+    at = np.full((r.max() + 3, c.max() + 3), -1, np.int64)
+    at[r + 1, c + 1] = np.arange(len(r))
+    label = np.arange(len(r))
+    pairs = []
+    for i, j in [(1, 0), (0, 1), *([(1, 1), (1, -1)] if eight else [])]:
+        b = at[r + 1 + i, c + 1 + j]
+        a = np.nonzero(b >= 0)[0]
+        pairs.append(np.stack([a, b[a]]))
+    a, b = np.concatenate(pairs, axis=1)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while True:
+            onward = label[label]
+            if (onward == label).all():
+                break
+            label = onward
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    out = np.empty(len(r), np.int64)
+    out[order] = order[label]
+    return out
+
+
 def connected_components(cells: DataFrame, eight: bool = False, by: str | None = None) -> DataFrame:
     """cells with ``component``: 1, 2, ... by each component's first cell in row-major order (within ``by``, if given).
 
-    Runs of cells in a row are joined first, then runs that touch take the least label around and follow it (pointer
-    jumping), so rounds are few even on long roads. Each round is checkpointed.
+    Cells of a square of TILE x TILE are joined in one task; only cells on the squares' edges meet across them, and the
+    squares' parts then take the least label around and follow it (pointer jumping), in few rounds on a small table.
+    Each round is checkpointed. Components are numbered in ranges. Repeated cells count once.
     """
-    from pyspark.sql import Window
-
     keys = [by] if by else []
     c = cells.select(*keys, "row", "col").distinct()
-    w = Window.partitionBy(*keys, "row").orderBy("col")
-    runs = c.withColumn("_g", F.col("col") - F.row_number().over(w)).withColumn("_start", F.min("col").over(Window.partitionBy(*keys, "row", "_g")))
-    node = F.struct(*keys, F.col("row").alias("row"), F.col("_start").alias("col"))
-    cell = materialised(runs.select(*keys, "row", "col", node.alias("node")))
-    up = [m for m in (EIGHT if eight else FOUR) if m[0] == 1]
-    other = cell.select(*keys, F.col("row").alias("r"), F.col("col").alias("k"), F.col("node").alias("b"))
-    moved = cell.withColumn("m", F.explode(_moves(up))).select(*keys, F.col("node").alias("a"), (F.col("row") + F.col("m.i")).alias("r"), (F.col("col") + F.col("m.j")).alias("k"))
-    edges = moved.join(other, [*keys, "r", "k"]).select("a", "b").distinct()
-    edges = materialised(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = materialised(cell.select("node").distinct().withColumn("to", F.col("node")))
-    while True:
+    tile = [F.floor(F.col(v) / TILE).alias(f"_t{v}") for v in ("row", "col")]
+
+    def run(p):
+        at = tile_roots(p["row"].to_numpy(), p["col"].to_numpy(), eight)
+        return p.assign(row0=p["row"].to_numpy()[at], col0=p["col"].to_numpy()[at])[[*keys, "row", "col", "row0", "col0"]]
+
+    schema = c.select(*keys, "row", "col", F.col("row").alias("row0"), F.col("col").alias("col0")).schema
+    parts = c.select(*keys, "row", "col", *tile).groupBy(*keys, "_trow", "_tcol").applyInPandas(run, schema)
+    cell = materialised(parts.select(*keys, "row", "col", F.struct(*keys, F.col("row0").alias("row"), F.col("col0").alias("col")).alias("node")))
+    on_edge = " OR ".join(f"pmod({v}, {TILE}) IN (0, {TILE - 1})" for v in ("row", "col"))
+    border = cell.where(on_edge)
+    up = EIGHT if eight else FOUR
+    moved = border.withColumn("m", F.explode(_moves(up))).select(*keys, F.col("node").alias("a"), (F.col("row") + F.col("m.i")).alias("r"), (F.col("col") + F.col("m.j")).alias("k"))
+    other = border.select(*keys, F.col("row").alias("r"), F.col("col").alias("k"), F.col("node").alias("b"))
+    edges = materialised(moved.join(other, [*keys, "r", "k"]).where("a <> b").select("a", "b").distinct())
+    label = materialised(edges.select(F.col("a").alias("node")).distinct().withColumn("to", F.col("node")))
+    same = edges.isEmpty()
+    while not same:
         around = edges.join(label.select(F.col("node").alias("b"), "to"), "b").groupBy(F.col("a").alias("node")).agg(F.min("to").alias("low"))
         step = label.join(around, "node", "left").select("node", "to", F.least("to", F.coalesce("low", "to")).alias("next"))
         # a label's own label may be lower still, and a node's old label learns of the node's new one
@@ -46,23 +90,93 @@ def connected_components(cells: DataFrame, eight: bool = False, by: str | None =
         step = materialised(step)
         same = step.where("to <> next").isEmpty()
         label = step.select("node", F.col("next").alias("to"))
-        if same:
-            break
-    roots = label.select("to").distinct()
-    number = roots.select("to", F.row_number().over(Window.partitionBy(*[F.col(f"to.{k}") for k in keys]).orderBy("to") if keys else Window.orderBy("to")).alias("component"))
-    return cell.join(label, "node").join(number, "to").select(*keys, "row", "col", "component")
-
-
-def shortest_paths(cells: DataFrame, pairs: DataFrame) -> DataFrame:
+    joined = cell.join(label, "node", "left").select(*keys, "row", "col", F.coalesce("to", "node").alias("root"))
+    roots = joined.where((F.col("row") == F.col("root.row")) & (F.col("col") == F.col("root.col"))).select(*keys, F.col("row").alias("row0"), F.col("col").alias("col0"))
+    number = numbered(roots, "row0", "col0", by=tuple(keys), name="component").select(F.struct(*keys, F.col("row0").alias("row"), F.col("col0").alias("col")).alias("root"), F.col("component").cast("int").alias("component"))
+    return joined.join(number, "root").select(*keys, "row", "col", "component")
+
+
+def box_path(mask: np.ndarray, start: tuple[int, int], stop: tuple[int, int]) -> list[tuple[int, int]]:
+    """A shortest 8-neighbour path in a dense mask, traced back from the stop over the least (row, column) before each
+    cell; the stop cell alone without one."""
+    if not mask[start]:
+        return [stop]
+    wide = np.zeros((mask.shape[0] + 2, mask.shape[1] + 2), bool)
+    wide[1:-1, 1:-1] = mask
+    width = wide.shape[1]
+    steps = np.full(wide.size, -1, np.int64)
+    free = wide.reshape(-1)
+    moves = np.array(sorted(i * width + j for i, j in EIGHT))
+    front = np.array([(start[0] + 1) * width + start[1] + 1])
+    goal, k = (stop[0] + 1) * width + stop[1] + 1, 0
+    steps[front] = 0
+    while len(front) and steps[goal] < 0:
+        k += 1
+        near = np.unique(front[:, None] + moves)
+        front = near[free[near] & (steps[near] < 0)]
+        steps[front] = k
+    if steps[goal] < 0:
+        return [stop]
+    path = [goal]
+    for k in range(steps[goal] - 1, -1, -1):
+        before = path[-1] + moves  # in row-major order
+        path.append(int(before[steps[before] == k][0]))
+    return [(at // width - 1, at % width - 1) for at in reversed(path)]
+
+
+def shortest_paths(cells: DataFrame, pairs: DataFrame, box_cells: int | None = None) -> DataFrame:
     """(pair_id, step, row, col): a shortest 8-neighbour path for each pair inside the box of its ends; without one, the
-    stop cell alone. pairs has pair_id, r0, c0, r1, c1. All pairs advance together, a step a round, until no
-    front is left."""
-    p = pairs.select("pair_id", "r0", "c0", "r1", "c1", F.least("r0", "r1").alias("a"), F.greatest("r0", "r1").alias("b"), F.least("c0", "c1").alias("c"), F.greatest("c0", "c1").alias("d"))
-    mask = cells.select("row", "col").distinct()
+    stop cell alone. pairs has pair_id (long, unique), r0, c0, r1, c1. Of paths of one length the one whose cells, from the
+    stop back, are least by (row, column) is given. A stop outside the mask is reached by none.
+
+    A pair whose box holds BOX_CELLS cells or fewer is searched in one task; pairs of larger boxes advance together, a
+    step a round over all tasks, until no front is left.
+    """
+    most = BOX_CELLS if box_cells is None else box_cells
+    p = pairs.select(F.col("pair_id").cast("long").alias("pair_id"), "r0", "c0", "r1", "c1", F.least("r0", "r1").alias("a"), F.greatest("r0", "r1").alias("b"), F.least("c0", "c1").alias("c"), F.greatest("c0", "c1").alias("d"))
+    area = (F.col("b") - F.col("a") + 1).cast("long") * (F.col("d") - F.col("c") + 1)
+    mask = cells.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
+    small, large = p.where(area <= most), p.where(area > most)
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / TILE), F.floor(F.col(high) / TILE)))
+    spread = small.withColumn("_tr", span("a", "b")).withColumn("_tc", span("c", "d"))
+    placed = mask.withColumn("_tr", F.floor(F.col("row") / TILE)).withColumn("_tc", F.floor(F.col("col") / TILE))
+    inside = spread.join(placed, ["_tr", "_tc"]).where("row BETWEEN a AND b AND col BETWEEN c AND d").select(F.col("pair_id").alias("pair"), "row", "col")
+    # a pair's cells, then its ends; a task takes pair after pair
+    ends = small.select("pair_id", F.lit(1).alias("kind"), *[F.col(c).cast("int").alias(c) for c in ("r0", "c0", "r1", "c1")])
+    rows = inside.select(F.col("pair").alias("pair_id"), F.lit(0).alias("kind"), F.col("row").alias("r0"), F.col("col").alias("c0"), F.lit(0).alias("r1"), F.lit(0).alias("c1")).unionByName(ends)
+    ready = rows.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair_id").sortWithinPartitions("pair_id", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            rows = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(6)], axis=1)
+            rows = rows if held is None else np.concatenate([held, rows])
+            at, out = 0, []
+            for end in np.nonzero(rows[:, 1] == 1)[0].tolist():
+                pair, _, r0, c0, r1, c1 = rows[end].tolist()
+                a, c = min(r0, r1), min(c0, c1)
+                grid = np.zeros((abs(r0 - r1) + 1, abs(c0 - c1) + 1), bool)
+                grid[rows[at:end, 2] - a, rows[at:end, 3] - c] = True
+                path = np.array(box_path(grid, (r0 - a, c0 - c), (r1 - a, c1 - c)))
+                out.append(np.column_stack([np.full(len(path), pair), np.arange(len(path)), path[:, 0] + a, path[:, 1] + c]))
+                at = end + 1
+            held = rows[at:]
+            if out:
+                found = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), *(pa.array(found[:, i].astype(np.int32)) for i in (1, 2, 3))], names=["pair_id", "step", "row", "col"])
+
+    done = ready.mapInArrow(run, "pair_id long, step int, row int, col int")
+    if large.isEmpty():
+        return done
+    return done.unionByName(_paths_together(mask, large).select("pair_id", F.col("step").cast("int").alias("step"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")))
+
+
+def _paths_together(mask: DataFrame, p: DataFrame) -> DataFrame:
+    """shortest_paths of boxes of any size: a front a pair, grown by all tasks a step a round."""
     front = materialised(p.join(mask, (F.col("r0") == F.col("row")) & (F.col("c0") == F.col("col"))).select("pair_id", "row", "col", F.lit(0).alias("step")))
     seen = front
     box = p.select("pair_id", "a", "b", "c", "d", "r1", "c1")
-    done = front.limit(0).select("pair_id")
+    done = materialised(front.limit(0).select("pair_id"))
     k = 0
     while True:
         k += 1
@@ -72,7 +186,7 @@ def shortest_paths(cells: DataFrame, pairs: DataFrame) -> DataFrame:
         if front.isEmpty():
             break
         seen = materialised(seen.unionByName(front))
-        done = seen.join(p, (seen["pair_id"] == p["pair_id"]) & (F.col("row") == F.col("r1")) & (F.col("col") == F.col("c1")), "left_semi").select("pair_id")
+        done = seen.join(box, "pair_id").where((F.col("row") == F.col("r1")) & (F.col("col") == F.col("c1"))).select("pair_id").distinct()
     at = materialised(p.join(seen.withColumnRenamed("pair_id", "_p"), (F.col("pair_id") == F.col("_p")) & (F.col("row") == F.col("r1")) & (F.col("col") == F.col("c1"))).select("pair_id", "row", "col", "step"))
     path = at
     while not at.where("step > 0").isEmpty():
@@ -90,8 +204,11 @@ def segment_burn(paths: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFra
     return j.groupBy("row", "col").agg(F.max_by("seg_id", "pair_id").alias("seg_id")), pairs.groupBy("seg_id").agg(F.max_by("pci", "pair_id").alias("pci"))
 
 
-def extract_instances(labels: DataFrame, eight: bool = False) -> DataFrame:
-    return connected_components(labels.where("value > 0"), eight)
+def extract_instances(labels: DataFrame, pixels: DataFrame | None = None, eight: bool = False) -> DataFrame:
+    """The cells of every connected area of values above 0 with its ``component``; with pixels, the image's columns
+    inside it too (null where the image has no such cell)."""
+    found = connected_components(labels.where("value > 0"), eight)
+    return found if pixels is None else found.join(pixels, ["row", "col"], "left")
 
 
 def process_labeled_image(labels: DataFrame, pixels: DataFrame, lut: DataFrame | None = None, radius: int = 1, height: int | None = None, width: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -119,6 +236,3 @@ def process_labeled_image(labels: DataFrame, pixels: DataFrame, lut: DataFrame |
     live = inside.where(valid).select("region").distinct()
     return regions.join(live, "region", "left_semi"), inside.join(live, "region", "left_semi")
 
-
-def road_mask(cells: DataFrame, radius: int, height: int, width: int) -> DataFrame:
-    return dilate(cells, disk(radius), height, width)

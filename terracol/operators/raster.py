@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,16 +169,37 @@ def or_nan(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 # --- offsets ---------------------------------------------------------------------------------------------------
+#: Side of the squares in which overlaps are counted in one task.
+TILE = 128
+
+
 def offset_scores(ideal: DataFrame, detected: DataFrame, shift: int) -> DataFrame:
-    """Overlap of ``ideal`` with ``detected`` moved by (dy, dx), for every move up to ``shift`` each way."""
+    """Overlap of ``ideal`` with ``detected`` moved by (dy, dx), for every move up to ``shift`` each way. Repeated cells
+    count once.
+
+    A square of ideal cells meets the detected cells in it and ``shift`` around it in one task, which counts every move
+    on dense arrays; a row a move leaves it.
+    """
     spark = ideal.sparkSession
-    b = F.lit(max(1, shift))
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = ideal.select("row", "col", F.explode(near).alias("n")).select(F.col("row").alias("r1"), F.col("col").alias("c1"), (F.floor(F.col("row") / b) + F.col("n.i")).alias("kr"), (F.floor(F.col("col") / b) + F.col("n.j")).alias("kc"))
-    d = detected.select(F.col("row").alias("r2"), F.col("col").alias("c2"), F.floor(F.col("row") / b).alias("kr"), F.floor(F.col("col") / b).alias("kc"))
-    hits = a.join(d, ["kr", "kc"]).select((F.col("r1") - F.col("r2")).alias("dy"), (F.col("c1") - F.col("c2")).alias("dx")).where(F.col("dy").between(-shift, shift) & F.col("dx").between(-shift, shift))
-    every = spark.range(-shift, shift + 1).select(F.col("id").cast("int").alias("dy")).crossJoin(spark.range(-shift, shift + 1).select(F.col("id").cast("int").alias("dx")))
-    return every.join(F.broadcast(hits.groupBy("dy", "dx").agg(F.count("*").alias("score"))), ["dy", "dx"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    moves = np.arange(-shift, shift + 1)
+    tile = lambda v, off: F.floor((F.col(v) + off) / TILE).cast("int")
+    a = ideal.select("row", "col").distinct().select("row", "col", tile("row", 0).alias("ty"), tile("col", 0).alias("tx"))
+    d = detected.select("row", "col").distinct()
+    d = d.withColumn("ty", F.explode(F.sequence(tile("row", -shift), tile("row", shift)))).withColumn("tx", F.explode(F.sequence(tile("col", -shift), tile("col", shift))))
+
+    def run(key, mine, other):
+        if not len(mine) or not len(other):
+            return pd.DataFrame({"dy": [], "dx": [], "score": []}).astype({"dy": "int32", "dx": "int32", "score": "int64"})
+        top, left = key[0] * TILE, key[1] * TILE
+        here, around = np.zeros((TILE, TILE), bool), np.zeros((TILE + 2 * shift, TILE + 2 * shift), bool)
+        here[mine["row"].to_numpy() - top, mine["col"].to_numpy() - left] = True
+        around[other["row"].to_numpy() - top + shift, other["col"].to_numpy() - left + shift] = True
+        found = [[np.count_nonzero(here & around[shift - dy : shift - dy + TILE, shift - dx : shift - dx + TILE]) for dx in moves] for dy in moves]
+        return pd.DataFrame({"dy": np.repeat(moves, len(moves)).astype(np.int32), "dx": np.tile(moves, len(moves)).astype(np.int32), "score": np.array(found, np.int64).reshape(-1)})
+
+    hits = a.groupBy("ty", "tx").cogroup(d.groupBy("ty", "tx")).applyInPandas(run, "dy int, dx int, score long").groupBy("dy", "dx").agg(F.sum("score").alias("score"))
+    every = spark.range(-shift, shift + 1).select(F.col("id").cast("int").alias("dy")).withColumn("dx", F.explode(F.sequence(F.lit(-shift), F.lit(shift))))
+    return every.join(hits, ["dy", "dx"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
 
 
 def best_offset(ideal: DataFrame, detected: DataFrame, shift: int = 20) -> DataFrame:
@@ -189,6 +212,16 @@ def apply_offset(cells: DataFrame, offset: DataFrame, height: int, width: int) -
     return j.withColumn("row", F.pmod(F.col("row") + F.col("dy"), F.lit(height)).cast("int")).withColumn("col", F.pmod(F.col("col") + F.col("dx"), F.lit(width)).cast("int")).drop("dy", "dx")
 
 
+def crop_by_offset(df: DataFrame, offset: DataFrame, height: int, width: int) -> DataFrame:
+    """The rows that an offset (one row dy, dx) leaves inside the image, moved to the origin: the first -dy rows go for
+    a move up, the last dy for a move down; columns alike."""
+    j = df.crossJoin(F.broadcast(offset.select("dy", "dx")))
+    first = lambda m: F.greatest(F.lit(0), -F.col(m))
+    inside = lambda v, m, n: (F.col(v) >= first(m)) & (F.col(v) < F.lit(n) - F.greatest(F.lit(0), F.col(m)))
+    j = j.where(inside("row", "dy", height) & inside("col", "dx", width))
+    return j.withColumn("row", (F.col("row") - first("dy")).cast("int")).withColumn("col", (F.col("col") - first("dx")).cast("int")).drop("dy", "dx")
+
+
 # --- lines -----------------------------------------------------------------------------------------------------
 def polyline_edges(vertices: DataFrame, line: str = "line", order: str = "ord") -> DataFrame:
     w = Window.partitionBy(line).orderBy(order)
@@ -230,16 +263,15 @@ def resample_path(points: DataFrame, n: int = 100, line: str = "line", order: st
 
 
 def greedy_path_order(points: DataFrame, line: str = "line", start: str = "westmost") -> DataFrame:
-    """Each path's points by nearest neighbour from the first, westmost or northmost one: columns of points and ``ord``.
+    """Each path's points by nearest neighbour from the first one, the westmost (least x) or the northmost (least y, as y
+    grows to the south): columns of points and ``ord``. Of equally near points the one of least idx is next.
     A path's points meet in one task; memory is bounded by a road segment's survey points."""
-    import numpy as np
-
     schema = points.select(line, "idx", "x", "y").withColumn("ord", F.lit(0)).schema
 
     def run(p):
         p = p.sort_values("idx")
         xy = p[["x", "y"]].to_numpy(float)
-        at = {"first": 0, "westmost": int(xy[:, 0].argmin()), "northmost": int(xy[:, 1].argmax())}[start]
+        at = {"first": 0, "westmost": int(xy[:, 0].argmin()), "northmost": int(xy[:, 1].argmin())}[start]
         left = np.ones(len(p), bool)
         order = np.zeros(len(p), int)
         for k in range(len(p)):
@@ -305,12 +337,10 @@ def fold_to_frame(cells: DataFrame, crop: int) -> DataFrame:
     """(region, row, col, value) folded into a crop x crop frame: what lies past the frame is mirrored back and wins
     over what is there; an index equal to crop drops out. Regions smaller than the frame both ways are copied."""
     n = cells.where("value <> 0")
-    size = n.groupBy("region").agg((F.max("row") < crop - 1).alias("_a"), (F.max("col") < crop - 1).alias("_b"))
-    j = n.join(size, "region")
     back = lambda v: F.when(F.col(v) >= crop, F.lit(crop) - (F.pmod(F.col(v), F.lit(crop)) + 1)).otherwise(F.col(v))
     inside = (F.col("row") < crop) & (F.col("col") < crop)
     past = (F.col("row") > crop) | (F.col("col") > crop)
-    f = j.where(inside | past).select("region", back("row").cast("int").alias("r"), back("col").cast("int").alias("c"), F.struct((~inside).alias("late"), F.col("row").alias("sr"), F.col("col").alias("sc")).alias("_o"), "value")
+    f = n.where(inside | past).select("region", back("row").cast("int").alias("r"), back("col").cast("int").alias("c"), F.struct((~inside).alias("late"), F.col("row").alias("sr"), F.col("col").alias("sc")).alias("_o"), "value")
     return f.groupBy("region", "r", "c").agg(F.max_by("value", "_o").alias("value"))
 
 
@@ -324,6 +354,16 @@ def augment_patches(patches: DataFrame, crop: int) -> DataFrame:
     return patches.withColumn("_o", F.explode(ops)).select(*rest, "_o.op", "_o.r", "_o.c")
 
 
+def sub_crops(patches: DataFrame, crop: int, size: int, count: int, seed: int = 42) -> DataFrame:
+    """``count`` squares of ``size`` cells out of each patch (column ``part``, from 0), moved to the origin; where they
+    lie follows from a hash of patch_id, part and seed."""
+    h = F.md5(F.concat_ws(":", F.col("patch_id").cast("string"), F.col("part").cast("string"), F.lit(str(seed))).cast("binary"))
+    at = lambda start: F.conv(F.substring(h, start, 8), 16, 10).cast("long") % (crop - size + 1)
+    p = patches.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    p = p.withColumn("r", (F.col("r") - at(1)).cast("int")).withColumn("c", (F.col("c") - at(9)).cast("int"))
+    return p.where(F.col("r").between(0, size - 1) & F.col("c").between(0, size - 1))
+
+
 def train_val_split(patches: DataFrame, share: float, seed: int = 42, key: str = "patch_id") -> DataFrame:
     h = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("long")
     return patches.withColumn("role", F.when(h % 1000 < int(round(1000 * share)), "val").otherwise("train"))
@@ -336,16 +376,17 @@ def centerline_windows(cells: DataFrame, pixels: DataFrame, length: int, overlap
     A window with any cell outside image_height x image_width is dropped. Its centre is its cell length // 2.
 
     A component's cells are ordered by (row, col); windows of ``length`` cells start every int(length (1 - overlap))
-    cells while one fits; each of their cells is sampled at k = -width // 2 ... width // 2 across. Numbering takes a
-    window function per component, so a component's cells meet in one task.
+    cells while one fits; each of their cells is sampled at k = -width // 2 ... width // 2 across, at places cut
+    towards zero. Cells are numbered in ranges, so no task holds a component.
     """
+    from terracol.functions.session import numbered
     from terracol.operators.graph import connected_components
 
     step = max(1, int(length * (1 - overlap)))
-    c = connected_components(cells)
-    w = Window.partitionBy("component").orderBy("row", "col")
-    n = F.count("*").over(Window.partitionBy("component"))
-    c = c.withColumn("i", F.row_number().over(w) - 1).withColumn("n", n).withColumn("dr", F.lead("row").over(w) - F.col("row")).withColumn("dc", F.lead("col").over(w) - F.col("col"))
+    c = numbered(connected_components(cells), "row", "col", by=("component",), name="i").withColumn("i", F.col("i") - 1)
+    after = c.select("component", (F.col("i") - 1).alias("i"), F.col("row").alias("_row"), F.col("col").alias("_col"))
+    c = c.join(after, ["component", "i"], "left").withColumn("dr", F.col("_row") - F.col("row")).withColumn("dc", F.col("_col") - F.col("col")).drop("_row", "_col")
+    c = c.join(c.groupBy("component").agg(F.count("*").alias("n")), "component")
     last = F.floor((F.col("n") - length - 1) / step)
     first = F.greatest(F.ceil((F.col("i") - length + 1) / step), F.lit(0))
     m = c.where(F.col("n") > length).withColumn("window", F.explode(F.when(first <= F.least(F.floor(F.col("i") / step), last), F.sequence(first.cast("int"), F.least(F.floor(F.col("i") / step), last).cast("int")))))
@@ -356,7 +397,7 @@ def centerline_windows(cells: DataFrame, pixels: DataFrame, length: int, overlap
     half = width // 2
     m = m.withColumn("i", (F.col("i") - F.col("window") * step).cast("int"))
     j = m.join(t, ["component", "window"]).withColumn("k", F.explode(F.sequence(F.lit(-half), F.lit(half))))
-    j = j.select("component", "window", "i", "k", F.col("row").alias("_r"), F.col("col").alias("_c"), F.rint(F.col("row") + F.col("k") * F.col("pr")).cast("int").alias("row"), F.rint(F.col("col") + F.col("k") * F.col("pc")).cast("int").alias("col"))
+    j = j.select("component", "window", "i", "k", F.col("row").alias("_r"), F.col("col").alias("_c"), (F.col("row") + F.col("k") * F.col("pr")).cast("int").alias("row"), (F.col("col") + F.col("k") * F.col("pc")).cast("int").alias("col"))
     inner = F.col("row").between(0, image_height - 1) & F.col("col").between(0, image_width - 1)
     middle = (F.col("i") == length // 2) & (F.col("k") == 0)
     whole = j.groupBy("component", "window").agg(F.min(inner).alias("_in"), F.min(F.when(middle, F.col("_r"))).alias("center_row"), F.min(F.when(middle, F.col("_c"))).alias("center_col"))

@@ -13,6 +13,7 @@ from terracol.operators import aggregates as A
 from terracol.operators import graph as G
 from terracol.operators import joins as J
 from terracol.operators import raster as R
+from terracol.sources import tables as S
 
 
 @dataclass
@@ -26,10 +27,10 @@ class Scene:
     width: int
 
 
-def pci_proximity(scene: Scene, *, step: float, merge: float = 50e-5, near: float = 50e-5) -> DataFrame:
+def pci_proximity(scene: Scene, *, step: float, merge: float = 50e-5, near: float = 50e-5, method: str = "mean_min") -> DataFrame:
     """Survey values on road cells near survey points: merge close points, take road cells near one, close gaps, give
     each cell its nearest point's value."""
-    points = materialised(J.merge_close_points(scene.points, merge))
+    points = materialised(J.merge_close_points(scene.points, merge, method))
     ends = points.select("idx", "pci", F.col("lon").alias("rx"), F.col("lat").alias("ry"))
     places = scene.pixels.select("row", "col", F.col("lon").alias("lx"), F.col("lat").alias("ly"))
     close = R.mask_and(J.near_any(places, ends, near), scene.roads)
@@ -38,15 +39,37 @@ def pci_proximity(scene: Scene, *, step: float, merge: float = 50e-5, near: floa
     return J.nearest(wanted, ends, "cell", ["idx"], step).select("row", "col", F.col("pci").alias("value"))
 
 
-def pci_segments(cells: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Segment ids burnt along shortest paths between consecutive points, and the segments' values."""
-    return G.segment_burn(G.shortest_paths(cells, pairs), pairs)
+def snap_points(points: DataFrame, pixels: DataFrame, roads: DataFrame, step: float) -> DataFrame:
+    """(idx, row, col): each point's nearest pixel by coordinates, moved to the road cell nearest to it by rows and columns."""
+    places = points.select("idx", F.col("lon").alias("lx"), F.col("lat").alias("ly"))
+    grid = pixels.select("row", "col", F.col("lon").alias("rx"), F.col("lat").alias("ry"))
+    at = J.nearest(places, grid, "idx", ["row", "col"], step).select("idx", F.col("row").cast("double").alias("ly"), F.col("col").cast("double").alias("lx"))
+    cells = roads.select("row", "col", F.col("row").cast("double").alias("ry"), F.col("col").cast("double").alias("rx"))
+    return J.nearest(at, cells, "idx", ["row", "col"], 2.0).select("idx", "row", "col")
 
 
-def enhance(labels: DataFrame, rgb: DataFrame, roads: DataFrame, height: int, width: int, *, grow: int = 10, gray_threshold: float | None = None, white: float = 0.92, grad_threshold: float | None = None, shift: int = 20) -> DataFrame:
+def segment_pairs(scene: Scene, step: float, block: int = 100_000) -> DataFrame:
+    """(pair_id, seg_id, pci, r0, c0, r1, c1): points followed by one of their segment, both moved to the road; the pair
+    has the first one's idx and value."""
+    pairs = materialised(J.consecutive_pairs(scene.points, block))
+    used = pairs.select("idx").union(pairs.select(F.col("next_idx").alias("idx"))).distinct()
+    ends = materialised(snap_points(scene.points.join(used, "idx", "left_semi"), scene.pixels, scene.roads, step))
+    a, b = ends.toDF("idx", "r0", "c0"), ends.toDF("next_idx", "r1", "c1")
+    out = pairs.join(a, "idx").join(b, "next_idx").join(scene.points.select("idx", "pci"), "idx")
+    return out.select(F.col("idx").alias("pair_id"), "seg_id", "pci", "r0", "c0", "r1", "c1")
+
+
+def pci_segments(scene: Scene, *, step: float, block: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Segment ids burnt along shortest road paths between consecutive points (of crossing pairs the later wins), and
+    the segments' values (seg_id, pci)."""
+    pairs = materialised(segment_pairs(scene, step, block))
+    return G.segment_burn(G.shortest_paths(scene.roads, pairs), pairs)
+
+
+def enhance(labels: DataFrame, rgb: DataFrame, roads: DataFrame, height: int, width: int, *, grow: int = 10, gray_threshold: float | None = None, white: float = 0.92, grad_threshold: float | None = None, shift: int = 20) -> tuple[DataFrame, DataFrame | None]:
     """Grow the labels; keep them on asphalt-coloured cells after the road mask is moved onto them; drop steep cells.
-    A threshold of None or below 0 skips its step."""
-    out = R.morph_multiclass(labels, R.square(grow), "dilation", height, width).withColumn("value", nan_nonpositive(F.col("value")))
+    A threshold of None or below 0 skips its step. Returns the labels and the move (one row dy, dx; None without one)."""
+    out, offset = R.morph_multiclass(labels, R.square(grow), "dilation", height, width).withColumn("value", nan_nonpositive(F.col("value"))), None
     if gray_threshold is not None and gray_threshold >= 0:
         gray = rgb.where(gray_mask(F.col("r"), F.col("g"), F.col("b"), gray_threshold, white)).select("row", "col")
         offset = materialised(R.best_offset(gray, roads, shift))
@@ -54,32 +77,74 @@ def enhance(labels: DataFrame, rgb: DataFrame, roads: DataFrame, height: int, wi
         out = out.join(moved, ["row", "col"], "left_semi")
     if grad_threshold is not None and grad_threshold >= 0:
         out = R.grad_object_removal(rgb, out, height, width, grad_threshold)
-    return out.where("value IS NOT NULL")
+    return out.where("value IS NOT NULL"), offset
+
+
+def crop_scene(scene: Scene, offset: DataFrame) -> Scene:
+    """All layers without the border that the move leaves undefined; points stay."""
+    move = offset.first()
+    cut = [R.crop_by_offset(df, offset, scene.height, scene.width) for df in (scene.pixels, scene.roads)]
+    return Scene(*cut, scene.points, scene.height - abs(move["dy"]), scene.width - abs(move["dx"]))
+
+
+def region_frames(regions: DataFrame, members: DataFrame, crop: int) -> tuple[DataFrame, DataFrame]:
+    """Each region's pixels folded into a crop x crop frame (region, band, r, c, value), and its label where the frame's
+    first band holds a value (region, r, c, label)."""
+    own = members.join(regions.select("region", "min_row", "min_col"), "region")
+    flat = own.select("region", (F.col("row") - F.col("min_row")).alias("row"), (F.col("col") - F.col("min_col")).alias("col"), F.posexplode("bands").alias("band", "value")).where("value IS NOT NULL AND NOT isnan(value)")
+    folded = R.fold_to_frame(flat.select(F.struct("region", "band").alias("region"), "row", "col", "value"), crop)
+    frames = folded.select("region.region", "region.band", "r", "c", "value")
+    return frames, frames.where("band = 0").join(regions.select("region", "label"), "region").select("region", "r", "c", "label")
 
 
 def prepare_patches(pixels: DataFrame, segments: DataFrame, lut: DataFrame | None, height: int, width: int, crop: int, overlap: float, fill: int = 0) -> dict[str, DataFrame]:
-    """Regions, their pixels, and overlapping patches of road pixels with their labels; patches without a label go."""
+    """Regions with their pixels, frames and label rasters, and overlapping patches of road pixels: ``bands`` on all
+    segments, ``labeled_bands`` on those with a label, ``label``. Patches without a label go."""
     regions, members = G.process_labeled_image(segments, pixels, lut, 1, height, width)
-    ids = segments.select("row", "col", F.col("value").alias("seg"))
+    frames, frame_labels = region_frames(regions, members, crop)
+    ids = segments.where("value > 0").select("row", "col", F.col("value").alias("seg"))
     if lut is None:
-        labels = ids.select("row", "col", F.coalesce(F.col("seg").cast("int"), F.lit(fill)).alias("label"))
+        labels = ids.select("row", "col", F.col("seg").cast("int").alias("label"))
     else:
-        labels = ids.join(lut.select(F.col("seg_id").cast("double").alias("seg"), "pci"), "seg", "left").select("row", "col", F.coalesce(F.col("pci").cast("int"), F.lit(fill)).alias("label"))
-    masked = R.mask_apply(pixels, ids.where("seg > 0"))
-    joined = masked.join(labels, ["row", "col"], "left").withColumn("label", F.coalesce("label", F.lit(fill)))
-    patches = R.tile_patches(joined, height, width, crop, overlap)
+        labels = ids.join(lut.select(F.col("seg_id").cast("double").alias("seg"), "pci"), "seg", "left").select("row", "col", F.col("pci").cast("int").alias("label"))
+    road = R.mask_apply(pixels, ids)
+    joined = road.join(labels, ["row", "col"], "left").withColumn("labeled_bands", F.when(F.col("label").isNotNull(), F.col("bands")).otherwise(F.transform("bands", lambda _: F.lit(0.0))))
+    patches = R.tile_patches(joined.withColumn("label", F.coalesce("label", F.lit(fill))), height, width, crop, overlap)
     kept = R.drop_empty_patches(patches, patches.withColumn("value", F.col("label")))
-    return {"regions": regions, "region_pixels": members, "patches": kept.select("patch_id", "r", "c", "bands", "label")}
+    return {"regions": regions, "region_pixels": members, "region_frames": frames, "region_labels": frame_labels, "patches": kept.select("patch_id", "r", "c", "bands", "labeled_bands", "label")}
+
 
+def write_prepared(outputs: dict[str, DataFrame], path: str, roi: tuple, source: int) -> None:
+    """The five aligned tables: region frames and their labels, patches of all roads, of labels, of labelled roads."""
+    p, key = outputs["patches"], ["patch_id", "r", "c"]
+    tables = {"region_frames": outputs["region_frames"], "region_labels": outputs["region_labels"], "road_patches": p.select(*key, "bands"), "label_patches": p.select(*key, "label"), "labeled_patches": p.select(*key, F.col("labeled_bands").alias("bands"))}
+    S.write_patches(tables, path, roi, source)
 
-def pavement_pipeline(scene: Scene, roi: tuple, step: float, *, crop: int, overlap: float) -> dict[str, DataFrame]:
-    """ROI crop, normalised bands, labels from the survey, patches."""
+
+def pavement_pipeline(scene: Scene, roi: tuple, step: float, *, crop: int, overlap: float, segments: bool = False, p95: bool = False, method: str = "mean_min", block: int = 100_000, path: str | None = None, source: int = 0, **thresholds) -> dict[str, DataFrame]:
+    """ROI crop, normalised bands, labels from the survey (with ``segments`` along its segments, else around its points),
+    their enhancement where thresholds (see enhance) are given, patches; with ``path`` these are written too."""
     rect = materialised(R.crop_rect(scene.pixels, roi))
     r = rect.first()
     if r["y0"] is None:
         raise ValueError("the region of interest holds no pixel")
-    height, width = r["y1"] - r["y0"], r["x1"] - r["x0"]
-    pixels = A.normalize_bands_max(R.crop_to(scene.pixels, rect))
-    part = Scene(pixels, R.crop_to(scene.roads, rect), scene.points, height, width)
-    labels = materialised(pci_proximity(part, step=step))
-    return {"labels": labels, **prepare_patches(pixels.select("row", "col", "bands"), labels, None, height, width, crop, overlap)}
+    pixels = R.crop_to(scene.pixels, rect)
+    pixels = A.normalize_bands_max(A.normalize_p95(pixels) if p95 else pixels)
+    part = Scene(pixels, materialised(R.crop_to(scene.roads, rect)), scene.points, r["y1"] - r["y0"], r["x1"] - r["x0"])
+    if segments:
+        cells, lut = pci_segments(part, step=step, block=block)
+        labels = cells.select("row", "col", F.col("seg_id").cast("double").alias("value"))
+    else:
+        labels, lut = pci_proximity(part, step=step, method=method), None
+    labels = materialised(labels)
+    if thresholds:
+        rgb = part.pixels.select("row", "col", *[F.get("bands", F.lit(i)).alias(n) for i, n in enumerate("rgb")])
+        labels, offset = enhance(labels, rgb, part.roads, part.height, part.width, **thresholds)
+        if offset is not None:
+            labels = R.crop_by_offset(labels, offset, part.height, part.width)
+            part = crop_scene(part, offset)
+        labels = materialised(labels)
+    out = {"labels": labels, **prepare_patches(part.pixels.select("row", "col", "bands"), labels, lut, part.height, part.width, crop, overlap)}
+    if path:
+        write_prepared(out, path, roi, source)
+    return out

@@ -60,15 +60,18 @@ def s2_scan_roads_geojson(s, d):
     return S.scan_roads_geojson(s, path, multi_line=False)
 
 
-@query("SELECT event_id, 'k' AS seg_id, json_extract(props, '$.k')::DOUBLE AS pci FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+@query("SELECT 'k' AS seg_id, json_extract(props, '$.k')::DOUBLE AS pci FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def s3_scan_seg_lut(s, d):
-    return s.read.parquet(f"{d}/events.parquet").select("event_id", F.explode(F.from_json("props", "map<string,double>")).alias("seg_id", "pci"))
+    path = shared_path(s, "lut")  # one lookup file for each part of the events, a map in each line of it
+    s.read.parquet(f"{d}/events.parquet").select("props").write.text(path)
+    return S.scan_seg_lut(s, path, whole=False)
 
 
 @query("SELECT row - 3 AS row, col - 10 AS col FROM road WHERE row >= 3 AND row < 90 AND col >= 10 AND col < 70", "road")
 def s4_scan_mask_cropped(s, d):
-    rect = s.createDataFrame([(3, 90, 10, 70)], "y0 int, y1 int, x0 int, x1 int")
-    return R.crop_to(T.road(s, d), rect)
+    path = shared_path(s, "mask")
+    S.write_mask(T.road(s, d), path, ROI)
+    return S.scan_mask_cropped(s, path, (3, 90, 10, 70))
 
 
 @query("SELECT row, col FROM road", "road")
@@ -92,10 +95,10 @@ def s7_stack_bands(s, d):
     return A.long_bands(A.stack_bands(A.long_bands(T.bandpix(s, d), "row", "col")), "row", "col")
 
 
-@query("SELECT row, col, (band + 64 * k)::INT AS band, value FROM bandlong, (VALUES (0), (1)) v(k)", "bandlong")
+@query("SELECT row, col, (band + 64 * k)::INT AS band, CASE k WHEN 0 THEN value ELSE -value END AS value FROM bandlong, (VALUES (0), (1)) v(k)", "bandlong")
 def s8_concat_band_sets(s, d):
     p = T.bandpix(s, d)
-    return A.long_bands(S.concat_band_sets(p, p), "row", "col")
+    return A.long_bands(S.concat_band_sets(p, p.select("row", "col", F.transform("bands", lambda x: -x).alias("bands"))), "row", "col")
 
 
 @query("SELECT row, col, value, 2 AS data_source, '-83_-83_42_42' AS roi_key FROM classes", "classes")
@@ -200,22 +203,51 @@ def p15_affine_pixel_to_xy(s, d):
     return T.grid(s, d).select("row", "col", x.alias("x"), y.alias("y"))
 
 
-_UTM = C.utm_to_wgs84_sql("(320000.0 + 5.3 * col)", "(4690000.0 - 5.3 * row)", "17")
-_UTM_DUCK = C.utm_to_wgs84_sql("(320000.0::DOUBLE + 5.3::DOUBLE * col)", "(4690000.0::DOUBLE - 5.3::DOUBLE * row)", "17")
+def redfearn(x: str, y: str, rows: str, *, lon0: str, lat0: str, k0: str, fe: str, fn: str, f: str, keep: str) -> str:
+    """SQL of (keep, lat, lon in degrees) of transverse Mercator places, by the foot-point latitude and powers of the
+    distance from the central meridian: another formulation than the library's."""
+    unit = "a / (1 + e1) * (1 + e1**2 / 4 + e1**4 / 64)"
+    arc = "a / (1 + e1) * ((1 + e1**2 / 4 + e1**4 / 64) * p0 - 3 * (e1 - e1**3 / 8) / 2 * sin(2 * p0) + 15 * (e1**2 - e1**4 / 4) / 16 * sin(4 * p0) - 35 * e1**3 / 48 * sin(6 * p0) + 315 * e1**4 / 512 * sin(8 * p0))"
+    return f"""(WITH k0 AS (SELECT *, 6378137.0::DOUBLE AS a, ({f})::DOUBLE * (2 - ({f})::DOUBLE) AS e2, radians({lat0}::DOUBLE) AS p0 FROM {rows}),
+ k1 AS (SELECT *, (1 - sqrt(1 - e2)) / (1 + sqrt(1 - e2)) AS e1 FROM k0),
+ k2 AS (SELECT *, ({arc} + ({y} - {fn}::DOUBLE) / {k0}::DOUBLE) / ({unit}) AS mu FROM k1),
+ k3 AS (SELECT *, mu + (3 * e1 / 2 - 27 * e1**3 / 32) * sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * sin(4 * mu) + 151 * e1**3 / 96 * sin(6 * mu) + 1097 * e1**4 / 512 * sin(8 * mu) AS p FROM k2),
+ k4 AS (SELECT *, tan(p)**2 AS t, e2 / (1 - e2) * cos(p)**2 AS c, a / sqrt(1 - e2 * sin(p)**2) AS n, a * (1 - e2) / (1 - e2 * sin(p)**2)**1.5 AS r, e2 / (1 - e2) AS s FROM k3),
+ k5 AS (SELECT *, ({x} - {fe}::DOUBLE) / (n * {k0}::DOUBLE) AS d FROM k4)
+ SELECT {keep}, degrees(p - n * tan(p) / r * (d**2 / 2 - (5 + 3 * t + 10 * c - 4 * c**2 - 9 * s) * d**4 / 24 + (61 + 90 * t + 298 * c + 45 * t**2 - 252 * s - 3 * c**2) * d**6 / 720 - (1385 + 3633 * t + 4095 * t**2 + 1575 * t**3) * d**8 / 40320)) AS lat,
+ {lon0}::DOUBLE + degrees((d - (1 + 2 * t + c) * d**3 / 6 + (5 - 2 * c + 28 * t - 3 * c**2 + 8 * s + 24 * t**2) * d**5 / 120 - (61 + 662 * t + 1320 * t**2 + 720 * t**3) * d**7 / 5040) / cos(p)) AS lon FROM k5)"""
+
+
+_ON_GRID = "(SELECT row, col, 320000.0::DOUBLE + 5.3::DOUBLE * col AS x, 4690000.0::DOUBLE - 5.3::DOUBLE * row AS y FROM grid)"
+_UTM17 = redfearn("x", "y", _ON_GRID, lon0="-81", lat0="0", k0="0.9996", fe="500000", fn="0", f="1 / 298.257223563", keep="row, col")
+
 
+def _on_grid(s, d):
+    return T.grid(s, d).select("row", "col", (F.lit(320000.0) + F.lit(5.3) * F.col("col")).alias("x"), (F.lit(4690000.0) - F.lit(5.3) * F.col("row")).alias("y"))
 
-@query(f"SELECT row, col, round({_UTM_DUCK[0]}, 6) AS lat, round({_UTM_DUCK[1]}, 6) AS lon FROM grid", "grid")
+
+@query(f"SELECT row, col, round(lat, 6) AS lat, round(lon, 6) AS lon FROM {_UTM17}", "grid")
 def p16_utm_to_wgs84(s, d):
-    return T.grid(s, d).selectExpr("row", "col", f"round({_UTM[0].replace('5.3', '5.3D').replace('.0 ', '.0D ')}, 6) AS lat", f"round({_UTM[1].replace('5.3', '5.3D').replace('.0 ', '.0D ')}, 6) AS lon")
+    lat, lon = C.utm_to_wgs84_sql("x", "y", "17")
+    return _on_grid(s, d).selectExpr("row", "col", f"round({lat}, 6) AS lat", f"round({lon}, 6) AS lon")
 
 
-_ITM = C.itm_to_wgs84_sql("x", "y")
+_SURVEYED = "(SELECT idx, 180000.0::DOUBLE + pci * 100 AS x, 600000.0::DOUBLE + pci * 300 + idx % 97 AS y FROM points)"
+_ITM = redfearn("x", "y", _SURVEYED, lon0=repr(C.ITM_LON0), lat0=repr(C.ITM_LAT0), k0=repr(C.ITM_K0), fe=repr(C.ITM_FE), fn=repr(C.ITM_FN), f="1 / 298.257222101", keep="idx")
+# the shift as a matrix on geocentric places; the latitude by fixed-point steps
+_SHIFTED = f"""(WITH g0 AS (SELECT idx, radians(lat) AS p, radians(lon) AS q, 6378137.0::DOUBLE AS a, 1 / 298.257222101::DOUBLE * (2 - 1 / 298.257222101::DOUBLE) AS e2, 1 / 298.257223563::DOUBLE * (2 - 1 / 298.257223563::DOUBLE) AS w2 FROM {_ITM}),
+ g1 AS (SELECT *, a / sqrt(1 - e2 * sin(p)**2) * cos(p) * cos(q) AS x, a / sqrt(1 - e2 * sin(p)**2) * cos(p) * sin(q) AS y, a / sqrt(1 - e2 * sin(p)**2) * (1 - e2) * sin(p) AS z, radians(-0.33077::DOUBLE / 3600) AS rx, radians(-1.85269::DOUBLE / 3600) AS ry, radians(1.66969::DOUBLE / 3600) AS rz, 1 + 5.4248::DOUBLE / 1000000 AS m FROM g0),
+ g2 AS (SELECT *, -24.0024::DOUBLE + m * (x - rz * y + ry * z) AS u, -17.1032::DOUBLE + m * (rz * x + y - rx * z) AS v, -17.8444::DOUBLE + m * (rx * y - ry * x + z) AS w FROM g1),
+ g3 AS (SELECT *, sqrt(u * u + v * v) AS o, atan2(w, sqrt(u * u + v * v) * (1 - w2)) AS f0 FROM g2),
+ g4 AS (SELECT *, atan2(w + w2 * a / sqrt(1 - w2 * sin(f0)**2) * sin(f0), o) AS f1 FROM g3), g5 AS (SELECT *, atan2(w + w2 * a / sqrt(1 - w2 * sin(f1)**2) * sin(f1), o) AS f2 FROM g4),
+ g6 AS (SELECT *, atan2(w + w2 * a / sqrt(1 - w2 * sin(f2)**2) * sin(f2), o) AS f3 FROM g5), g7 AS (SELECT *, atan2(w + w2 * a / sqrt(1 - w2 * sin(f3)**2) * sin(f3), o) AS f4 FROM g6)
+ SELECT idx, degrees(f4) AS lat, degrees(atan2(v, u)) AS lon FROM g7)"""
 
 
-@query(f"SELECT idx, round({_ITM[0]}, 6) AS lat, round({_ITM[1]}, 6) AS lon FROM (SELECT idx, 180000.0::DOUBLE + pci * 100 AS x, 600000.0::DOUBLE + pci * 300 AS y FROM points)", "points")
+@query(f"SELECT idx, round(lat, 5) AS lat, round(lon, 5) AS lon FROM {_SHIFTED}", "points")
 def p17_itm_to_wgs84(s, d):
-    p = T.points(s, d).select("idx", (F.lit(180000.0) + F.col("pci") * 100).alias("x"), (F.lit(600000.0) + F.col("pci") * 300).alias("y"))
-    return p.selectExpr("idx", f"round({_ITM[0]}, 6) AS lat", f"round({_ITM[1]}, 6) AS lon")
+    p = T.points(s, d).select("idx", (F.lit(180000.0) + F.col("pci") * 100).alias("x"), (F.lit(600000.0) + F.col("pci") * 300 + F.col("idx") % 97).alias("y"))
+    return rounded(C.itm_to_wgs84(p, "x", "y"), "lat", "lon", digits=5).select("idx", "lat", "lon")
 
 
 @query("SELECT p.row, p.col, band, CASE WHEN g.row IS NOT NULL THEN p.value ELSE 0 END AS value FROM bandlong p LEFT JOIN (SELECT DISTINCT row, col FROM gray) g ON p.row = g.row AND p.col = g.col", "bandlong", "gray")
@@ -253,10 +285,11 @@ def p24_spectral_smooth(s, d):
     return _long(T.bandpix(s, d).withColumn("bands", C.spectral_smooth(F.col("bands"))))
 
 
-@query("SELECT row, col, round(6378137.0::DOUBLE * radians(lon), 4) AS x, round(6378137.0::DOUBLE * ln(tan(0.7853981633974483::DOUBLE + radians(lat) / 2)), 4) AS y FROM grid", "grid")
+@query(f"SELECT row, col, round(6378137.0::DOUBLE * radians(lon), 1) AS x, round(6378137.0::DOUBLE * ln(tan(0.7853981633974483::DOUBLE + radians(lat) / 2)), 1) AS y, 'EPSG:4326' AS source FROM grid UNION ALL SELECT row, col, round(6378137.0::DOUBLE * radians(lon), 1), round(6378137.0::DOUBLE * ln(tan(0.7853981633974483::DOUBLE + radians(lat) / 2)), 1), 'EPSG:32617' FROM {_UTM17}", "grid")
 def p25_transform_crs(s, d):
-    x, y = C.transform_crs(F.col("lon"), F.col("lat"), "EPSG:4326", "EPSG:3857")
-    return T.grid(s, d).select("row", "col", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+    both = [C.transform_crs(T.grid(s, d).select("row", "col", "lon", "lat"), "lon", "lat", "EPSG:4326", "EPSG:3857").withColumn("source", F.lit("EPSG:4326"))]
+    both.append(C.transform_crs(_on_grid(s, d), "x", "y", "EPSG:32617", "EPSG:3857").withColumn("source", F.lit("EPSG:32617")))
+    return rounded(both[0].select("row", "col", "x", "y", "source").unionByName(both[1]), "x", "y", digits=1)
 
 
 # --- joins -----------------------------------------------------------------------------------------------------
@@ -411,13 +444,22 @@ def a4_normalize_robust(s, d):
     return _long(A.normalize_robust(T.bandpix(s, d)))
 
 
-@query("SELECT band, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std, round(stddev_samp(value) / sqrt(count(*)), 6) AS sem, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, min(value) AS min, max(value) AS max FROM bandlong GROUP BY band", "bandlong")
+# Student's t by Cornish and Fisher's expansion in 1 / (n - 1), exact to 1e-9 from some hundred values on
+T_SQL = "(z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v**3) + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / (92160 * v**4))"
+
+
+@query(f"SELECT band, n, mean, median, std, sem, round(raw * {T_SQL}, 6) AS margin, iqr, min, max FROM (SELECT band, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std, round(stddev_samp(value) / sqrt(count(*)), 6) AS sem, stddev_samp(value) / sqrt(count(*)) AS raw, (count(*) - 1)::DOUBLE AS v, 1.959963984540054::DOUBLE AS z, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, min(value) AS min, max(value) AS max FROM bandlong GROUP BY band)", "bandlong")
 def a5_spectral_stats(s, d):
-    return rounded(A.spectral_stats(T.bandpix(s, d)).drop("margin"), "mean", "median", "std", "sem", "iqr")
+    return rounded(A.spectral_stats(T.bandpix(s, d)), "mean", "median", "std", "sem", "margin", "iqr")
 
 
-@query("SELECT band, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM bandlong p SEMI JOIN gray g ON p.row = g.row AND p.col = g.col GROUP BY band", "bandlong", "gray")
+@query("SELECT p.row, p.col, band, value FROM bandlong p SEMI JOIN gray g ON p.row = g.row AND p.col = g.col", "bandlong", "gray")
 def a6_mask_values_per_band(s, d):
+    return A.mask_values_per_band(T.bandpix(s, d), T.gray(s, d))
+
+
+@query("SELECT band, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM bandlong p SEMI JOIN gray g ON p.row = g.row AND p.col = g.col GROUP BY band", "bandlong", "gray")
+def a6_mask_average_per_band(s, d):
     return rounded(A.mask_average_per_band(T.bandpix(s, d), T.gray(s, d)), "mean", "median")
 
 
@@ -431,7 +473,11 @@ def a8_grouped_histogram(s, d):
     return A.grouped_histogram(T.points(s, d), "pci")
 
 
-@query()
+# leaders one after another: a point leads if no earlier neighbour does
+LED = "near AS (SELECT a.idx AS i, b.idx AS j, b.lon, b.lat, b.pci FROM points a, points b WHERE abs(a.lon - b.lon) < 0.0005::DOUBLE AND abs(a.lat - b.lat) < 0.0005::DOUBLE AND sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) < 0.0005::DOUBLE), earlier AS (SELECT i, list(j) FILTER (j < i) AS js FROM near GROUP BY i), turn AS (SELECT i, coalesce(js, []) AS js, row_number() OVER (ORDER BY i) AS k FROM earlier WHERE len(js) > 0), alone AS (SELECT i FROM earlier WHERE coalesce(len(js), 0) = 0), led(one, k, leaders) USING KEY (one) AS (SELECT 1, 0::BIGINT, (SELECT list(i) FROM alone) UNION SELECT 1, turn.k, CASE WHEN list_has_any(leaders, js) THEN leaders ELSE list_append(leaders, turn.i) END FROM led JOIN turn ON turn.k = led.k + 1), merged AS (SELECT i AS idx, avg(lon) AS lon, avg(lat) AS lat, min(pci) AS pci FROM near WHERE i IN (SELECT unnest(leaders) FROM led) GROUP BY i)"
+
+
+@query(f"SELECT * FROM (WITH RECURSIVE {LED} SELECT idx, round(lon, 9) AS lon, round(lat, 9) AS lat, pci FROM merged)", "points")
 def a9_merge_close_points(s, d):
     return rounded(J.merge_close_points(T.points(s, d), 50e-5), "lon", "lat", digits=9)
 
@@ -501,7 +547,7 @@ def a20_batch_metrics(s, d):
     return rounded(A.regression_metrics(T.scores(s, d), "dataset_id"), "mae", "mse", "rmse", "r2")
 
 
-@query("SELECT max(row) + 1 AS height, max(col) + 1 AS width, count(*) AS pixels, min(len(bands)) AS min_bands, max(len(bands)) AS max_bands, any_value(nulls) AS nulls, 0 AS nans, 0 AS infinities, any_value(low) AS low, any_value(high) AS high FROM bandpix, (SELECT count(*) FILTER (value IS NULL) AS nulls, min(value) AS low, max(value) AS high FROM bandlong)", "bandpix", "bandlong")
+@query("SELECT max(row) + 1 AS height, max(col) + 1 AS width, count(*) AS pixels, min(len(bands)) AS min_bands, max(len(bands)) AS max_bands, any_value(nulls) AS nulls, any_value(nans) AS nans, any_value(infinities) AS infinities, any_value(low) AS low, any_value(high) AS high FROM bandpix, (SELECT count(*) FILTER (value IS NULL) AS nulls, count(*) FILTER (isnan(value)) AS nans, count(*) FILTER (isinf(value)) AS infinities, min(value) AS low, max(value) AS high FROM bandlong)", "bandpix", "bandlong")
 def a21_data_quality(s, d):
     return A.data_quality(T.bandpix(s, d))
 
@@ -545,10 +591,14 @@ def w5_mean_filter(s, d):
     return rounded(R.mean_filter(T.grid(s, d), T.height(s, d), T.WIDTH).where("value IS NOT NULL"), "value", digits=4)
 
 
-@query(f"SELECT * FROM (WITH {MIRROR.format(e=1, k=1, t='grid')} SELECT g.row, g.col, round(sum(b.value * (g.col - b.col) * CASE WHEN b.row = g.row THEN 2 ELSE 1 END), 2) AS gx, round(sum(b.value * (g.row - b.row) * CASE WHEN b.col = g.col THEN 2 ELSE 1 END), 2) AS gy FROM grid g JOIN big b ON b.row BETWEEN g.row - 1 AND g.row + 1 AND b.col BETWEEN g.col - 1 AND g.col + 1 GROUP BY ALL HAVING count(*) = 9)", "grid", "size")
+HOLES = "holed AS (SELECT row, col, coalesce(v, avg(v) OVER ()) AS value FROM (SELECT row, col, CASE WHEN (row * 100 + col) % 11 <> 0 THEN value END AS v FROM grid))"
+
+
+@query(f"SELECT row, col, round(gx, 2) AS gx, round(gy, 2) AS gy, round(sqrt(gx * gx + gy * gy), 2) AS magnitude FROM (WITH {HOLES}, {MIRROR.format(e=1, k=1, t='holed')} SELECT g.row, g.col, sum(b.value * (g.col - b.col) * CASE WHEN b.row = g.row THEN 2 ELSE 1 END) AS gx, sum(b.value * (g.row - b.row) * CASE WHEN b.col = g.col THEN 2 ELSE 1 END) AS gy FROM grid g JOIN big b ON b.row BETWEEN g.row - 1 AND g.row + 1 AND b.col BETWEEN g.col - 1 AND g.col + 1 GROUP BY ALL HAVING count(*) = 9)", "grid", "size")
 def w6_sobel(s, d):
-    g = R.sobel(T.grid(s, d), T.height(s, d), T.WIDTH)
-    return rounded(g.where("gx IS NOT NULL AND gy IS NOT NULL").select("row", "col", "gx", "gy"), "gx", "gy", digits=2)
+    holed = T.grid(s, d).withColumn("value", F.when((F.col("row") * 100 + F.col("col")) % 11 != 0, F.col("value")))  # nulls take the mean
+    g = R.sobel(holed, T.height(s, d), T.WIDTH)
+    return rounded(g.where("gx IS NOT NULL AND gy IS NOT NULL").select("row", "col", "gx", "gy", "magnitude"), "gx", "gy", "magnitude", digits=2)
 
 
 SMOOTH = "smooth AS (SELECT g.row, g.col, sum(b.value * exp(-((g.row - b.row) * (g.row - b.row) + (g.col - b.col) * (g.col - b.col)) / 2.0::DOUBLE)) / (SELECT sum(exp(-((i.range - 2) * (i.range - 2) + (j.range - 2) * (j.range - 2)) / 2.0::DOUBLE)) FROM range(5) i, range(5) j) AS value FROM grid g JOIN big b ON b.row BETWEEN g.row - 2 AND g.row + 2 AND b.col BETWEEN g.col - 2 AND g.col + 2 GROUP BY ALL HAVING count(*) = 25)"
@@ -630,7 +680,11 @@ def w17_region_label_raster(s, d):
     return T.bandpix(s, d).select("row", "col", F.when(F.get("bands", F.lit(0)) != 0, F.col("label")).otherwise(0).alias("value"))
 
 
-@query()
+# all lines advance together, a point a step: the nearest one not yet taken
+GREEDY = "walk(line, ord, idx, x, y, taken) AS (SELECT line, 0, arg_min(idx, (x, idx)), arg_min(x, (x, idx)), arg_min(y, (x, idx)), [arg_min(idx, (x, idx))] FROM verts GROUP BY line UNION ALL SELECT line, ord + 1, best.idx, best.x, best.y, list_append(taken, best.idx) FROM (SELECT w.line, w.ord, w.taken, arg_min({'idx': v.idx, 'x': v.x, 'y': v.y}, ((v.x - w.x) * (v.x - w.x) + (v.y - w.y) * (v.y - w.y), v.idx)) AS best FROM walk w JOIN verts v ON v.line = w.line AND NOT list_contains(w.taken, v.idx) GROUP BY w.line, w.ord, w.taken))"
+
+
+@query(f"SELECT * FROM (WITH RECURSIVE verts AS (SELECT line, ord AS idx, x, y FROM line_points), {GREEDY} SELECT line, idx, x, y, ord::INT AS ord FROM walk)", "line_points")
 def w19_greedy_path_order(s, d):
     return R.greedy_path_order(T.verts(s, d).withColumnRenamed("ord", "idx"))
 
@@ -645,6 +699,14 @@ def w21_augment_patches(s, d):
     return R.augment_patches(_patches(s, d).select("patch_id", "r", "c", "value"), 16)
 
 
+SUB = "('0x' || substr(md5(patch_id::VARCHAR || ':' || part::VARCHAR || ':42'), {at}, 8))::BIGINT % 7"
+
+
+@query(f"SELECT * FROM (WITH {COUNTS}, {PATCHES}, p AS (SELECT patch_id::INT AS patch_id, part::INT AS part, (row - top)::INT - ({SUB.format(at=1)}) AS r, (col - lft)::INT - ({SUB.format(at=9)}) AS c, value FROM origins JOIN grid ON row BETWEEN top AND top + 15 AND col BETWEEN lft AND lft + 15, range(3) t(part)) SELECT patch_id, part, r::INT AS r, c::INT AS c, value FROM p WHERE r BETWEEN 0 AND 9 AND c BETWEEN 0 AND 9)", "size", "grid")
+def w21_sub_crops(s, d):
+    return R.sub_crops(_patches(s, d).select("patch_id", "r", "c", "value"), 16, 10, 3)
+
+
 @query("SELECT vec_id, CASE WHEN ('0x' || substr(md5(vec_id::VARCHAR || ':42'), 1, 8))::BIGINT % 1000 < 200 THEN 'val' ELSE 'train' END AS role FROM embeddings")
 def m2_train_val_split(s, d):
     return R.train_val_split(s.read.parquet(f"{d}/embeddings.parquet").select("vec_id"), 0.2, key="vec_id")
@@ -674,30 +736,73 @@ def _pairs(s, d):
     p = J.consecutive_pairs(T.points(s, d).withColumn("seg_id", F.col("seg_id") % 5), 3000)
     h = T.height(s, d)
     at = lambda c, m, n: ((F.col(c) * m) % n).cast("int")
-    q = p.select(F.col("idx").alias("pair_id"), "seg_id", at("idx", 37, h).alias("r0"), at("idx", 11, 100).alias("c0"), (F.col("idx") % 101).cast("double").alias("pci"))
+    q = p.select(F.col("idx").alias("pair_id"), at("idx", 37, h).alias("r0"), at("idx", 11, 100).alias("c0"))
     return q.withColumn("r1", F.least(F.col("r0") + (F.col("pair_id") % 6).cast("int"), F.lit(h - 1))).withColumn("c1", F.least(F.col("c0") + (F.col("pair_id") % 7).cast("int"), F.lit(99)))
 
 
-@query()
+FOLLOW = "(SELECT idx, seg_id % 5 AS seg_id, pci, lead(idx) OVER (ORDER BY idx) AS next_idx, lead(seg_id % 5) OVER (ORDER BY idx) AS next_seg FROM points)"
+MADE_UP = f"pairs AS (SELECT *, least(r0 + pair_id % 6, h - 1)::INT AS r1, least(c0 + pair_id % 7, 99)::INT AS c1 FROM (SELECT idx AS pair_id, (idx * 37 % h)::INT AS r0, (idx * 11 % 100)::INT AS c0, h FROM {FOLLOW}, size WHERE next_seg = seg_id))"
+STEPS = "moves AS (SELECT i.range - 1 AS i, j.range - 1 AS j FROM range(3) i, range(3) j WHERE i.range <> 1 OR j.range <> 1)"
+# breadth-first steps of all pairs together, then back from the stop over the least cell of the step before
+SEARCH = "reach(pair_id, row, col, step) USING KEY (pair_id, row, col) AS (SELECT pair_id, r0, c0, 0 FROM pairs JOIN mask ON row = r0 AND col = c0 UNION SELECT DISTINCT f.pair_id, m.row, m.col, f.step + 1 FROM reach f JOIN pairs p ON p.pair_id = f.pair_id, moves v JOIN mask m ON m.row = f.row + v.i AND m.col = f.col + v.j LEFT JOIN recurring.reach x ON x.pair_id = f.pair_id AND x.row = m.row AND x.col = m.col WHERE x.step IS NULL AND m.row BETWEEN least(r0, r1) AND greatest(r0, r1) AND m.col BETWEEN least(c0, c1) AND greatest(c0, c1)), path(pair_id, row, col, step) AS (SELECT pair_id, row, col, step FROM reach JOIN pairs USING (pair_id) WHERE row = r1 AND col = c1 UNION ALL SELECT b.pair_id, arg_min(r.row, r.row * 1000 + r.col), arg_min(r.col, r.row * 1000 + r.col), b.step - 1 FROM path b, moves v, reach r WHERE r.pair_id = b.pair_id AND r.row = b.row + v.i AND r.col = b.col + v.j AND r.step = b.step - 1 GROUP BY b.pair_id, b.step), paths AS (SELECT pair_id, step, row, col FROM path UNION ALL SELECT pair_id, 0, r1, c1 FROM pairs WHERE pair_id NOT IN (SELECT pair_id FROM path))"
+MASK = "mask AS (SELECT row, col FROM classes WHERE value > 0)"
+
+
+@query(f"SELECT * FROM (WITH RECURSIVE {MASK}, {MADE_UP}, {STEPS}, {SEARCH} SELECT pair_id, step::INT AS step, row::INT AS row, col::INT AS col FROM paths)", "points", "size", "classes")
 def g2_shortest_paths_batch(s, d):
     return G.shortest_paths(T.classes(s, d).where("value > 0"), _pairs(s, d))
 
 
-@query()
+# the nearest pixel is one of the nine around the place; the nearest road cell one of those a few cells around the pixel
+SNAP = "snapped AS (SELECT idx, row, col FROM (SELECT q.idx, m.row, m.col, row_number() OVER (PARTITION BY q.idx ORDER BY (q.row - m.row) * (q.row - m.row) + (q.col - m.col) * (q.col - m.col), m.row, m.col) AS k FROM (SELECT p.idx, g.row, g.col, row_number() OVER (PARTITION BY p.idx ORDER BY (p.lon - g.lon) * (p.lon - g.lon) + (p.lat - g.lat) * (p.lat - g.lat), g.row, g.col) AS n FROM (SELECT points.*, least(round((lat - 42.23::DOUBLE) / 0.0004::DOUBLE), h - 1)::INT + i.range - 1 AS r, least(round((lon + 83.28::DOUBLE) / 0.0004::DOUBLE), w - 1)::INT + j.range - 1 AS c FROM points, size, range(3) i, range(3) j) p JOIN grid g ON g.row = p.r AND g.col = p.c) q, range(-4, 5) i, range(-4, 5) j, mask m WHERE q.n = 1 AND m.row = q.row + i.range AND m.col = q.col + j.range) WHERE k = 1)"
+SURVEY = f"pairs AS (SELECT f.idx AS pair_id, f.seg_id, f.pci, a.row AS r0, a.col AS c0, b.row AS r1, b.col AS c1 FROM {FOLLOW} f JOIN snapped a ON a.idx = f.idx JOIN snapped b ON b.idx = f.next_idx WHERE next_seg = f.seg_id)"
+BURN = f"SELECT * FROM (WITH RECURSIVE {MASK}, {SNAP}, {SURVEY}, {STEPS}, {SEARCH}, burnt AS (SELECT row::INT AS row, col::INT AS col, arg_max(seg_id, pair_id) AS seg_id FROM paths JOIN pairs USING (pair_id) GROUP BY row, col), lut AS (SELECT seg_id, arg_max(pci, pair_id) AS pci FROM pairs GROUP BY seg_id) "
+
+
+def _segment_scene(s, d) -> P.Scene:
+    points = T.points(s, d).withColumn("seg_id", F.col("seg_id") % 5)
+    return P.Scene(T.grid(s, d), T.classes(s, d).where("value > 0").select("row", "col"), points, T.height(s, d), T.WIDTH)
+
+
+@query(BURN + "SELECT row, col, seg_id FROM burnt)", "points", "size", "classes", "grid")
 def g3_segment_burn(s, d):
-    p = _pairs(s, d)
-    return G.segment_burn(G.shortest_paths(T.classes(s, d).where("value > 0"), p), p)[0]
+    scene = _segment_scene(s, d)
+    p = materialised(P.segment_pairs(scene, T.STEP, 3000))
+    return G.segment_burn(G.shortest_paths(scene.roads, p), p)[0]
 
 
-@query(REACH.format(t="(SELECT row, col FROM classes WHERE value > 4)", near=FOUR), "classes")
+@query(REACH.format(t="(SELECT row, col FROM classes WHERE value > 4)", near=FOUR).replace("SELECT row, col, dense_rank()", "SELECT row, col, value, component FROM (SELECT row, col, dense_rank()", 1) + ") JOIN grid USING (row, col)", "classes", "grid")
 def g4_extract_instances(s, d):
-    return G.extract_instances(T.classes(s, d).where("value > 4"))
+    return G.extract_instances(T.classes(s, d).where("value > 4"), T.grid(s, d).select("row", "col", F.col("value").alias("image"))).withColumnRenamed("image", "value")
 
 
-@query()
+def _classed(s, d):
+    """Classes 1 to 6 of the cells whose pixel is read; the others are holes."""
+    pixels = T.grid(s, d).select("row", "col", F.array(F.when(F.col("row") % 5 != 0, F.col("value"))).alias("bands"))
+    return G.process_labeled_image(T.classes(s, d), pixels, T.lut(s, d), 1, T.height(s, d), T.WIDTH)
+
+
+GROWN_BOX = "SELECT value, greatest(min(row) - 1, 0)::INT AS min_row, greatest(min(col) - 1, 0)::INT AS min_col, least(max(row) + 1, any_value(h) - 1)::INT + 1 AS max_row, least(max(col) + 1, any_value(w) - 1)::INT + 1 AS max_col FROM classes, size WHERE value > 0 GROUP BY value"
+
+
+@query(f"SELECT value::INT::VARCHAR AS region, value::INT::VARCHAR AS seg_id, (n_regionkey + 1)::DOUBLE AS label, min_row, min_col, max_row, max_col FROM ({GROWN_BOX}) LEFT JOIN nation ON n_nationkey = value WHERE value IN (SELECT c.value FROM classes c WHERE c.row % 5 <> 0)", "classes", "size")
 def g5_process_labeled_image(s, d):
+    return _classed(s, d)[0]
+
+
+@query("SELECT c.value::INT::VARCHAR AS region, row, col, CASE WHEN row % 5 <> 0 THEN g.value END AS value FROM classes c JOIN grid g USING (row, col) WHERE c.value > 0", "classes", "grid")
+def g5_region_pixels(s, d):
+    return _classed(s, d)[1].select("region", "row", "col", F.get("bands", F.lit(0)).alias("value"))
+
+
+# without a lookup: the areas of class 6 grown by one cell, each a region
+SIX = "(SELECT DISTINCT row + i AS row, col + j AS col FROM (SELECT row, col FROM classes WHERE value = 6), size, (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) m(i, j) WHERE row + i BETWEEN 0 AND h - 1 AND col + j BETWEEN 0 AND w - 1)"
+
+
+@query("SELECT '6-' || component AS region, 6.0::DOUBLE AS label, 'unknown' AS seg_id, min(row)::INT AS min_row, min(col)::INT AS min_col, max(row)::INT + 1 AS max_row, max(col)::INT + 1 AS max_col FROM (" + REACH.format(t=SIX, near=EIGHT) + ") GROUP BY component", "classes", "size")
+def g5_unlabelled_regions(s, d):
     pixels = T.grid(s, d).select("row", "col", F.array("value").alias("bands"))
-    return G.process_labeled_image(T.classes(s, d), pixels, T.lut(s, d), 1, T.height(s, d), T.WIDTH)[0]
+    return G.process_labeled_image(T.classes(s, d).where("value = 6"), pixels, None, 1, T.height(s, d), T.WIDTH)[0]
 
 
 # --- compositions ----------------------------------------------------------------------------------------------
@@ -707,52 +812,115 @@ def _scene(s, d) -> P.Scene:
     return P.Scene(pixels, materialised(roads), T.points(s, d), T.height(s, d), T.WIDTH)
 
 
-@query()
+NUMBERED = REACH.format(t="road", near=FOUR)
+SLIDES = f"cells AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY row, col) - 1 AS i, count(*) OVER (PARTITION BY component) AS n FROM ({NUMBERED})), slid AS (SELECT component, t.w AS win, i - 2 * t.w AS i, row, col, lead(row) OVER p - row AS dr, lead(col) OVER p - col AS dc FROM cells, LATERAL (SELECT unnest(range(greatest(n - 4, 0))) AS w) t WHERE 2 * t.w < n - 4 AND i BETWEEN 2 * t.w AND 2 * t.w + 3 WINDOW p AS (PARTITION BY component, t.w ORDER BY i)), along AS (SELECT component, win, avg(dr) AS tr, avg(dc) AS tc FROM slid GROUP BY ALL), placed AS (SELECT component, win, s.i, k.range - 1 AS k, s.row AS r0, s.col AS c0, trunc(s.row + (k.range - 1) * (-tc / sqrt(tr * tr + tc * tc)))::INT AS row, trunc(s.col + (k.range - 1) * (tr / sqrt(tr * tr + tc * tc)))::INT AS col FROM slid s JOIN along USING (component, win), range(3) k WHERE tr <> 0 OR tc <> 0), whole AS (SELECT component, win, min(r0) FILTER (i = 2 AND k = 0) AS center_row, min(c0) FILTER (i = 2 AND k = 0) AS center_col FROM placed, size GROUP BY ALL HAVING bool_and(row BETWEEN 0 AND h - 1 AND col BETWEEN 0 AND w - 1))"
+
+
+@query(f"SELECT * FROM (WITH {SLIDES} SELECT component, win::INT AS window, i::INT AS i, k::INT AS k, row, col, center_row, center_col, value FROM placed JOIN whole USING (component, win) LEFT JOIN grid USING (row, col))", "road", "grid", "size")
 def w18_centerline_windows(s, d):
     return R.centerline_windows(T.road(s, d), T.grid(s, d).select("row", "col", "value"), 4, 0.5, 3, T.height(s, d), T.WIDTH)
 
 
-@query()
+def around(source: str) -> str:
+    """CTEs from cells (row, col) of ``source`` to the closing of them with a disk of radius 3."""
+    disk3 = "(SELECT i.range - 3 AS i, j.range - 3 AS j FROM range(7) i, range(7) j WHERE (i.range - 3) ** 2 + (j.range - 3) ** 2 <= 9)"
+    return f"wide AS (SELECT DISTINCT row + i AS row, col + j AS col FROM {source}, {disk3}, size WHERE row + i BETWEEN 0 AND h - 1 AND col + j BETWEEN 0 AND w - 1), closed AS (SELECT (row + i)::INT AS row, (col + j)::INT AS col FROM wide, {disk3}, size WHERE row + i BETWEEN 0 AND h - 1 AND col + j BETWEEN 0 AND w - 1 GROUP BY ALL HAVING count(*) = 29)"
+
+
+FIRST = LED.replace("avg(lon) AS lon, avg(lat) AS lat", "arg_min(lon, j) AS lon, arg_min(lat, j) AS lat")
+ON_ROADS = f"onroad AS (SELECT row, col, lon, lat FROM (SELECT row, col, lon, lat, lon AS px, lat AS py, 0.0004::DOUBLE AS pw, 0.0004::DOUBLE AS ph FROM grid, size WHERE row < h - 1 AND col < w - 1) WHERE EXISTS (SELECT 1 FROM roads WHERE {MEETS}))"
+CLOSE = "close AS (SELECT row, col FROM {t} g WHERE EXISTS (SELECT 1 FROM merged p WHERE abs(g.lon - p.lon) < 0.0005::DOUBLE AND abs(g.lat - p.lat) < 0.0005::DOUBLE AND sqrt((g.lon - p.lon) * (g.lon - p.lon) + (g.lat - p.lat) * (g.lat - p.lat)) < 0.0005::DOUBLE))"
+VALUED = "valued AS (SELECT g.row, g.col, arg_min(p.pci, ((g.lon - p.lon) * (g.lon - p.lon) + (g.lat - p.lat) * (g.lat - p.lat), p.idx)) AS value FROM {g} g JOIN closed c ON g.row = c.row AND g.col = c.col, merged p WHERE abs(g.lon - p.lon) < 0.004::DOUBLE AND abs(g.lat - p.lat) < 0.004::DOUBLE GROUP BY g.row, g.col)"
+
+
+@query(f"SELECT * FROM (WITH RECURSIVE {FIRST}, {ON_ROADS}, {CLOSE.format(t='onroad')}, {around('close')}, {VALUED.format(g='grid')} SELECT row, col, value FROM valued)", "points", "grid", "size", "roads")
 def c1_pci_proximity(s, d):
-    return P.pci_proximity(_scene(s, d), step=T.STEP)
+    return P.pci_proximity(_scene(s, d), step=T.STEP, method="first_location")  # means differ in their last digit by order
 
 
-@query()
+@query(BURN + "SELECT row, col, seg_id, pci FROM burnt JOIN lut USING (seg_id))", "points", "size", "classes", "grid")
 def c2_pci_segments(s, d):
-    return P.pci_segments(T.classes(s, d).where("value > 0"), _pairs(s, d))[0]
+    cells, lut = P.pci_segments(_segment_scene(s, d), step=T.STEP, block=3000)
+    return cells.join(F.broadcast(lut), "seg_id").select("row", "col", "seg_id", "pci")
 
 
-@query()
+SHADE = "shade AS (SELECT row, col FROM (SELECT row, col, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS v FROM grid) WHERE v < 0.92::DOUBLE)"
+MOVED = "best AS (SELECT (a.row - b.row)::INT AS dy, (a.col - b.col)::INT AS dx FROM shade a JOIN road b ON a.row BETWEEN b.row - 5 AND b.row + 5 AND a.col BETWEEN b.col - 5 AND b.col + 5 GROUP BY ALL ORDER BY count(*) DESC, dy, dx LIMIT 1), moved AS (SELECT DISTINCT (row + dy + h) % h AS row, (col + dx + w) % w AS col FROM road, best, size), kept AS (SELECT l.row, l.col, l.value FROM (" + GROWN + ") l WHERE EXISTS (SELECT 1 FROM moved m JOIN shade s ON s.row = m.row AND s.col = m.col WHERE m.row = l.row AND m.col = l.col))"
+
+
+@query(f"SELECT * FROM (WITH {BRIGHT}, {MIRROR.format(e=1, k=1, t='bright')}, {MEAN}, {MIRROR.format(e=1, k=1, t='mean').replace('big AS', 'wide AS')}, {STEEP}, {SHADE}, {MOVED} SELECT (l.row - greatest(0, -dy))::INT AS row, (l.col - greatest(0, -dx))::INT AS col, value FROM ({GROWN.replace('FROM classes', 'FROM kept')}) l LEFT JOIN steep s ON l.row = s.row AND l.col = s.col, best, size WHERE NOT coalesce(magnitude, 0) > 1.5::DOUBLE AND l.row >= greatest(0, -dy) AND l.row < h - greatest(0, dy) AND l.col >= greatest(0, -dx) AND l.col < w - greatest(0, dx))", "grid", "classes", "size", "road")
 def c3_enhance(s, d):
     v = A.normalize_minmax(T.grid(s, d)).select("row", "col", *[F.col("value").alias(c) for c in "rgb"])
-    return P.enhance(T.classes(s, d), v, T.road(s, d), T.height(s, d), T.WIDTH, grow=3, gray_threshold=0.1, grad_threshold=1.5, shift=5)
+    labels, offset = P.enhance(T.classes(s, d), v, T.road(s, d), T.height(s, d), T.WIDTH, grow=3, gray_threshold=0.1, grad_threshold=1.5, shift=5)
+    return R.crop_by_offset(labels, offset, T.height(s, d), T.WIDTH)
 
 
-@query()
-def c4_prepare_patches(s, d):
+def _prepared(s, d):
     pixels = T.grid(s, d).select("row", "col", F.array("value").alias("bands"))
-    return P.prepare_patches(pixels, T.classes(s, d), T.lut(s, d), T.height(s, d), T.WIDTH, 16, 0.2)["patches"]
+    return P.prepare_patches(pixels, T.classes(s, d), T.lut(s, d).where("seg_id <> '4'"), T.height(s, d), T.WIDTH, 16, 0.2)
 
 
-@query()
+CUT = "SELECT * FROM (SELECT patch_id::INT AS patch_id, (row - top)::INT AS r, (col - lft)::INT AS c, band, labeled_band, label, sum(label) OVER (PARTITION BY patch_id) AS total FROM origins JOIN {t} ON row BETWEEN top AND top + 15 AND col BETWEEN lft AND lft + 15) WHERE total > 0"
+
+
+@query(f"SELECT patch_id, r, c, band, labeled_band, label FROM (WITH {COUNTS}, {PATCHES}, known AS (SELECT g.row, g.col, CASE WHEN c.value > 0 THEN g.value ELSE 0 END AS band, CASE WHEN c.value > 0 AND c.value <> 4 THEN g.value ELSE 0 END AS labeled_band, CASE WHEN c.value > 0 AND c.value <> 4 THEN n_regionkey + 1 ELSE 0 END::INT AS label FROM grid g JOIN classes c USING (row, col) JOIN nation ON n_nationkey = c.value) {CUT.format(t='known')})", "grid", "classes", "size")
+def c4_prepare_patches(s, d):
+    return _prepared(s, d)["patches"].select("patch_id", "r", "c", F.get("bands", F.lit(0)).alias("band"), F.get("labeled_bands", F.lit(0)).alias("labeled_band"), "label")
+
+
+FRAMES = f"x AS (SELECT c.value::INT::VARCHAR AS region, c.row - min_row AS row, c.col - min_col AS col, g.value FROM classes c JOIN ({GROWN_BOX}) b ON b.value = c.value JOIN grid g ON g.row = c.row AND g.col = c.col), {FOLD.replace('12', '16')}"
+
+
+@query(f"SELECT * FROM (WITH {FRAMES} SELECT region, r::INT AS r, c::INT AS c, arg_max(value, (late::INT * 1000000 + row * 1000 + col)) AS value, CASE WHEN region <> '4' THEN (SELECT n_regionkey + 1 FROM nation WHERE n_nationkey::VARCHAR = region)::DOUBLE END AS label FROM f GROUP BY 1, 2, 3)", "classes", "grid", "size")
+def c4_region_frames(s, d):
+    out = _prepared(s, d)
+    return out["region_frames"].join(out["region_labels"], ["region", "r", "c"]).select("region", "r", "c", "value", "label")
+
+
+IN_ROI = f"(SELECT min(row) y0, max(row) y1, min(col) x0, max(col) x1 FROM grid WHERE {ROI_SQL})"
+INSIDE = "row >= y0 AND row < y1 AND col >= x0 AND col < x1"
+PART = f"part AS (SELECT (row - y0)::INT AS row, (col - x0)::INT AS col, lon, lat, value FROM grid, {IN_ROI} WHERE {INSIDE}), partroad AS (SELECT (row - y0)::INT AS row, (col - x0)::INT AS col, lon, lat FROM onroad, {IN_ROI} WHERE {INSIDE}), partsize AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM part)"
+SCALED = "known AS (SELECT p.row, p.col, CASE WHEN v.value > 0 THEN p.value / m END AS band, coalesce(v.value, 0)::INT AS label FROM (SELECT *, max(value) OVER () AS m FROM part) p LEFT JOIN valued v ON v.row = p.row AND v.col = p.col)"
+FLOW = f"WITH RECURSIVE {FIRST}, {ON_ROADS}, {PART}, {CLOSE.format(t='partroad')}, {around('close').replace('size', 'partsize')}, {VALUED.format(g='part')}, {SCALED}, {COUNTS.replace('FROM size', 'FROM partsize')}, {PATCHES.replace('FROM size', 'FROM partsize')} " + CUT.format(t="known").replace("labeled_band, ", "")
+
+
+@query(f"SELECT patch_id, r, c, round(coalesce(band, 0), 6) AS band, label FROM ({FLOW})", "points", "grid", "size", "roads")
 def c5_pavement_pipeline(s, d):
-    return P.pavement_pipeline(_scene(s, d), ROI, T.STEP, crop=16, overlap=0.2)["patches"]
+    out = P.pavement_pipeline(_scene(s, d), ROI, T.STEP, crop=16, overlap=0.2, method="first_location")["patches"]
+    return rounded(out.select("patch_id", "r", "c", F.get("bands", F.lit(0)).alias("band"), "label"), "band")
+
+
+@query()
+def c5_pavement_segments(s, d):
+    """The flow along segments, with percentile scaling and enhancement, written and read back (no SQL: see the tests)."""
+    scene, path = _segment_scene(s, d), shared_path(s, "prepared")
+    bands = F.array("value", F.col("value") / 2, F.col("value") / 3)
+    scene = P.Scene(scene.pixels.select("row", "col", "lon", "lat", bands.alias("bands")), scene.roads, scene.points, scene.height, scene.width)
+    P.pavement_pipeline(scene, ROI, T.STEP, crop=16, overlap=0.2, segments=True, p95=True, block=3000, path=path, source=2, grow=3, gray_threshold=0.4, white=2.0, grad_threshold=1.5, shift=5)
+    return s.read.parquet(f"{path}/label_patches").select("patch_id", "r", "c", "label")
 
 
 # --- checks ----------------------------------------------------------------------------------------------------
-@query("SELECT 'required:pci' AS \"check\", 0::BIGINT AS n UNION ALL SELECT 'range:pci', count(*) FILTER (NOT pci BETWEEN 0 AND 90) FROM points UNION ALL SELECT 'range:lat', count(*) FILTER (NOT lat BETWEEN 42.24::DOUBLE AND 43) FROM points", "points")
+@query("SELECT unnest(['range:pci', 'range:lat', 'range:lon', 'type:pci', 'type:seg_id', 'required:pci']) AS \"check\", unnest([count(*) FILTER (pci < 0 OR pci > 90), count(*) FILTER (lat < 42.24::DOUBLE OR lat > 43), count(*) FILTER (lon < -83.26::DOUBLE), 0, 1, count(*) FILTER (pci IS NULL)])::BIGINT AS n FROM points", "points")
 def v4_validate_range(s, d):
-    return S.violations(T.points(s, d), required=("pci",), ranges={"pci": (0, 90), "lat": (42.24, 43)})
+    return S.violations(T.points(s, d), required=("pci",), ranges={"pci": (0, 90), "lat": (42.24, 43), "lon": (-83.26, None)}, types={"pci": "double", "seg_id": "double"})
+
+
+@query("SELECT unnest(['length:bands', 'shape:row']) AS \"check\", unnest([count(*) FILTER (len(bands) <> 60), (max(row) + 1 <> 20)::BIGINT])::BIGINT AS n FROM bandpix", "bandpix")
+def v4_validate_shape(s, d):
+    return S.violations(T.bandpix(s, d), lengths={"bands": 60}, shape=(20, -1))
 
 
-@query("SELECT 'required:lon' AS \"check\", 0::BIGINT AS n UNION ALL SELECT 'required:lat', 0 UNION ALL SELECT 'unique:row,col', count(*) - count(DISTINCT row * 1000 + col) FROM grid", "grid")
+@query("SELECT 'required:lon' AS \"check\", count(*) FILTER (lon IS NULL) AS n FROM grid UNION ALL SELECT 'required:lat', count(*) FILTER (lat IS NULL) FROM grid UNION ALL SELECT 'unique:row,col', count(*) - count(DISTINCT row * 1000 + col) FROM grid UNION ALL SELECT 'alone:first', (SELECT count(*) FROM grid g ANTI JOIN (SELECT row, col FROM road) r ON g.row = r.row AND g.col = r.col) UNION ALL SELECT 'alone:second', (SELECT count(*) FROM road r ANTI JOIN grid g ON g.row = r.row AND g.col = r.col)", "grid", "road")
 def v1_validate_pixels(s, d):
-    return S.violations(T.grid(s, d), required=("lon", "lat"), unique=("row", "col"))
+    g = T.grid(s, d)
+    return S.violations(g, required=("lon", "lat"), unique=("row", "col")).unionByName(S.misaligned(g, T.road(s, d)))
 
 
-@query("SELECT 'required:pci' AS \"check\", 0::BIGINT AS n UNION ALL SELECT 'required:lon', 0 UNION ALL SELECT 'required:lat', 0 FROM (SELECT 1)")
+@query("SELECT unnest(['required:pci', 'required:lon', 'required:lat']) AS \"check\", unnest([count(*) FILTER (pci IS NULL), count(*) FILTER (lon IS NULL), count(*) FILTER (lat IS NULL)])::BIGINT AS n FROM (SELECT nullif(pci, 50) AS pci, lon, CASE WHEN idx % 7 > 0 THEN lat END AS lat FROM points)", "points")
 def v2_validate_points(s, d):
-    return S.violations(T.points(s, d), required=("pci", "lon", "lat"))
+    p = T.points(s, d).withColumn("pci", F.nullif("pci", F.lit(50.0))).withColumn("lat", F.when(F.col("idx") % 7 > 0, F.col("lat")))
+    return S.violations(p, required=("pci", "lon", "lat"))
 
 
 @query("SELECT 'unique:row,col' AS \"check\", count(*) - count(DISTINCT row * 1000 + col) AS n FROM road", "road")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,8 +53,9 @@ def parse_lut(df: DataFrame, text: str = "value") -> DataFrame:
     return df.select(F.explode(F.from_json(text, "map<string,double>")).alias("seg_id", "pci"))
 
 
-def scan_seg_lut(spark: SparkSession, path: str) -> DataFrame:
-    return parse_lut(spark.read.text(path, wholetext=True))
+def scan_seg_lut(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """(seg_id, pci) of JSON maps: one a file or, with whole False, one a line, which splits."""
+    return parse_lut(spark.read.text(path, wholetext=whole))
 
 
 def scan_mask_cropped(spark: SparkSession, path: str, rect: tuple[int, int, int, int]) -> DataFrame:
@@ -89,11 +90,12 @@ def mask_cache_or_build(spark: SparkSession, path: str, roi: tuple, build) -> tu
 
 
 def concat_band_sets(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Bands of both sets; an error if their extents differ. Coordinates come from the first."""
-    ends = [tuple(df.agg(F.max("row"), F.max("col"), F.count("*")).first()) for df in (first, second)]
-    if ends[0] != ends[1]:
-        raise ValueError(f"extents differ: {ends[0]} and {ends[1]}")
-    return first.join(second.select("row", "col", F.col("bands").alias("_more")), ["row", "col"]).withColumn("bands", F.concat("bands", "_more")).drop("_more")
+    """Bands of both sets; an error if their cells differ, in the first pass over the result. Coordinates come from the first."""
+    more = second.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("bands").alias("_more"))
+    both = first.join(more, (F.col("row") == F.col("_row")) & (F.col("col") == F.col("_col")), "full")
+    lone = F.col("row").isNull() | F.col("_row").isNull()
+    bands = F.when(lone, F.raise_error(F.concat(F.lit("cells differ: "), F.to_json(F.struct(F.coalesce("row", "_row").alias("row"), F.coalesce("col", "_col").alias("col")))))).otherwise(F.concat("bands", "_more"))
+    return both.withColumn("bands", bands).drop("_row", "_col", "_more")
 
 
 def roi_key(roi: tuple) -> str:
@@ -115,17 +117,38 @@ def scan_pixel_table(spark: SparkSession, path: str, source: int | None = None)
     return df if source is None else df.where(F.col("data_source") == source)
 
 
-def violations(df: DataFrame, *, required: tuple[str, ...] = (), ranges: dict[str, tuple[float, float]] | None = None, unique: tuple[str, ...] = ()) -> DataFrame:
-    """(check, n): rows that miss a required value, lie outside an inclusive range, or repeat a unique key."""
-    missing = [c for c in (*required, *(ranges or {}), *unique) if c not in df.columns]
+def misaligned(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(check, n): cells (row, col) of one layer that the other lacks."""
+    keys = ["row", "col"]
+    a, b = first.select(*keys).distinct(), second.select(*keys).distinct()
+    lone = a.join(b, keys, "left_anti").select(F.lit("first").alias("side")).unionAll(b.join(a, keys, "left_anti").select(F.lit("second").alias("side")))
+    return lone.agg(F.count_if(F.col("side") == "first").alias("alone:first"), F.count_if(F.col("side") == "second").alias("alone:second")).unpivot([], ["alone:first", "alone:second"], "check", "n")
+
+
+def violations(df: DataFrame, *, required: tuple[str, ...] = (), ranges: dict[str, tuple[float | None, float | None]] | None = None, unique: tuple[str, ...] = (), types: dict[str, str] | None = None, lengths: dict[str, int] | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
+    """(check, n): rows that miss a required value, lie outside an inclusive range (None: open), repeat a unique key, or
+    hold an array of another length than given; 1 for a column of another type than given, or for a raster (row, col)
+    whose height or width is another than in ``shape``. -1 stands for any length."""
+    wanted = (*required, *(ranges or {}), *unique, *(types or {}), *(lengths or {}), *(("row", "col") if shape else ()))
+    missing = [c for c in wanted if c not in df.columns]
     if missing:
         raise ValueError(f"columns are missing: {missing}")
-    tests = {f"required:{c}": F.col(c).isNull() for c in required} | {f"range:{c}": ~F.col(c).between(a, b) for c, (a, b) in (ranges or {}).items()}
-    counts = df.agg(*[F.count_if(t).alias(k) for k, t in tests.items()]) if tests else None
-    out = counts.select(F.explode(F.create_map(*[x for k in tests for x in (F.lit(k), F.col(f"`{k}`"))])).alias("check", "n")) if tests else None
+
+    def outside(c: str, a: float | None, b: float | None) -> Column:
+        low = F.lit(False) if a is None else F.col(c) < F.lit(a)
+        high = F.lit(False) if b is None else F.col(c) > F.lit(b)
+        return low | high
+
+    tests = {f"required:{c}": F.count_if(F.col(c).isNull()) for c in required}
+    tests |= {f"range:{c}": F.count_if(outside(c, a, b)) for c, (a, b) in (ranges or {}).items()}
+    tests |= {f"length:{c}": F.count_if(F.size(c) != k) for c, k in (lengths or {}).items() if k != -1}
+    tests |= {f"type:{c}": F.lit(int(dict(df.dtypes)[c] != t)).cast("long") for c, t in (types or {}).items()}
+    if shape:
+        tests |= {f"shape:{c}": (F.coalesce(F.max(c) + 1, F.lit(0)) != k).cast("long") for c, k in zip(("row", "col"), shape, strict=True) if k != -1}
+    out = None
+    if tests:
+        out = df.agg(*[t.alias(k) for k, t in tests.items()]).unpivot([], [F.col(f"`{k}`") for k in tests], "check", "n")
     if unique:
         again = df.groupBy(*unique).agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("n")).select(F.lit("unique:" + ",".join(unique)).alias("check"), "n")
         out = again if out is None else out.unionByName(again)
     return out
-
-
