@@ -149,7 +149,7 @@ def shortest_paths(cells: DataFrame, pairs: DataFrame, box_cells: int | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            rows = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(6)], axis=1)
+            rows = np.stack([c.to_numpy().astype(np.int64) for c in b.columns], axis=1)
             rows = rows if held is None else np.concatenate([held, rows])
             at, out = 0, []
             for end in np.nonzero(rows[:, 1] == 1)[0].tolist():

@@ -90,12 +90,11 @@ def mask_cache_or_build(spark: SparkSession, path: str, roi: tuple, build) -> tu
 
 
 def concat_band_sets(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Bands of both sets; an error if their cells differ, in the first pass over the result. Coordinates come from the first."""
-    more = second.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("bands").alias("_more"))
-    both = first.join(more, (F.col("row") == F.col("_row")) & (F.col("col") == F.col("_col")), "full")
-    lone = F.col("row").isNull() | F.col("_row").isNull()
-    bands = F.when(lone, F.raise_error(F.concat(F.lit("cells differ: "), F.to_json(F.struct(F.coalesce("row", "_row").alias("row"), F.coalesce("col", "_col").alias("col")))))).otherwise(F.concat("bands", "_more"))
-    return both.withColumn("bands", bands).drop("_row", "_col", "_more")
+    """Bands of both sets; an error if one has a cell that the other lacks. Coordinates come from the first."""
+    alone = {r["check"]: r["n"] for r in misaligned(first, second).collect()}
+    if any(alone.values()):
+        raise ValueError(f"cells differ: {alone}")
+    return first.join(second.select("row", "col", F.col("bands").alias("_more")), ["row", "col"]).withColumn("bands", F.concat("bands", "_more")).drop("_more")
 
 
 def roi_key(roi: tuple) -> str:

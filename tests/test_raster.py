@@ -59,7 +59,12 @@ def test_scores(spark):
     five = scores(spark, [85, 70, 55, 40, 25], [82, 68, 58, 42, 28])
     assert A.pci_metrics(five).first()["within"] == 0.0 and A.pci_metrics(five, 5).first()["within"] == 1.0
     assert A.regression_metrics(scores(spark, [1, 1], [1, 1])).first()["r2"] == 1.0
-    assert A.confusion_matrix(five).count() == 100
+    assert A.confusion_matrix(five).count() == 5  # the pairs that occur
+    labels = spark.createDataFrame([(float(v),) for v in (85, 70, 55, 40, 25, 82, 68, 58, 42, 28)], "label double")
+    every = A.confusion_matrix(five, labels).collect()
+    assert len(every) == 100 and sum(r["n"] for r in every) == 5
+    with pytest.raises(ValueError):
+        A.confusion_matrix(five, spark.range(A.LABELS + 1).selectExpr("double(id) AS label"))
 
 
 def test_spectral_stats(spark):
@@ -78,15 +83,65 @@ def test_histogram_and_columns(spark):
     with pytest.raises(ValueError):
         C.divide_ranges(F.col("x"), 1, 2)
     assert one.select(C.nan_nonpositive(F.lit(float("nan")))).first()[0] is None
-    lat, lon = C.utm_to_wgs84_sql("331000D", "4690000D", "17")
-    r = one.selectExpr(f"{lat} AS lat", f"{lon} AS lon").first()
-    assert abs(r["lat"] - 42.3435) < 0.01 and abs(r["lon"] + 83.0515) < 0.01
     lat, lon = C.utm_to_wgs84_sql("500000D", "0D", "17")
     assert tuple(one.selectExpr(lat, lon).first()) == pytest.approx((0.0, -81.0), abs=1e-9)
-    lat, lon = C.itm_to_wgs84_sql("219529.584D", "626907.39D")
-    assert tuple(one.selectExpr(lat, lon).first()) == pytest.approx((31.734394, 35.204517), abs=1e-3)
+
+
+def forward(lat, lon, lon0, lat0, k0, fe, fn, f):
+    """Transverse Mercator by powers of the distance from the central meridian, with the meridian's arc integrated."""
+    from math import cos, radians, sin, sqrt, tan
+
+    a, e2 = 6378137.0, f * (2 - f)
+
+    def arc(p, n=2000):
+        h = p / n
+        r = lambda t: a * (1 - e2) / (1 - e2 * sin(t) ** 2) ** 1.5
+        return h / 3 * (r(0) + r(p) + sum((4 if i % 2 else 2) * r(i * h) for i in range(1, n)))
+
+    p, d = radians(lat), radians(lon - lon0)
+    n, t, c, s = a / sqrt(1 - e2 * sin(p) ** 2), tan(p) ** 2, e2 / (1 - e2) * cos(p) ** 2, e2 / (1 - e2)
+    u = d * cos(p)
+    x = n * (u + (1 - t + c) * u**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * s) * u**5 / 120 + (61 - 479 * t + 179 * t * t - t**3) * u**7 / 5040)
+    y = arc(p) - arc(radians(lat0)) + n * tan(p) * (u**2 / 2 + (5 - t + 9 * c + 4 * c * c) * u**4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * s) * u**6 / 720 + (1385 - 3111 * t + 543 * t * t - t**3) * u**8 / 40320)
+    return fe + k0 * x, fn + k0 * y
+
+
+def test_coordinates_come_back(spark):
+    """UTM and ITM places made by forward formulas of their own return to where they came from."""
+    places = [(lat, -81 + off) for lat in (0.5, 25.3, 42.3435, 60.1) for off in (-2.0, -0.7, 0.0, 1.4)]
+    utm = spark.createDataFrame([(*p, *forward(*p, -81, 0, 0.9996, 500000, 0, 1 / 298.257223563)) for p in places], "lat0 double, lon0 double, e double, n double")
+    for r in C.transform_crs(utm, "e", "n", "EPSG:32617", "EPSG:4326").collect():
+        assert (r["y"], r["x"]) == pytest.approx((r["lat0"], r["lon0"]), abs=2e-8)
+    south = C.transform_crs(utm.withColumn("n", F.lit(10000000.0) - F.col("n")), "e", "n", "EPSG:32717", "EPSG:4326")
+    assert all(r["y"] == pytest.approx(-r["lat0"], abs=2e-8) for r in south.collect())
+
+    def to_itm(lat, lon):
+        import numpy as np
+
+        e, g = 1 / 298.257223563 * (2 - 1 / 298.257223563), C.GRS80_F * (2 - C.GRS80_F)
+        p, q = np.radians(lat), np.radians(lon)
+        n = 6378137.0 / np.sqrt(1 - e * np.sin(p) ** 2)
+        x = np.array([n * np.cos(p) * np.cos(q), n * np.cos(p) * np.sin(q), n * (1 - e) * np.sin(p)])
+        a, b, c = np.radians(np.array([-0.33077, -1.85269, 1.66969]) / 3600)
+        turn = (1 + 5.4248e-6) * np.array([[1, -c, b], [c, 1, -a], [-b, a, 1]])
+        x = np.linalg.solve(turn, x - np.array([-24.0024, -17.1032, -17.8444]))
+        flat, t = np.hypot(x[0], x[1]), np.arctan2(x[2], np.hypot(x[0], x[1]) * (1 - g))
+        for _ in range(20):
+            t = np.arctan2(x[2] + g * 6378137.0 / np.sqrt(1 - g * np.sin(t) ** 2) * np.sin(t), flat)
+        return forward(np.degrees(t), np.degrees(np.arctan2(x[1], x[0])), C.ITM_LON0, C.ITM_LAT0, C.ITM_K0, C.ITM_FE, C.ITM_FN, C.GRS80_F)
+
+    places = [(29.6, 34.95), (31.0, 34.5), (31.78, 35.2137), (32.0853, 34.7818), (33.1, 35.6)]
+    itm = spark.createDataFrame([(*p, *map(float, to_itm(*p)), 1, "z") for p in places], "lat0 double, lon0 double, e double, n double, _p int, lat string")
+    for r in C.itm_to_wgs84(itm.drop("lat"), "e", "n").collect():  # heights of some 20 m are taken as 0: below 1e-6 degrees
+        assert (r["lat"], r["lon"]) == pytest.approx((r["lat0"], r["lon0"]), abs=1e-6) and r["_p"] == 1
+    web = C.transform_crs(itm, "e", "n", "EPSG:2039", "EPSG:3857").collect()
+    back = C.transform_crs(spark.createDataFrame([(r["x"], r["y"], r["lat0"]) for r in web], "x double, y double, lat0 double"), "x", "y", "EPSG:3857", "EPSG:4326")
+    assert all(r["y"] == pytest.approx(r["lat0"], abs=1e-6) for r in back.collect())
     with pytest.raises(ValueError):
-        C.transform_crs(F.lit(1), F.lit(1), "EPSG:1", "EPSG:2")
+        C.transform_crs(itm, "e", "n", "EPSG:1", "EPSG:2")
+    # away from the datum shift the projection alone: some 75 m at the grid's origin
+    at = C.itm_to_wgs84(spark.createDataFrame([(219529.584, 626907.39)], "x double, y double"), "x", "y").first()
+    assert 60 < 111_000 * ((at["lat"] - C.ITM_LAT0) ** 2 + (0.85 * (at["lon"] - C.ITM_LON0)) ** 2) ** 0.5 < 90
 
 
 def test_crop_and_patches(spark):
