@@ -11,6 +11,7 @@ from .common import unused, written
 _SPACE = " \t\n\x0b\x0c\r"
 #: Bins of a hash that a source's documents stand in.
 BINS = 1 << 16
+FEW = 1 << 8
 #: Sources up to this number are sent to every executor; more are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -58,13 +59,19 @@ def hash_bin(key: Column, seed: int) -> Column:
 def _drawn_bins(bins: DataFrame, rates: DataFrame, small: bool, seed: int) -> DataFrame:
     """rates with ``cut``: a source's bins below it are drawn once more. Those are the bins, in order, that together
     hold the words that whole copies leave open; the bin in which that number falls is drawn with the probability of
-    the share of it that is missing."""
+    the share of it that is missing. Bins are added up in groups of FEW first, then inside the group that holds the
+    cut, so a window has FEW or BINS / FEW rows a source."""
     need = (F.col("rate") - F.floor("rate")) * F.col("source_size")
-    order = Window.partitionBy("source").orderBy("bin")
-    b = bins.join(F.broadcast(rates) if small else rates, bins["source"].eqNullSafe(rates["source"])).select(bins["source"], "bin", "size", need.alias("need"))
-    b = b.where("need > 0").withColumn("after", F.sum("size").over(order)).withColumn("before", F.col("after") - F.col("size"))
+    b = bins.join(F.broadcast(rates) if small else rates, bins["source"].eqNullSafe(rates["source"])).select(bins["source"], "bin", "size", need.alias("need")).where("need > 0")
+    groups = b.groupBy("source", F.floor(F.col("bin") / FEW).alias("group")).agg(F.sum("size").alias("size"), F.first("need").alias("need"))
+    groups = groups.withColumn("after", F.sum("size").over(Window.partitionBy("source").orderBy("group"))).withColumn("before", F.col("after") - F.col("size"))
+    whole = groups.where("after <= need").select("source", ((F.col("group") + 1) * FEW).alias("cut"))
+    split = groups.where("before < need AND after > need").select(F.col("source").alias("_source"), "group", "before")
+    inside = b.join(split, b["source"].eqNullSafe(split["_source"]) & (F.floor(F.col("bin") / FEW) == F.col("group"))).select("source", "bin", "size", "need", "before")
+    inside = inside.withColumn("after", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("bin"))).withColumn("before", F.col("after") - F.col("size"))
     crossing = hash_unit(F.concat(F.coalesce("source", F.lit("")), F.lit(":cut")), seed) * F.col("size") < F.col("need") - F.col("before")
-    cuts = b.where((F.col("after") <= F.col("need")) | ((F.col("before") < F.col("need")) & crossing)).groupBy("source").agg((F.max("bin") + 1).alias("cut"))
+    part = inside.where((F.col("after") <= F.col("need")) | ((F.col("before") < F.col("need")) & crossing)).select("source", (F.col("bin") + 1).cast("long").alias("cut"))
+    cuts = whole.unionByName(part).groupBy("source").agg(F.max("cut").alias("cut"))
     return rates.join(cuts, rates["source"].eqNullSafe(cuts["source"]), "left").select(rates["source"], "source_size", "target", "rate", F.coalesce("cut", F.lit(0)).alias("cut"))
 
 
