@@ -57,4 +57,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece_codec, op3_line_dedup, op4_document_fingerprints, op5_simhash_near_dedup, op6_source_mixing, op7_exact_topk_search, op8_token_counts, op9_lm_scoring, op10_substring_dedup)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES = {"op3_line_dedup": line_dedup.LINE_SQL, "op6_source_mixing": mixing.MIX_SQL, "op7_exact_topk_search": topk.TOP_K_SQL}
+ORACLES = {"op3_line_dedup": line_dedup.LINE_SQL, "op6_source_mixing": mixing.MIX_SQL, "op7_exact_topk_search": topk.TOP_K_SQL, "op10_substring_dedup": substring_dedup.REPEAT_SQL}

@@ -405,3 +405,22 @@ def drop_repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW, f
 
 def repeat_report(docs: DataFrame) -> DataFrame:
     return drop_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+REPEAT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i + 1 : i + 20], ' ') AS k FROM d, LATERAL (SELECT unnest(range(greatest(len(w) - 19, 0))) AS i)
+), late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + j.range AS p FROM late, range(20) j
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
