@@ -235,22 +235,20 @@ def classification_metrics(df: DataFrame, *by: str) -> DataFrame:
     return per_class(df, *by).groupBy(*by).agg((F.sum("tp") / total).alias("accuracy"), *[(F.sum(F.col(k) * F.col("support")) / total).alias(k) for k in ("precision", "recall", "f1")])
 
 
-def regression_metrics(df: DataFrame, *by: str) -> DataFrame:
-    """mae, mse, rmse and r2 = 1 - SSE / SST (without variance: 1 for no error, else 0)."""
+def regression_metrics(df: DataFrame, *by: str, tolerance: float | None = None) -> DataFrame:
+    """mae, mse, rmse and r2 = 1 - SSE / SST (without variance: 1 for no error, else 0); with ``tolerance``, also
+    ``within``, the share of predictions at most so far off."""
     e = F.col("y_true") - F.col("y_pred")
-    s = df.groupBy(*by).agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.var_pop("y_true").alias("var"))
+    more = [] if tolerance is None else [F.avg((F.abs(e) <= tolerance).cast("double")).alias("within")]
+    s = df.groupBy(*by).agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.var_pop("y_true").alias("var"), *more)
     r2 = F.when(F.col("var") > 0, 1 - F.col("mse") / F.col("var")).when(F.col("mse") == 0, 1.0).otherwise(0.0)
-    return s.select(*by, "mae", "mse", F.sqrt("mse").alias("rmse"), r2.alias("r2"))
+    return s.select(*by, "mae", "mse", F.sqrt("mse").alias("rmse"), r2.alias("r2"), *(["within"] if more else []))
 
 
 def pci_metrics(df: DataFrame, tolerance: float = 1.0, *by: str) -> DataFrame:
-    """Classification and regression scores and the share of predictions within ``tolerance``."""
-    within = df.groupBy(*by).agg(F.avg((F.abs(F.col("y_true") - F.col("y_pred")) <= tolerance).cast("double")).alias("within"))
-    parts = [classification_metrics(df, *by), regression_metrics(df, *by), within]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, list(by)) if by else out.crossJoin(p)
-    return out
+    """Classification and regression scores and the share of predictions within ``tolerance``, in two passes."""
+    classes, errors = classification_metrics(df, *by), regression_metrics(df, *by, tolerance=tolerance)
+    return classes.join(errors, list(by)) if by else classes.crossJoin(errors)
 
 
 #: Labels that a full confusion matrix is made for, at most.
