@@ -104,22 +104,21 @@ def merge_close_points(points: DataFrame, threshold: float, method: str = "mean_
     """Greedy merge in idx order: a point not yet absorbed leads and merges all points closer than ``threshold``.
 
     Returns idx (leader), lon, lat, pci. A point leads if none of its earlier neighbours does; rounds settle every
-    point whose earlier neighbours are settled, so their number follows the longest chain, not the point count; they end when no pair is open.
+    point whose earlier neighbours are settled, so their number follows the longest chain, not the point count; they
+    end when no pair is open. Only pairs of ids are kept through the rounds; places meet their leaders at the end.
     """
     p = points.select("idx", "lon", "lat", "pci")
     a = p.select(F.col("idx").alias("i"), F.col("lon").alias("lx"), F.col("lat").alias("ly"))
     b = p.select(F.col("idx").alias("j"), F.col("lon").alias("rx"), F.col("lat").alias("ry"), F.col("pci").alias("v"))
-    pairs = materialised(within(a, b, threshold).select("i", "j", "rx", "ry", "v"))
-    earlier = pairs.where("j < i").select("i", "j")
-    state = materialised(p.select(F.col("idx").alias("i")).join(earlier.select("i").distinct(), "i", "left_anti").withColumn("leads", F.lit(True)))
-    open_ = materialised(earlier)
+    open_ = materialised(within(a, b.select("j", "rx", "ry"), threshold).where("j < i").select("i", "j"))
+    state = materialised(p.select(F.col("idx").alias("i")).join(open_.select("i").distinct(), "i", "left_anti").withColumn("leads", F.lit(True)))
     while not open_.isEmpty():
         known = open_.join(state.select(F.col("i").alias("j"), "leads"), "j", "left")
         verdict = known.groupBy("i").agg(F.max(F.coalesce("leads", F.lit(False))).alias("absorbed"), F.count_if(F.col("leads").isNull()).alias("waiting"))
-        settled = verdict.where("absorbed OR waiting = 0").select("i", (~F.col("absorbed")).alias("leads"))
-        state = materialised(state.unionByName(settled))
-        open_ = materialised(open_.join(state.select("i"), "i", "left_anti"))
-    led = pairs.join(state.where("leads").select("i"), "i")
+        settled = materialised(verdict.where("absorbed OR waiting = 0").select("i", (~F.col("absorbed")).alias("leads")))
+        state = state.unionByName(settled)
+        open_ = materialised(open_.join(settled.select("i"), "i", "left_anti"))
+    led = within(a.join(state.where("leads").select("i"), "i", "left_semi"), b, threshold)
     mid = F.transform(F.array_sort(F.collect_list(F.struct("j", "rx", "ry", "v"))), lambda x: x)
     forms = {
         "mean_min": (F.avg("rx"), F.avg("ry"), F.min("v")),
