@@ -53,6 +53,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        files, jvm = table.inputFiles(), table.sparkSession.sparkContext._jvm
+        if files:
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0])).getParent()
+            folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def utf8(text: str = "text") -> Column:
     """Whole text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")

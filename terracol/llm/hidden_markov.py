@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices, utf8, written
+from .common import batch, discard, slices, utf8, written
 
 STATES = 4
 #: Most words that are symbols of their own (the rest share CLASSES symbols): bounds the model and what a task sends.
@@ -335,6 +335,8 @@ def train(coded: DataFrame, vocab: Vocabulary, states: int = STATES, schedule: t
             start, steps, emits = corpus_counts(some, m)
             if emits.any():
                 m = maximise(start, steps, emits, unigram)
+        if share > 1:
+            discard(some)
     return m
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices, unused, utf8, word_hashes, written
+from .common import batch, discard, slices, unused, utf8, word_hashes, written
 
 #: Hash buckets of unigrams and bigrams together; also the number of rows that reach the driver.
 BUCKETS = 1 << 18
@@ -135,7 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, share: float | None = None, seed:
     if share >= 1:
         return ratio, target, -np.inf
     scores = written(weigh(docs.select("doc_id", "text"), ratio, target, seed=seed).select("key"))
-    return ratio, target, kth_key(scores, round(share * scores.count()))
+    least = kth_key(scores, round(share * scores.count()))
+    discard(scores)
+    return ratio, target, least
 
 
 def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None, seed: int = SEED) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, shuffle_partitions, slices, unused, utf8, written
+from .common import batch, discard, shuffle_partitions, slices, unused, utf8, written
 from .shingle_sets import links_between, shingle_hashes, verified_pairs, with_cells, with_sets
 
 BITS = 4
@@ -178,24 +178,27 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the edges, for every node.
 
     Each round every node takes the smallest label beside it, labels are followed one step further, and edges are
-    redrawn between labels; edges inside one label go. Rounds are written to the shared folder; they end when no
-    edge is left. Only edges and the labels of linked nodes move, never to the driver.
+    redrawn between labels; edges inside one label go. Rounds are written to the shared folder, where the next one
+    replaces them; they end when no edge is left. Only edges and the labels of linked nodes move, never to the driver.
     """
     edges = written(edges)
     labels = None
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to")))
-        onward = low.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        low = written(low.join(onward, "to", "left").select("node", F.coalesce("next", "to").alias("to")))
+        beside = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to")))
+        onward = beside.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        low = written(beside.join(onward, "to", "left").select("node", F.coalesce("next", "to").alias("to")))
+        done = [beside, low, edges]
         if labels is None:
-            labels = low.select("node", F.col("to").alias("component"))
+            labels = written(low.select("node", F.col("to").alias("component")))
         else:
+            done.append(labels)
             step = low.select(F.col("node").alias("component"), "to")
-            labels = labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = written(labels)
+            labels = written(labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
         a, b = low.select(F.col("node").alias("a"), F.col("to").alias("x")), low.select(F.col("node").alias("b"), F.col("to").alias("y"))
         edges = written(edges.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+        discard(*done)
+    discard(edges)
     if labels is None:
         return nodes.select("node", F.col("node").alias("component"))
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, utf8, written
+from .common import batch, discard, utf8, written
 
 WINDOW = 20
 FIRST_LEVEL = 5
@@ -193,6 +193,7 @@ def make_filter(hashes: DataFrame, most: int | None = None) -> Filter:
     rows = hashes.selectExpr(f"int(shiftright({at}, 6)) AS word", f"shiftleft(1L, int({at} & 63L)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(max(1, bits // 64), np.uint64)
     words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    discard(hashes)
     return Filter(words, bits)
 
 

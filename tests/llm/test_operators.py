@@ -10,6 +10,7 @@ from math import floor, log10
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from terracol.llm import fingerprints, hidden_markov, line_dedup, mixing, piece_codec, quality, simhash, substring_dedup, token_counts, topk
 from terracol.llm.queries import piece_model
@@ -225,6 +226,23 @@ def test_keep_one_of_null_and_repeated_ids(spark):
         assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, a), (1, b), (0, c), (7, d)])
 
 
+def test_components_leave_one_table(spark):
+    from pathlib import Path
+
+    from terracol.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    held = lambda: {p.name for p in folder.glob("terracol-*")}
+    before = held()
+    nodes = spark.range(40).toDF("node")
+    edges = nodes.where("node % 20 < 19").select(F.col("node").alias("a"), (F.col("node") + 1).alias("b"))
+    found = {r["node"]: r["component"] for r in simhash.connected_components(nodes, edges).collect()}
+    assert found == {n: n // 20 * 20 for n in range(40)}
+    assert len(held() - before) == 1
+    assert len(simhash.connected_components(nodes, edges.limit(0)).where("node = component").collect()) == 40
+    assert len(held() - before) == 1
+
+
 def test_manhattan_bound():
     rnd = np.random.default_rng(1)
     x = rnd.integers(0, 1 << 63, (500, 2), dtype=np.uint64) * np.uint64(2) + rnd.integers(0, 2, (500, 2), dtype=np.uint64)
