@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, hidden_markov, line_dedup, mixing, piece_codec, quality, simhash, substring_dedup, token_counts, topk
+from . import fill_in_middle, fingerprints, fragment_join, hidden_markov, line_dedup, mixing, piece_codec, quality, simhash, spelling, substring_dedup, token_counts, topk
 from .common import read_table
 
 
@@ -54,7 +54,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece_codec, op3_line_dedup, op4_document_fingerprints, op5_simhash_near_dedup, op6_source_mixing, op7_exact_topk_search, op8_token_counts, op9_lm_scoring, op10_substring_dedup)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.middle_report(read_table(spark, sf_dir, "documents"))
+
+
+def op12_fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragment_join.jaccard_report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece_codec, op3_line_dedup, op4_document_fingerprints, op5_simhash_near_dedup, op6_source_mixing, op7_exact_topk_search, op8_token_counts, op9_lm_scoring, op10_substring_dedup, op11_fill_in_middle, op12_fragment_join, op13_spelling_variants)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES = {"op3_line_dedup": line_dedup.LINE_SQL, "op6_source_mixing": mixing.MIX_SQL, "op7_exact_topk_search": topk.TOP_K_SQL, "op10_substring_dedup": substring_dedup.REPEAT_SQL}
+ORACLES = {"op3_line_dedup": line_dedup.LINE_SQL, "op6_source_mixing": mixing.MIX_SQL, "op7_exact_topk_search": topk.TOP_K_SQL, "op10_substring_dedup": substring_dedup.REPEAT_SQL, "op11_fill_in_middle": fill_in_middle.MIDDLE_SQL}
