@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil, floor
+from math import ceil, floor, isinf
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,62 +15,74 @@ def long_bands(pixels: DataFrame, *keep: str) -> DataFrame:
     return pixels.select(*keep, F.posexplode("bands").alias("band", "value"))
 
 
-#: Rows of one range that exact_quantiles sorts, and the bins it cuts larger ones into.
+#: Rows of one bracket that exact_quantiles sorts, the accuracy of its sketches, and the cuts of a bracket sketched again.
 SORTED_ROWS = 1 << 20
-BINS = 1024
+ACCURACY = 10_000
+CUTS = 256
+
+
+def between(a: float, b: float, share: float) -> float:
+    """The place at ``share`` of the way from a to b, also where their distance is no number or beyond the largest."""
+    if a == b or share == 0:
+        return a
+    if isinf(b - a):
+        return a * (1 - share) + b * share
+    return a + (b - a) * share
 
 
 def exact_quantiles(values: DataFrame, probs: list[float]) -> DataFrame:
     """(band, q): the quantiles of the non-null, non-NaN ``value`` of each band, linear between neighbours; a band
-    without values has no row.
+    without values has no row. Infinities are the ends of the order; halfway between both of them is NaN.
 
-    A wanted rank's range is cut into BINS bins, whose counts tell where the rank lies, until SORTED_ROWS rows or fewer
-    are left in it; these alone are sorted. So no task holds a band, and a row a band, range and bin reaches the driver.
+    One pass sketches every band; its summaries, merged from all tasks, bracket each wanted rank with a few thousandths
+    of the rows. A second pass counts what lies below a bracket and the different values inside it, which gives the
+    value at the rank. A bracket of over SORTED_ROWS rows (of billions) is sketched again first. A row a band and rank
+    reaches the driver, and CUTS values for a bracket sketched again.
     """
     spark = values.sparkSession
     v = values.where(F.col("value").isNotNull() & ~F.isnan("value")).select("band", F.col("value").cast("double").alias("value"))
-    ends = {r["band"]: r for r in v.groupBy("band").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()}
-    state = {}  # (band, rank) -> low, high, rows below low, rows inside
-    for band, r in ends.items():
-        for p in probs:
-            for rank in {floor(p * (r["n"] - 1)), ceil(p * (r["n"] - 1))}:
-                state[band, rank] = (r["low"], r["high"], 0, r["n"])
-
-    def inside(keys: list) -> DataFrame:
-        ranges = sorted({(band, *state[band, rank][:2]) for band, rank in keys})
-        return v.join(F.broadcast(spark.createDataFrame(ranges, "band int, low double, high double")), "band").where("value BETWEEN low AND high")
-
-    while True:
-        wide = [k for k, (low, high, _, n) in state.items() if n > SORTED_ROWS and low < high]
-        if not wide:
-            break
-        at = F.least(F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
-        rows = inside(wide).groupBy("band", "low", "high", at.alias("bin")).agg(F.count("*").alias("n"), F.min("value").alias("a"), F.max("value").alias("b")).collect()
-        by_range: dict[tuple, list] = {}
-        for r in sorted(rows, key=lambda r: r["bin"]):
-            by_range.setdefault((r["band"], r["low"], r["high"]), []).append(r)
-        for band, rank in wide:
-            low, high, below, _ = state[band, rank]
-            for r in by_range[band, low, high]:
-                if below + r["n"] > rank:
-                    state[band, rank] = (r["a"], r["b"], below, r["n"])
-                    break
-                below += r["n"]
-    found = {k: s[0] for k, s in state.items() if s[0] == s[1]}
-    rest = [k for k in state if k not in found]
-    if rest:
-        wanted = spark.createDataFrame([(band, *state[band, rank][:2], rank, rank - state[band, rank][2] + 1) for band, rank in rest], "band int, low double, high double, rank long, at long")
-        order = inside(rest).withColumn("at", F.row_number().over(Window.partitionBy("band", "low", "high").orderBy("value")))
-        found |= {(r["band"], r["rank"]): r["value"] for r in order.join(F.broadcast(wanted), ["band", "low", "high", "at"]).collect()}
-    out = []
-    for band, r in ends.items():
-        q = []
+    slack = 4 / ACCURACY
+    grid = sorted({min(max(p + off, 0.0), 1.0) for p in probs for off in (-slack, slack)})
+    sketch = v.groupBy("band").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.percentile_approx("value", grid, ACCURACY).alias("at"))
+    bands = {r["band"]: r for r in sketch.collect()}
+    state = {}  # (band, prob) -> low, high, about how many rows between
+    for band, r in bands.items():
+        at = dict(zip(grid, r["at"], strict=True))
         for p in probs:
-            h = p * (r["n"] - 1)
-            a, b = found[band, floor(h)], found[band, ceil(h)]
-            q.append(a + (b - a) * (h - floor(h)))
-        out.append((band, q))
-    return spark.createDataFrame(out, "band int, q array<double>")
+            few = 2 * slack * r["n"] < 1  # the ends of the order are brackets too
+            state[band, p] = (r["low"] if few or p <= slack else at[max(p - slack, 0.0)], r["high"] if few or p >= 1 - slack else at[min(p + slack, 1.0)], 2 * slack * r["n"])
+    ranks = {(band, p): (floor(p * (r["n"] - 1)), ceil(p * (r["n"] - 1))) for band, r in bands.items() for p in probs}
+
+    def bracketed(keys: list) -> DataFrame:
+        ranges = spark.createDataFrame([(band, p, state[band, p][0], state[band, p][1]) for band, p in keys], "band int, p double, low double, high double")
+        return v.join(F.broadcast(ranges), "band").where("value <= high")
+
+    wanted = spark.createDataFrame([(*k, *r) for k, r in ranks.items()], "band int, p double, first long, last long")
+    ends, margin = {}, 0.5
+    while open_ := [k for k in state if k not in ends]:
+        while wide := [k for k in open_ if state[k][2] > SORTED_ROWS and state[k][0] < state[k][1]]:
+            inside = F.col("value") >= F.col("low")
+            cuts = [i / CUTS for i in range(CUTS + 1)]
+            rows = bracketed(wide).groupBy("band", "p").agg(F.count_if(~inside).alias("below"), F.count_if(inside).alias("n"), F.percentile_approx(F.when(inside, F.col("value")), cuts, ACCURACY).alias("at"))
+            for r in rows.collect():
+                key = r["band"], r["p"]
+                first, last = ((rank - r["below"]) / max(r["n"] - 1, 1) * CUTS for rank in ranks[key])
+                i, j = max(floor(first - margin), 0), min(ceil(last + margin), CUTS)
+                low, high, _ = state[key]
+                new = (low if i == 0 else r["at"][i], high if j == CUTS else r["at"][j], r["n"] * (j - i) / CUTS)
+                # a bracket that its own values leave as wide as it was is as narrow as it gets
+                state[key] = new if new[:2] != (low, high) else (low, high, 0)
+        x = F.when(F.col("value") >= F.col("low"), F.col("value")).alias("x")
+        counts = bracketed(open_).groupBy("band", "p", x).agg(F.count("*").alias("c"))
+        running = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("band", "p").orderBy(F.asc_nulls_first("x"))))
+        hit = lambda rank: (F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("c") <= F.col(rank)) & F.col("x").isNotNull()
+        found = running.join(F.broadcast(wanted), ["band", "p"]).groupBy("band", "p").agg(*[F.max(F.when(hit(r), F.col("x"))).alias(r) for r in ("first", "last")])
+        ends |= {(r["band"], r["p"]): (r["first"], r["last"]) for r in found.where("first IS NOT NULL AND last IS NOT NULL").collect()}
+        margin *= 4  # a rank that a sketch put outside its bracket is looked for in the whole band, with more room
+        for k in [k for k in state if k not in ends]:
+            state[k] = (bands[k[0]]["low"], bands[k[0]]["high"], bands[k[0]]["n"])
+    share = lambda band, p: p * (bands[band]["n"] - 1) - ranks[band, p][0]
+    return spark.createDataFrame([(band, [between(*ends[band, p], share(band, p)) for p in probs]) for band in bands], "band int, q array<double>")
 
 
 def band_stats(pixels: DataFrame, **aggregates) -> DataFrame:
@@ -251,6 +263,12 @@ def pci_metrics(df: DataFrame, tolerance: float = 1.0, *by: str) -> DataFrame:
     return classes.join(errors, list(by)) if by else classes.crossJoin(errors)
 
 
+def batch_metrics(df: DataFrame, *by: str, tolerance: float = 1.0) -> DataFrame:
+    """pci_metrics of each dataset (columns ``by``) with its number of predictions."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("n"))
+    return pci_metrics(df, tolerance, *by).join(sizes, list(by))
+
+
 #: Labels that a full confusion matrix is made for, at most.
 LABELS = 4096
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import floor, sqrt
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terracol.functions.session import materialised
+from terracol.functions.session import materialised, numbered
 
 
 def _bucket(v: Column, cell: float) -> Column:
@@ -100,49 +104,149 @@ def descend(left: DataFrame, right: DataFrame, key: str, order: list[str], cell:
     return _with_best(left, _best(pairs, key, right.columns, order, "_x", "_y", rx, ry), key, right.columns)
 
 
+#: Points of a tile that merge_close_points aims at; its finest tiles are so many thresholds wide.
+TILE_POINTS, FINEST = 100_000, 4
+
+
+def _tile_side(points: DataFrame, threshold: float) -> float | None:
+    """The side of the largest tiles (FINEST thresholds times a power of two) of at most TILE_POINTS points; the finest
+    where a spot is denser. None if all points fit into one."""
+    base = _keyed(points, "x", "y", FINEST * threshold).groupBy("_bx", "_by").agg(F.count("*").alias("n"))
+    levels = base.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(40))))
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).alias(c)
+    most = levels.groupBy("level", up("_bx"), up("_by")).agg(F.sum("n").alias("n")).groupBy("level").agg(F.max("n").alias("most"), F.sum("n").alias("n")).collect()
+    if not most or most[0]["n"] <= TILE_POINTS:
+        return None
+    return FINEST * threshold * 2.0 ** max([r["level"] for r in most if r["most"] <= TILE_POINTS], default=0)
+
+
+def _settle(open_: DataFrame, threshold: float, side: float | None) -> DataFrame:
+    """One round of merge_close_points over ``open_`` (idx, x, y, leads: true, or null for an open point): the points that
+    now lead (``leads``, and whether ``edge``: near the border of its tile) and those that stay open.
+
+    A tile takes its points and those within the threshold of it in idx order. Inside it the sequential rule holds: a
+    point near a leader is absorbed, one near an open point waits, any other leads, unless it lies outside the tile, where
+    its neighbours are not known. Points are kept in cells so small that any two of one are near each other: a cell has
+    one leader at most, and an open point in it is enough to wait for, however many points fall on one spot.
+    """
+    reach = threshold * (1 + 1e-9)
+    cell = threshold / 1.5
+    at = lambda v, off: F.floor((F.col(v) + F.lit(off)) / F.lit(side)).cast("long")
+    if side is None:
+        dealt = open_.withColumn("ty", F.lit(0).cast("long")).withColumn("tx", F.lit(0).cast("long")).withColumn("own", F.lit(True)).withColumn("edge", F.lit(False))
+    else:
+        dealt = open_.withColumn("ty", F.explode(F.sequence(at("y", -reach), at("y", reach)))).withColumn("tx", F.explode(F.sequence(at("x", -reach), at("x", reach))))
+        dealt = dealt.withColumn("own", (at("y", 0.0) == F.col("ty")) & (at("x", 0.0) == F.col("tx")))
+        dealt = dealt.withColumn("edge", (at("y", -reach) != at("y", reach)) | (at("x", -reach) != at("x", reach)))
+    parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = dealt.select("ty", "tx", "idx", "x", "y", F.coalesce("leads", F.lit(False)).alias("leads"), "own", "edge").repartition(parts, "ty", "tx").sortWithinPartitions("ty", "tx", "idx")
+    around = [(i, j) for i in (-2, -1, 0, 1, 2) for j in (-2, -1, 0, 1, 2) if (i, j) != (0, 0)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, leaders, waiting = None, {}, {}
+        for b in batches:
+            out = []
+            for ty, tx, idx, x, y, leads, own, edge in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now != (ty, tx):
+                    now, leaders, waiting = (ty, tx), {}, {}
+                here = (floor(x / cell), floor(y / cell))
+                if leads:
+                    leaders[here] = (x, y)
+                    continue
+                if here in leaders:
+                    continue
+                beside = [(here[0] + i, here[1] + j) for i, j in around]
+                if any(k in leaders and sqrt((x - leaders[k][0]) ** 2 + (y - leaders[k][1]) ** 2) < threshold for k in beside):
+                    continue
+                held = own and (here in waiting or any(sqrt((x - u) ** 2 + (y - v) ** 2) < threshold for k in beside if k in waiting for u, v in waiting[k]))
+                if own and not held:
+                    leaders[here] = (x, y)
+                    out.append((idx, x, y, True, edge))
+                    continue
+                waiting.setdefault(here, []).append((x, y))
+                if own:
+                    out.append((idx, x, y, None, edge))
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()), strict=True)], names=["idx", "x", "y", "leads", "edge"])
+
+    return ready.mapInArrow(run, "idx long, x double, y double, leads boolean, edge boolean")
+
+
+def leading_points(points: DataFrame, threshold: float) -> DataFrame:
+    """(idx, x, y) of the points that lead, taken in idx order: a point leads if no earlier leader is closer than
+    ``threshold``. points has idx (unique), x, y; points without a place are left out.
+
+    Tiles settle their points in one pass each (see _settle). What waits for a neighbour tile's points meets the leaders
+    found beside the borders in the next round, in tiles of twice the side, or in one tile once few are open. So rounds
+    follow how often a chain of waiting points crosses the tiles, not its length.
+    """
+    open_ = materialised(points.select(F.col("idx").cast("long").alias("idx"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(None).cast("boolean").alias("leads")).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"))
+    found, side = [], _tile_side(open_, threshold)
+    while True:
+        done = materialised(_settle(open_, threshold, side))
+        found.append(done.where("leads").select("idx", "x", "y"))
+        left = done.where("leads IS NULL").count()
+        if not left:
+            break
+        side = None if left <= TILE_POINTS and done.where("leads IS NULL OR edge").count() <= 4 * TILE_POINTS else 2 * side
+        open_ = done.where("leads IS NULL OR edge").select("idx", "x", "y", "leads")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def merge_close_points(points: DataFrame, threshold: float, method: str = "mean_min") -> DataFrame:
-    """Greedy merge in idx order: a point not yet absorbed leads and merges all points closer than ``threshold``.
+    """Greedy merge in idx order: a point not yet absorbed leads and merges all points closer than ``threshold``, also
+    those that another leader merges.
 
-    Returns idx (leader), lon, lat, pci. A point leads if none of its earlier neighbours does; rounds settle every
-    point whose earlier neighbours are settled, so their number follows the longest chain, not the point count; they
-    end when no pair is open. Only pairs of ids are kept through the rounds; places meet their leaders at the end.
+    Returns idx (leader), lon, lat, pci: the mean place and least pci (``mean_min``), the least of all three
+    (``min_min``), or place and pci of the first point merged (``first_location``) or of the middle one by idx, the
+    earlier of two (``middle_location``). Leaders are at least the threshold apart, so a point meets a few of them.
     """
-    p = points.select("idx", "lon", "lat", "pci")
-    a = p.select(F.col("idx").alias("i"), F.col("lon").alias("lx"), F.col("lat").alias("ly"))
-    b = p.select(F.col("idx").alias("j"), F.col("lon").alias("rx"), F.col("lat").alias("ry"), F.col("pci").alias("v"))
-    open_ = materialised(within(a, b.select("j", "rx", "ry"), threshold).where("j < i").select("i", "j"))
-    state = materialised(p.select(F.col("idx").alias("i")).join(open_.select("i").distinct(), "i", "left_anti").withColumn("leads", F.lit(True)))
-    while not open_.isEmpty():
-        known = open_.join(state.select(F.col("i").alias("j"), "leads"), "j", "left")
-        verdict = known.groupBy("i").agg(F.max(F.coalesce("leads", F.lit(False))).alias("absorbed"), F.count_if(F.col("leads").isNull()).alias("waiting"))
-        settled = materialised(verdict.where("absorbed OR waiting = 0").select("i", (~F.col("absorbed")).alias("leads")))
-        state = state.unionByName(settled)
-        open_ = materialised(open_.join(settled.select("i"), "i", "left_anti"))
-    led = within(a.join(state.where("leads").select("i"), "i", "left_semi"), b, threshold)
-    mid = F.transform(F.array_sort(F.collect_list(F.struct("j", "rx", "ry", "v"))), lambda x: x)
+    p = points.select(F.col("idx").alias("j"), F.col("lon").alias("rx"), F.col("lat").alias("ry"), F.col("pci").alias("v"))
+    lead = leading_points(points.select("idx", F.col("lon").alias("x"), F.col("lat").alias("y")), threshold)
+    led = within(lead.select(F.col("idx").alias("i"), F.col("x").alias("lx"), F.col("y").alias("ly")), p, threshold)
+    if method == "middle_location":
+        w = Window.partitionBy("i")
+        ranked = led.withColumn("k", F.row_number().over(w.orderBy("j"))).join(led.groupBy("i").agg(F.count("*").alias("n")), "i")
+        return ranked.where("k = int((n - 1) / 2) + 1").select(F.col("i").alias("idx"), F.col("rx").alias("lon"), F.col("ry").alias("lat"), F.col("v").alias("pci"))
+    # a mean is taken from the leader's place, which keeps it the same in any order of addition
+    mean = lambda v, of: F.first(of) + F.avg(F.col(v) - F.col(of))
     forms = {
-        "mean_min": (F.avg("rx"), F.avg("ry"), F.min("v")),
+        "mean_min": (mean("rx", "lx"), mean("ry", "ly"), F.min("v")),
         "min_min": (F.min("rx"), F.min("ry"), F.min("v")),
-        "first_location": (F.min_by("rx", "j"), F.min_by("ry", "j"), F.min("v")),
+        "first_location": (F.min_by("rx", "j"), F.min_by("ry", "j"), F.min_by("v", "j")),
     }
-    if method == "middle_location":
-        m = led.groupBy("i").agg(mid.alias("m"), F.min("v").alias("pci"))
-        at = F.get("m", F.floor((F.size("m") - 1) / 2).cast("int"))
-        return m.select(F.col("i").alias("idx"), at["rx"].alias("lon"), at["ry"].alias("lat"), "pci")
     x, y, v = forms[method]
     return led.groupBy(F.col("i").alias("idx")).agg(x.alias("lon"), y.alias("lat"), v.alias("pci"))
 
 
-def consecutive_pairs(points: DataFrame, block: int = 100_000) -> DataFrame:
-    """Points followed, in idx order, by a point of the same segment: idx, next_idx, seg_id.
+def consecutive_pairs(points: DataFrame) -> DataFrame:
+    """Points followed, in idx order, by a point of the same segment: idx, next_idx, seg_id. Points are numbered in sorted
+    ranges and meet the next number in a join, so no task holds more than its range, however idx is spread."""
+    p = numbered(points.select("idx", "seg_id"), "idx")
+    after = p.select((F.col("number") - 1).alias("number"), F.col("idx").alias("next_idx"), F.col("seg_id").alias("_seg"))
+    return p.join(after, "number").where(F.col("_seg") == F.col("seg_id")).select("idx", "next_idx", "seg_id")
+
+
+def condition_join(roads: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Rows of roads with a known condition (conditions: seg_id, pci), which is cut to an integer."""
+    return roads.join(conditions.select("seg_id", F.col("pci").cast("int").alias("pci")), "seg_id")
+
+
+def lookup_labels(cells: DataFrame, lut: DataFrame, fill: int = 0) -> DataFrame:
+    """cells (row, col, seg_id) with ``label``: the segment's value cut to an integer; ``fill`` for segments that the
+    lookup (seg_id, pci) doesn't hold or gives no value, and for cells without a segment."""
+    return cells.join(lut.select("seg_id", F.col("pci").cast("int").alias("_pci")), "seg_id", "left").withColumn("label", F.coalesce("_pci", F.lit(fill))).drop("_pci")
+
 
-    The next idx is found inside blocks of idx values, and across blocks through one row a block."""
-    p = points.select("idx", "seg_id").withColumn("_b", F.floor(F.col("idx") / block))
-    firsts = p.groupBy("_b").agg(F.min_by(F.struct("idx", "seg_id"), "idx").alias("_f"))
-    follow = firsts.select("_b", F.lead("_f").over(Window.orderBy("_b")).alias("_after"))
-    inside = p.withColumn("_n", F.lead(F.struct("idx", "seg_id")).over(Window.partitionBy("_b").orderBy("idx")))
-    both = inside.join(follow, "_b").withColumn("_n", F.coalesce("_n", "_after"))
-    return both.where(F.col("_n.seg_id") == F.col("seg_id")).select("idx", F.col("_n.idx").alias("next_idx"), "seg_id")
+def split_by_roi(points: DataFrame, rois: list[tuple]) -> DataFrame:
+    """points with the ``role`` of each box (role, lon_min, lon_max, lat_min, lat_max) that a point lies in: from the lower
+    ends on, up to and without the upper ones. The boxes are a list of the caller's; a point has a row for each."""
+    x, y = F.col("lon"), F.col("lat")
+    hit = [F.when((x >= F.lit(float(a))) & (x < F.lit(float(b))) & (y >= F.lit(float(c))) & (y < F.lit(float(d))), F.lit(role)) for role, a, b, c, d in rois]
+    return points.withColumn("role", F.explode(F.array_compact(F.array(*hit))))
 
 
 def edge_meets_box(x: Column, y: Column, width: Column, height: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracol.functions.columns import no_nan, rgb_to_yuv, roi_contains
+from terracol.operators.tiles import SIDE, Block, on_tiles, places, reach_of, weighted, windowed
 
 
 # --- crops -----------------------------------------------------------------------------------------------------
@@ -48,41 +51,86 @@ def circle_mask(df: DataFrame, row: int, col: int, radius: float) -> DataFrame:
     return df.where(F.sqrt((F.col("row") - row) * (F.col("row") - row) + (F.col("col") - col) * (F.col("col") - col)) <= radius).select("row", "col")
 
 
-def _spread(cells: DataFrame, se: list[tuple[int, int]], height: int | None, width: int | None, sign: int = 1) -> DataFrame:
-    moves = F.array(*[F.struct(F.lit(sign * i).alias("i"), F.lit(sign * j).alias("j")) for i, j in se])
-    out = cells.withColumn("_m", F.explode(moves)).withColumn("row", F.col("row") + F.col("_m.i")).withColumn("col", F.col("col") + F.col("_m.j")).drop("_m")
-    return out if height is None else out.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
+def _grown(a: np.ndarray, se: list[tuple[int, int]]) -> np.ndarray:
+    return windowed(a, se, np.logical_or, False)
+
+
+def _shrunk(a: np.ndarray, se: list[tuple[int, int]]) -> np.ndarray:
+    return ~windowed(~a, [(-i, -j) for i, j in se], np.logical_or, True)
+
+
+#: The steps of each morphological operation.
+STEPS = {"dilation": (_grown,), "erosion": (_shrunk,), "opening": (_shrunk, _grown), "closing": (_grown, _shrunk)}
+
+
+def morphology(cells: DataFrame, se: list[tuple[int, int]], how: str, height: int | None = None, width: int | None = None, *, side: int | None = None) -> DataFrame:
+    """Cells after a binary dilation, erosion, opening or closing with the offsets ``se``, on dense tiles: one shuffle of
+    the cells and of the tiles' borders, whatever the element's size. Outside the image nothing is set."""
+    steps = STEPS[how]
+
+    def run(t: Block) -> pa.Table:
+        a = t.there & t.image
+        for step in steps:
+            a = step(a, se) & t.image
+        return t.rows(a)
+
+    return on_tiles(cells, len(steps) * reach_of(se), run, "row int, col int", height=height, width=width, side=side)
 
 
 def dilate(cells: DataFrame, se: list[tuple[int, int]], height: int | None = None, width: int | None = None) -> DataFrame:
-    return _spread(cells.select("row", "col"), se, height, width).distinct()
+    return morphology(cells, se, "dilation", height, width)
 
 
 def erode(cells: DataFrame, se: list[tuple[int, int]], height: int | None = None, width: int | None = None) -> DataFrame:
     """Cells whose whole neighbourhood is set; outside the image nothing is."""
-    return _spread(cells.select("row", "col").distinct(), se, height, width, -1).groupBy("row", "col").agg(F.count("*").alias("n")).where(F.col("n") == len(se)).drop("n")
+    return morphology(cells, se, "erosion", height, width)
 
 
 def morph_open(cells: DataFrame, se, height=None, width=None) -> DataFrame:
-    return dilate(erode(cells, se, height, width), se, height, width)
+    return morphology(cells, se, "opening", height, width)
 
 
 def morph_close(cells: DataFrame, se, height=None, width=None) -> DataFrame:
-    return erode(dilate(cells, se, height, width), se, height, width)
+    return morphology(cells, se, "closing", height, width)
+
+
+def morph_multiclass(labels: DataFrame, se, how: str = "dilation", height: int | None = None, width: int | None = None, *, side: int | None = None) -> DataFrame:
+    """Morphology class by class; where classes meet the smallest wins. Of repeated cells the smallest class counts.
+
+    All classes of a tile are grown and shrunk at once, as windows of least and greatest values; a closing, in which
+    classes may overlap in between, takes each class in the box around it."""
+    back = [(-i, -j) for i, j in se]
 
+    def shrunk(v: np.ndarray) -> np.ndarray:  # classes as numbers, 0 where there is none
+        low = windowed(v, back, np.minimum, 0.0)
+        return np.where(low == windowed(v, back, np.maximum, 0.0), low, 0.0)
 
-def morph_multiclass(labels: DataFrame, se, how: str = "dilation", height: int | None = None, width: int | None = None) -> DataFrame:
-    """Morphology class by class; where classes meet the smallest wins."""
-    c = labels.where("value > 0").select("row", "col", "value")
+    def grown(v: np.ndarray) -> np.ndarray:
+        low = windowed(np.where(v > 0, v, np.inf), se, np.minimum, np.inf)
+        return np.where(np.isfinite(low), low, 0.0)
 
-    def grow(df):
-        return _spread(df, se, height, width).distinct()
+    def closed(v: np.ndarray, image: np.ndarray) -> np.ndarray:
+        out, around = np.zeros_like(v), 2 * reach_of(se)
+        r, c = np.nonzero(v > 0)
+        kinds, of = np.unique(v[r, c], return_inverse=True)
+        for k in range(len(kinds) - 1, -1, -1):  # the smallest is written last
+            y, x = r[of == k], c[of == k]
+            box = np.s_[max(y.min() - around, 0) : y.max() + around + 1, max(x.min() - around, 0) : x.max() + around + 1]
+            full = _shrunk(_grown(v[box] == kinds[k], se) & image[box], se) & image[box]
+            out[box][full] = kinds[k]
+        return out
 
-    def shrink(df):
-        return _spread(df.distinct(), se, height, width, -1).groupBy("value", "row", "col").agg(F.count("*").alias("n")).where(F.col("n") == len(se)).select("row", "col", "value")
+    def run(t: Block) -> pa.Table:
+        v = np.where(t.image, np.nan_to_num(t.values["value"], nan=0.0, posinf=0.0), 0.0)
+        if how == "closing":
+            v = closed(v, t.image)
+        else:
+            for step in {"dilation": (grown,), "erosion": (shrunk,), "opening": (shrunk, grown)}[how]:
+                v = np.where(t.image, step(v), 0.0)
+        return t.rows(v > 0, value=v)
 
-    out = {"dilation": grow, "erosion": shrink, "opening": lambda d: grow(shrink(d)), "closing": lambda d: shrink(grow(d))}[how](c)
-    return out.groupBy("row", "col").agg(F.min("value").alias("value"))
+    reach = reach_of(se) * (1 if how in ("dilation", "erosion") else 2)
+    return on_tiles(labels.where("value > 0"), reach, run, "row int, col int, value double", values=("value",), height=height, width=width, side=side)
 
 
 # --- stencils --------------------------------------------------------------------------------------------------
@@ -97,16 +145,16 @@ def _mirrored(img: DataFrame, half: int, height: int, width: int, edge: int) ->
     return out.withColumn("_c", F.explode(F.array_distinct(copies("col", width)))).drop("col").withColumnRenamed("_c", "col")
 
 
-def stencil(img: DataFrame, weights: dict[tuple[int, int], float], height: int, width: int, *, edge: int = 1, value: str = "value") -> DataFrame:
-    """Weighted sum over each cell's neighbours (correlation) on a dense image with mirrored borders. Each cell sends
-    its weighted value to the cells that use it; a partial sum goes before the shuffle. A null neighbour gives null."""
-    half = max(max(abs(i), abs(j)) for i, j in weights)
-    w = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(x)).alias("w")) for (i, j), x in weights.items()])
-    big = _mirrored(img.select("row", "col", value), half, height, width, edge)
-    sent = big.withColumn("_w", F.explode(w)).select((F.col("row") - F.col("_w.i")).alias("row"), (F.col("col") - F.col("_w.j")).alias("col"), (F.col(value) * F.col("_w.w")).alias("_p"))
-    sent = sent.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
-    total = sent.groupBy("row", "col").agg(F.sum("_p").alias("_s"), F.count("_p").alias("_n"))
-    return total.select("row", "col", F.when(F.col("_n") == len(weights), F.col("_s")).alias(value))
+def stencil(img: DataFrame, weights: dict[tuple[int, int], float], height: int, width: int, *, edge: int = 1, value: str = "value", side: int | None = None) -> DataFrame:
+    """Weighted sum over each given cell's neighbours (correlation) on a dense image with mirrored borders, on tiles. A
+    null or missing neighbour gives null."""
+    return _on_image(img, reach_of(weights), height, width, edge, value, lambda a: {value: weighted(a, weights)}, f"row int, col int, `{value}` double", side)
+
+
+def _on_image(img: DataFrame, reach: int, height: int, width: int, edge: int, value: str, run: Callable[[np.ndarray], dict], schema: str, side: int | None = None) -> DataFrame:
+    """Arrays that ``run`` makes of the tiles of a mirrored image, at the cells given."""
+    big = _mirrored(img.select("row", "col", no_nan(F.col(value).cast("double")).alias(value)), reach, height, width, edge)
+    return on_tiles(big, reach, lambda t: t.rows(t.there & t.image, **run(t.values[value])), schema, values=(value,), height=height, width=width, side=side)
 
 
 def mean_filter(img: DataFrame, height: int, width: int, k: int = 3, value: str = "value") -> DataFrame:
@@ -123,9 +171,12 @@ def sobel(img: DataFrame, height: int, width: int, value: str = "value") -> Data
     """gx, gy and their magnitude; null cells take the image's mean first."""
     mean = img.agg(F.avg(no_nan(F.col(value))).alias("_mean"))
     full = img.crossJoin(F.broadcast(mean)).select("row", "col", F.coalesce(no_nan(F.col(value)), F.col("_mean")).alias(value))
-    x = stencil(full, SOBEL_X, height, width, value=value).withColumnRenamed(value, "gx")
-    y = stencil(full, SOBEL_Y, height, width, value=value).withColumnRenamed(value, "gy")
-    return x.join(y, ["row", "col"]).withColumn("magnitude", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
+
+    def run(a: np.ndarray) -> dict:
+        x, y = weighted(a, SOBEL_X), weighted(a, SOBEL_Y)
+        return {"gx": x, "gy": y, "magnitude": np.sqrt(x * x + y * y)}
+
+    return _on_image(full, 1, height, width, 1, value, run, "row int, col int, gx double, gy double, magnitude double")
 
 
 def gaussian_weights(sigma: float, size: int = 5) -> dict[tuple[int, int], float]:
@@ -137,19 +188,36 @@ def gaussian_weights(sigma: float, size: int = 5) -> dict[tuple[int, int], float
     return {(i - h, j - h): one[i] * one[j] / total**2 for i in range(size) for j in range(size)}
 
 
+CROSS = {(0, 0): -4.0, (0, 1): 1.0, (0, -1): 1.0, (1, 0): 1.0, (-1, 0): 1.0}
+
+
 def laplacian_of_gaussian(img: DataFrame, height: int, width: int, sigma: float = 1.0, value: str = "value") -> DataFrame:
-    smooth = stencil(img, gaussian_weights(sigma), height, width, edge=0, value=value)
-    return stencil(smooth, {(0, 0): -4.0, (0, 1): 1.0, (0, -1): 1.0, (1, 0): 1.0, (-1, 0): 1.0}, height, width, edge=0, value=value)
+    """Both stencils in one pass: the smoothed image of a mirrored image is the mirrored smoothed image."""
+    around = gaussian_weights(sigma)
+    return _on_image(img, reach_of(around) + 1, height, width, 0, value, lambda a: {value: weighted(weighted(a, around), CROSS)}, f"row int, col int, `{value}` double")
 
 
-def grad_object_removal(pixels: DataFrame, labels: DataFrame, height: int, width: int, threshold: float) -> DataFrame:
-    """Labels grown by one cell, null where the luminance changes faster than threshold. ``pixels`` has r, g, b."""
+def grad_object_removal(pixels: DataFrame, mask: DataFrame, height: int, width: int, threshold: float, gate: DataFrame | None = None) -> DataFrame:
+    """mask's own cells, null where the luminance changes faster than ``threshold`` within a cell of the labels ``gate``
+    (mask itself, if not given). ``pixels`` has r, g, b."""
     y = pixels.select("row", "col", rgb_to_yuv(F.col("r"), F.col("g"), F.col("b"))[0].alias("value"))
-    steep = sobel(mean_filter(y, height, width), height, width).select("row", "col", "magnitude")
-    return morph_multiclass(labels, square(3), "dilation", height, width).join(steep, ["row", "col"], "left").select("row", "col", F.when(~(F.coalesce("magnitude", F.lit(0.0)) > threshold), F.col("value")).alias("value"))
+    steep = sobel(mean_filter(y, height, width), height, width).where(F.col("magnitude") > threshold).select("row", "col")
+    near = morph_multiclass(mask if gate is None else gate, square(3), "dilation", height, width)
+    gone = steep.join(near, ["row", "col"], "left_semi").withColumn("_gone", F.lit(True))
+    return mask.join(gone, ["row", "col"], "left").select("row", "col", F.when(F.col("_gone").isNull(), F.col("value")).alias("value"))
 
 
 # --- masks -----------------------------------------------------------------------------------------------------
+def binary_mask(labels: DataFrame) -> DataFrame:
+    """The cells of values above 0."""
+    return labels.where("value > 0").select("row", "col")
+
+
+def labeled_mask(labels: DataFrame) -> DataFrame:
+    """The cells of known values above 0: unknown ones (null or NaN) and background go."""
+    return binary_mask(labels.where(no_nan(F.col("value")).isNotNull()))
+
+
 def mask_and(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("row", "col").distinct().join(b.select("row", "col"), ["row", "col"], "left_semi")
 
@@ -169,35 +237,35 @@ def or_nan(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 # --- offsets ---------------------------------------------------------------------------------------------------
-#: Side of the squares in which overlaps are counted in one task.
-TILE = 128
-
-
 def offset_scores(ideal: DataFrame, detected: DataFrame, shift: int) -> DataFrame:
     """Overlap of ``ideal`` with ``detected`` moved by (dy, dx), for every move up to ``shift`` each way. Repeated cells
     count once.
 
-    A square of ideal cells meets the detected cells in it and ``shift`` around it in one task, which counts every move
-    on dense arrays; a row a move leaves it.
+    A tile of ideal cells meets the detected cells in it and ``shift`` around it in one task. Both are packed into
+    machine words, so a move of 64 cells costs an AND and a bit count; a row a move leaves the task.
     """
     spark = ideal.sparkSession
     moves = np.arange(-shift, shift + 1)
-    tile = lambda v, off: F.floor((F.col(v) + off) / TILE).cast("int")
-    a = ideal.select("row", "col").distinct().select("row", "col", tile("row", 0).alias("ty"), tile("col", 0).alias("tx"))
-    d = detected.select("row", "col").distinct()
-    d = d.withColumn("ty", F.explode(F.sequence(tile("row", -shift), tile("row", shift)))).withColumn("tx", F.explode(F.sequence(tile("col", -shift), tile("col", shift))))
-
-    def run(key, mine, other):
-        if not len(mine) or not len(other):
-            return pd.DataFrame({"dy": [], "dx": [], "score": []}).astype({"dy": "int32", "dx": "int32", "score": "int64"})
-        top, left = key[0] * TILE, key[1] * TILE
-        here, around = np.zeros((TILE, TILE), bool), np.zeros((TILE + 2 * shift, TILE + 2 * shift), bool)
-        here[mine["row"].to_numpy() - top, mine["col"].to_numpy() - left] = True
-        around[other["row"].to_numpy() - top + shift, other["col"].to_numpy() - left + shift] = True
-        found = [[np.count_nonzero(here & around[shift - dy : shift - dy + TILE, shift - dx : shift - dx + TILE]) for dx in moves] for dy in moves]
-        return pd.DataFrame({"dy": np.repeat(moves, len(moves)).astype(np.int32), "dx": np.tile(moves, len(moves)).astype(np.int32), "score": np.array(found, np.int64).reshape(-1)})
-
-    hits = a.groupBy("ty", "tx").cogroup(d.groupBy("ty", "tx")).applyInPandas(run, "dy int, dx int, score long").groupBy("dy", "dx").agg(F.sum("score").alias("score"))
+    a = ideal.select("row", "col").withColumn("ty", F.explode(places("row", 0, SIDE))).withColumn("tx", F.explode(places("col", 0, SIDE)))
+    d = detected.select("row", "col").withColumn("ty", F.explode(places("row", shift, SIDE))).withColumn("tx", F.explode(places("col", shift, SIDE)))
+    words = lambda x: np.packbits(x, axis=1).view(np.uint64)
+
+    def run(key: tuple, mine: pa.Table, other: pa.Table) -> pa.Table:
+        found = np.zeros((len(moves), len(moves)), np.int64)
+        if mine.num_rows and other.num_rows:
+            top, left = key[0].as_py() * SIDE, key[1].as_py() * SIDE
+            here, around = np.zeros((SIDE, SIDE), bool), np.zeros((SIDE + 2 * shift, SIDE + 2 * shift), bool)
+            here[mine["row"].to_numpy() - top, mine["col"].to_numpy() - left] = True
+            around[other["row"].to_numpy() - top + shift, other["col"].to_numpy() - left + shift] = True
+            here = words(here).T
+            for x, dx in enumerate(moves.tolist()):
+                rows = words(np.ascontiguousarray(around[:, shift - dx : shift - dx + SIDE]))
+                seen = np.lib.stride_tricks.sliding_window_view(rows, SIDE, axis=0)  # [shift - dy] are the rows under dy
+                found[::-1, x] = np.bitwise_count(seen & here).sum(axis=(1, 2), dtype=np.int64)
+        y, x = np.nonzero(found)
+        return pa.table({"dy": moves[y].astype(np.int32), "dx": moves[x].astype(np.int32), "score": found[y, x]})
+
+    hits = a.groupBy("ty", "tx").cogroup(d.groupBy("ty", "tx")).applyInArrow(run, "dy int, dx int, score long").groupBy("dy", "dx").agg(F.sum("score").alias("score"))
     every = spark.range(-shift, shift + 1).select(F.col("id").cast("int").alias("dy")).withColumn("dx", F.explode(F.sequence(F.lit(-shift), F.lit(shift))))
     return every.join(hits, ["dy", "dx"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
 
@@ -333,15 +401,29 @@ def drop_empty_patches(patches: DataFrame, labels: DataFrame) -> DataFrame:
     return patches.join(full, "patch_id", "left_semi")
 
 
-def fold_to_frame(cells: DataFrame, crop: int) -> DataFrame:
-    """(region, row, col, value) folded into a crop x crop frame: what lies past the frame is mirrored back and wins
-    over what is there; an index equal to crop drops out. Regions smaller than the frame both ways are copied."""
-    n = cells.where("value <> 0")
-    back = lambda v: F.when(F.col(v) >= crop, F.lit(crop) - (F.pmod(F.col(v), F.lit(crop)) + 1)).otherwise(F.col(v))
+def fold_to_frame(cells: DataFrame, sizes: DataFrame, crop: int) -> DataFrame:
+    """cells (region, row, col, bands) of regions of some height and width (``sizes``: region, height, width) folded into
+    a crop x crop frame: region, r, c, bands. Null bands count as 0.
+
+    A region smaller than the frame both ways is copied, its cells with any band other than 0. Of the others the cells
+    whose band 0 is not 0 are taken, with all their bands: what lies past the frame is mirrored back and wins over what
+    is there (the last in row-major order, where several meet); a cell past it on no side whose index equals crop
+    drops out."""
+    clean = cells.join(sizes, "region").withColumn("bands", F.transform("bands", lambda x: F.coalesce(no_nan(x), F.lit(0.0))))
+    small = (F.col("height") < crop) & (F.col("width") < crop)
     inside = (F.col("row") < crop) & (F.col("col") < crop)
     past = (F.col("row") > crop) | (F.col("col") > crop)
-    f = n.where(inside | past).select("region", back("row").cast("int").alias("r"), back("col").cast("int").alias("c"), F.struct((~inside).alias("late"), F.col("row").alias("sr"), F.col("col").alias("sc")).alias("_o"), "value")
-    return f.groupBy("region", "r", "c").agg(F.max_by("value", "_o").alias("value"))
+    some = F.exists("bands", lambda x: x != 0)
+    n = clean.where(F.when(small, some).otherwise((F.get("bands", F.lit(0)) != 0) & (inside | past)))
+    back = lambda v: F.when(F.col(v) >= crop, F.lit(crop) - (F.pmod(F.col(v), F.lit(crop)) + 1)).otherwise(F.col(v))
+    order = F.struct((~inside).alias("late"), F.col("row").alias("sr"), F.col("col").alias("sc"))
+    return n.select("region", back("row").cast("int").alias("r"), back("col").cast("int").alias("c"), order.alias("_o"), "bands").groupBy("region", "r", "c").agg(F.max_by("bands", "_o").alias("bands"))
+
+
+def region_label_raster(frames: DataFrame, labels: DataFrame, fill: float = 0.0) -> DataFrame:
+    """(region, r, c, label): a region's label (``labels``: region, label) where the frame's band 0 is not 0, else fill."""
+    on = F.coalesce(F.get("bands", F.lit(0)) != 0, F.lit(False))
+    return frames.join(labels, "region", "left").select("region", "r", "c", F.when(on, F.col("label")).otherwise(F.lit(fill)).alias("label"))
 
 
 def augment_patches(patches: DataFrame, crop: int) -> DataFrame:

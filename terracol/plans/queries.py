@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terracol.functions import columns as C
 from terracol.functions.session import materialised, shared_path
 from terracol.operators import aggregates as A
+from terracol.operators import distance as E
 from terracol.operators import graph as G
 from terracol.operators import joins as J
 from terracol.operators import raster as R
@@ -257,12 +258,12 @@ def p18_mask_apply(s, d):
 
 @query("SELECT row, col FROM classes WHERE value > 0", "classes")
 def p19_binary_mask(s, d):
-    return T.classes(s, d).where("value > 0").select("row", "col")
+    return R.binary_mask(T.classes(s, d))
 
 
 @query("SELECT row, col FROM (SELECT row, col, nullif(value, 3) AS value FROM classes) WHERE value IS NOT NULL AND value > 0", "classes")
 def p20_labeled_mask(s, d):
-    return T.classes(s, d).withColumn("value", F.nullif("value", F.lit(3.0))).where("value IS NOT NULL AND value > 0").select("row", "col")
+    return R.labeled_mask(T.classes(s, d).withColumn("value", F.nullif("value", F.lit(3.0))))
 
 
 @query("SELECT row, col, value FROM grid WHERE row BETWEEN 2 AND 18 AND col BETWEEN 42 AND 58", "grid")
@@ -296,13 +297,13 @@ def p25_transform_crs(s, d):
 @query("SELECT c.c_custkey AS vertex, n.n_regionkey + 1 AS pci FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey")
 def j1_roads_condition_join(s, d):
     v = T.verts(s, d).select(F.col("line").cast("string").alias("seg_id"), F.col("ord").alias("vertex"))
-    return v.join(T.lut(s, d), "seg_id").select("vertex", F.col("pci").cast("int").alias("pci"))
+    return J.condition_join(v, T.lut(s, d)).select("vertex", "pci")
 
 
 @query("SELECT row, col, coalesce((n_regionkey + 1)::INT, 0) AS label FROM (SELECT (o_orderkey // 100)::INT AS row, (o_orderkey % 100)::INT AS col, o_custkey % 40 AS seg_id FROM orders) LEFT JOIN nation ON seg_id = n_nationkey")
 def j2_lut_label_join(s, d):
     o = s.read.parquet(f"{d}/orders.parquet").select(*T._cell("o_orderkey"), (F.col("o_custkey") % 40).cast("string").alias("seg_id"))
-    return o.join(T.lut(s, d), "seg_id", "left").select("row", "col", F.coalesce(F.col("pci").cast("int"), F.lit(0)).alias("label"))
+    return J.lookup_labels(o, T.lut(s, d)).select("row", "col", "label")
 
 
 def _pixel_ends(s, d):
@@ -324,9 +325,7 @@ def _nearest_cell(left: str, right: str, key: str = "p.row, p.col") -> str:
 
 @query(_nearest_cell("grid", "road"), "grid", "road")
 def j4_nearest_road_cell(s, d):
-    g = T.grid(s, d).select("row", "col", F.col("row").cast("double").alias("ly"), F.col("col").cast("double").alias("lx"), (F.col("row") * 100 + F.col("col")).alias("k"))
-    r = T.road(s, d).select(F.col("row").alias("near_row"), F.col("col").alias("near_col"), F.col("row").cast("double").alias("ry"), F.col("col").cast("double").alias("rx"))
-    return J.nearest(g, r, "k", ["near_row", "near_col"], 2.0).select("row", "col", "near_row", "near_col")
+    return E.nearest_cells(T.grid(s, d), T.road(s, d), T.height(s, d), T.WIDTH).select("row", "col", "near_row", "near_col")
 
 
 NEAREST_POINT = "SELECT g.row, g.col, {} AS {} FROM {} g, LATERAL (SELECT pci FROM points p ORDER BY (g.lon - p.lon) * (g.lon - p.lon) + (g.lat - p.lat) * (g.lat - p.lat), p.idx LIMIT 1) b"
@@ -401,7 +400,7 @@ def j12_mask_or_max(s, d):
 
 @query("SELECT idx, next_idx, seg_id FROM (SELECT idx, seg_id % 3 AS seg_id, lead(idx) OVER (ORDER BY idx) AS next_idx, lead(seg_id % 3) OVER (ORDER BY idx) AS n FROM points) WHERE n = seg_id", "points")
 def j13_consecutive_pairs(s, d):
-    return J.consecutive_pairs(T.points(s, d).withColumn("seg_id", F.col("seg_id") % 3), 3000)
+    return J.consecutive_pairs(T.points(s, d).withColumn("seg_id", F.col("seg_id") % 3))
 
 
 @query("SELECT a.idx AS i, b.idx AS j FROM points a, points b WHERE abs(a.lon - b.lon) < 0.0002::DOUBLE AND abs(a.lat - b.lat) < 0.0002::DOUBLE AND sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) < 0.0002::DOUBLE", "points")
@@ -411,11 +410,13 @@ def j14_range_pairs(s, d):
     return J.within(a, b, 0.0002).select("i", "j")
 
 
-@query("SELECT idx, role FROM points JOIN (VALUES ('train', 0.0, 0.02), ('test', 0.02, 0.04)) r(role, a, b) ON lon - -83.28::DOUBLE >= a::DOUBLE AND lon - -83.28::DOUBLE < b::DOUBLE", "points")
+ROLES = [("train", -83.28, -83.26, 42.23, 42.26), ("test", -83.26, -83.24, 42.23, 42.26), ("all", -83.28, -83.24, 42.23, 42.25)]
+ROLES_SQL = ", ".join(f"('{r}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {e}::DOUBLE)" for r, a, b, c, e in ROLES)
+
+
+@query(f"SELECT idx, role FROM points JOIN (VALUES {ROLES_SQL}) r(role, a, b, c, e) ON lon >= a AND lon < b AND lat >= c AND lat < e", "points")
 def j15_split_by_roi(s, d):
-    rois = s.createDataFrame([("train", 0.0, 0.02), ("test", 0.02, 0.04)], "role string, a double, b double")
-    off = F.col("lon") - F.lit(T.LON0)
-    return T.points(s, d).join(F.broadcast(rois), (off >= F.col("a")) & (off < F.col("b"))).select("idx", "role")
+    return J.split_by_roi(T.points(s, d), ROLES).select("idx", "role")
 
 
 # --- aggregates ------------------------------------------------------------------------------------------------
@@ -473,15 +474,31 @@ def a8_grouped_histogram(s, d):
     return A.grouped_histogram(T.points(s, d), "pci")
 
 
-# leaders one after another: a point leads if no earlier neighbour does
-LED = "near AS (SELECT a.idx AS i, b.idx AS j, b.lon, b.lat, b.pci FROM points a, points b WHERE abs(a.lon - b.lon) < 0.0005::DOUBLE AND abs(a.lat - b.lat) < 0.0005::DOUBLE AND sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) < 0.0005::DOUBLE), earlier AS (SELECT i, list(j) FILTER (j < i) AS js FROM near GROUP BY i), turn AS (SELECT i, coalesce(js, []) AS js, row_number() OVER (ORDER BY i) AS k FROM earlier WHERE len(js) > 0), alone AS (SELECT i FROM earlier WHERE coalesce(len(js), 0) = 0), led(one, k, leaders) USING KEY (one) AS (SELECT 1, 0::BIGINT, (SELECT list(i) FROM alone) UNION SELECT 1, turn.k, CASE WHEN list_has_any(leaders, js) THEN leaders ELSE list_append(leaders, turn.i) END FROM led JOIN turn ON turn.k = led.k + 1), merged AS (SELECT i AS idx, avg(lon) AS lon, avg(lat) AS lat, min(pci) AS pci FROM near WHERE i IN (SELECT unnest(leaders) FROM led) GROUP BY i)"
+# leaders one after another: a point leads if no earlier neighbour does; each takes all points near it
+LED = "near AS (SELECT a.idx AS i, a.lon AS x, a.lat AS y, b.idx AS j, b.lon, b.lat, b.pci FROM points a, points b WHERE abs(a.lon - b.lon) < 0.0005::DOUBLE AND abs(a.lat - b.lat) < 0.0005::DOUBLE AND sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) < 0.0005::DOUBLE), earlier AS (SELECT i, list(j) FILTER (j < i) AS js FROM near GROUP BY i), turn AS (SELECT i, coalesce(js, []) AS js, row_number() OVER (ORDER BY i) AS k FROM earlier WHERE len(js) > 0), alone AS (SELECT i FROM earlier WHERE coalesce(len(js), 0) = 0), led(one, k, leaders) USING KEY (one) AS (SELECT 1, 0::BIGINT, (SELECT list(i) FROM alone) UNION SELECT 1, turn.k, CASE WHEN list_has_any(leaders, js) THEN leaders ELSE list_append(leaders, turn.i) END FROM led JOIN turn ON turn.k = led.k + 1), taken AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY j) AS k, count(*) OVER (PARTITION BY i) AS n FROM near WHERE i IN (SELECT unnest(leaders) FROM led))"
+MEAN_MIN = LED + ", merged AS (SELECT i AS idx, any_value(x) + avg(lon - x) AS lon, any_value(y) + avg(lat - y) AS lat, min(pci) AS pci FROM taken GROUP BY i)"
 
 
-@query(f"SELECT * FROM (WITH RECURSIVE {LED} SELECT idx, round(lon, 9) AS lon, round(lat, 9) AS lat, pci FROM merged)", "points")
+@query(f"SELECT * FROM (WITH RECURSIVE {MEAN_MIN} SELECT idx, round(lon, 9) AS lon, round(lat, 9) AS lat, pci FROM merged)", "points")
 def a9_merge_close_points(s, d):
     return rounded(J.merge_close_points(T.points(s, d), 50e-5), "lon", "lat", digits=9)
 
 
+@query(f"SELECT * FROM (WITH RECURSIVE {LED} SELECT i AS idx, min(lon) AS lon, min(lat) AS lat, min(pci) AS pci FROM taken GROUP BY i)", "points")
+def a9_min_min(s, d):
+    return J.merge_close_points(T.points(s, d), 50e-5, "min_min")
+
+
+@query(f"SELECT * FROM (WITH RECURSIVE {LED} SELECT i AS idx, lon, lat, pci FROM taken WHERE k = 1)", "points")
+def a9_first_location(s, d):
+    return J.merge_close_points(T.points(s, d), 50e-5, "first_location")
+
+
+@query(f"SELECT * FROM (WITH RECURSIVE {LED} SELECT i AS idx, lon, lat, pci FROM taken WHERE k = (n - 1) // 2 + 1)", "points")
+def a9_middle_location(s, d):
+    return J.merge_close_points(T.points(s, d), 50e-5, "middle_location")
+
+
 @query("SELECT band, least(floor((value - a) / (b - a) * 50), 49)::INT AS bin, count(*) AS n, round(count(*) / (any_value(c) * (any_value(b) - any_value(a)) / 50), 6) AS density FROM (SELECT *, min(value) OVER w AS a, max(value) OVER w AS b, count(*) OVER w AS c FROM bandlong WINDOW w AS (PARTITION BY band)) GROUP BY 1, 2", "bandlong")
 def a10_density_histogram(s, d):
     return rounded(A.density_histogram(T.bandpix(s, d)), "density")
@@ -547,6 +564,14 @@ def a20_batch_metrics(s, d):
     return rounded(A.regression_metrics(T.scores(s, d), "dataset_id"), "mae", "mse", "rmse", "r2")
 
 
+BY_SET = PER_CLASS.replace("SELECT label, sum(s)", "SELECT dataset_id, label, sum(s)").replace("SELECT y_true AS label", "SELECT dataset_id, y_true AS label").replace("SELECT y_pred, 0", "SELECT dataset_id, y_pred, 0").replace("GROUP BY label", "GROUP BY dataset_id, label")
+
+
+@query(f"SELECT * FROM (WITH {BY_SET} SELECT dataset_id, {CLASS_SCORES} FROM f GROUP BY dataset_id) JOIN (SELECT dataset_id, {ERRORS}, round(avg((abs(y_true - y_pred) <= 1)::INT), 6) AS within, count(*) AS n FROM scores GROUP BY dataset_id) USING (dataset_id)", "scores")
+def a20_batch_pci_metrics(s, d):
+    return rounded(A.batch_metrics(T.scores(s, d), "dataset_id"), "accuracy", "precision", "recall", "f1", "mae", "mse", "rmse", "r2", "within")
+
+
 @query("SELECT max(row) + 1 AS height, max(col) + 1 AS width, count(*) AS pixels, min(len(bands)) AS min_bands, max(len(bands)) AS max_bands, any_value(nulls) AS nulls, any_value(nans) AS nans, any_value(infinities) AS infinities, any_value(low) AS low, any_value(high) AS high FROM bandpix, (SELECT count(*) FILTER (value IS NULL) AS nulls, count(*) FILTER (isnan(value)) AS nans, count(*) FILTER (isinf(value)) AS infinities, min(value) AS low, max(value) AS high FROM bandlong)", "bandpix", "bandlong")
 def a21_data_quality(s, d):
     return A.data_quality(T.bandpix(s, d))
@@ -617,10 +642,16 @@ STEEP = f"steep AS (SELECT g.row, g.col, sqrt(sum(b.value * (g.col - b.col) * CA
 GROWN = f"SELECT (row + i)::INT AS row, (col + j)::INT AS col, min(value) AS value FROM classes, {SQUARE3}, size WHERE value > 0 AND row + i BETWEEN 0 AND h - 1 AND col + j BETWEEN 0 AND w - 1 GROUP BY 1, 2"
 
 
-@query(f"SELECT * FROM (WITH {BRIGHT}, {MIRROR.format(e=1, k=1, t='bright')}, {MEAN}, {MIRROR.format(e=1, k=1, t='mean').replace('big AS', 'wide AS')}, {STEEP} SELECT l.row, l.col, CASE WHEN coalesce(magnitude, 0) > 1.5::DOUBLE THEN NULL ELSE value END AS value FROM ({GROWN}) l LEFT JOIN steep s ON l.row = s.row AND l.col = s.col)", "grid", "classes", "size")
+#: CTEs from the grid to ``steep``, the gradient of its smoothed brightness
+SLOPE = f"{BRIGHT}, {MIRROR.format(e=1, k=1, t='bright')}, {MEAN}, {MIRROR.format(e=1, k=1, t='mean').replace('big AS', 'wide AS')}, {STEEP}"
+
+
+# the mask's own cells, null where labels (here others than the mask) grown by a cell meet a steep one
+@query(f"SELECT * FROM (WITH {SLOPE} SELECT m.row, m.col, CASE WHEN NOT (l.value IS NOT NULL AND magnitude > 1.5::DOUBLE) THEN m.value WHEN magnitude IS NULL THEN m.value END AS value FROM (SELECT row, col, value FROM classes WHERE value > 3) m LEFT JOIN ({GROWN.replace('value > 0', 'value = 2')}) l ON l.row = m.row AND l.col = m.col LEFT JOIN steep s ON m.row = s.row AND m.col = s.col)", "grid", "classes", "size")
 def w8_grad_object_removal(s, d):
     v = A.normalize_minmax(T.grid(s, d)).select("row", "col", *[F.col("value").alias(c) for c in "rgb"])
-    return R.grad_object_removal(v, T.classes(s, d), T.height(s, d), T.WIDTH, 1.5)
+    c = T.classes(s, d)
+    return R.grad_object_removal(v, c.where("value > 3"), T.height(s, d), T.WIDTH, 1.5, gate=c.where("value = 2"))
 
 
 @query("SELECT DISTINCT trunc(x0 + a.range * cos(t) - b.range * sin(t))::INT AS row, trunc(y0 + a.range * sin(t) + b.range * cos(t))::INT AS col FROM (SELECT *, atan2((y1 - y0)::DOUBLE, (x1 - x0)::DOUBLE) AS t FROM edges WHERE x1 IS NOT NULL), range(-10, 11) a, range(-2, 3) b, size WHERE trunc(x0 + a.range * cos(t) - b.range * sin(t)) BETWEEN 0 AND h - 1 AND trunc(y0 + a.range * sin(t) + b.range * cos(t)) BETWEEN 0 AND w - 1", "edges", "size")
@@ -640,9 +671,8 @@ def w12_apply_offset(s, d):
 
 @query("SELECT row, col, round(sqrt((row - near_row) * (row - near_row) + (col - near_col) * (col - near_col)), 6) AS distance FROM (" + _nearest_cell("road", "(SELECT g.row, g.col FROM grid g ANTI JOIN road r ON g.row = r.row AND g.col = r.col)") + ")", "grid", "road")
 def w13_edt(s, d):
-    r = T.road(s, d).select("row", "col", F.col("row").cast("double").alias("ly"), F.col("col").cast("double").alias("lx"), (F.col("row") * 100 + F.col("col")).alias("k"))
-    off = T.grid(s, d).join(T.road(s, d), ["row", "col"], "left_anti").select(F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("row").cast("double").alias("ry"), F.col("col").cast("double").alias("rx"))
-    return J.nearest(r, off, "k", ["r2", "c2"], 2.0).select("row", "col", F.round(F.sqrt("d2"), 6).alias("distance"))
+    off = T.grid(s, d).join(T.road(s, d), ["row", "col"], "left_anti")
+    return rounded(E.distance_transform(T.road(s, d), T.height(s, d), T.WIDTH, off), "distance")
 
 
 def _patches(s, d):
@@ -665,19 +695,28 @@ def w15_drop_empty_patches(s, d):
     return R.drop_empty_patches(p, p.withColumn("value", label)).groupBy("patch_id").agg(F.count("*").alias("n"))
 
 
-FOLD = "f AS (SELECT region, CASE WHEN row >= 12 THEN 12 - (row % 12 + 1) ELSE row END AS r, CASE WHEN col >= 12 THEN 12 - (col % 12 + 1) ELSE col END AS c, (NOT (row < 12 AND col < 12)) AS late, row, col, value FROM x WHERE value <> 0 AND ((row < 12 AND col < 12) OR row > 12 OR col > 12))"
+# regions of x with height h and width w: small ones as they are, of the others what band 0 tells, folded at 12
+FOLD = "f AS (SELECT region, CASE WHEN row >= 12 THEN 12 - (row % 12 + 1) ELSE row END AS r, CASE WHEN col >= 12 THEN 12 - (col % 12 + 1) ELSE col END AS c, (NOT (row < 12 AND col < 12)) AS late, row, col, b0, b1 FROM (SELECT * REPLACE (coalesce(b0, 0) AS b0, coalesce(b1, 0) AS b1) FROM x) WHERE CASE WHEN h < 12 AND w < 12 THEN b0 <> 0 OR b1 <> 0 ELSE b0 <> 0 AND ((row < 12 AND col < 12) OR row > 12 OR col > 12) END), folded AS (SELECT region, r::INT AS r, c::INT AS c, arg_max({'b0': b0, 'b1': b1}, (late::INT * 1000000 + row * 1000 + col)) AS b FROM f GROUP BY 1, 2, 3)"
+# squares of 20 cells, every other one cut down to 9
+SQUARES = "x AS (SELECT * FROM (SELECT row // 20 * 5 + col // 20 AS region, (row % 20)::INT AS row, (col % 20)::INT AS col, value AS b0, (value * 3 + row) % 4 AS b1, CASE WHEN (row // 20 * 5 + col // 20) % 2 = 0 THEN 20 ELSE 9 END AS h, CASE WHEN (row // 20 * 5 + col // 20) % 2 = 0 THEN 20 ELSE 9 END AS w FROM classes) WHERE row < h AND col < w)"
 
 
-@query(f"SELECT * FROM (WITH x AS (SELECT row // 20 * 5 + col // 20 AS region, (row % 20)::INT AS row, (col % 20)::INT AS col, value FROM classes), {FOLD} SELECT region::INT AS region, r::INT AS r, c::INT AS c, arg_max(value, (late::INT * 1000000 + row * 1000 + col)) AS value FROM f GROUP BY 1, 2, 3)", "classes")
-def w16_fold_mask_to_frame(s, d):
+def _squares(s, d):
     region = (F.floor(F.col("row") / 20) * 5 + F.floor(F.col("col") / 20)).cast("int")
-    x = T.classes(s, d).select(region.alias("region"), (F.col("row") % 20).alias("row"), (F.col("col") % 20).alias("col"), "value")
-    return R.fold_to_frame(x, 12)
+    side = F.when(F.col("region") % 2 == 0, 20).otherwise(9)
+    x = T.classes(s, d).select(region.alias("region"), (F.col("row") % 20).alias("row"), (F.col("col") % 20).alias("col"), F.array("value", (F.col("value") * 3 + F.col("row")) % 4).alias("bands")).withColumn("height", side).withColumn("width", side)
+    return x.where("row < height AND col < width").drop("height", "width"), x.select("region", "height", "width").distinct()
 
 
-@query("SELECT row, col, CASE WHEN bands[1] <> 0 THEN label ELSE 0 END AS value FROM bandpix", "bandpix")
+@query(f"SELECT * FROM (WITH {SQUARES}, {FOLD} SELECT region::INT AS region, r, c, b.b0 AS first, b.b1 AS second FROM folded)", "classes")
+def w16_fold_mask_to_frame(s, d):
+    return R.fold_to_frame(*_squares(s, d), 12).select("region", "r", "c", F.get("bands", F.lit(0)).alias("first"), F.get("bands", F.lit(1)).alias("second"))
+
+
+@query(f"SELECT * FROM (WITH {SQUARES}, {FOLD} SELECT region::INT AS region, r, c, CASE WHEN b.b0 <> 0 THEN region * 1.5::DOUBLE ELSE 0 END AS label FROM folded)", "classes")
 def w17_region_label_raster(s, d):
-    return T.bandpix(s, d).select("row", "col", F.when(F.get("bands", F.lit(0)) != 0, F.col("label")).otherwise(0).alias("value"))
+    cells, sizes = _squares(s, d)
+    return R.region_label_raster(R.fold_to_frame(cells, sizes, 12), sizes.select("region", (F.col("region") * F.lit(1.5)).alias("label")))
 
 
 # all lines advance together, a point a step: the nearest one not yet taken
@@ -733,7 +772,7 @@ def g1_connected_components_4(s, d):
 
 
 def _pairs(s, d):
-    p = J.consecutive_pairs(T.points(s, d).withColumn("seg_id", F.col("seg_id") % 5), 3000)
+    p = J.consecutive_pairs(T.points(s, d).withColumn("seg_id", F.col("seg_id") % 5))
     h = T.height(s, d)
     at = lambda c, m, n: ((F.col(c) * m) % n).cast("int")
     q = p.select(F.col("idx").alias("pair_id"), at("idx", 37, h).alias("r0"), at("idx", 11, 100).alias("c0"))
@@ -767,7 +806,7 @@ def _segment_scene(s, d) -> P.Scene:
 @query(BURN + "SELECT row, col, seg_id FROM burnt)", "points", "size", "classes", "grid")
 def g3_segment_burn(s, d):
     scene = _segment_scene(s, d)
-    p = materialised(P.segment_pairs(scene, T.STEP, 3000))
+    p = materialised(P.segment_pairs(scene, T.STEP))
     return G.segment_burn(G.shortest_paths(scene.roads, p), p)[0]
 
 
@@ -827,66 +866,87 @@ def around(source: str) -> str:
     return f"wide AS (SELECT DISTINCT row + i AS row, col + j AS col FROM {source}, {disk3}, size WHERE row + i BETWEEN 0 AND h - 1 AND col + j BETWEEN 0 AND w - 1), closed AS (SELECT (row + i)::INT AS row, (col + j)::INT AS col FROM wide, {disk3}, size WHERE row + i BETWEEN 0 AND h - 1 AND col + j BETWEEN 0 AND w - 1 GROUP BY ALL HAVING count(*) = 29)"
 
 
-FIRST = LED.replace("avg(lon) AS lon, avg(lat) AS lat", "arg_min(lon, j) AS lon, arg_min(lat, j) AS lat")
 ON_ROADS = f"onroad AS (SELECT row, col, lon, lat FROM (SELECT row, col, lon, lat, lon AS px, lat AS py, 0.0004::DOUBLE AS pw, 0.0004::DOUBLE AS ph FROM grid, size WHERE row < h - 1 AND col < w - 1) WHERE EXISTS (SELECT 1 FROM roads WHERE {MEETS}))"
 CLOSE = "close AS (SELECT row, col FROM {t} g WHERE EXISTS (SELECT 1 FROM merged p WHERE abs(g.lon - p.lon) < 0.0005::DOUBLE AND abs(g.lat - p.lat) < 0.0005::DOUBLE AND sqrt((g.lon - p.lon) * (g.lon - p.lon) + (g.lat - p.lat) * (g.lat - p.lat)) < 0.0005::DOUBLE))"
-VALUED = "valued AS (SELECT g.row, g.col, arg_min(p.pci, ((g.lon - p.lon) * (g.lon - p.lon) + (g.lat - p.lat) * (g.lat - p.lat), p.idx)) AS value FROM {g} g JOIN closed c ON g.row = c.row AND g.col = c.col, merged p WHERE abs(g.lon - p.lon) < 0.004::DOUBLE AND abs(g.lat - p.lat) < 0.004::DOUBLE GROUP BY g.row, g.col)"
+VALUED = "valued AS (SELECT g.row, g.col, arg_min(p.pci, ((g.lon - p.lon) * (g.lon - p.lon) + (g.lat - p.lat) * (g.lat - p.lat), p.idx)) AS value FROM {g} g JOIN closed c ON g.row = c.row AND g.col = c.col, points p WHERE abs(g.lon - p.lon) < 0.004::DOUBLE AND abs(g.lat - p.lat) < 0.004::DOUBLE GROUP BY g.row, g.col HAVING value <> 0)"
 
 
-@query(f"SELECT * FROM (WITH RECURSIVE {FIRST}, {ON_ROADS}, {CLOSE.format(t='onroad')}, {around('close')}, {VALUED.format(g='grid')} SELECT row, col, value FROM valued)", "points", "grid", "size", "roads")
+@query(f"SELECT * FROM (WITH RECURSIVE {MEAN_MIN}, {ON_ROADS}, {CLOSE.format(t='onroad')}, {around('close')}, {VALUED.format(g='grid')} SELECT row, col, value FROM valued)", "points", "grid", "size", "roads")
 def c1_pci_proximity(s, d):
-    return P.pci_proximity(_scene(s, d), step=T.STEP, method="first_location")  # means differ in their last digit by order
+    return P.pci_proximity(_scene(s, d), step=T.STEP)
 
 
 @query(BURN + "SELECT row, col, seg_id, pci FROM burnt JOIN lut USING (seg_id))", "points", "size", "classes", "grid")
 def c2_pci_segments(s, d):
-    cells, lut = P.pci_segments(_segment_scene(s, d), step=T.STEP, block=3000)
-    return cells.join(F.broadcast(lut), "seg_id").select("row", "col", "seg_id", "pci")
+    cells, lut = P.pci_segments(_segment_scene(s, d), step=T.STEP)
+    return cells.join(lut, "seg_id").select("row", "col", "seg_id", "pci")
 
 
-SHADE = "shade AS (SELECT row, col FROM (SELECT row, col, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS v FROM grid) WHERE v < 0.92::DOUBLE)"
-MOVED = "best AS (SELECT (a.row - b.row)::INT AS dy, (a.col - b.col)::INT AS dx FROM shade a JOIN road b ON a.row BETWEEN b.row - 5 AND b.row + 5 AND a.col BETWEEN b.col - 5 AND b.col + 5 GROUP BY ALL ORDER BY count(*) DESC, dy, dx LIMIT 1), moved AS (SELECT DISTINCT (row + dy + h) % h AS row, (col + dx + w) % w AS col FROM road, best, size), kept AS (SELECT l.row, l.col, l.value FROM (" + GROWN + ") l WHERE EXISTS (SELECT 1 FROM moved m JOIN shade s ON s.row = m.row AND s.col = m.col WHERE m.row = l.row AND m.col = l.col))"
+SHADE = "shade AS (SELECT row, col FROM (SELECT row, col, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS v FROM grid) WHERE v < 0.6::DOUBLE)"
+# the asphalt cells' best move onto the grown labels; a grown cell stays where it is asphalt and the labels, rolled by that
+# move with its parts exchanged, cover it; steep cells near the labels go, then the border that the move leaves
+MOVED = f"grown AS ({GROWN}), best AS (SELECT (a.row - b.row)::INT AS dy, (a.col - b.col)::INT AS dx FROM grown a JOIN shade b ON a.row BETWEEN b.row - 5 AND b.row + 5 AND a.col BETWEEN b.col - 5 AND b.col + 5 GROUP BY ALL ORDER BY count(*) DESC, dy, dx LIMIT 1), rolled AS (SELECT (row + dx + h) % h AS row, (col + dy + w) % w AS col FROM grown, best, size), kept AS (SELECT g.row, g.col, g.value FROM grown g SEMI JOIN (SELECT r.row, r.col FROM rolled r JOIN shade s ON s.row = r.row AND s.col = r.col) k ON k.row = g.row AND k.col = g.col)"
+LEFT_OVER = "SELECT (m.row - greatest(0, -dy))::INT AS row, (m.col - greatest(0, -dx))::INT AS col, m.value FROM kept m LEFT JOIN grown n ON n.row = m.row AND n.col = m.col LEFT JOIN steep s ON m.row = s.row AND m.col = s.col, best, size WHERE NOT (n.value IS NOT NULL AND coalesce(magnitude, 0) > 1.5::DOUBLE) AND m.row >= greatest(0, -dy) AND m.row < h - greatest(0, dy) AND m.col >= greatest(0, -dx) AND m.col < w - greatest(0, dx)"
+SPARSE = "classes AS (SELECT * REPLACE (CASE WHEN row % 9 < 4 AND col % 11 < 6 THEN value ELSE 0 END AS value) FROM classes_all)"
 
 
-@query(f"SELECT * FROM (WITH {BRIGHT}, {MIRROR.format(e=1, k=1, t='bright')}, {MEAN}, {MIRROR.format(e=1, k=1, t='mean').replace('big AS', 'wide AS')}, {STEEP}, {SHADE}, {MOVED} SELECT (l.row - greatest(0, -dy))::INT AS row, (l.col - greatest(0, -dx))::INT AS col, value FROM ({GROWN.replace('FROM classes', 'FROM kept')}) l LEFT JOIN steep s ON l.row = s.row AND l.col = s.col, best, size WHERE NOT coalesce(magnitude, 0) > 1.5::DOUBLE AND l.row >= greatest(0, -dy) AND l.row < h - greatest(0, dy) AND l.col >= greatest(0, -dx) AND l.col < w - greatest(0, dx))", "grid", "classes", "size", "road")
-def c3_enhance(s, d):
+def _sparse(s, d):
+    return T.classes(s, d).withColumn("value", F.when((F.col("row") % 9 < 4) & (F.col("col") % 11 < 6), F.col("value")).otherwise(0.0))
+
+
+def _c3(s, d, compat):
     v = A.normalize_minmax(T.grid(s, d)).select("row", "col", *[F.col("value").alias(c) for c in "rgb"])
-    labels, offset = P.enhance(T.classes(s, d), v, T.road(s, d), T.height(s, d), T.WIDTH, grow=3, gray_threshold=0.1, grad_threshold=1.5, shift=5)
+    labels, offset = P.enhance(_sparse(s, d), v, T.height(s, d), T.WIDTH, grow=3, gray_threshold=0.1, white=0.6, grad_threshold=1.5, shift=5, compat=compat)
     return R.crop_by_offset(labels, offset, T.height(s, d), T.WIDTH)
 
 
+@query(f"SELECT * FROM (WITH classes_all AS (SELECT * FROM classes), {SPARSE.replace('classes AS', 'sparse AS', 1)}, {SLOPE}, {SHADE}, {MOVED.replace('FROM classes', 'FROM sparse')} {LEFT_OVER})", "grid", "classes", "size")
+def c3_enhance(s, d):
+    return _c3(s, d, True)
+
+
+@query(f"SELECT * FROM (WITH classes_all AS (SELECT * FROM classes), {SPARSE.replace('classes AS', 'sparse AS', 1)}, {SLOPE}, {SHADE}, {MOVED.replace('FROM classes', 'FROM sparse').replace('(row + dx + h) % h AS row, (col + dy + w) % w AS col FROM grown', '(row + dy + h) % h AS row, (col + dx + w) % w AS col FROM shade').replace('JOIN shade s ON s.row = r.row AND s.col = r.col', '')} {LEFT_OVER})", "grid", "classes", "size")
+def c3_enhance_moved(s, d):
+    return _c3(s, d, False)
+
+
 def _prepared(s, d):
-    pixels = T.grid(s, d).select("row", "col", F.array("value").alias("bands"))
+    holed = F.when((F.col("row") + F.col("col")) % 4 != 0, F.col("value"))  # band 0 is unknown in places
+    pixels = T.grid(s, d).select("row", "col", F.array(holed, F.col("value") / 2).alias("bands"))
     return P.prepare_patches(pixels, T.classes(s, d), T.lut(s, d).where("seg_id <> '4'"), T.height(s, d), T.WIDTH, 16, 0.2)
 
 
-CUT = "SELECT * FROM (SELECT patch_id::INT AS patch_id, (row - top)::INT AS r, (col - lft)::INT AS c, band, labeled_band, label, sum(label) OVER (PARTITION BY patch_id) AS total FROM origins JOIN {t} ON row BETWEEN top AND top + 15 AND col BETWEEN lft AND lft + 15) WHERE total > 0"
+CUT = "SELECT * FROM (SELECT patch_id::INT AS patch_id, (row - top)::INT AS r, (col - lft)::INT AS c, band, second, label, sum(label) OVER (PARTITION BY patch_id) AS total FROM origins JOIN {t} ON row BETWEEN top AND top + 15 AND col BETWEEN lft AND lft + 15) WHERE total > 0"
+HOLED = "CASE WHEN (g.row + g.col) % 4 <> 0 THEN g.value END"
 
 
-@query(f"SELECT patch_id, r, c, band, labeled_band, label FROM (WITH {COUNTS}, {PATCHES}, known AS (SELECT g.row, g.col, CASE WHEN c.value > 0 THEN g.value ELSE 0 END AS band, CASE WHEN c.value > 0 AND c.value <> 4 THEN g.value ELSE 0 END AS labeled_band, CASE WHEN c.value > 0 AND c.value <> 4 THEN n_regionkey + 1 ELSE 0 END::INT AS label FROM grid g JOIN classes c USING (row, col) JOIN nation ON n_nationkey = c.value) {CUT.format(t='known')})", "grid", "classes", "size")
+# segment 4 is not in the lookup: no label, and no road in either stack
+@query(f"SELECT patch_id, r, c, band, second, band AS labeled_band, label FROM (WITH {COUNTS}, {PATCHES}, known AS (SELECT row, col, CASE WHEN label > 0 THEN coalesce(b0, 0) ELSE 0 END AS band, CASE WHEN label > 0 THEN b1 ELSE 0 END AS second, label FROM (SELECT g.row, g.col, {HOLED} AS b0, g.value / 2 AS b1, CASE WHEN c.value > 0 AND c.value <> 4 THEN n_regionkey + 1 ELSE 0 END::INT AS label FROM grid g JOIN classes c USING (row, col) JOIN nation ON n_nationkey = c.value)) {CUT.format(t='known')})", "grid", "classes", "size")
 def c4_prepare_patches(s, d):
-    return _prepared(s, d)["patches"].select("patch_id", "r", "c", F.get("bands", F.lit(0)).alias("band"), F.get("labeled_bands", F.lit(0)).alias("labeled_band"), "label")
+    at = lambda c, i: F.get(c, F.lit(i))
+    return _prepared(s, d)["patches"].select("patch_id", "r", "c", at("bands", 0).alias("band"), at("bands", 1).alias("second"), at("labeled_bands", 0).alias("labeled_band"), "label")
 
 
-FRAMES = f"x AS (SELECT c.value::INT::VARCHAR AS region, c.row - min_row AS row, c.col - min_col AS col, g.value FROM classes c JOIN ({GROWN_BOX}) b ON b.value = c.value JOIN grid g ON g.row = c.row AND g.col = c.col), {FOLD.replace('12', '16')}"
+FRAMES = f"x AS (SELECT c.value::INT::VARCHAR AS region, c.row - min_row AS row, c.col - min_col AS col, {HOLED} AS b0, g.value / 2 AS b1, max_row - min_row AS h, max_col - min_col AS w FROM classes c JOIN ({GROWN_BOX}) b ON b.value = c.value JOIN grid g ON g.row = c.row AND g.col = c.col), {FOLD.replace('12', '16')}"
 
 
-@query(f"SELECT * FROM (WITH {FRAMES} SELECT region, r::INT AS r, c::INT AS c, arg_max(value, (late::INT * 1000000 + row * 1000 + col)) AS value, CASE WHEN region <> '4' THEN (SELECT n_regionkey + 1 FROM nation WHERE n_nationkey::VARCHAR = region)::DOUBLE END AS label FROM f GROUP BY 1, 2, 3)", "classes", "grid", "size")
+@query(f"SELECT * FROM (WITH {FRAMES} SELECT region, r, c, b.b0 AS first, b.b1 AS second, CASE WHEN b.b0 = 0 THEN 0 WHEN region <> '4' THEN (SELECT n_regionkey + 1 FROM nation WHERE n_nationkey::VARCHAR = region)::DOUBLE END AS label FROM folded)", "classes", "grid", "size")
 def c4_region_frames(s, d):
     out = _prepared(s, d)
-    return out["region_frames"].join(out["region_labels"], ["region", "r", "c"]).select("region", "r", "c", "value", "label")
+    at = lambda i: F.get("bands", F.lit(i))
+    return out["region_frames"].join(out["region_labels"], ["region", "r", "c"]).select("region", "r", "c", at(0).alias("first"), at(1).alias("second"), "label")
 
 
 IN_ROI = f"(SELECT min(row) y0, max(row) y1, min(col) x0, max(col) x1 FROM grid WHERE {ROI_SQL})"
 INSIDE = "row >= y0 AND row < y1 AND col >= x0 AND col < x1"
 PART = f"part AS (SELECT (row - y0)::INT AS row, (col - x0)::INT AS col, lon, lat, value FROM grid, {IN_ROI} WHERE {INSIDE}), partroad AS (SELECT (row - y0)::INT AS row, (col - x0)::INT AS col, lon, lat FROM onroad, {IN_ROI} WHERE {INSIDE}), partsize AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM part)"
 SCALED = "known AS (SELECT p.row, p.col, CASE WHEN v.value > 0 THEN p.value / m END AS band, coalesce(v.value, 0)::INT AS label FROM (SELECT *, max(value) OVER () AS m FROM part) p LEFT JOIN valued v ON v.row = p.row AND v.col = p.col)"
-FLOW = f"WITH RECURSIVE {FIRST}, {ON_ROADS}, {PART}, {CLOSE.format(t='partroad')}, {around('close').replace('size', 'partsize')}, {VALUED.format(g='part')}, {SCALED}, {COUNTS.replace('FROM size', 'FROM partsize')}, {PATCHES.replace('FROM size', 'FROM partsize')} " + CUT.format(t="known").replace("labeled_band, ", "")
+FLOW = f"WITH RECURSIVE {MEAN_MIN}, {ON_ROADS}, {PART}, {CLOSE.format(t='partroad')}, {around('close').replace('size', 'partsize')}, {VALUED.format(g='part')}, {SCALED}, {COUNTS.replace('FROM size', 'FROM partsize')}, {PATCHES.replace('FROM size', 'FROM partsize')} " + CUT.format(t="known").replace("second, ", "")
 
 
 @query(f"SELECT patch_id, r, c, round(coalesce(band, 0), 6) AS band, label FROM ({FLOW})", "points", "grid", "size", "roads")
 def c5_pavement_pipeline(s, d):
-    out = P.pavement_pipeline(_scene(s, d), ROI, T.STEP, crop=16, overlap=0.2, method="first_location")["patches"]
+    out = P.pavement_pipeline(_scene(s, d), ROI, T.STEP, crop=16, overlap=0.2)["patches"]
     return rounded(out.select("patch_id", "r", "c", F.get("bands", F.lit(0)).alias("band"), "label"), "band")
 
 
@@ -896,7 +956,7 @@ def c5_pavement_segments(s, d):
     scene, path = _segment_scene(s, d), shared_path(s, "prepared")
     bands = F.array("value", F.col("value") / 2, F.col("value") / 3)
     scene = P.Scene(scene.pixels.select("row", "col", "lon", "lat", bands.alias("bands")), scene.roads, scene.points, scene.height, scene.width)
-    P.pavement_pipeline(scene, ROI, T.STEP, crop=16, overlap=0.2, segments=True, p95=True, block=3000, path=path, source=2, grow=3, gray_threshold=0.4, white=2.0, grad_threshold=1.5, shift=5)
+    P.pavement_pipeline(scene, ROI, T.STEP, crop=16, overlap=0.2, segments=True, p95=True, path=path, source=2, grow=3, gray_threshold=0.4, white=2.0, grad_threshold=1.5, shift=5)
     return s.read.parquet(f"{path}/label_patches").select("patch_id", "r", "c", "label")
 
 

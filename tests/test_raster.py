@@ -38,19 +38,6 @@ def test_merge_close_points(spark):
     assert {r["lon"] for r in J.merge_close_points(line, 0.6, "middle_location").collect()} == {0.0, 0.5}
 
 
-def test_merge_matches_the_sequential_rule(spark):
-    rnd = random.Random(5)
-    data = [(i, round(rnd.uniform(0, 6), 2), round(rnd.uniform(0, 6), 2), float(rnd.randrange(100))) for i in range(120)]
-    done, want = set(), {}
-    for i, x, y, _ in data:
-        if i not in done:
-            near = [p for p in data if ((x - p[1]) ** 2 + (y - p[2]) ** 2) ** 0.5 < 0.5]
-            done |= {p[0] for p in near}
-            want[i] = (sum(p[1] for p in near) / len(near), sum(p[2] for p in near) / len(near), min(p[3] for p in near))
-    got = J.merge_close_points(spark.createDataFrame(data, "idx long, lon double, lat double, pci double"), 0.5).collect()
-    assert {r["idx"]: (r["lon"], r["lat"], r["pci"]) for r in got} == {k: pytest.approx(v) for k, v in want.items()}
-
-
 def test_scores(spark):
     c = A.classification_metrics(scores(spark, [0, 1, 2, 0, 1], [0, 1, 1, 0, 1])).first()
     assert [round(c[k], 6) for k in ("accuracy", "precision", "recall", "f1")] == [0.8, 0.666667, 0.8, 0.72]
@@ -183,11 +170,6 @@ def test_offset(spark):
     assert tuple(R.best_offset(moved, cells(spark, a), 6).first())[:2] == (4, -3)
 
 
-def test_fold(spark):
-    x = spark.createDataFrame([(0, 5, 0, 1.0), (0, 6, 1, 2.0), (0, 7, 2, 3.0), (0, 8, 3, 4.0), (0, 4, 0, 9.0)], "region int, row int, col int, value double")
-    assert {(r["r"], r["c"], r["value"]) for r in R.fold_to_frame(x, 4).collect()} == {(2, 0, 1.0), (1, 1, 2.0), (0, 2, 3.0), (3, 3, 4.0)}
-
-
 def test_components_and_paths(spark):
     c = cells(spark, [(0, 0), (1, 1), (3, 3)])
     assert len({r["component"] for r in G.connected_components(c, True).collect()}) == 2

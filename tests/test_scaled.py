@@ -74,10 +74,10 @@ def test_nearest_of_far_rows_and_dense_spots(spark):
     assert J.nearest(a, b.limit(0), "i", ["j"], 0.5).count() == 0 and J.nearest(a.limit(0), b, "i", ["j"], 0.5).count() == 0
 
 
-@pytest.mark.parametrize("rows,bins", [(1 << 20, 1024), (3, 4), (1, 2)])
-def test_exact_quantiles(spark, monkeypatch, rows, bins):
+@pytest.mark.parametrize("rows,accuracy", [(1 << 20, 10_000), (3, 40), (1, 2000)])
+def test_exact_quantiles(spark, monkeypatch, rows, accuracy):
     monkeypatch.setattr(A, "SORTED_ROWS", rows)
-    monkeypatch.setattr(A, "BINS", bins)
+    monkeypatch.setattr(A, "ACCURACY", accuracy)
     rnd = np.random.default_rng(2)
     bands = {0: rnd.normal(size=200), 1: np.round(rnd.normal(size=77), 1), 2: np.full(9, 2.5), 3: np.array([1.0, 1e300]), 5: rnd.lognormal(0, 9, 50)}
     data = [(b, float(x)) for b, v in bands.items() for x in v] + [(0, None), (1, float("nan")), (7, None)]
@@ -87,11 +87,11 @@ def test_exact_quantiles(spark, monkeypatch, rows, bins):
         assert np.allclose(got[b], np.quantile(v, [0.0, 0.25, 0.5, 0.95, 1.0]), rtol=1e-12)
 
 
-@pytest.mark.parametrize("tile", [4, 128])
+@pytest.mark.parametrize("tile", [64, 256])
 def test_offsets(spark, monkeypatch, tile):
-    monkeypatch.setattr(R, "TILE", tile)
+    monkeypatch.setattr(R, "SIDE", tile)
     rnd = random.Random(6)
-    a, b = some_cells(rnd, 17, 14, 0.3), some_cells(rnd, 17, 14, 0.3)
+    a, b = some_cells(rnd, 70, 66, 0.3), some_cells(rnd, 70, 66, 0.3)
     got = {(r["dy"], r["dx"]): r["score"] for r in R.offset_scores(spark.createDataFrame(a + a[:3], "row int, col int"), spark.createDataFrame(b, "row int, col int"), 3).collect()}
     assert got == {(i, j): len(set(a) & {(r + i, c + j) for r, c in b}) for i in range(-3, 4) for j in range(-3, 4)}
 
@@ -140,7 +140,7 @@ def scene(spark, h=40, w=36):
 def test_segment_flow(spark):
     """Snapping, paths, burning and lookup against a plain walk over the points."""
     s, grid, roads, points = scene(spark)
-    cells, lut = P.pci_segments(s, step=0.001, block=7)
+    cells, lut = P.pci_segments(s, step=0.001)
     place = lambda p: min(grid, key=lambda g: ((p[1] - g[2]) ** 2 + (p[2] - g[3]) ** 2, g[0], g[1]))[:2]
     snap = lambda q: min(roads, key=lambda r: ((q[0] - r[0]) ** 2 + (q[1] - r[1]) ** 2, r))
     burnt, values = {}, {}
@@ -171,7 +171,7 @@ def test_flow_along_segments(spark, tmp_path):
     pixels, roads = A.normalize_bands_max(A.normalize_p95(cut(s.pixels))), cut(s.roads)
     cells, lut = P.pci_segments(P.Scene(pixels, roads, s.points, h, w), step=0.001)
     rgb = pixels.select("row", "col", *[F.get("bands", F.lit(i)).alias(n) for i, n in enumerate("rgb")])
-    labels, move = P.enhance(cells.selectExpr("row", "col", "double(seg_id) AS value"), rgb, roads, h, w, **how)
+    labels, move = P.enhance(cells.selectExpr("row", "col", "double(seg_id) AS value"), rgb, h, w, **how)
     dy, dx = move.select("dy", "dx").first()
     labels, pixels = R.crop_by_offset(labels, move, h, w), R.crop_by_offset(pixels, move, h, w)
     assert {tuple(r) for r in out["labels"].collect()} == {tuple(r) for r in labels.collect()} and not labels.isEmpty()
