@@ -7,8 +7,8 @@ only one document has adds nothing to any pair, so it is never sent on; it is mo
 1. Tasks hash their documents' n-grams and send them, packed, to the range of the hash they lie in, which counts them.
    A range sends back what occurs in more than one document; so each batch of documents knows its n-grams' frequencies.
 2. Two linked sets share an n-gram among the first n - ceil(0.8 n) + 1 of each in the global order. Sets that have one
-   in common there, sizes and places that allow a link, are candidates: first each with the least set beside it, then
-   the pairs that the links so found leave in different components.
+   in common there, sizes and places that allow a link, are candidates: first each with one lead, then the pairs
+   that the links so found leave in different components, unless what they differ in rules them out.
 3. Candidates' partial overlaps are counted in tasks of one set and one fragment, and summed per pair.
 """
 
@@ -33,6 +33,8 @@ OFTEN = 4
 LOW = 40
 #: The order's classes are powers of two of the frequency up to 2^CLASSES; each is cut into 2^CUT_BITS ranges of the hash.
 CLASSES, CUT_BITS = 15, 2
+#: Parity bits of a set's shared n-grams.
+BITS = 1024
 #: Rows of a list of sets that one task pairs, and members that one task counts against a set.
 LIST_ROWS, STAR_ROWS = 1024, 4096
 _TIMES, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -65,6 +67,12 @@ def _unpack(raw: bytes, size: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def parity_bits(grams: np.ndarray) -> bytes:
+    """BITS bits, each whether an odd number of n-grams falls on it. Where two sets' bits differ, so do the sets: the
+    number of such bits is at most that of the n-grams that only one of them has."""
+    return np.packbits((np.bincount((grams % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+
+
 def _range_bits(partitions: int) -> int:
     return max(12, (4 * partitions - 1).bit_length())
 
@@ -102,9 +110,9 @@ def _sent(batches: Iterator[pa.RecordBatch], words: int, bits: int) -> Iterator[
         rows = [(-1, name, None, _pack(owner[many], 2), _pack(grams[many], 8), None, list(ids), list(of), nodes.tolist(), sizes.tolist())]
         rare, rare_owner, hot, hot_count = grams[~many], owner[~many], grams[first[often]], count[often]
         at, hot_at = (x >> np.uint64(LOW) for x in (rare, hot))
-        for key in np.unique(np.concatenate([at, hot_at])).tolist():
-            a, b = np.searchsorted(at, [key, key + 1])
-            c, d = np.searchsorted(hot_at, [key, key + 1])
+        keys = np.unique(np.concatenate([at, hot_at]))
+        ends = [np.searchsorted(x, keys, side=s).tolist() for x in (at, hot_at) for s in ("left", "right")]
+        for key, a, b, c, d in zip(keys.tolist(), *ends, strict=True):
             rows.append((key, name, _pack(rare[a:b], 5), _pack(rare_owner[a:b], 2), _pack(hot[c:d], 5), _pack(hot_count[c:d], 4), None, None, None, None))
             if len(rows) == 4096:
                 yield _rows(rows)
@@ -164,13 +172,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-_KNOWN = "doc_id long, node long, n long, before long, prefix array<long>, segments array<struct<fragment int, grams array<long>>>"
+_KNOWN = "doc_id long, node long, n long, before long, bits binary, prefix array<long>, segments array<struct<fragment int, grams array<long>>>"
 _SEGMENT = pa.struct([("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
 
 def _ordered(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by batch and key: a row for each document (doc_id, node, n), and one for each set that has shared
-    n-grams in its prefix: how many of its n-grams come before these, the prefix, and its shared n-grams by fragment."""
+    n-grams in its prefix: how many of its n-grams come before these, the parity bits of the shared ones, the prefix, and
+    the shared ones by fragment."""
     held: list[tuple] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -179,7 +188,7 @@ def _ordered(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iter
         of = np.array(listed[7], np.int64)
         docs = batch(doc_id=pa.array(listed[6], pa.int64()), node=pa.array(node[of]), n=pa.array(n[of]))
         nothing = len(docs)
-        yield pa.RecordBatch.from_arrays([*docs.columns, pa.nulls(nothing, pa.int64()), pa.nulls(nothing, pa.list_(pa.int64())), pa.nulls(nothing, pa.list_(_SEGMENT))], names=[*docs.schema.names, "before", "prefix", "segments"])
+        yield pa.RecordBatch.from_arrays([*docs.columns, pa.nulls(nothing, pa.int64()), pa.nulls(nothing, pa.binary()), pa.nulls(nothing, pa.list_(pa.int64())), pa.nulls(nothing, pa.list_(_SEGMENT))], names=[*docs.schema.names, "before", "bits", "prefix", "segments"])
         grams, owner, df, hot, hot_df = [], [_unpack(listed[3], 2)], [], [], []
         for r in held[1:]:
             high = np.uint64(r[0] << LOW)
@@ -207,6 +216,7 @@ def _ordered(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iter
             part = kept[at : at + 1024]
             some = np.concatenate([np.arange(begin[i], begin[i] + many[i]) for i in part.tolist()])
             heads = np.concatenate([np.arange(begin[i], begin[i] + min(short[i], many[i])) for i in part.tolist()])
+            bits_of = [parity_bits(grams[begin[i] : begin[i] + many[i]]) for i in part.tolist()]
             ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             prefix = pa.ListArray.from_arrays(ends(np.minimum(short[part], many[part])), pa.array(grams[heads].astype(np.int64)))
             cut = np.concatenate([[0], np.flatnonzero((np.diff(owner[some]) != 0) | (np.diff(fragment[some]) != 0)) + 1])
@@ -214,7 +224,7 @@ def _ordered(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iter
             segments = pa.StructArray.from_arrays([pa.array(fragment[some][cut].astype(np.int32)), lists], fields=list(_SEGMENT))
             per = np.bincount(np.searchsorted(part, owner[some][cut]), minlength=len(part))
             segments = pa.ListArray.from_arrays(ends(per), segments)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(node[part]), pa.array(n[part]), pa.array(before[part]), prefix, segments], names=["doc_id", "node", "n", "before", "prefix", "segments"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(node[part]), pa.array(n[part]), pa.array(before[part]), pa.array(bits_of, pa.binary()), prefix, segments], names=["doc_id", "node", "n", "before", "bits", "prefix", "segments"])
 
     for part in slices(batches, 256):
         for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
@@ -250,55 +260,77 @@ def _side(df: DataFrame, side: str, *keep: str) -> DataFrame:
 
 
 def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb): of each list of sets that share a prefix n-gram (``gram``; node, n, at, rows), every set with the
-    least one. Long lists are dealt into parts with a least set each, and these are paired with the least of all."""
-    dealt = lists.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / STAR_ROWS)))
-    leads = dealt.groupBy("gram", "part").agg(F.min(F.struct("node", "n", "at")).alias("x")).select("gram", "part", "x.*")
-    tops = leads.groupBy("gram").agg(F.min(F.struct("node", "n", "at")).alias("x")).select("gram", "x.*")
+    """(a, b, na, nb): of each list of sets that share a prefix n-gram (``gram``; node, n, at, rows) every set with the
+    list's lead, the set that is in most lists: of a family of copies the one that has least of its own. Long lists are
+    dealt into parts with a lead each, and these are paired with the lead of all."""
+    degree = lists.groupBy("node").agg((-F.count("*")).alias("degree"))
+    dealt = lists.join(degree, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / STAR_ROWS)))
+    leads = dealt.groupBy("gram", "part").agg(F.min(F.struct("degree", "node", "n", "at")).alias("x")).select("gram", "part", "x.*")
+    tops = leads.groupBy("gram").agg(F.min(F.struct("degree", "node", "n", "at")).alias("x")).select("gram", "x.*")
     members = _side(dealt, "b", "gram", "part").join(_side(leads, "a", "gram", "part"), ["gram", "part"])
     between = _side(leads, "b", "gram").join(_side(tops, "a", "gram"), "gram")
     pairs = members.unionByName(between, allowMissingColumns=True)
     return pairs.where(_may_link(percent) & (F.col("a") != F.col("b"))).select("a", "b", "na", "nb").distinct()
 
 
-def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb): of each list the pairs of sets of different ``component`` that sizes and places allow to be linked.
+def cross_pairs(lists: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b, na, nb): of each list pairs of sets of different ``component`` that may be linked by their sizes, their
+    places in the list and what they differ in at least: the n-grams that only one document has (``before``) and the
+    parity bits (``bits``). With ``forest`` only pairs that join what the list's other pairs don't, else all.
 
     Lists of more than LIST_ROWS rows are dealt into parts, and every pair of parts is searched in a task of its own."""
     spark = lists.sparkSession
     parts = F.ceil(F.col("rows") / LIST_ROWS).cast("int")
     dealt = lists.withColumn("mine", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select(F.xxhash64("gram", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "node", "n", "at", "component", (F.col("mine") <= F.col("other")).alias("low"), (F.col("mine") >= F.col("other")).alias("high"))
+    side = (F.col("mine") <= F.col("other")).cast("int") + 2 * (F.col("mine") >= F.col("other")).cast("int")
+    dealt = dealt.select(F.xxhash64("gram", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "node", "n", "at", "before", "component", side.alias("side"), "bits")
     ready = dealt.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "n", "node")
 
-    def search(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        node, n, at, component, low, high = x
+    def search(node, n, at, before, component, side, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         end = np.searchsorted(n, 100 * n // percent, side="right")
+        root = np.unique(component, return_inverse=True)[1]
         for i in np.flatnonzero(end > np.arange(len(n)) + 1).tolist():
             j = np.arange(i + 1, end[i])
+            j = j[(root[j] != root[i]) & ((side[i] & (3 ^ side[j])) | (side[j] & (3 ^ side[i])) | (side[i] & side[j] == 3)).astype(bool)]
+            least = -(-percent * (n[i] + n[j]) // (100 + percent))
+            j = j[(np.minimum(n[i] - at[i], n[j] - at[j]) >= least) & (before[i] + before[j] <= n[i] + n[j] - 2 * least)]
+            if not len(j):
+                continue
             least = -(-percent * (n[i] + n[j]) // (100 + percent))
-            ok = (component[j] != component[i]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= least) & ((low[i] & high[j]) | (high[i] & low[j]))
-            j = j[ok]
+            apart = before[i] + before[j] + np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            j = j[apart <= n[i] + n[j] - 2 * least]
+            if forest:
+                roots, first = np.unique(root[j], return_index=True)
+                j = j[first]
+                root[np.isin(root, roots)] = root[i]
             if len(j):
-                small = node[i] < node[j]
-                yield batch(a=np.where(small, node[i], node[j]), b=np.where(small, node[j], node[i]), na=np.where(small, n[i], n[j]), nb=np.where(small, n[j], n[i]))
+                yield np.full(len(j), i), j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, 1):
-            yield from search(rows[1:])
+        for _, node, n, *rest, bits in grouped(batches, 1):
+            for i, j in search(node, n, *rest, bits):
+                small = node[i] < node[j]
+                yield batch(a=np.where(small, node[i], node[j]), b=np.where(small, node[j], node[i]), na=np.where(small, n[i], n[j]), nb=np.where(small, n[j], n[i]))
 
     return ready.mapInArrow(run, "a long, b long, na long, nb long").distinct()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """Columns of the rows of each value of the first ``keys`` columns, of sorted rows of numbers."""
+    """Columns of the rows of each value of the first ``keys`` columns, of sorted rows of numbers; binary columns of
+    one length become rows of 64-bit words."""
+
+    def array(c: pa.Array) -> np.ndarray:
+        if not pa.types.is_binary(c.type):
+            return c.to_numpy(zero_copy_only=False)
+        return np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1)
+
     rest: list[np.ndarray] | None = None
     for b in batches:
-        now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if not b.num_rows:
+            continue
+        now = [array(c) for c in b.columns]
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        if not len(now[0]):
-            continue
         cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in now[:keys]], axis=0)) + 1
         for i, j in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=False):
             yield [x[i:j] for x in now]
@@ -362,11 +394,16 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", words: int = 5, p
     discard(postings)
     nodes = written(lists.select("node").distinct())
     segments = written(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", F.explode("segments").alias("s")).select("node", "s.fragment", "s.grams"))
-    stars = written(linked_pairs(star_pairs(lists, percent), segments, percent))
-    placed = lists.join(connected_components(nodes, stars), "node")
-    apart = placed.where("rows > 2").groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
-    rest = linked_pairs(cross_pairs(placed.join(apart, "gram"), percent), segments, percent)
-    classes = connected_components(nodes, stars.unionByName(rest))
+    links = written(linked_pairs(star_pairs(lists, percent), segments, percent))
+    shared = sets.select("node", "before", "bits").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    for forest in (True, False):
+        # what links the lists still lack: first as few as could join all, then, where some of these were none, all
+        placed = written(lists.where("rows > 2").join(connected_components(nodes, links), "node"))
+        apart = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
+        more = linked_pairs(cross_pairs(placed.join(apart, "gram").join(shared, "node"), percent, forest), segments, percent)
+        links = written(links.unionByName(more))
+        discard(placed)
+    classes = connected_components(nodes, links)
     found = known.where("prefix IS NULL").select("doc_id", "node", "n")
     with_class = found.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = with_class.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("low"))
