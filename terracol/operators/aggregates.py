@@ -67,7 +67,7 @@ def exact_quantiles(values: DataFrame, probs: list[float]) -> DataFrame:
             for r in rows.collect():
                 key = r["band"], r["p"]
                 first, last = ((rank - r["below"]) / max(r["n"] - 1, 1) * CUTS for rank in ranks[key])
-                i, j = max(floor(first - margin), 0), min(ceil(last + margin), CUTS)
+                i, j = (min(max(k, 0), CUTS) for k in (floor(first - margin), ceil(last + margin)))
                 low, high, _ = state[key]
                 new = (low if i == 0 else r["at"][i], high if j == CUTS else r["at"][j], r["n"] * (j - i) / CUTS)
                 # a bracket that its own values leave as wide as it was is as narrow as it gets

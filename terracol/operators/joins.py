@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracol.functions.session import materialised, numbered
+from terracol.operators.nearest import nearest as nearest
 
 
 def _bucket(v: Column, cell: float) -> Column:
@@ -45,65 +46,6 @@ def near_any(left: DataFrame, right: DataFrame, radius: float, *, lx: str = "lx"
     return a.join(b, (a["_bx"] == b["_bx"]) & (a["_by"] == b["_by"]) & hit, "left_semi").select(*left.columns).distinct()
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, order: list[str], cell: float, *, lx: str = "lx", ly: str = "ly", rx: str = "rx", ry: str = "ry", rounds: int = 2) -> DataFrame:
-    """For each row of left (identified by ``key``) the nearest row of right, ties to the least of ``order``: left's
-    columns, right's columns and ``d2``.
-
-    Rows look in the 9 buckets around them; what lies within one bucket's width is final. The rest looks again with
-    buckets of twice the width, ``rounds`` times in all. Rows still open are far from anything: they go down a pyramid
-    of right's occupied cells, keeping of each level the cells that can hold the nearest row (see descend). A round's
-    candidates are reduced by a partial min_by before they move. An empty side gives an empty result.
-    """
-    held = right.columns
-    todo, done = left, left.limit(0).join(right.limit(0), F.lit(False)).withColumn("d2", F.lit(0.0))
-    for _ in range(rounds):
-        pairs = _around(todo, lx, ly, cell).join(_keyed(right, rx, ry, cell), ["_bx", "_by"])
-        found = _best(pairs, key, held, order, lx, ly, rx, ry).where(F.sqrt("_best.d2") <= cell)
-        found = materialised(_with_best(todo, found, key, held))
-        done = done.unionByName(found)
-        todo = materialised(todo.join(found.select(key), key, "left_anti"))
-        if todo.isEmpty():
-            return done
-        cell *= 2
-    return done.unionByName(descend(todo, right, key, order, cell, lx=lx, ly=ly, rx=rx, ry=ry))
-
-
-def _best(pairs: DataFrame, key: str, held: list[str], order: list[str], lx: str, ly: str, rx: str, ry: str) -> DataFrame:
-    return pairs.withColumn("d2", squared(lx, ly, rx, ry)).groupBy(key).agg(F.min_by(F.struct(*held, "d2"), F.struct("d2", *order)).alias("_best"))
-
-
-def _with_best(left: DataFrame, best: DataFrame, key: str, held: list[str]) -> DataFrame:
-    return left.join(best, key).select(*left.columns, *[F.col(f"_best.{c}").alias(c) for c in held], F.col("_best.d2").alias("d2"))
-
-
-def descend(left: DataFrame, right: DataFrame, key: str, order: list[str], cell: float, *, lx: str = "lx", ly: str = "ly", rx: str = "rx", ry: str = "ry") -> DataFrame:
-    """nearest() by a pyramid: right's rows are counted into cells, four of which make one of the level above, up to a
-    level of at most four cells, where every row of left begins. On each level a row keeps the cells whose extent lies
-    no farther than the far end of another one's, and goes on to the cells below these. Rows meet right's rows only in
-    the cells kept at the lowest level. A round a level, a few cells a row."""
-    extent = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
-    bottom = _keyed(right.where(F.col(rx).isNotNull() & F.col(ry).isNotNull()), rx, ry, cell).groupBy("_bx", "_by").agg(F.min(rx).alias("x0"), F.max(rx).alias("x1"), F.min(ry).alias("y0"), F.max(ry).alias("y1"))
-    levels = [materialised(bottom)]
-    while levels[-1].count() > 4:
-        up = levels[-1].groupBy(F.floor(F.col("_bx") / 2).alias("_bx"), F.floor(F.col("_by") / 2).alias("_by")).agg(*extent)
-        levels.append(materialised(up))
-    start = F.array(*[F.struct(F.lit(r["_bx"]).alias("_bx"), F.lit(r["_by"]).alias("_by")) for r in levels[-1].collect()])
-    if levels[-1].isEmpty():
-        return left.join(right, F.lit(False)).withColumn("d2", F.lit(0.0))
-    kept = left.where(F.col(lx).isNotNull() & F.col(ly).isNotNull()).select(key, F.col(lx).alias("_x"), F.col(ly).alias("_y"), F.explode(start).alias("_c")).select(key, "_x", "_y", "_c._bx", "_c._by")
-    out = lambda v, low, high: F.greatest(F.col(low) - F.col(v), F.col(v) - F.col(high), F.lit(0.0))
-    far = lambda v, low, high: F.greatest(F.abs(F.col(v) - F.col(low)), F.abs(F.col(v) - F.col(high)))
-    for level in reversed(levels[:-1]):
-        below = level.withColumn("_ux", F.floor(F.col("_bx") / 2)).withColumn("_uy", F.floor(F.col("_by") / 2))
-        c = kept.withColumnRenamed("_bx", "_ux").withColumnRenamed("_by", "_uy").join(below, ["_ux", "_uy"])
-        least = out("_x", "x0", "x1") * out("_x", "x0", "x1") + out("_y", "y0", "y1") * out("_y", "y0", "y1")
-        most = far("_x", "x0", "x1") * far("_x", "x0", "x1") + far("_y", "y0", "y1") * far("_y", "y0", "y1")
-        c = c.withColumn("_least", least).withColumn("_most", F.min(most).over(Window.partitionBy(key)))
-        kept = materialised(c.where("_least <= _most").select(key, "_x", "_y", "_bx", "_by"))
-    pairs = kept.join(_keyed(right, rx, ry, cell), ["_bx", "_by"])
-    return _with_best(left, _best(pairs, key, right.columns, order, "_x", "_y", rx, ry), key, right.columns)
-
-
 #: Points of a tile that merge_close_points aims at; its finest tiles are so many thresholds wide.
 TILE_POINTS, FINEST = 100_000, 4
 

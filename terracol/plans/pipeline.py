@@ -27,7 +27,7 @@ class Scene:
     width: int
 
 
-def pci_proximity(scene: Scene, *, step: float, merge: float = 50e-5, near: float = 50e-5, method: str = "mean_min") -> DataFrame:
+def pci_proximity(scene: Scene, *, merge: float = 50e-5, near: float = 50e-5, method: str = "mean_min") -> DataFrame:
     """Survey values on road cells near survey points: merge close points, take road cells near a merged one, close gaps,
     give each cell the value of the nearest point as given. Cells of value 0 are background and go."""
     merged = materialised(J.merge_close_points(scene.points, merge, method)).select(F.col("lon").alias("rx"), F.col("lat").alias("ry"))
@@ -36,33 +36,33 @@ def pci_proximity(scene: Scene, *, step: float, merge: float = 50e-5, near: floa
     mask = R.morph_close(close, R.disk(3), scene.height, scene.width)
     wanted = places.join(mask, ["row", "col"]).withColumn("cell", F.col("row") * scene.width + F.col("col"))
     given = scene.points.select("idx", "pci", F.col("lon").alias("rx"), F.col("lat").alias("ry"))
-    return J.nearest(wanted, given, "cell", ["idx"], step).where("pci IS NULL OR pci <> 0").select("row", "col", F.col("pci").alias("value"))
+    return J.nearest(wanted, given, "cell", ["idx"]).where("pci IS NULL OR pci <> 0").select("row", "col", F.col("pci").alias("value"))
 
 
-def snap_points(points: DataFrame, pixels: DataFrame, roads: DataFrame, step: float) -> DataFrame:
+def snap_points(points: DataFrame, pixels: DataFrame, roads: DataFrame) -> DataFrame:
     """(idx, row, col): each point's nearest pixel by coordinates, moved to the road cell nearest to it by rows and columns."""
     places = points.select("idx", F.col("lon").alias("lx"), F.col("lat").alias("ly"))
     grid = pixels.select("row", "col", F.col("lon").alias("rx"), F.col("lat").alias("ry"))
-    at = J.nearest(places, grid, "idx", ["row", "col"], step).select("idx", F.col("row").cast("double").alias("ly"), F.col("col").cast("double").alias("lx"))
+    at = J.nearest(places, grid, "idx", ["row", "col"]).select("idx", F.col("row").cast("double").alias("ly"), F.col("col").cast("double").alias("lx"))
     cells = roads.select("row", "col", F.col("row").cast("double").alias("ry"), F.col("col").cast("double").alias("rx"))
-    return J.nearest(at, cells, "idx", ["row", "col"], 2.0).select("idx", "row", "col")
+    return J.nearest(at, cells, "idx", ["row", "col"]).select("idx", "row", "col")
 
 
-def segment_pairs(scene: Scene, step: float) -> DataFrame:
+def segment_pairs(scene: Scene) -> DataFrame:
     """(pair_id, seg_id, pci, r0, c0, r1, c1): points followed by one of their segment, both moved to the road; the pair
     has the first one's idx and value."""
     pairs = materialised(J.consecutive_pairs(scene.points))
     used = pairs.select("idx").union(pairs.select(F.col("next_idx").alias("idx"))).distinct()
-    ends = materialised(snap_points(scene.points.join(used, "idx", "left_semi"), scene.pixels, scene.roads, step))
+    ends = materialised(snap_points(scene.points.join(used, "idx", "left_semi"), scene.pixels, scene.roads))
     a, b = ends.toDF("idx", "r0", "c0"), ends.toDF("next_idx", "r1", "c1")
     out = pairs.join(a, "idx").join(b, "next_idx").join(scene.points.select("idx", "pci"), "idx")
     return out.select(F.col("idx").alias("pair_id"), "seg_id", "pci", "r0", "c0", "r1", "c1")
 
 
-def pci_segments(scene: Scene, *, step: float) -> tuple[DataFrame, DataFrame]:
+def pci_segments(scene: Scene) -> tuple[DataFrame, DataFrame]:
     """Segment ids burnt along shortest road paths between consecutive points (of crossing pairs the later wins), and
     the segments' values (seg_id, pci)."""
-    pairs = materialised(segment_pairs(scene, step))
+    pairs = materialised(segment_pairs(scene))
     return G.segment_burn(G.shortest_paths(scene.roads, pairs), pairs)
 
 
@@ -135,7 +135,7 @@ def write_prepared(outputs: dict[str, DataFrame], path: str, roi: tuple, source:
     S.write_patches(tables, path, roi, source)
 
 
-def pavement_pipeline(scene: Scene, roi: tuple, step: float, *, crop: int, overlap: float, segments: bool = False, p95: bool = False, method: str = "mean_min", path: str | None = None, source: int = 0, **thresholds) -> dict[str, DataFrame]:
+def pavement_pipeline(scene: Scene, roi: tuple, *, crop: int, overlap: float, segments: bool = False, p95: bool = False, method: str = "mean_min", path: str | None = None, source: int = 0, **thresholds) -> dict[str, DataFrame]:
     """ROI crop, normalised bands, labels from the survey (with ``segments`` along its segments, else around its points),
     their enhancement where thresholds (see enhance) are given, patches; with ``path`` these are written too."""
     rect = materialised(R.crop_rect(scene.pixels, roi))
@@ -146,10 +146,10 @@ def pavement_pipeline(scene: Scene, roi: tuple, step: float, *, crop: int, overl
     pixels = A.normalize_bands_max(A.normalize_p95(pixels) if p95 else pixels)
     part = Scene(pixels, materialised(R.crop_to(scene.roads, rect)), scene.points, r["y1"] - r["y0"], r["x1"] - r["x0"])
     if segments:
-        cells, lut = pci_segments(part, step=step)
+        cells, lut = pci_segments(part)
         labels = cells.select("row", "col", F.col("seg_id").cast("double").alias("value"))
     else:
-        labels, lut = pci_proximity(part, step=step, method=method), None
+        labels, lut = pci_proximity(part, method=method), None
     labels = materialised(labels)
     if thresholds:
         rgb = part.pixels.select("row", "col", *[F.get("bands", F.lit(i)).alias(n) for i, n in enumerate("rgb")])

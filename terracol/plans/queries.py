@@ -316,7 +316,7 @@ def _point_ends(s, d, keep=("idx",)):
 
 @query("SELECT p.idx, b.row, b.col FROM points p, LATERAL (SELECT row, col FROM grid g ORDER BY (p.lon - g.lon) * (p.lon - g.lon) + (p.lat - g.lat) * (p.lat - g.lat), row, col LIMIT 1) b", "points", "grid")
 def j3_nearest_pixel(s, d):
-    return J.nearest(_point_ends(s, d), _pixel_ends(s, d), "idx", ["row", "col"], T.STEP).select("idx", "row", "col")
+    return J.nearest(_point_ends(s, d), _pixel_ends(s, d), "idx", ["row", "col"]).select("idx", "row", "col")
 
 
 def _nearest_cell(left: str, right: str, key: str = "p.row, p.col") -> str:
@@ -335,7 +335,7 @@ NEAREST_POINT = "SELECT g.row, g.col, {} AS {} FROM {} g, LATERAL (SELECT pci FR
 def j5_nearest_value_interp(s, d):
     g = T.grid(s, d).join(T.road(s, d), ["row", "col"]).select("row", "col", F.col("lon").alias("lx"), F.col("lat").alias("ly"), (F.col("row") * 100 + F.col("col")).alias("k"))
     p = T.points(s, d).select("idx", "pci", F.col("lon").alias("rx"), F.col("lat").alias("ry"))
-    return J.nearest(g, p, "k", ["idx"], T.STEP).select("row", "col", F.col("pci").alias("value"))
+    return J.nearest(g, p, "k", ["idx"]).select("row", "col", F.col("pci").alias("value"))
 
 
 NEAR = "sqrt((g.lon - p.lon) * (g.lon - p.lon) + (g.lat - p.lat) * (g.lat - p.lat)) < 0.0005::DOUBLE"
@@ -352,7 +352,7 @@ def j6_proximity_mask(s, d):
 def j7_nearest_category(s, d):
     g = T.grid(s, d).select("row", "col", F.col("lon").alias("lx"), F.col("lat").alias("ly"), (F.col("row") * 100 + F.col("col")).alias("k"))
     p = T.points(s, d).select("idx", "pci", F.col("lon").alias("rx"), F.col("lat").alias("ry"))
-    return J.nearest(g, p, "k", ["idx"], T.STEP).select("row", "col", C.pci_category(F.col("pci")).alias("category"))
+    return J.nearest(g, p, "k", ["idx"]).select("row", "col", C.pci_category(F.col("pci")).alias("category"))
 
 
 LINE_SQL = "cells AS (SELECT DISTINCT (y0 + CASE WHEN n = 0 THEN 0 ELSE sign(y1 - y0) * ((2 * abs(y1 - y0) * t + n) // (2 * n)) END)::INT AS row, (x0 + CASE WHEN n = 0 THEN 0 ELSE sign(x1 - x0) * ((2 * abs(x1 - x0) * t + n) // (2 * n)) END)::INT AS col FROM (SELECT *, unnest(range(n + 1)) AS t FROM (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS n FROM edges WHERE x1 IS NOT NULL)))"
@@ -806,7 +806,7 @@ def _segment_scene(s, d) -> P.Scene:
 @query(BURN + "SELECT row, col, seg_id FROM burnt)", "points", "size", "classes", "grid")
 def g3_segment_burn(s, d):
     scene = _segment_scene(s, d)
-    p = materialised(P.segment_pairs(scene, T.STEP))
+    p = materialised(P.segment_pairs(scene))
     return G.segment_burn(G.shortest_paths(scene.roads, p), p)[0]
 
 
@@ -873,12 +873,12 @@ VALUED = "valued AS (SELECT g.row, g.col, arg_min(p.pci, ((g.lon - p.lon) * (g.l
 
 @query(f"SELECT * FROM (WITH RECURSIVE {MEAN_MIN}, {ON_ROADS}, {CLOSE.format(t='onroad')}, {around('close')}, {VALUED.format(g='grid')} SELECT row, col, value FROM valued)", "points", "grid", "size", "roads")
 def c1_pci_proximity(s, d):
-    return P.pci_proximity(_scene(s, d), step=T.STEP)
+    return P.pci_proximity(_scene(s, d))
 
 
 @query(BURN + "SELECT row, col, seg_id, pci FROM burnt JOIN lut USING (seg_id))", "points", "size", "classes", "grid")
 def c2_pci_segments(s, d):
-    cells, lut = P.pci_segments(_segment_scene(s, d), step=T.STEP)
+    cells, lut = P.pci_segments(_segment_scene(s, d))
     return cells.join(lut, "seg_id").select("row", "col", "seg_id", "pci")
 
 
@@ -946,7 +946,7 @@ FLOW = f"WITH RECURSIVE {MEAN_MIN}, {ON_ROADS}, {PART}, {CLOSE.format(t='partroa
 
 @query(f"SELECT patch_id, r, c, round(coalesce(band, 0), 6) AS band, label FROM ({FLOW})", "points", "grid", "size", "roads")
 def c5_pavement_pipeline(s, d):
-    out = P.pavement_pipeline(_scene(s, d), ROI, T.STEP, crop=16, overlap=0.2)["patches"]
+    out = P.pavement_pipeline(_scene(s, d), ROI, crop=16, overlap=0.2)["patches"]
     return rounded(out.select("patch_id", "r", "c", F.get("bands", F.lit(0)).alias("band"), "label"), "band")
 
 
@@ -956,7 +956,7 @@ def c5_pavement_segments(s, d):
     scene, path = _segment_scene(s, d), shared_path(s, "prepared")
     bands = F.array("value", F.col("value") / 2, F.col("value") / 3)
     scene = P.Scene(scene.pixels.select("row", "col", "lon", "lat", bands.alias("bands")), scene.roads, scene.points, scene.height, scene.width)
-    P.pavement_pipeline(scene, ROI, T.STEP, crop=16, overlap=0.2, segments=True, p95=True, path=path, source=2, grow=3, gray_threshold=0.4, white=2.0, grad_threshold=1.5, shift=5)
+    P.pavement_pipeline(scene, ROI, crop=16, overlap=0.2, segments=True, p95=True, path=path, source=2, grow=3, gray_threshold=0.4, white=2.0, grad_threshold=1.5, shift=5)
     return s.read.parquet(f"{path}/label_patches").select("patch_id", "r", "c", "label")
 
 

@@ -190,7 +190,7 @@ def test_nearest_matches_brute_force(spark):
     b = [(i, round(rnd.random() * 5, 1), round(rnd.random() * 5, 1)) for i in range(80)]
     left = spark.createDataFrame(a, "i int, lx double, ly double")
     right = spark.createDataFrame(b, "j int, rx double, ry double")
-    got = {r["i"]: r["j"] for r in J.nearest(left, right, "i", ["j"], 0.3).collect()}
+    got = {r["i"]: r["j"] for r in J.nearest(left, right, "i", ["j"]).collect()}
     assert got == {i: min(b, key=lambda p: ((x - p[1]) * (x - p[1]) + (y - p[2]) * (y - p[2]), p[0]))[0] for i, x, y in a}
     plan = J.within(left, right, 0.5)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -10,6 +10,7 @@ from terracol.functions.session import numbered
 from terracol.operators import aggregates as A
 from terracol.operators import graph as G
 from terracol.operators import joins as J
+from terracol.operators import nearest as N
 from terracol.operators import raster as R
 from terracol.plans import pipeline as P
 from terracol.sources import tables as S
@@ -63,15 +64,46 @@ def test_paths_in_boxes_and_together(spark, monkeypatch):
         assert len(mine) == (steps[r1, c1] + 1 if (r1, c1) in steps else 1) and mine[-1][1:] == (r1, c1)
 
 
-def test_nearest_of_far_rows_and_dense_spots(spark):
+def test_nearest_of_far_rows_and_dense_spots(spark, monkeypatch):
     rnd = random.Random(3)
     right = [(i, round(rnd.gauss(x, 0.4), 2), round(rnd.gauss(y, 0.4), 2)) for i, (x, y) in enumerate([(0, 0), (30, 5), (-40, 90), (31, 5)] * 60)]
     left = [(i, rnd.uniform(-300, 300), rnd.uniform(-300, 300)) for i in range(60)] + [(100 + i, x, y) for i, x, y in right[:40]]
     a, b = spark.createDataFrame(left, "i int, lx double, ly double"), spark.createDataFrame(right, "j int, rx double, ry double")
     want = {i: min(right, key=lambda p: ((x - p[1]) * (x - p[1]) + (y - p[2]) * (y - p[2]), p[0]))[0] for i, x, y in left}
-    for rounds in (0, 1, 3):
-        assert {r["i"]: r["j"] for r in J.nearest(a, b, "i", ["j"], 0.5, rounds=rounds).collect()} == want
-    assert J.nearest(a, b.limit(0), "i", ["j"], 0.5).count() == 0 and J.nearest(a.limit(0), b, "i", ["j"], 0.5).count() == 0
+    for rows, asked in ((200_000, 20_000), (60, 7), (20, 1000), (1, 3)):
+        monkeypatch.setattr(N, "PART_ROWS", rows)
+        monkeypatch.setattr(N, "ASKED_ROWS", asked)
+        assert {r["i"]: r["j"] for r in J.nearest(a, b, "i", ["j"]).collect()} == want
+        assert J.nearest(a, b.limit(0), "i", ["j"]).count() == 0 and J.nearest(a.limit(0), b, "i", ["j"]).count() == 0
+    odd = a.union(spark.createDataFrame([(900, None, 1.0), (901, 1.0, float("nan"))], a.schema))
+    assert J.nearest(odd, b, "i", ["j"]).count() == len(left)
+    with pytest.raises(TypeError):
+        J.nearest(a, b.withColumn("j", F.col("j").cast("string")), "i", ["j"])
+
+
+def test_nearest_shares_a_dense_spot(spark, monkeypatch):
+    """90 % of both sides in one spot: parts hold equal counts, and no task answers over twice the median."""
+    monkeypatch.setattr(N, "PART_ROWS", 500)
+    monkeypatch.setattr(N, "ASKED_ROWS", 50)
+    rnd = np.random.default_rng(4)
+    spots = lambda n: [(i, float(x), float(y)) for i, (x, y) in enumerate(np.where(rnd.random((n, 1)) < 0.9, rnd.normal(5, 1e-4, (n, 2)), rnd.uniform(0, 1000, (n, 2))))]
+    right, left = spots(2000), spots(1200)
+    a, b = spark.createDataFrame(left, "i int, lx double, ly double"), spark.createDataFrame(right, "j int, rx double, ry double")
+    seen = []
+    answer = N._answer
+
+    def spy(asked, dealt, rows, *rest):
+        seen.append((rows, {r["_part"]: r["n"] for r in asked.groupBy("_part").agg(F.count("*").alias("n")).collect()}))
+        return answer(asked, dealt, rows, *rest)
+
+    monkeypatch.setattr(N, "_answer", spy)
+    got = {r["i"]: (r["j"], r["d2"]) for r in J.nearest(a, b, "i", ["j"]).collect()}
+    for i, x, y in left:
+        assert got[i] == min(((j, (x - u) * (x - u) + (y - v) * (y - v)) for j, u, v in right), key=lambda t: (t[1], t[0]))
+    rows, asks = seen[0]
+    assert len(rows) == 4 and max(rows.values()) < 1.5 * np.median(list(rows.values()))
+    share = [n / -(-n // max(50, 4 * rows[p])) for p, n in asks.items()]  # rows of left a task answers
+    assert max(rows[p] + s for p, s in zip(asks, share, strict=True)) < 2 * np.median([rows[p] + s for p, s in zip(asks, share, strict=True)])
 
 
 @pytest.mark.parametrize("rows,accuracy", [(1 << 20, 10_000), (3, 40), (1, 2000)])
@@ -140,7 +172,7 @@ def scene(spark, h=40, w=36):
 def test_segment_flow(spark):
     """Snapping, paths, burning and lookup against a plain walk over the points."""
     s, grid, roads, points = scene(spark)
-    cells, lut = P.pci_segments(s, step=0.001)
+    cells, lut = P.pci_segments(s)
     place = lambda p: min(grid, key=lambda g: ((p[1] - g[2]) ** 2 + (p[2] - g[3]) ** 2, g[0], g[1]))[:2]
     snap = lambda q: min(roads, key=lambda r: ((q[0] - r[0]) ** 2 + (q[1] - r[1]) ** 2, r))
     burnt, values = {}, {}
@@ -164,12 +196,12 @@ def test_flow_along_segments(spark, tmp_path):
     s, *_ = scene(spark)
     roi = (-82.9985, -82.9695, 42.0015, 42.0365)
     how = {"grow": 3, "gray_threshold": 2.0, "white": 2.0, "grad_threshold": 3.0, "shift": 2}
-    out = P.pavement_pipeline(s, roi, 0.001, crop=8, overlap=0.25, segments=True, p95=True, path=str(tmp_path / "o"), source=1, **how)
+    out = P.pavement_pipeline(s, roi, crop=8, overlap=0.25, segments=True, p95=True, path=str(tmp_path / "o"), source=1, **how)
     rect = R.crop_rect(s.pixels, roi).first()
     h, w = rect["y1"] - rect["y0"], rect["x1"] - rect["x0"]
     cut = lambda df: df.where(F.col("row").between(rect["y0"], rect["y1"] - 1) & F.col("col").between(rect["x0"], rect["x1"] - 1)).withColumn("row", F.col("row") - rect["y0"]).withColumn("col", F.col("col") - rect["x0"])
     pixels, roads = A.normalize_bands_max(A.normalize_p95(cut(s.pixels))), cut(s.roads)
-    cells, lut = P.pci_segments(P.Scene(pixels, roads, s.points, h, w), step=0.001)
+    cells, lut = P.pci_segments(P.Scene(pixels, roads, s.points, h, w))
     rgb = pixels.select("row", "col", *[F.get("bands", F.lit(i)).alias(n) for i, n in enumerate("rgb")])
     labels, move = P.enhance(cells.selectExpr("row", "col", "double(seg_id) AS value"), rgb, h, w, **how)
     dy, dx = move.select("dy", "dx").first()

@@ -219,7 +219,7 @@ def test_values_of_given_points(spark):
     grid = spark.createDataFrame([(r, c, c * 0.001, r * 0.001, [1.0]) for r in range(9) for c in range(9)], "row int, col int, lon double, lat double, bands array<double>")
     points = spark.createDataFrame([(0, 0.003, 0.004, 9.0, "a"), (1, 0.004, 0.004, 3.0, "a"), (2, 0.007, 0.007, 0.0, "a")], "idx long, lon double, lat double, pci double, seg_id string")
     scene = P.Scene(grid, grid.select("row", "col"), points, 9, 9)
-    got = {(r["row"], r["col"]): r["value"] for r in P.pci_proximity(scene, step=0.001, merge=0.0015, near=0.0008).collect()}
+    got = {(r["row"], r["col"]): r["value"] for r in P.pci_proximity(scene, merge=0.0015, near=0.0008).collect()}
     assert got[4, 3] == 9.0 and got[4, 4] == 3.0 and (7, 7) not in got
 
 
