@@ -17,19 +17,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, discard, slices, utf8, written
+from .common import batch, slices, utf8, written
 
 STATES = 4
 #: Most words that are symbols of their own (the rest share CLASSES symbols): bounds the model and what a task sends.
 SYMBOLS = 1 << 18
 CLASSES = 256
-#: Baum-Welch rounds as (one in so many training documents, by a hash of doc_id; rounds): the first bring the states
-#: apart over a share of the corpus, the last are over all of it.
-SCHEDULE = ((16, 8), (4, 3), (1, 2))
+#: Baum-Welch passes over all training documents: the first in so many shares, with a new model after each, then whole
+#: rounds. The same at every size.
+SHARES, ROUNDS = 16, 2
 #: Share of the unigram distribution in each state's emissions.
 PRIOR = 0.15
 CHUNK = 64
-BATCH_TOKENS = 1 << 18
+#: Places of padded chunks that a task holds at a time.
+BATCH_PLACES = 1 << 18
 #: The end of a text; no word is empty.
 END = b""
 
@@ -265,8 +266,8 @@ def _groups(sequences: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
     held, n = [], 0
     for s in sequences:
         held.append(s)
-        n += len(s)
-        if n >= BATCH_TOKENS:
+        n += -(-len(s) // CHUNK) * CHUNK
+        if n >= BATCH_PLACES:
             yield held
             held, n = [], 0
     if held:
@@ -321,22 +322,24 @@ def corpus_counts(symbols: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray,
     return counts[-1], counts[size : size + states], counts[:size]
 
 
-def train(coded: DataFrame, vocab: Vocabulary, states: int = STATES, schedule: tuple[tuple[int, int], ...] = SCHEDULE) -> Model:
-    """Baum-Welch from seeded noise over the training rows (doc_id, symbols), every count taken from the partitions.
-    Rounds on one in ``share`` documents read a table of their own; SYMBOLS + CLASSES rows at most reach the driver a
-    round. A share that holds no document changes nothing."""
+def train(coded: DataFrame, vocab: Vocabulary, states: int = STATES, shares: int = SHARES, rounds: int = ROUNDS) -> Model:
+    """Baum-Welch from seeded noise over the training rows (symbols, share), every count taken from the partitions.
+
+    The first pass reads share after share: each one's counts, scaled to the corpus, are blended into those so far,
+    with less weight for later ones, and give the next model (stepwise Baum-Welch), so the states come apart in one
+    pass over all documents. Each of the ``rounds`` then takes all counts anew. A share without documents is passed
+    over. SYMBOLS + CLASSES rows at most reach the driver at a time."""
     unigram = vocab.unigram
-    m = first_model(unigram, states)
-    for share, rounds in schedule:
-        some = coded.select("symbols")
-        if share > 1:
-            some = written(coded.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("symbols"))
-        for _ in range(rounds):
-            start, steps, emits = corpus_counts(some, m)
-            if emits.any():
-                m = maximise(start, steps, emits, unigram)
-        if share > 1:
-            discard(some)
+    m, kept = first_model(unigram, states), None
+    for i in range(shares + rounds):
+        found = corpus_counts((coded.where(F.col("share") == i) if i < shares else coded).select("symbols"), m)
+        if not found[2].any():
+            continue
+        if i < shares:
+            scale = vocab.tokens / found[2].sum()
+            weight = 1.0 if kept is None else (i + 2) ** -0.6
+            found = kept = tuple(weight * scale * x + (0 if kept is None else (1 - weight) * kept[j]) for j, x in enumerate(found))
+        m = maximise(*found, unigram)
     return m
 
 
@@ -360,8 +363,9 @@ def score_documents(docs: DataFrame, *, text: str = "text") -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), utf8(text).alias("b"))
     counts = written(training_counts(slim))
     vocab, least = vocabulary(counts)
-    coded = written(encoded(slim, vocab).withColumn("row", F.monotonically_increasing_id()))
-    model = train(coded.where("NOT held_out").select("doc_id", "symbols"), vocab)
+    coded = encoded(slim, vocab).withColumn("row", F.monotonically_increasing_id())
+    coded = written(coded.withColumn("share", F.pmod(F.xxhash64("row"), F.lit(SHARES)).cast("int")), "share")
+    model = train(coded.where("NOT held_out").select("symbols", "share"), vocab)
     spark = docs.sparkSession
 
     total = F.lit(float(vocab.tokens + 0.5 * (vocab.words + 1)))

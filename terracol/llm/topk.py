@@ -63,11 +63,11 @@ def _products(q: np.ndarray, c: np.ndarray):
     return lambda rows, i: (ck[rows] @ qk[i]).astype(np.int64)
 
 
-def search_block(q_ids, q, qd, qq, floor, c_ids, c, cd, cc, k):
+def search_block(q_own, q, qd, qq, floor, c_ids, c_own, c, cd, cc, k):
     """The k best candidates of this block for each query as (query index, candidate index, score) arrays.
 
     qd and cd are distances to the pivots, qq and cc squared lengths, ``floor`` the score that a query's k-th is known
-    to reach. Candidates are scored in order of their limit until it falls below the k-th score or the floor.
+    to reach; a candidate whose ``own`` number is the query's is the query itself. Candidates are scored in order of their limit until it falls below the k-th score or the floor.
     """
     score, cd = _products(q, c), np.ascontiguousarray(cd.T)
     out_q, out_c, out_s = [], [], []
@@ -76,7 +76,7 @@ def search_block(q_ids, q, qd, qq, floor, c_ids, c, cd, cc, k):
         for p in range(len(cd)):
             np.maximum(bound, np.abs(cd[p] - qd[i, p]), out=bound)
         limit = (qq[i] + cc - bound * bound) / 2 + 1e-9 * (qq[i] + cc) + 1
-        some = np.nonzero((limit >= floor[i]) & (c_ids != q_ids[i]))[0]
+        some = np.nonzero((limit >= floor[i]) & (c_own != q_own[i]))[0]
         order = some[np.argsort(-limit[some], kind="stable")]
         best_c, best_s, at, step = np.zeros(0, np.int64), None, 0, 64
         while at < len(order) and (len(best_c) < k or limit[order[at]] >= best_s[-1]):
@@ -93,36 +93,37 @@ def search_block(q_ids, q, qd, qq, floor, c_ids, c, cd, cc, k):
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_c, out_s))
 
 
-_TABLE = "vec_id long, row long, vector array<long>, dim int, cell int, norm double, dist array<double>"
+_TABLE = "vec_id long, unnamed boolean, own long, row long, vector array<long>, dim int, cell int, norm double, dist array<double>"
 
 
 def pivot_table(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """vec_id, row, vector, its length ``dim``, the nearest pivot ``cell``, the squared length and all distances."""
+    """vec_id (a null one, ``unnamed``, as the largest long), own, row, vector, its length ``dim``, the nearest pivot ``cell``, the squared length and all distances."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims = b.column(2).value_lengths().to_numpy()
+            dims = b.column(4).value_lengths().to_numpy()
             for dim in np.unique(dims):
                 part = b.take(pa.array(np.nonzero(dims == dim)[0]))
-                x = part.column(2).flatten().to_numpy().reshape(part.num_rows, dim).astype(np.float64)
+                x = part.column(4).flatten().to_numpy().reshape(part.num_rows, dim).astype(np.float64)
                 d = _distances(x, pivots.get(int(dim), np.zeros((1, dim))))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * d.shape[1]), pa.array(d.reshape(-1)))
-                yield batch(vec_id=part.column(0), row=part.column(1), vector=part.column(2), dim=pa.array(np.full(len(x), dim, np.int32)), cell=pa.array(d.argmin(axis=1).astype(np.int32)), norm=pa.array((x * x).sum(axis=1)), dist=lists)
+                yield batch(vec_id=part.column(0), unnamed=part.column(1), own=part.column(2), row=part.column(3), vector=part.column(4), dim=pa.array(np.full(len(x), dim, np.int32)), cell=pa.array(d.argmin(axis=1).astype(np.int32)), norm=pa.array((x * x).sum(axis=1)), dist=lists)
 
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), F.col("vector").cast("array<long>").alias("vector")).mapInArrow(run, _TABLE)
+    named = F.coalesce(F.col("vec_id").cast("long"), F.lit(_LONG)).alias("vec_id")
+    return vectors.select(named, F.col("vec_id").isNull().alias("unnamed"), F.col("own").cast("long").alias("own"), F.monotonically_increasing_id().alias("row"), F.col("vector").cast("array<long>").alias("vector")).mapInArrow(run, _TABLE)
 
 
 def search_blocks(rows: DataFrame, k: int) -> DataFrame:
-    """(query_id, row, vec_id, score): the k best of each block for each of its queries. ``rows`` has the columns of the
+    """(query_id, row, vec_id, unnamed, score): the k best of each block for each of its queries. ``rows`` has the columns of the
     pivot table, ``block``, ``kind`` (0: candidate, 1: query) and ``floor``. A task holds one block's candidates, which
     come first, and takes its queries as they come."""
-    ready = rows.repartition(shuffle_partitions(rows.sparkSession), "block").sortWithinPartitions("block", "kind").select("block", "kind", "vec_id", "row", "norm", "floor", "vector", "dist")
+    ready = rows.repartition(shuffle_partitions(rows.sparkSession), "block").sortWithinPartitions("block", "kind").select("block", "kind", "vec_id", "unnamed", "own", "row", "norm", "floor", "vector", "dist")
 
     def arrays(parts: list[pa.RecordBatch]):
         t = pa.Table.from_batches(parts)
         n = t.num_rows
         lists = [t.column(c).combine_chunks().flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, 0)) for c in ("vector", "dist")]
-        return [t.column(c).to_numpy() for c in ("vec_id", "row", "norm", "floor")] + lists
+        return [t.column(c).to_numpy() for c in ("vec_id", "unnamed", "own", "row", "norm", "floor")] + lists
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, block = None, [], None
@@ -139,13 +140,13 @@ def search_blocks(rows: DataFrame, k: int) -> DataFrame:
                     held.append(b.slice(a, z - a))
                 elif held or block:
                     block, held = block or arrays(held), []
-                    c_ids, _, cc, _, c, cd = block
-                    q_ids, q_rows, qq, floor, q, qd = arrays([b.slice(a, z - a)])
-                    i, j, s = search_block(q_ids, q, qd, qq, floor, c_ids, c, cd, cc, k)
+                    c_ids, unnamed, c_own, _, cc, _, c, cd = block
+                    q_ids, _, q_own, q_rows, qq, floor, q, qd = arrays([b.slice(a, z - a)])
+                    i, j, s = search_block(q_own, q, qd, qq, floor, c_ids, c_own, c, cd, cc, k)
                     if len(i):
-                        yield batch(query_id=pa.array(q_ids[i]), row=pa.array(q_rows[i]), vec_id=pa.array(c_ids[j]), score=pa.array(s))
+                        yield batch(query_id=pa.array(q_ids[i]), row=pa.array(q_rows[i]), vec_id=pa.array(c_ids[j]), unnamed=pa.array(unnamed[j]), score=pa.array(s))
 
-    return ready.mapInArrow(run, "query_id long, row long, vec_id long, score long")
+    return ready.mapInArrow(run, "query_id long, row long, vec_id long, unnamed boolean, score long")
 
 
 def _blocks_to_search(queries: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -184,12 +185,15 @@ def _blocks_to_search(queries: DataFrame, bounds: DataFrame) -> DataFrame:
     return out
 
 
-def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest integer inner products of each query row, ties to smaller vec_id.
+def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, own: str = "vec_id") -> DataFrame:
+    """(query_id, rank, vec_id, score): the k highest integer inner products of each query row, ties to smaller vec_id,
+    null last.
 
-    Both inputs have (vec_id, vector array<long>). A candidate with the query's vec_id is the query itself and takes
-    no part, nor do null vectors or null ids or vectors of another length. A repeated query row is answered once for
-    each row; a repeated candidate row counts once for each row. Products are exact whatever their size; one beyond
+    Both inputs have (vec_id, vector array<long>) and the column ``own``, a number that tells which candidate is the
+    query itself, which takes no part: by default vec_id; where ids repeat, a number of the row. Null vectors and
+    vectors of another length take no part, nor do queries without an id. A candidate without one does, and without
+    an ``own`` number it is no query's own row. A repeated query row is answered once for each row; a repeated
+    candidate row counts once for each row. Products are exact whatever their size; one beyond
     the range of a long counts as the nearest long, in the ranking too. An empty side gives an empty result; other
     columns are ignored.
 
@@ -197,7 +201,9 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFr
     returns k rows a query, which meet in a window for each query. Pivots come from a bounded sample of PIVOT_SAMPLE
     rows; they only steer order and elimination, so the result does not depend on them.
     """
-    queries, candidates = (df.where("vec_id is not null and vector is not null").select("vec_id", "vector") for df in (queries, candidates))
+    unknown = F.lit(-_LONG - 1)  # of candidates; a query without a number of its own has another
+    queries = queries.where("vec_id is not null and vector is not null").select("vec_id", F.coalesce(F.col(own), F.lit(_LONG)).alias("own"), "vector")
+    candidates = candidates.where("vector is not null").select("vec_id", F.coalesce(F.col(own), unknown).alias("own"), "vector")
     sample = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("vector").collect()
     by_size: dict[int, list] = {}
     for r in sample:
@@ -224,23 +230,25 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFr
     placed = written(placed.join(kth, "row", "left").withColumn("floor", F.coalesce(reached, lowest)).drop("least", "n"))
     rest = _blocks_to_search(placed, bounds).withColumn("kind", F.lit(1))
     found = found.unionByName(search_blocks(rows.unionByName(rest.select(*rows.columns)), k))
-    best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "unnamed", "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.when(~F.col("unnamed"), F.col("vec_id")).alias("vec_id"), "score")
 
 
 def top_k_report(embeddings: DataFrame) -> DataFrame:
-    vectors = written(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), integer_vector("embedding").alias("vector")).where("vector is not null"))
-    return exact_top_k(vectors.where("vec_id % 50 = 0"), vectors, 5)
+    """query_id, rank, vec_id, score of the rows whose vec_id is divisible by 50, against every row but the query's own."""
+    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), integer_vector("embedding").alias("vector"), F.monotonically_increasing_id().alias("number"))
+    vectors = written(vectors.where("vector is not null"))
+    return exact_top_k(vectors.where("vec_id % 50 = 0"), vectors, 5, own="number")
 
 
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)::BIGINT) AS vector
+  SELECT vec_id, row_number() OVER () AS number, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)::BIGINT) AS vector
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.vector, c.vector), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.vector) = len(q.vector) WHERE q.vec_id % 50 = 0
-), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT q.vec_id AS query_id, q.number, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.vector, c.vector), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON c.number <> q.number AND len(c.vector) = len(q.vector) WHERE q.vec_id % 50 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, number ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """

@@ -372,6 +372,24 @@ def test_topk_of_wide_and_mixed_vectors(spark, monkeypatch, scale):
     assert by_row(got) == brute_top(f, [i for i in f if i % 2 == 0], 4)
 
 
+def test_topk_of_repeated_and_null_ids(spark, monkeypatch):
+    """A query's own row is one row: others that share its id are candidates, and so are rows without an id."""
+    few = spark.createDataFrame([(50, [1.0, 0.0]), (50, [2.0, 0.0]), (1, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    got = by_row(topk.top_k_report(few))
+    want = {(50, 1, 50, 2 * 65536): 2, (50, 2, 1, 32768): 1, (50, 2, 1, 65536): 1}
+    assert got == Counter(want)
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 7)
+    rnd = np.random.default_rng(8)
+    rows = [(None if i % 5 == 0 else int(i % 60), [float(x) for x in rnd.integers(-3, 4, 3)]) for i in range(150)]
+    want = Counter()
+    for i, (q, v) in enumerate(rows):
+        if q is not None and q % 50 == 0:
+            best = sorted((-sum(256 * 256 * int(a) * int(b) for a, b in zip(v, w, strict=True)), c is None, c or 0, c) for j, (c, w) in enumerate(rows) if j != i)[:5]
+            want.update((q, n + 1, c, -s) for n, (s, _, _, c) in enumerate(best))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert by_row(topk.top_k_report(df.repartition(3))) == want
+
+
 def test_topk_skips_blocks_of_far_clusters(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATE_ROWS", 50)
     rnd = np.random.default_rng(9)
@@ -430,12 +448,30 @@ def test_hidden_markov_trains_over_partitions(spark, none):
     for _ in range(2):
         m = hidden_markov.maximise(*plain_forward_backward(seqs, m)[1:], vocab.unigram)
     coded = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(seqs)], "doc_id long, symbols array<int>").repartition(3)
-    got = hidden_markov.train(coded, vocab, k, ((1, 2),))
+    got = hidden_markov.train(coded, vocab, k, shares=0, rounds=2)
     assert np.allclose(got.start, m.start) and np.allclose(got.step, m.step) and np.allclose(got.emit, m.emit)
-    unchanged = hidden_markov.train(coded.limit(0), vocab, k, ((4, 1), (1, 1)))
+    shared = coded.withColumn("share", F.when(F.size("symbols") > 60, 1).otherwise(3))
+    m, kept = hidden_markov.first_model(vocab.unigram, k), None
+    for i in (1, 3):  # shares 0 and 2 hold nothing and change nothing
+        found = plain_forward_backward([x for x in seqs if (len(x) > 60) == (i == 1)], m)[1:]
+        scale = vocab.tokens / found[2].sum()
+        kept = [scale * x for x in found] if kept is None else [(i + 2) ** -0.6 * scale * x + (1 - (i + 2) ** -0.6) * y for x, y in zip(found, kept, strict=True)]
+        m = hidden_markov.maximise(*kept, vocab.unigram)
+    m = hidden_markov.maximise(*plain_forward_backward(seqs, m)[1:], vocab.unigram)
+    got = hidden_markov.train(shared, vocab, k, shares=4, rounds=1)
+    assert np.allclose(got.emit, m.emit) and np.allclose(got.step, m.step) and np.allclose(got.start, m.start)
+    unchanged = hidden_markov.train(shared.limit(0), vocab, k, shares=4, rounds=1)
     assert np.allclose(unchanged.emit, hidden_markov.first_model(vocab.unigram, k).emit)
 
 
+def test_hidden_markov_batches_of_one_token_texts():
+    """A batch is closed by the places of its padded chunks, so texts of one token fill it 64 times as fast."""
+    one = [np.zeros(1, np.int32)] * 20_000
+    sizes = [len(g) for g in hidden_markov._groups(iter(one))]
+    assert sum(sizes) == 20_000 and max(sizes) * hidden_markov.CHUNK <= hidden_markov.BATCH_PLACES + hidden_markov.CHUNK
+    assert [len(g) for g in hidden_markov._groups(iter([np.zeros(1 << 20, np.int32)] * 2))] == [1, 1]
+
+
 def test_hidden_markov_score_is_the_models(spark, monkeypatch):
     """score is the forward probability of a text's symbols times the share of each rare word in its class."""
     kept = {}
