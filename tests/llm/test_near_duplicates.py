@@ -53,7 +53,7 @@ def test_stage_keeps_one_of_each_jaccard_group(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     assert len(set(want.values())) < len(set(texts.values())) - 40
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == want
-    kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
     monkeypatch.setattr(shingle_sets, "CELL_ROWS", 3)
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == want

@@ -29,7 +29,7 @@ def test_stages(spark):
     assert after.count() == before.count() and after.columns == before.columns
     again = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(before, host="source", ratio=0.05, min_line_pages=5, copies_once=True).collect()}
     assert all(again[r["doc_id"]] == r["text"] and len(r["text"]) == r["n_chars"] for r in after.collect())
-    before, after = results["simhash_near_dedup"]
+    before, after = results["near_dedup"]
     classes = simhash.near_duplicates(before).collect()
     assert sorted(r["doc_id"] for r in after.collect()) == sorted({r["component_id"] for r in classes})
     before, after = results["source_mixing"]
@@ -61,7 +61,7 @@ def test_stages_on_odd_rows(spark):
                 assert not found
             if name == "line_dedup":
                 assert len(found) == docs.count() and {r["text"] for r in found} == {r["text"] for r in docs.collect()}
-            if name == "simhash_near_dedup" and found:
+            if name == "near_dedup" and found:
                 assert sorted((r["doc_id"] or 0) for r in found) == [0, 1, 4, 5]
             if name == "sentencepiece_codec":
                 assert Counter(r["decoded"] for r in found) == Counter(r["text"] or "" for r in docs.collect())
