@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +15,11 @@ FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 EIGHT = [*FOUR, (-1, -1), (-1, 1), (1, -1), (1, 1)]
 
 
-#: Side of the squares whose cells are joined in one task, and the cells of a box that a path is searched in at once.
+#: Side of the squares whose cells are joined in one task, the cells of a box that a path is searched in at once, and the
+#: pairs that one task searches.
 TILE = 256
-BOX_CELLS = 1 << 20
+BOX_CELLS = 1 << 24
+PAIRS = 2000
 
 
 def _moves(around):
@@ -104,7 +104,7 @@ def box_path(mask: np.ndarray, start: tuple[int, int], stop: tuple[int, int]) ->
     wide = np.zeros((mask.shape[0] + 2, mask.shape[1] + 2), bool)
     wide[1:-1, 1:-1] = mask
     width = wide.shape[1]
-    steps = np.full(wide.size, -1, np.int64)
+    steps = np.full(wide.size, -1, np.int32)
     free = wide.reshape(-1)
     moves = np.array(sorted(i * width + j for i, j in EIGHT))
     front = np.array([(start[0] + 1) * width + start[1] + 1])
@@ -124,50 +124,67 @@ def box_path(mask: np.ndarray, start: tuple[int, int], stop: tuple[int, int]) ->
     return [(at // width - 1, at % width - 1) for at in reversed(path)]
 
 
+def packed_tiles(cells: DataFrame, side: int) -> DataFrame:
+    """(ty, tx, bits): the cells of each square of the mask as side x side bits, row by row."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        a = np.zeros((side, side), bool)
+        a[table["row"].to_numpy() - key[0].as_py() * side, table["col"].to_numpy() - key[1].as_py() * side] = True
+        return pa.table({"ty": pa.array([key[0].as_py()], pa.int32()), "tx": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([np.packbits(a).tobytes()], pa.binary())})
+
+    tile = lambda v: F.floor(F.col(v) / side).cast("int")
+    placed = cells.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).where("row IS NOT NULL AND col IS NOT NULL")
+    return placed.withColumn("ty", tile("row")).withColumn("tx", tile("col")).groupBy("ty", "tx").applyInArrow(run, "ty int, tx int, bits binary")
+
+
 def shortest_paths(cells: DataFrame, pairs: DataFrame, box_cells: int | None = None) -> DataFrame:
     """(pair_id, step, row, col): a shortest 8-neighbour path for each pair inside the box of its ends; without one, the
     stop cell alone. pairs has pair_id (long, unique), r0, c0, r1, c1. Of paths of one length the one whose cells, from the
     stop back, are least by (row, column) is given. A stop outside the mask is reached by none.
 
-    A pair whose box holds BOX_CELLS cells or fewer is searched in one task; pairs of larger boxes advance together, a
-    step a round over all tasks, until no front is left.
+    The mask is packed into tiles of a bit a cell. Pairs whose boxes begin in one square, as large as they are, and hold
+    BOX_CELLS cells or fewer are searched together: the tiles that any of them touches come to their task once. So no
+    cell is copied for a pair, and a path takes no round, however long. Pairs of larger boxes advance together, a step
+    a round over all tasks, until no front is left.
     """
-    most = BOX_CELLS if box_cells is None else box_cells
-    p = pairs.select(F.col("pair_id").cast("long").alias("pair_id"), "r0", "c0", "r1", "c1", F.least("r0", "r1").alias("a"), F.greatest("r0", "r1").alias("b"), F.least("c0", "c1").alias("c"), F.greatest("c0", "c1").alias("d"))
-    area = (F.col("b") - F.col("a") + 1).cast("long") * (F.col("d") - F.col("c") + 1)
-    mask = cells.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
+    most, side = BOX_CELLS if box_cells is None else box_cells, TILE
+    p = pairs.select(F.col("pair_id").cast("long").alias("pair_id"), *[F.col(c).cast("int").alias(c) for c in ("r0", "c0", "r1", "c1")]).withColumns({"a": F.least("r0", "r1"), "b": F.greatest("r0", "r1"), "c": F.least("c0", "c1"), "d": F.greatest("c0", "c1")})
+    tall, broad = F.col("b") - F.col("a") + 1, F.col("d") - F.col("c") + 1
+    area = tall.cast("long") * broad
     small, large = p.where(area <= most), p.where(area > most)
-    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / TILE), F.floor(F.col(high) / TILE)))
-    spread = small.withColumn("_tr", span("a", "b")).withColumn("_tc", span("c", "d"))
-    placed = mask.withColumn("_tr", F.floor(F.col("row") / TILE)).withColumn("_tc", F.floor(F.col("col") / TILE))
-    inside = spread.join(placed, ["_tr", "_tc"]).where("row BETWEEN a AND b AND col BETWEEN c AND d").select(F.col("pair_id").alias("pair"), "row", "col")
-    # a pair's cells, then its ends; a task takes pair after pair
-    ends = small.select("pair_id", F.lit(1).alias("kind"), *[F.col(c).cast("int").alias(c) for c in ("r0", "c0", "r1", "c1")])
-    rows = inside.select(F.col("pair").alias("pair_id"), F.lit(0).alias("kind"), F.col("row").alias("r0"), F.col("col").alias("c0"), F.lit(0).alias("r1"), F.lit(0).alias("c1")).unionByName(ends)
-    ready = rows.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair_id").sortWithinPartitions("pair_id", "kind")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            rows = np.stack([c.to_numpy().astype(np.int64) for c in b.columns], axis=1)
-            rows = rows if held is None else np.concatenate([held, rows])
-            at, out = 0, []
-            for end in np.nonzero(rows[:, 1] == 1)[0].tolist():
-                pair, _, r0, c0, r1, c1 = rows[end].tolist()
-                a, c = min(r0, r1), min(c0, c1)
-                grid = np.zeros((abs(r0 - r1) + 1, abs(c0 - c1) + 1), bool)
-                grid[rows[at:end, 2] - a, rows[at:end, 3] - c] = True
-                path = np.array(box_path(grid, (r0 - a, c0 - c), (r1 - a, c1 - c)))
-                out.append(np.column_stack([np.full(len(path), pair), np.arange(len(path)), path[:, 0] + a, path[:, 1] + c]))
-                at = end + 1
-            held = rows[at:]
-            if out:
-                found = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), *(pa.array(found[:, i].astype(np.int32)) for i in (1, 2, 3))], names=["pair_id", "step", "row", "col"])
-
-    done = ready.mapInArrow(run, "pair_id long, step int, row int, col int")
+    # squares of the least power of two that the box fits into, no smaller than a tile
+    square = F.greatest(F.lit(float(side)), F.pow(F.lit(2.0), F.length(F.bin((F.greatest(tall, broad) - 1).cast("long"))))).cast("long")
+    small = small.withColumn("size", square).withColumn("gy", F.floor(F.col("a") / F.col("size"))).withColumn("gx", F.floor(F.col("c") / F.col("size")))
+    group = ["size", "gy", "gx", "part"]
+    counts = small.groupBy(*group[:3]).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
+    small = small.join(counts, group[:3]).withColumn("part", F.pmod(F.xxhash64("pair_id"), F.col("parts")).cast("int")).select(*group, "pair_id", "r0", "c0", "r1", "c1", "a", "b", "c", "d")
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / side).cast("int"), F.floor(F.col(high) / side).cast("int")))
+    touched = small.select(*group, "a", "b", "c", "d").withColumn("ty", span("a", "b")).withColumn("tx", span("c", "d")).select(*group, "ty", "tx").distinct()
+    tiles = touched.join(packed_tiles(cells, side), ["ty", "tx"]).select(*group, "ty", "tx", "bits").toDF(*group, "ty", "tx", "bits")
+
+    def run(key: tuple, mine: pa.Table, near: pa.Table) -> pa.Table:
+        bits = {(y, x): b for y, x, b in zip(*(near[c].to_pylist() for c in ("ty", "tx", "bits")), strict=True)}
+        out = []
+        for pair, r0, c0, r1, c1 in zip(*(mine[c].to_pylist() for c in ("pair_id", "r0", "c0", "r1", "c1")), strict=True):
+            a, c = min(r0, r1), min(c0, c1)
+            grid = np.zeros((abs(r0 - r1) + 1, abs(c0 - c1) + 1), bool)
+            for y in range(a // side, (a + grid.shape[0] - 1) // side + 1):
+                for x in range(c // side, (c + grid.shape[1] - 1) // side + 1):
+                    if (y, x) in bits:
+                        tile = np.unpackbits(np.frombuffer(bits[y, x], np.uint8), count=side * side).reshape(side, side).astype(bool)
+                        top, left = y * side - a, x * side - c  # the tile's place in the grid
+                        i, j = max(top, 0), max(left, 0)
+                        part = tile[i - top : grid.shape[0] - top, j - left : grid.shape[1] - left]
+                        grid[i : i + part.shape[0], j : j + part.shape[1]] = part
+            path = np.array(box_path(grid, (r0 - a, c0 - c), (r1 - a, c1 - c)))
+            out.append(np.column_stack([np.full(len(path), pair), np.arange(len(path)), path[:, 0] + a, path[:, 1] + c]))
+        found = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+        return pa.table({"pair_id": found[:, 0], **{n: found[:, i].astype(np.int32) for i, n in enumerate(("step", "row", "col"), 1)}})
+
+    done = small.groupBy(*group).cogroup(tiles.groupBy(*group)).applyInArrow(run, "pair_id long, step int, row int, col int")
     if large.isEmpty():
         return done
+    mask = cells.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
     return done.unionByName(_paths_together(mask, large).select("pair_id", F.col("step").cast("int").alias("step"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")))
 
 

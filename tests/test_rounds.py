@@ -19,5 +19,5 @@ def test_merge_settles_the_whole_chain(spark, monkeypatch):
 def test_paths_reach_a_far_stop(spark, monkeypatch):
     monkeypatch.setattr(G, "range", few, raising=False)
     row = spark.createDataFrame([(0, i) for i in builtins.range(7)], "row int, col int")
-    pairs = spark.createDataFrame([(1, 0, 0, 0, 6)], "pair_id int, r0 int, c0 int, r1 int, c1 int")
-    assert sorted((r["step"], r["col"]) for r in G.shortest_paths(row, pairs).collect()) == [(i, i) for i in builtins.range(7)]
+    pairs = spark.createDataFrame([(1, 0, 0, 0, 6, 0, 0, 0, 6)], "pair_id int, r0 int, c0 int, r1 int, c1 int, a int, b int, c int, d int")
+    assert sorted((r["step"], r["col"]) for r in G._paths_together(row, pairs).collect()) == [(i, i) for i in builtins.range(7)]

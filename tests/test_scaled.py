@@ -64,6 +64,29 @@ def test_paths_in_boxes_and_together(spark, monkeypatch):
         assert len(mine) == (steps[r1, c1] + 1 if (r1, c1) in steps else 1) and mine[-1][1:] == (r1, c1)
 
 
+def test_long_paths_take_few_jobs(spark, monkeypatch):
+    """A path of over 5,000 cells, and pairs that share a square: no rounds, and tiles sent once to each group."""
+    monkeypatch.setattr(G, "PAIRS", 3)
+    wall = [(r, c) for r in range(0, 101) for c in range(100) if r % 2 == 0 or c == (99 if r % 4 == 1 else 0)]
+    df = spark.createDataFrame(wall, "row int, col int")
+    ends = [(1, 0, 0, 100, 99), (2, 0, 0, 4, 99), (3, 2, 5, 0, 90), (4, 0, 0, 99, 99), (5, 7, 0, 7, 0), (6, -3, -2, 1, 99), (7, 300, 0, 700, 9), (8, 1, 99, 0, 0)]
+    pairs = spark.createDataFrame(ends, "pair_id long, r0 int, c0 int, r1 int, c1 int")
+    spark.sparkContext.setJobGroup("paths", "paths")
+    got = {}
+    for r in G.shortest_paths(df, pairs).collect():
+        got.setdefault(r["pair_id"], []).append((r["step"], r["row"], r["col"]))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("paths"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 20 and len(got[1]) > 5000
+    for i, r0, c0, r1, c1 in ends:
+        a, c = min(r0, r1), min(c0, c1)
+        mask = np.zeros((abs(r0 - r1) + 1, abs(c0 - c1) + 1), bool)
+        for x, y in wall:
+            if a <= x < a + mask.shape[0] and c <= y < c + mask.shape[1]:
+                mask[x - a, y - c] = True
+        assert sorted(got[i]) == [(k, x + a, y + c) for k, (x, y) in enumerate(G.box_path(mask, (r0 - a, c0 - c), (r1 - a, c1 - c)))], i
+
+
 def test_nearest_of_far_rows_and_dense_spots(spark, monkeypatch):
     rnd = random.Random(3)
     right = [(i, round(rnd.gauss(x, 0.4), 2), round(rnd.gauss(y, 0.4), 2)) for i, (x, y) in enumerate([(0, 0), (30, 5), (-40, 90), (31, 5)] * 60)]
