@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -296,6 +297,39 @@ def polyline_edges(vertices: DataFrame, line: str = "line", order: str = "ord")
     return vertices.select(line, order, F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1")).where("x1 IS NOT NULL")
 
 
+def on_axis(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each place the index of the nearest value of an axis in any order, the least one of equally near; NaN values
+    are near nothing."""
+    index = np.flatnonzero(~np.isnan(values))
+    order = index[np.lexsort((index, values[index]))]
+    v = values[order]
+    right = np.minimum(np.searchsorted(v, at), len(v) - 1)
+    left = np.searchsorted(v, v[np.maximum(right - 1, 0)])
+    a, b = np.abs(v[left] - at), np.abs(v[right] - at)
+    return np.where((a < b) | ((a == b) & (order[left] < order[right])), order[left], order[right])
+
+
+def nearest_on_axes(vertices: DataFrame, pixels: DataFrame, line: str = "line", order: str = "ord") -> DataFrame:
+    """vertices (x: longitude, y: latitude) as whole columns and rows of a grid that need not be regular: x is the column
+    whose longitude in the first row is nearest, y the row whose latitude in the first column is. The two axes, height and
+    width numbers, are sent to every task."""
+    first = pixels.agg(F.min("row").alias("row"), F.min("col").alias("col")).first()
+    if first["row"] is None:
+        return vertices.select(line, order, F.lit(0).alias("x"), F.lit(0).alias("y")).limit(0)
+    axis = lambda v, by, at: pixels.where(F.col(by) == first[by]).groupBy(at).agg(F.min(v).cast("double").alias(v)).orderBy(at).toArrow()
+    across, down = axis("lon", "row", "col"), axis("lat", "col", "row")
+    lon, lat, cols, rows = across["lon"].to_numpy(), down["lat"].to_numpy(), across["col"].to_numpy(), down["row"].to_numpy()
+    placed = vertices.where("x IS NOT NULL AND y IS NOT NULL").select(line, order, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    schema = placed.select(line, order, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).schema
+
+    def run(batches):
+        for b in batches:
+            x, y = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[on_axis(lon, x)].astype(np.int32)), pa.array(rows[on_axis(lat, y)].astype(np.int32))], names=schema.names)
+
+    return placed.mapInArrow(run, schema)
+
+
 def rasterize_line(edges: DataFrame, line: str = "line") -> DataFrame:
     """Cells of each edge between integer places: one a step along the longer axis, the other coordinate rounded as
     Bresenham's error term does."""
@@ -330,24 +364,78 @@ def resample_path(points: DataFrame, n: int = 100, line: str = "line", order: st
     return e.select(line, "k", (F.col("x") + (F.col("_x") - F.col("x")) * f).alias("x"), (F.col("y") + (F.col("_y") - F.col("y")) * f).alias("y"))
 
 
+class Remaining:
+    """Places of a path that are still free, in a quadtree of their boxes and counts: the nearest one is found best box
+    first, and taking a place empties the boxes above it."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y = x.tolist(), y.tolist()
+        depth = max(0, int(np.ceil(np.log2(max(len(x), 1)) / 2)) - 1)
+        side = 1 << depth
+        scaled = lambda v: np.minimum((v - v.min()) / (v.max() - v.min()) * side, side - 1).astype(np.int64) if v.max() > v.min() else np.zeros(len(v), np.int64)
+        self.cell = (scaled(y) * side + scaled(x)).tolist()
+        order = np.argsort(self.cell, kind="stable")
+        at, first = np.unique(np.array(self.cell)[order], return_index=True)
+        self.members = {c: m.tolist() for c, m in zip(at.tolist(), np.split(order, first[1:]), strict=True)}
+        box = {c: (min(x[m]), max(x[m]), min(y[m]), max(y[m])) for c, m in self.members.items()}
+        self.levels = [(side, {c: [len(m), *map(float, box[c])] for c, m in self.members.items()})]
+        while side > 1:
+            below, side = self.levels[-1][1], side // 2
+            above: dict[int, list] = {}
+            for c, (n, x0, x1, y0, y1) in below.items():
+                up = c // (2 * side) // 2 * side + c % (2 * side) // 2
+                u = above.get(up)
+                above[up] = [n, x0, x1, y0, y1] if u is None else [u[0] + n, min(u[1], x0), max(u[2], x1), min(u[3], y0), max(u[4], y1)]
+            self.levels.append((side, above))
+
+    def take(self, k: int) -> None:
+        c = self.cell[k]
+        self.members[c].remove(k)
+        for side, boxes in self.levels:
+            boxes[c][0] -= 1
+            c = c // side // 2 * (side // 2) + c % side // 2
+
+    def nearest(self, k: int) -> int:
+        """The free place nearest to place k, the first of equally near ones."""
+        px, py = self.x[k], self.y[k]
+        top = len(self.levels) - 1
+        heap, best = [(0.0, top, c) for c in self.levels[top][1]], (float("inf"), -1)
+        while heap:
+            bound, level, c = heappop(heap)
+            if bound > best[0]:
+                break
+            if not level:
+                for m in self.members[c]:
+                    dx, dy = self.x[m] - px, self.y[m] - py
+                    best = min(best, (dx * dx + dy * dy, m))
+                continue
+            side, boxes = self.levels[level - 1]
+            y, x = c // (side // 2) * 2, c % (side // 2) * 2
+            for child in (y * side + x, y * side + x + 1, (y + 1) * side + x, (y + 1) * side + x + 1):
+                b = boxes.get(child)
+                if b is not None and b[0]:
+                    dx, dy = max(b[1] - px, px - b[2], 0.0), max(b[3] - py, py - b[4], 0.0)
+                    if dx * dx + dy * dy <= best[0]:
+                        heappush(heap, (dx * dx + dy * dy, level - 1, child))
+        return best[1]
+
+
 def greedy_path_order(points: DataFrame, line: str = "line", start: str = "westmost") -> DataFrame:
     """Each path's points by nearest neighbour from the first one, the westmost (least x) or the northmost (least y, as y
     grows to the south): columns of points and ``ord``. Of equally near points the one of least idx is next.
-    A path's points meet in one task; memory is bounded by a road segment's survey points."""
+    A path's points meet in one task, as each step depends on those before it; a step looks into a few boxes of those
+    left. Memory is bounded by a road segment's survey points."""
     schema = points.select(line, "idx", "x", "y").withColumn("ord", F.lit(0)).schema
 
     def run(p):
         p = p.sort_values("idx")
-        xy = p[["x", "y"]].to_numpy(float)
-        at = {"first": 0, "westmost": int(xy[:, 0].argmin()), "northmost": int(xy[:, 1].argmin())}[start]
-        left = np.ones(len(p), bool)
-        order = np.zeros(len(p), int)
-        for k in range(len(p)):
-            order[k], left[at] = at, False
-            if k + 1 < len(p):
-                d = ((xy - xy[at]) ** 2).sum(axis=1)
-                d[~left] = np.inf
-                at = int(d.argmin())
+        x, y = p["x"].to_numpy(float), p["y"].to_numpy(float)
+        at = {"first": 0, "westmost": int(x.argmin()), "northmost": int(y.argmin())}[start]
+        free, order = Remaining(x, y), []
+        for _ in range(len(p)):
+            order.append(at)
+            free.take(at)
+            at = free.nearest(at)
         out = p.iloc[order].copy()
         out["ord"] = range(len(p))
         return out[[line, "idx", "x", "y", "ord"]]

@@ -10,6 +10,7 @@ from terracol.operators import aggregates as A
 from terracol.operators import distance as E
 from terracol.operators import graph as G
 from terracol.operators import joins as J
+from terracol.operators import packed as K
 from terracol.operators import raster as R
 from terracol.plans import pipeline as P
 from terracol.plans import tables as T
@@ -71,7 +72,7 @@ def s3_scan_seg_lut(s, d):
 @query("SELECT row - 3 AS row, col - 10 AS col FROM road WHERE row >= 3 AND row < 90 AND col >= 10 AND col < 70", "road")
 def s4_scan_mask_cropped(s, d):
     path = shared_path(s, "mask")
-    S.write_mask(T.road(s, d), path, ROI)
+    S.write_mask(T.road(s, d), path, ROI, zone_bits=5)
     return S.scan_mask_cropped(s, path, (3, 90, 10, 70))
 
 
@@ -79,7 +80,7 @@ def s4_scan_mask_cropped(s, d):
 def s5_write_mask(s, d):
     path = shared_path(s, "mask")
     S.write_mask(T.road(s, d), path, ROI)
-    return s.read.parquet(path)
+    return S.scan_mask(s, path)
 
 
 @query("SELECT row, col, false AS within FROM road", "road")
@@ -116,11 +117,20 @@ def s10_read_regions(s, d):
     return S.read_regions(s, path)
 
 
+def _pixel_table(s, d):
+    path = shared_path(s, "pixels")
+    S.write_pixel_table(T.grid(s, d).withColumn("data_source", F.when(F.col("value") > 100000, 3).otherwise(2)), path, zone_bits=5)
+    return path
+
+
 @query("SELECT row, col, lon, lat, value, 3 AS data_source FROM grid WHERE value > 100000", "grid")
 def s11_scan_pixel_table(s, d):
-    path = shared_path(s, "pixels")
-    T.grid(s, d).withColumn("data_source", F.when(F.col("value") > 100000, 3).otherwise(2)).write.partitionBy("data_source").parquet(path)
-    return S.scan_pixel_table(s, path, 3)
+    return S.scan_pixel_table(s, _pixel_table(s, d), 3)
+
+
+@query("SELECT row, col, lon, lat, value, 2 AS data_source FROM grid WHERE value <= 100000 AND row >= 5 AND row < 61 AND col >= 30 AND col < 40", "grid")
+def s11_scan_pixel_region(s, d):
+    return S.scan_pixel_table(s, _pixel_table(s, d), 2, (5, 61, 30, 40))
 
 
 # --- columns ---------------------------------------------------------------------------------------------------
@@ -363,6 +373,15 @@ def w9_rasterize_line(s, d):
     return R.rasterize_line(R.polyline_edges(T.verts(s, d))).select("row", "col").distinct()
 
 
+ON_AXES = "snapped AS (SELECT line, ord, (SELECT arg_min(col, (abs(lon - x), col)) FROM grid WHERE row = 0) AS x, (SELECT arg_min(row, (abs(lat - y), row)) FROM grid WHERE col = 0) AS y FROM road_verts), snapped_edges AS (SELECT line, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM snapped WINDOW w AS (PARTITION BY line ORDER BY ord))"
+
+
+@query(f"SELECT * FROM (WITH {ON_AXES}, {LINE_SQL.replace('FROM edges', 'FROM snapped_edges')} SELECT row, col FROM cells)", "road_verts", "grid")
+def w9_rasterize_coordinates(s, d):
+    v = R.nearest_on_axes(T.road_vertices(s, d), T.grid(s, d))
+    return R.rasterize_line(R.polyline_edges(v)).select("row", "col").distinct()
+
+
 @query(f"SELECT * FROM (WITH {LINE_SQL}, hits AS (SELECT c.row, c.col, v.ord, (c.row - v.y) * (c.row - v.y) + (c.col - v.x) * (c.col - v.x) AS d2 FROM cells c, verts v) SELECT row, col, CASE WHEN sqrt(min(d2)) <= 3.5::DOUBLE THEN arg_min(ord % 101, (d2, ord)) END AS value FROM hits GROUP BY ALL)", "verts", "edges")
 def j8_line_pixel_values(s, d):
     cells = R.rasterize_line(R.polyline_edges(T.verts(s, d))).select("row", "col").distinct().select("row", "col", F.col("col").cast("double").alias("lx"), F.col("row").cast("double").alias("ly"))
@@ -688,6 +707,16 @@ def w14_tile_patches(s, d):
     return _patches(s, d).select("patch_id", "r", "c", "value")
 
 
+@query(f"SELECT * FROM (WITH {COUNTS}, {PATCHES} SELECT patch_id::INT AS patch_id, (row - top)::INT AS r, (col - lft)::INT AS c, value AS image, half, value > 90000 AS label FROM origins JOIN (SELECT *, value / 2 AS half FROM grid) ON row BETWEEN top AND top + 15 AND col BETWEEN lft AND lft + 15)", "size", "grid")
+def w14_packed_patches(s, d):
+    """Aligned stacks written as one row a patch, read back and unpacked."""
+    path = shared_path(s, "packed")
+    pixels = T.grid(s, d).withColumn("label", (F.col("value") > 90000).cast("double")).withColumn("half", F.col("value") / 2)
+    K.pack_patches(pixels, ["value", "half", "label"], T.height(s, d), T.WIDTH, 16, 0.2).write.parquet(path)
+    cells = K.unpack_patches(s.read.parquet(path), ["value", "half", "label"], 16)
+    return cells.select("patch_id", "r", "c", F.col("value").alias("image"), "half", (F.col("label") > 0).alias("label"))
+
+
 @query(f"SELECT * FROM (WITH {COUNTS}, {PATCHES} SELECT patch_id::INT AS patch_id, count(*) AS n FROM origins JOIN grid ON row BETWEEN top AND top + 15 AND col BETWEEN lft AND lft + 15 GROUP BY patch_id HAVING sum(CASE WHEN value > 90000 AND (row + col) % 16 = 3 THEN value - 90000 ELSE 0 END) > 0)", "size", "grid")
 def w15_drop_empty_patches(s, d):
     p = _patches(s, d)
@@ -738,6 +767,12 @@ def w21_augment_patches(s, d):
     return R.augment_patches(_patches(s, d).select("patch_id", "r", "c", "value"), 16)
 
 
+@query(ORACLES["w21_augment_patches"])
+def w21_augment_packed(s, d):
+    packed = K.pack_patches(T.grid(s, d), ["value"], T.height(s, d), T.WIDTH, 16, 0.2)
+    return K.unpack_patches(K.augment_packed(packed, ["value"], 16), ["value"], 16).select("patch_id", "op", "r", "c", "value")
+
+
 SUB = "('0x' || substr(md5(patch_id::VARCHAR || ':' || part::VARCHAR || ':42'), {at}, 8))::BIGINT % 7"
 
 

@@ -19,6 +19,7 @@ SQL = {
     "verts": "SELECT c_nationkey AS line, c_custkey AS ord, (c_custkey % 100)::INT AS x, ((c_custkey * 7) % 90)::INT AS y FROM customer",
     "edges": "SELECT line, ord, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM (SELECT c_nationkey AS line, c_custkey AS ord, (c_custkey % 100)::INT AS x, ((c_custkey * 7) % 90)::INT AS y FROM customer) WINDOW w AS (PARTITION BY line ORDER BY ord)",
     "roads": "SELECT line, ord, x0, y0, x1, y1 FROM (SELECT line, ord, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM (SELECT c_nationkey AS line, c_custkey AS ord, -83.28::DOUBLE + (c_custkey % 100) * 0.0004::DOUBLE + 0.00013::DOUBLE AS x, 42.23::DOUBLE + ((c_custkey * 7) % 90) * 0.0004::DOUBLE + 0.00017::DOUBLE AS y FROM customer) WINDOW w AS (PARTITION BY line ORDER BY ord)) WHERE x1 IS NOT NULL",
+    "road_verts": "SELECT c_nationkey AS line, c_custkey AS ord, -83.28::DOUBLE + (c_custkey % 100) * 0.0004::DOUBLE + 0.00013::DOUBLE AS x, 42.23::DOUBLE + ((c_custkey * 7) % 90) * 0.0004::DOUBLE + 0.00017::DOUBLE AS y FROM customer",
     "line_points": "SELECT c_nationkey AS line, c_custkey AS ord, (c_custkey % 100)::INT AS x, ((c_custkey * 7) % 90)::INT AS y FROM customer",
     "scores": "SELECT l_suppkey % 5 AS dataset_id, (l_quantity::INT % 5)::DOUBLE AS y_true, (l_linenumber % 5)::DOUBLE AS y_pred FROM lineitem",
     "size": "SELECT max(o_orderkey // 100)::INT + 1 AS h, 100 AS w FROM orders",

@@ -58,15 +58,66 @@ def scan_seg_lut(spark: SparkSession, path: str, whole: bool = True) -> DataFram
     return parse_lut(spark.read.text(path, wholetext=whole))
 
 
+#: Stored cells are sorted by tiles of 2^TILE_BITS cells a side along a Z-order curve; zones of 2^ZONE_BITS have a folder
+#: each. A region is read from the folders and row groups that it meets.
+TILE_BITS, ZONE_BITS = 8, 12
+#: Zones that a filter names one by one.
+NAMED_ZONES = 4096
+
+
+def z_code(row: Column, col: Column, bits: int) -> Column:
+    """The place along a Z-order curve of the square of 2^bits cells a side that a cell lies in."""
+
+    def spread(v: Column) -> Column:
+        v = F.shiftright(v.cast("long"), bits)
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return F.shiftleft(spread(row), 1).bitwiseOR(spread(col))
+
+
+def write_tiled(df: DataFrame, path: str, *by: str, zone_bits: int = ZONE_BITS) -> None:
+    """Rows (row, col, ...) in Z-order below path, with a folder for each value of the columns ``by`` and each zone. The
+    zones' size is part of the folders' name, so readers need not be told."""
+    zone = f"zone_{zone_bits}"
+    keys = [*by, zone, "tile"]
+    placed = df.withColumn("tile", z_code(F.col("row"), F.col("col"), TILE_BITS)).withColumn(zone, z_code(F.col("row"), F.col("col"), zone_bits))
+    placed.repartitionByRange(*keys).sortWithinPartitions(*keys, "row", "col").write.mode("overwrite").partitionBy(*by, zone).parquet(path)
+
+
+def scan_tiled(spark: SparkSession, path: str, rect: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """What write_tiled wrote; with a region (y0, y1, x0, x1; half open) only its rows. The region becomes a filter on
+    the zones' folders and one on row and column, which skips row groups of other tiles."""
+    df = spark.read.parquet(path)
+    zone = next(c for c in df.columns if c.startswith("zone_"))
+    bits = int(zone.split("_")[1])
+    if rect is not None:
+        y0, y1, x0, x1 = (max(0, v) for v in rect)
+        ys, xs = range(y0 >> bits, ((y1 - 1) >> bits) + 1), range(x0 >> bits, ((x1 - 1) >> bits) + 1)
+        code = lambda y, x: sum(((y >> i & 1) << 2 * i + 1) | ((x >> i & 1) << 2 * i) for i in range(32))
+        if not len(ys) or not len(xs):
+            df = df.where(F.lit(False))
+        elif len(ys) * len(xs) <= NAMED_ZONES:
+            df = df.where(F.col(zone).isin([code(y, x) for y in ys for x in xs]))
+        else:  # a square's codes lie between those of its first and last corner
+            df = df.where(F.col(zone).between(code(ys[0], xs[0]), code(ys[-1], xs[-1])))
+        df = df.where((F.col("row") >= rect[0]) & (F.col("row") < rect[1]) & (F.col("col") >= rect[2]) & (F.col("col") < rect[3]))
+    return df.drop(zone, "tile")
+
+
 def scan_mask_cropped(spark: SparkSession, path: str, rect: tuple[int, int, int, int]) -> DataFrame:
-    """True cells of (y0, y1, x0, x1), half open and moved to the origin; the filter reaches the Parquet scan."""
-    y0, y1, x0, x1 = rect
-    m = spark.read.parquet(path).where((F.col("row") >= y0) & (F.col("row") < y1) & (F.col("col") >= x0) & (F.col("col") < x1))
-    return m.select((F.col("row") - y0).alias("row"), (F.col("col") - x0).alias("col"))
+    """True cells of (y0, y1, x0, x1), half open and moved to the origin; only the zones it meets are read."""
+    return scan_tiled(spark, path, rect).select((F.col("row") - rect[0]).alias("row"), (F.col("col") - rect[2]).alias("col"))
+
 
+def scan_mask(spark: SparkSession, path: str) -> DataFrame:
+    return scan_tiled(spark, path).select("row", "col")
 
-def write_mask(cells: DataFrame, path: str, roi: tuple, description: str = "road mask", author: str = "", version: float = 1.0) -> None:
-    cells.select("row", "col").distinct().write.mode("overwrite").parquet(path)
+
+def write_mask(cells: DataFrame, path: str, roi: tuple, description: str = "road mask", author: str = "", version: float = 1.0, zone_bits: int = ZONE_BITS) -> None:
+    """The cells in Z-order, and a sidecar beside them."""
+    write_tiled(cells.select("row", "col").distinct(), path, zone_bits=zone_bits)
     side = json.dumps({"description": description, "author": author, "version": version, "roi": list(roi)})
     cells.sparkSession.createDataFrame([(side,)], "value string").coalesce(1).write.mode("overwrite").text(path.rstrip("/") + "_meta")
 
@@ -81,10 +132,10 @@ def _read_or_none(spark: SparkSession, path: str, how: str) -> DataFrame | None:
 def mask_cache_or_build(spark: SparkSession, path: str, roi: tuple, build) -> tuple[DataFrame, bool]:
     """(cells, whether roi lies in the stored mask's): the stored mask if it and its sidecar exist, else the built one."""
     side = _read_or_none(spark, path.rstrip("/") + "_meta", "text")
-    held = _read_or_none(spark, path, "parquet") if side is not None else None
+    held = scan_mask(spark, path) if side is not None and _read_or_none(spark, path, "parquet") is not None else None
     if held is None:
         write_mask(build(), path, roi)
-        return spark.read.parquet(path), True
+        return scan_mask(spark, path), True
     have = json.loads(side.first()["value"])["roi"]
     return held, have[0] <= roi[0] and roi[1] <= have[1] and have[2] <= roi[2] and roi[3] <= have[3]
 
@@ -111,8 +162,14 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame | None:
     return _read_or_none(spark, path, "parquet")
 
 
-def scan_pixel_table(spark: SparkSession, path: str, source: int | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+def write_pixel_table(pixels: DataFrame, path: str, zone_bits: int = ZONE_BITS) -> None:
+    """Pixels (data_source, row, col, ...) in Z-order, by data source and zone."""
+    write_tiled(pixels, path, "data_source", zone_bits=zone_bits)
+
+
+def scan_pixel_table(spark: SparkSession, path: str, source: int | None = None, rect: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Pixels of one data source, or of all; of the region (y0, y1, x0, x1) only, if one is given."""
+    df = scan_tiled(spark, path, rect)
     return df if source is None else df.where(F.col("data_source") == source)
 
 
