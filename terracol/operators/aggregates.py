@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, floor, isinf
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -305,20 +308,51 @@ def data_quality(pixels: DataFrame) -> DataFrame:
     return shape.crossJoin(values)
 
 
-def false_color_pca(pixels: DataFrame) -> DataFrame:
-    """Three principal components, each between 0 and 1, as (pc2, pc1, pc3); a component's sign is that of its largest loading."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    v = pixels.withColumn("_v", array_to_vector(F.transform("bands", lambda x: F.coalesce(no_nan(x), F.lit(0.0)))))
-    model = PCA(k=3, inputCol="_v", outputCol="_p").fit(v)
-    load = model.pc.toArray()
-    signs = [1.0 if load[abs(load[:, k]).argmax(), k] >= 0 else -1.0 for k in range(3)]
-    p = model.transform(v).withColumn("_p", vector_to_array("_p"))
-    p = p.select(*pixels.columns, *[(F.get("_p", F.lit(k)) * signs[k]).alias(f"_pc{k}") for k in range(3)])
-    for k in range(3):
-        p = normalize_minmax(p, f"_pc{k}")
-    return p.withColumn("rgb", F.struct(F.col("_pc1").alias("r"), F.col("_pc0").alias("g"), F.col("_pc2").alias("b"))).drop("_pc0", "_pc1", "_pc2")
+def band_covariance(pixels: DataFrame) -> DataFrame:
+    """(i, j, n, mean_i, mean_j, cov): the sample covariance of each pair of bands over all pixels, null and NaN as 0; all
+    pixels have as many bands. One pass: a task adds up its pixels' products, less the first pixel's values, which keeps
+    sums short, and sends a row a pair."""
+    clean = pixels.select(F.transform("bands", lambda x: F.coalesce(no_nan(x.cast("double")), F.lit(0.0))).alias("bands"))
+    first = clean.first()
+    if first is None:
+        return pixels.sparkSession.createDataFrame([], "i int, j int, n long, mean_i double, mean_j double, cov double")
+    shift = np.array(first["bands"], dtype=float)
+    size = len(shift)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, cross = 0, np.zeros(size), np.zeros((size, size))
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, size) - shift
+                n, total, cross = n + len(x), total + x.sum(axis=0), cross + x.T @ x
+        i, j = np.divmod(np.arange(size * size if n else 0), size)
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (i.astype(np.int32), j.astype(np.int32), np.full(len(i), n), total[i], total[j], cross.reshape(-1)[: len(i)])], names=["i", "j", "n", "a", "b", "c"])
+
+    names = ("n", "a", "b", "c")
+    sums = clean.mapInArrow(run, "i int, j int, n long, a double, b double, c double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+    at = lambda k: F.get(F.array(*[F.lit(float(v)) for v in shift]), F.col(k))
+    cov = (F.col("c") - F.col("a") * F.col("b") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
+    return sums.select("i", "j", "n", (at("i") + F.col("a") / F.col("n")).alias("mean_i"), (at("j") + F.col("b") / F.col("n")).alias("mean_j"), cov.alias("cov"))
+
+
+def false_color_pca(pixels: DataFrame, components: int = 3) -> DataFrame:
+    """Three principal components, each between 0 and 1, as (pc2, pc1, pc3); a component's sign is that of its largest
+    loading. One pass for the bands' covariance, a row a pair of bands of which reaches the driver, and one for all
+    three ranges."""
+    table = band_covariance(pixels).select("i", "j", "cov").toArrow().to_pandas()
+    if not len(table):
+        return pixels.withColumn("rgb", F.struct(*[F.lit(0.0).alias(c) for c in "rgb"]))
+    size = int(table["i"].max()) + 1
+    cov = np.zeros((size, size))
+    cov[table["i"], table["j"]] = table["cov"].fillna(0.0)
+    load = np.linalg.eigh(cov)[1][:, ::-1][:, :components]
+    load = load * np.where(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])] < 0, -1.0, 1.0)
+    dot = lambda k: F.aggregate(F.zip_with("bands", F.array(*[F.lit(float(v)) for v in load[:, k]]), lambda x, w: F.coalesce(no_nan(x.cast("double")), F.lit(0.0)) * w), F.lit(0.0), lambda a, x: a + x)
+    p = pixels.select(*pixels.columns, *[dot(k).alias(f"_pc{k}") for k in range(load.shape[1])])
+    ends = p.agg(*[f(f"_pc{k}").alias(f"_{n}{k}") for k in range(load.shape[1]) for n, f in (("low", F.min), ("high", F.max))])
+    scaled = lambda k: (F.col(f"_pc{k}") - F.col(f"_low{k}")) / F.nullif(F.col(f"_high{k}") - F.col(f"_low{k}"), F.lit(0.0)) if k < load.shape[1] else F.lit(None).cast("double")
+    rgb = F.struct(scaled(1).alias("r"), scaled(0).alias("g"), scaled(2).alias("b"))
+    return p.crossJoin(F.broadcast(ends)).select(*pixels.columns, rgb.alias("rgb"))
 
 
 def stack_bands(rasters: DataFrame) -> DataFrame:

@@ -791,6 +791,11 @@ def m1_false_color_pca(s, d):
     return A.false_color_pca(T.bandpix(s, d)).select("row", "col", "rgb")
 
 
+@query("SELECT a.band AS i, b.band AS j, count(*) AS n, round(avg(a.value), 9) AS mean_i, round(avg(b.value), 9) AS mean_j, round(covar_samp(a.value, b.value), 9) AS cov FROM bandlong a JOIN bandlong b ON a.row = b.row AND a.col = b.col GROUP BY ALL", "bandlong")
+def m1_band_covariance(s, d):
+    return rounded(A.band_covariance(T.bandpix(s, d)), "mean_i", "mean_j", "cov", digits=9)
+
+
 # --- graphs ----------------------------------------------------------------------------------------------------
 REACH = "SELECT row, col, dense_rank() OVER (ORDER BY v) AS component FROM (WITH RECURSIVE c AS (SELECT row, col, row * 100 + col AS k FROM {t}), e AS (SELECT a.k AS a, b.k AS b FROM c a JOIN c b ON {near} AND a.k <> b.k), low(k, v) USING KEY (k) AS (SELECT k, k AS v FROM c UNION SELECT * FROM (SELECT e.b AS k, min(l.v) AS v FROM low l JOIN e ON l.k = e.a JOIN recurring.low r ON r.k = e.b WHERE l.v < r.v GROUP BY e.b)) SELECT row, col, v FROM low JOIN c USING (k))"
 EIGHT, FOUR = "abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1", "abs(a.row - b.row) + abs(a.col - b.col) = 1"
