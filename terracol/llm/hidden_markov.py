@@ -23,9 +23,9 @@ STATES = 4
 #: Most words that are symbols of their own (the rest share CLASSES symbols): bounds the model and what a task sends.
 SYMBOLS = 1 << 18
 CLASSES = 256
-#: Baum-Welch passes over all training documents: the first in so many shares, with a new model after each, then whole
+#: Baum-Welch passes over all training documents: the first in so many shares, with a new model after each, then in whole
 #: rounds. The same at every size.
-SHARES, ROUNDS = 16, 2
+SHARES, ROUNDS = 16, 1
 #: Share of the unigram distribution in each state's emissions.
 PRIOR = 0.15
 CHUNK = 64
@@ -316,7 +316,9 @@ def corpus_counts(symbols: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray,
         ids = np.concatenate([at, size + np.arange(states + 1)])
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array(rows[:, j]) for j in range(states))], names=["symbol", *names])
 
-    found = symbols.mapInArrow(run, "symbol int, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow().to_pandas()
+    # a task for each core: more would each send the same frequent symbols again
+    few = symbols.coalesce(symbols.sparkSession.sparkContext.defaultParallelism)
+    found = few.mapInArrow(run, "symbol int, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow().to_pandas()
     counts = np.zeros((size + states + 1, states))
     counts[found["symbol"].to_numpy()] = found[names].to_numpy()
     return counts[-1], counts[size : size + states], counts[:size]
