@@ -412,3 +412,25 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", words: int = 5, p
 
 def jaccard_report(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM worded
+), sizes AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM grams GROUP BY doc_id
+), shared AS (
+  SELECT * FROM grams SEMI JOIN (SELECT g FROM grams GROUP BY g HAVING count(*) > 1) s ON s.g = grams.g
+), linked AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shared x JOIN shared y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * common >= 80 * (p.n + q.n - common)
+), beside AS (
+  SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked
+), low(k, v) USING KEY (k) AS (
+  SELECT doc_id AS k, doc_id AS v FROM documents
+  UNION SELECT * FROM (SELECT e.b AS k, min(l.v) AS v FROM low l JOIN beside e ON l.k = e.a JOIN recurring.low r ON r.k = e.b WHERE l.v < r.v GROUP BY e.b)
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.v AS component_id FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN low l ON l.k = d.doc_id
+"""

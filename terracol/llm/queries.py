@@ -69,4 +69,4 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece_codec, op3_line_dedup, op4_document_fingerprints, op5_simhash_near_dedup, op6_source_mixing, op7_exact_topk_search, op8_token_counts, op9_lm_scoring, op10_substring_dedup, op11_fill_in_middle, op12_fragment_join, op13_spelling_variants)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES = {"op3_line_dedup": line_dedup.LINE_SQL, "op6_source_mixing": mixing.MIX_SQL, "op7_exact_topk_search": topk.TOP_K_SQL, "op10_substring_dedup": substring_dedup.REPEAT_SQL, "op11_fill_in_middle": fill_in_middle.MIDDLE_SQL}
+ORACLES = {"op3_line_dedup": line_dedup.LINE_SQL, "op6_source_mixing": mixing.MIX_SQL, "op7_exact_topk_search": topk.TOP_K_SQL, "op10_substring_dedup": substring_dedup.REPEAT_SQL, "op11_fill_in_middle": fill_in_middle.MIDDLE_SQL, "op12_fragment_join": fragment_join.JACCARD_SQL, "op13_spelling_variants": spelling.VARIANT_SQL}

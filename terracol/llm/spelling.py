@@ -281,3 +281,32 @@ def spelling_variants(docs: DataFrame, *, text: str = "text", min_chars: int = 6
 
 def variant_report(docs: DataFrame) -> DataFrame:
     return spelling_variants(docs, spoil=199)
+
+
+# crc32 by its polynomial, bit by bit into a table of a byte's values, then byte by byte
+VARIANT_SQL = r"""
+WITH RECURSIVE bits(b, c, k) AS (
+  SELECT range::BIGINT, range::BIGINT, 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(hex(encode(s))) // 2 + 1), lambda i: ('0x' || hex(encode(s))[2 * i - 1:2 * i])::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM runs), crc
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, n FROM hashed) GROUP BY word HAVING len(word) >= 6 AND sum(n) >= 5
+), cuts AS (
+  SELECT word, n, i, word[1:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(len(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT w.word, w.n, c.word, c.n FROM words w JOIN cuts c ON c.rest = w.word
+  UNION SELECT c.word, c.n, w.word, w.n FROM words w JOIN cuts c ON c.rest = w.word
+), best AS (
+  SELECT word, count(*)::BIGINT AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN other END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word
+), walk(word, stop) AS (
+  SELECT word, word FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.stop WHERE f.form IS NOT NULL
+), roots AS (SELECT w.word, w.stop AS root FROM walk w JOIN formed f ON f.word = w.stop WHERE f.form IS NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN roots r ON r.word = f.word
+"""
