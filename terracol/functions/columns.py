@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,9 +105,10 @@ WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
 GRS80_F = 1 / 298.257222101
 
 
-def mercator_to_tm_sql(e: str, n: str, *, lon0: str, lat0: float = 0.0, k0: float, fe: float, fn: float, f: float = WGS84_F, a: float = WGS84_A) -> tuple[str, str]:
-    """SQL expressions of (lat, lon) in degrees for a transverse Mercator place, by the series in the third flattening, to its fourth power."""
-    from math import atanh, radians, sin, sqrt
+def _tm_series(f: float, a: float, lat0: float) -> tuple[float, tuple, tuple, tuple, float]:
+    """The rectifying radius, the coefficients of the transverse Mercator series in the third flattening, to its fourth
+    power (forwards, backwards, and from the conformal latitude), and the rectified origin."""
+    from math import atan, atanh, radians, sin, sinh, sqrt
 
     n3 = f / (2 - f)
     big = a / (1 + n3) * (1 + n3**2 / 4 + n3**4 / 64)
@@ -114,15 +116,31 @@ def mercator_to_tm_sql(e: str, n: str, *, lon0: str, lat0: float = 0.0, k0: floa
     beta = (n3 / 2 - 2 * n2 / 3 + 37 * n3**3 / 96 - n4 / 360, n2 / 48 + n3**3 / 15 - 437 * n4 / 1440, 17 * n3**3 / 480 - 37 * n4 / 840, 4397 * n4 / 161280)
     alpha = (n3 / 2 - 2 * n2 / 3 + 5 * n3**3 / 16 + 41 * n4 / 180, 13 * n2 / 48 - 3 * n3**3 / 5 + 557 * n4 / 1440, 61 * n3**3 / 240 - 103 * n4 / 140, 49561 * n4 / 161280)
     delta = (2 * n3 - 2 * n2 / 3 - 2 * n3**3 + 116 * n4 / 45, 7 * n2 / 3 - 8 * n3**3 / 5 - 227 * n4 / 45, 56 * n3**3 / 15 - 136 * n4 / 35, 4279 * n4 / 630)
+    s, ecc, xi0 = sin(radians(lat0)), 2 * sqrt(n3) / (1 + n3), 0.0
     if lat0:
-        s = sin(radians(lat0))
-        ecc = 2 * sqrt(n3) / (1 + n3)
-        from math import atan, sinh
-
         xi0 = atan(sinh(atanh(s) - ecc * atanh(ecc * s)))
         xi0 += sum(al * sin(2 * (j + 1) * xi0) for j, al in enumerate(alpha))
-    else:
-        xi0 = 0.0
+    return big, alpha, beta, delta, xi0
+
+
+def transverse_mercator(lat: Column, lon: Column, *, lon0: float, lat0: float = 0.0, k0: float, fe: float, fn: float, f: float = WGS84_F, a: float = WGS84_A) -> tuple[Column, Column]:
+    """(easting, northing) of a place in degrees."""
+    big, alpha, _, _, xi0 = _tm_series(f, a, lat0)
+    ecc = F.lit((f * (2 - f)) ** 0.5)
+    s, off = F.sin(F.radians(lat)), F.radians(lon - F.lit(float(lon0)))
+    t = F.sinh(F.atanh(s) - ecc * F.atanh(ecc * s))
+    xi, eta = F.atan2(t, F.cos(off)), F.atanh(F.sin(off) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for j, c in enumerate(alpha):
+        m = F.lit(2.0 * (j + 1))
+        x = x + F.lit(c) * F.cos(m * xi) * F.sinh(m * eta)
+        y = y + F.lit(c) * F.sin(m * xi) * F.cosh(m * eta)
+    return F.lit(float(fe)) + F.lit(k0 * big) * x, F.lit(float(fn)) + F.lit(k0 * big) * (y - F.lit(xi0))
+
+
+def mercator_to_tm_sql(e: str, n: str, *, lon0: str, lat0: float = 0.0, k0: float, fe: float, fn: float, f: float = WGS84_F, a: float = WGS84_A) -> tuple[str, str]:
+    """SQL expressions of (lat, lon) in degrees for a transverse Mercator place."""
+    big, _, beta, delta, xi0 = _tm_series(f, a, lat0)
     d = lambda v: f"CAST({v!r} AS DOUBLE)"
     xi = f"(({n} - {d(fn)}) / {d(k0 * big)} + {d(xi0)})"
     eta = f"(({e} - {d(fe)}) / {d(k0 * big)})"
@@ -176,6 +194,24 @@ def itm_to_wgs84(df: DataFrame, x: str, y: str, lat: str = "lat", lon: str = "lo
     return d.withColumns({lat: F.degrees(phi), lon: F.degrees(F.atan2(gy, gx))}).select(*[c for c in df.columns if c not in (lat, lon)], lat, lon)
 
 
+def wgs84_to_itm(df: DataFrame, lon: str, lat: str, out: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """df with the Israeli transverse Mercator place of WGS84 degrees under the names ``out``: the way back of
+    itm_to_wgs84, from height 0 there. Null coordinates give null."""
+    a, w2, e2 = WGS84_A, WGS84_F * (2 - WGS84_F), GRS80_F * (2 - GRS80_F)
+    p, q = F.radians(F.col(lat)), F.radians(F.col(lon))
+    n = F.lit(a) / F.sqrt(1 - F.lit(w2) * F.sin(p) * F.sin(p))
+    moved = [(v - F.lit(t)) / F.lit(1 + ITM_SCALE * 1e-6) for v, t in zip((n * F.cos(p) * F.cos(q), n * F.cos(p) * F.sin(q), n * (1 - w2) * F.sin(p)), ITM_SHIFT, strict=True)]
+    rx, ry, rz = (v * 3.141592653589793 / 648000 for v in ITM_TURN)
+    back = np.linalg.inv(np.array([[1, -rz, ry], [rz, 1, -rx], [-ry, rx, 1]]))
+    x, y, z = (sum((F.lit(float(w)) * v for w, v in zip(row, moved, strict=True)), F.lit(0.0)) for row in back)
+    b = a * (1 - GRS80_F)
+    flat = F.sqrt(x * x + y * y)
+    t = F.atan2(z * a, flat * b)
+    phi = F.atan2(z + e2 / (1 - e2) * b * F.pow(F.sin(t), F.lit(3.0)), flat - e2 * a * F.pow(F.cos(t), F.lit(3.0)))
+    places = transverse_mercator(F.degrees(phi), F.degrees(F.atan2(y, x)), lon0=ITM_LON0, lat0=ITM_LAT0, k0=ITM_K0, fe=ITM_FE, fn=ITM_FN, f=GRS80_F)
+    return df.select(*[c for c in df.columns if c not in out], places[0].alias(out[0]), places[1].alias(out[1]))
+
+
 def _utm(code: str) -> tuple[int, bool] | None:
     """(zone, north) of EPSG:326zz and EPSG:327zz."""
     if code.startswith(("EPSG:326", "EPSG:327")) and code[8:].isdigit() and 1 <= int(code[8:]) <= 60:
@@ -186,14 +222,14 @@ def _utm(code: str) -> tuple[int, bool] | None:
 def transform_crs(df: DataFrame, x: str, y: str, source: str, target: str, out: tuple[str, str] = ("x", "y")) -> DataFrame:
     """df with the place (x, y) in another system, under the names ``out``; of EPSG:4326 x is the longitude.
 
-    Known are EPSG:4326 to and from EPSG:3857, and EPSG:326zz, EPSG:327zz (UTM) and EPSG:2039 (ITM) to EPSG:4326 and
-    EPSG:3857. Other pairs are refused. Null coordinates give null.
+    Known are EPSG:4326, EPSG:3857, EPSG:326zz and EPSG:327zz (UTM) and EPSG:2039 (ITM), each to each, by way of
+    EPSG:4326. Others are refused. Null coordinates give null.
     """
     rest = [c for c in df.columns if c not in out]
     u, v = F.col(x), F.col(y)
     if source == target:
         return df.select(*rest, u.alias(out[0]), v.alias(out[1]))
-    if target == "EPSG:3857" and source != "EPSG:4326":
+    if "EPSG:4326" not in (source, target):
         geo = transform_crs(df, x, y, source, "EPSG:4326", out)
         return transform_crs(geo, *out, "EPSG:4326", target, out)
     radius = F.lit(WGS84_A)
@@ -205,6 +241,11 @@ def transform_crs(df: DataFrame, x: str, y: str, source: str, target: str, out:
         zone, north = _utm(source)
         lat, lon = utm_to_wgs84_sql(f"`{x}`", f"`{y}`", str(zone), north)
         places = F.expr(lon), F.expr(lat)
+    elif source == "EPSG:4326" and _utm(target):
+        zone, north = _utm(target)
+        places = transverse_mercator(v, u, lon0=zone * 6 - 183, k0=0.9996, fe=500000.0, fn=0.0 if north else 10000000.0)
+    elif (source, target) == ("EPSG:4326", "EPSG:2039"):
+        return wgs84_to_itm(df, x, y, out).select(*rest, *out)
     elif (source, target) == ("EPSG:2039", "EPSG:4326"):
         moved = itm_to_wgs84(df, x, y, "_lat", "_lon")
         return moved.select(*rest, F.col("_lon").alias(out[0]), F.col("_lat").alias(out[1]))

@@ -303,6 +303,18 @@ def p25_transform_crs(s, d):
     return rounded(both[0].select("row", "col", "x", "y", "source").unionByName(both[1]), "x", "y", digits=1)
 
 
+# powers of the distance from the central meridian, and the meridian's arc by the third flattening
+TO_UTM17 = """(WITH k0 AS (SELECT row, col, radians(lat) AS p, radians(lon + 81) AS q, 6378137.0::DOUBLE AS a, 1 / 298.257223563::DOUBLE * (2 - 1 / 298.257223563::DOUBLE) AS e2 FROM grid),
+ k1 AS (SELECT *, tan(p)**2 AS t, e2 / (1 - e2) AS s, e2 / (1 - e2) * cos(p)**2 AS c, a / sqrt(1 - e2 * sin(p)**2) AS n, q * cos(p) AS u, (1 - sqrt(1 - e2)) / (1 + sqrt(1 - e2)) AS e1 FROM k0)
+ SELECT row, col, 500000 + 0.9996::DOUBLE * n * (u + (1 - t + c) * u**3 / 6 + (5 - 18 * t + t**2 + 72 * c - 58 * s) * u**5 / 120 + (61 - 479 * t + 179 * t**2 - t**3) * u**7 / 5040) AS x,
+ 0.9996::DOUBLE * (a / (1 + e1) * ((1 + e1**2 / 4 + e1**4 / 64) * p - 3 * (e1 - e1**3 / 8) / 2 * sin(2 * p) + 15 * (e1**2 - e1**4 / 4) / 16 * sin(4 * p) - 35 * e1**3 / 48 * sin(6 * p) + 315 * e1**4 / 512 * sin(8 * p)) + n * tan(p) * (u**2 / 2 + (5 - t + 9 * c + 4 * c**2) * u**4 / 24 + (61 - 58 * t + t**2 + 600 * c - 330 * s) * u**6 / 720 + (1385 - 3111 * t + 543 * t**2 - t**3) * u**8 / 40320)) AS y FROM k1)"""
+
+
+@query(f"SELECT row, col, round(x, 1) AS x, round(y, 1) AS y FROM {TO_UTM17}", "grid")
+def p25_transform_to_utm(s, d):
+    return rounded(C.transform_crs(T.grid(s, d).select("row", "col", "lon", "lat"), "lon", "lat", "EPSG:4326", "EPSG:32617").select("row", "col", "x", "y"), "x", "y", digits=1)
+
+
 # --- joins -----------------------------------------------------------------------------------------------------
 @query("SELECT c.c_custkey AS vertex, n.n_regionkey + 1 AS pci FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey")
 def j1_roads_condition_join(s, d):
@@ -992,12 +1004,23 @@ def c5_pavement_pipeline(s, d):
 
 @query()
 def c5_pavement_segments(s, d):
-    """The flow along segments, with percentile scaling and enhancement, written and read back (no SQL: see the tests)."""
+    """The flow along segments, with percentile scaling and enhancement: its five outputs written and read back (no SQL: see
+    the tests)."""
     scene, path = _segment_scene(s, d), shared_path(s, "prepared")
     bands = F.array("value", F.col("value") / 2, F.col("value") / 3)
     scene = P.Scene(scene.pixels.select("row", "col", "lon", "lat", bands.alias("bands")), scene.roads, scene.points, scene.height, scene.width)
     P.pavement_pipeline(scene, ROI, crop=16, overlap=0.2, segments=True, p95=True, path=path, source=2, grow=3, gray_threshold=0.4, white=2.0, grad_threshold=1.5, shift=5)
-    return s.read.parquet(f"{path}/label_patches").select("patch_id", "r", "c", "label")
+    names = ("region_frames", "region_labels", "road_patches", "label_patches", "labeled_patches")
+    parts = []
+    for name in names:
+        t = s.read.parquet(f"{path}/{name}")
+        key = F.col("region" if "region" in t.columns else "patch_id").cast("string").alias("key")
+        values = F.col("bands") if "bands" in t.columns else F.array(F.col("label").cast("double"))
+        parts.append(t.select(F.lit(name).alias("output"), key, "r", "c", F.transform(values, lambda x: F.round(x, 6)).alias("numbers")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 # --- checks ----------------------------------------------------------------------------------------------------

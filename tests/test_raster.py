@@ -121,6 +121,13 @@ def test_coordinates_come_back(spark):
     itm = spark.createDataFrame([(*p, *map(float, to_itm(*p)), 1, "z") for p in places], "lat0 double, lon0 double, e double, n double, _p int, lat string")
     for r in C.itm_to_wgs84(itm.drop("lat"), "e", "n").collect():  # heights of some 20 m are taken as 0: below 1e-6 degrees
         assert (r["lat"], r["lon"]) == pytest.approx((r["lat0"], r["lon0"]), abs=1e-6) and r["_p"] == 1
+    for r in C.transform_crs(utm, "lon0", "lat0", "EPSG:4326", "EPSG:32617", ("x", "y")).collect():
+        assert (r["x"], r["y"]) == pytest.approx((r["e"], r["n"]), abs=2e-3)
+    for r in C.transform_crs(itm, "lon0", "lat0", "EPSG:4326", "EPSG:2039").collect():
+        assert (r["x"], r["y"]) == pytest.approx((r["e"], r["n"]), abs=0.02)
+    there = C.transform_crs(itm.select("e", "n"), "e", "n", "EPSG:2039", "EPSG:32636", ("u", "v"))
+    for r in C.transform_crs(there, "u", "v", "EPSG:32636", "EPSG:2039").collect():
+        assert (r["x"], r["y"]) == pytest.approx((r["e"], r["n"]), abs=0.02)
     web = C.transform_crs(itm, "e", "n", "EPSG:2039", "EPSG:3857").collect()
     back = C.transform_crs(spark.createDataFrame([(r["x"], r["y"], r["lat0"]) for r in web], "x double, y double, lat0 double"), "x", "y", "EPSG:3857", "EPSG:4326")
     assert all(r["y"] == pytest.approx(r["lat0"], abs=1e-6) for r in back.collect())
