@@ -72,6 +72,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of an Arrow batch, unless one row alone has more.
+ARROW_BYTES = 1 << 24
+
+
+def bounded_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
+    """Let Arrow batches of this session hold ``most`` bytes at most, where it allows more: rows that carry whole sets
+    differ in size, and a batch is counted in rows otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().removesuffix("b")
+    if not now.isdigit() or int(now) <= 0 or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Cut incoming batches so that only a few thousand texts are Python objects at a time."""
     for batch in batches:

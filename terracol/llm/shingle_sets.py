@@ -14,12 +14,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, shuffle_partitions, slices, utf8
+from .common import batch, bounded_batches, shuffle_partitions, slices, utf8
 
 SEED = 42
 BANDS, ROWS = 24, 5
 #: Rows of a cell that one task compares with each other; larger cells are dealt out as pairs of such parts.
 CELL_ROWS = 512
+#: Hashes of a cell's sets that one task compares with each other; heavier cells are dealt out alike.
+CELL_HASHES = 1 << 19
 _rng = np.random.default_rng(SEED)
 _FLIP = _rng.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64)
 _TIMES = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,14 +69,14 @@ def with_cells(docs: DataFrame, *, text: str, words: int) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, *, text: str, words: int) -> DataFrame:
-    """``node`` (the hash of the shingle set) and ``hashes`` (the sorted set) of every document."""
+    """``node`` (the hash of the shingle set), ``n`` (its size) and ``hashes`` (the sorted set) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
             sets = [np.unique(shingle_hashes(t, words)) for t in part.column(0).to_pylist()]
-            yield batch(node=pa.array([set_id(x) for x in sets], pa.int64()), hashes=pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())))
+            yield batch(node=pa.array([set_id(x) for x in sets], pa.int64()), n=pa.array([len(x) for x in sets], pa.int64()), hashes=pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())))
 
-    return docs.select(utf8(text).alias("b")).mapInArrow(run, "node long, hashes array<long>")
+    return docs.select(utf8(text).alias("b")).mapInArrow(run, "node long, n long, hashes array<long>")
 
 
 def verified_pairs(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
@@ -117,13 +119,17 @@ def _links(nodes: np.ndarray, group: np.ndarray, sets: list[np.ndarray], jaccard
 def links_between(rows: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
     """Edges (a, b) that join the components of a cell's nodes; rows has cell, node, component and the cell's ``rows``.
 
-    Cells of more than CELL_ROWS rows are dealt into parts and every pair of parts is compared in a task of its own.
+    Cells of more than CELL_ROWS rows, or CELL_HASHES hashes, are dealt into parts and every pair of parts is compared
+    in a task of its own.
     """
     spark = rows.sparkSession
+    bounded_batches(spark)
+    weight = rows.join(sets.select("node", "n"), "node").groupBy("cell").agg(F.sum("n").alias("weight"))
+    parts = F.greatest(F.ceil(F.col("rows") / CELL_ROWS), F.ceil(F.col("weight") / CELL_HASHES)).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = rows.withColumn("parts", F.ceil(F.col("rows") / CELL_ROWS).cast("int")).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = rows.join(weight, "cell").withColumn("parts", parts).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("node", "component", F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
-    ready = dealt.join(sets, "node").select("cell", "node", "component", "hashes").repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "node")
+    ready = dealt.join(sets.select("node", "hashes"), "node").select("cell", "node", "component", "hashes").repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "node")
 
     def emit(held: list) -> pa.RecordBatch:
         found = _links(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [s for x in held for s in x[2]], jaccard)

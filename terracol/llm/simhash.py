@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, discard, shuffle_partitions, slices, unused, utf8, written
+from .common import batch, bounded_batches, discard, shuffle_partitions, slices, unused, utf8, written
 from .shingle_sets import links_between, shingle_hashes, verified_pairs, with_cells, with_sets
 
 BITS = 4
@@ -213,6 +213,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", words: int = 5, jacc
     of these links leave apart in a cell is compared pair by pair. Equal sets are one node, however many documents
     share it. Null and blank texts are one group. Nulls, repeated rows and other columns as in simhash_duplicates.
     """
+    bounded_batches(docs.sparkSession)
     found = written(with_cells(docs, text=text, words=words))
     nodes = written(_first_rows(found.groupBy(F.col("fp").alias("node"), "cells")))
     cells = nodes.select("node", F.explode("cells").alias("cell"))
