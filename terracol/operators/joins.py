@@ -32,15 +32,17 @@ def squared(a: str, b: str, c: str, d: str) -> Column:
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, *, lx: str = "lx", ly: str = "ly", rx: str = "rx", ry: str = "ry", inclusive: bool = False) -> DataFrame:
-    """Pairs of rows closer than ``radius`` (their squared distance is ``d2``). Column names must not clash."""
-    pairs = _around(left, lx, ly, radius).join(_keyed(right, rx, ry, radius), ["_bx", "_by"]).drop("_bx", "_by").withColumn("d2", squared(lx, ly, rx, ry))
+    """Pairs of rows closer than ``radius`` (their squared distance is ``d2``). Column names must not clash. Both sides are
+    sorted by bucket: the planner's size of exploded rows is that of the file they come from, so it would broadcast them."""
+    pairs = _around(left, lx, ly, radius).hint("merge").join(_keyed(right, rx, ry, radius), ["_bx", "_by"]).drop("_bx", "_by").withColumn("d2", squared(lx, ly, rx, ry))
     r2 = F.sqrt("d2")
     return pairs.where(r2 <= radius if inclusive else r2 < radius)
 
 
 def near_any(left: DataFrame, right: DataFrame, radius: float, *, lx: str = "lx", ly: str = "ly", rx: str = "rx", ry: str = "ry", inclusive: bool = False) -> DataFrame:
-    """Rows of left with a row of right closer than ``radius``: a semi-join, so right's rows aren't multiplied."""
-    a, b = _around(left, lx, ly, radius), _keyed(right.select(rx, ry), rx, ry, radius)
+    """Rows of left with a row of right closer than ``radius``: a semi-join, so left's rows aren't multiplied. Each place of
+    right counts once and is sent to the 9 buckets around it; rows of left have one bucket, and both are sorted by it."""
+    a, b = _keyed(left, lx, ly, radius), _around(right.select(rx, ry).distinct(), rx, ry, radius).hint("merge")
     d = F.sqrt(squared(lx, ly, rx, ry))
     hit = d <= radius if inclusive else d < radius
     return a.join(b, (a["_bx"] == b["_bx"]) & (a["_by"] == b["_by"]) & hit, "left_semi").select(*left.columns).distinct()
@@ -215,14 +217,15 @@ def road_pixels(pixels: DataFrame, edges: DataFrame, height: int, width: int, st
 
     The last row and column are never tested. A pixel has one bucket of the grid's own step; an edge is sent to the
     buckets of the boxes it can meet, column by column along it, so its copies follow its length and not its extent.
-    Edges with a null end meet nothing.
+    Edges with a null end meet nothing, equal edges are sent once. Both sides are sorted by bucket: an edge's copies are
+    many times the file it comes from, by which the planner would broadcast them.
     """
     sx, sy = steps or grid_steps(pixels)
     inner = pixels.where((F.col("row") < height - 1) & (F.col("col") < width - 1)).select("row", "col", "lon", "lat")
     if not (sx > 0 and sy > 0):
         return inner.select("row", "col").where(F.lit(False))
     slack = 1e-6
-    e = edges.select(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).where("x0 + y0 + x1 + y1 IS NOT NULL")
+    e = edges.select(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).where("x0 + y0 + x1 + y1 IS NOT NULL").distinct()
     low, high = F.least("x0", "x1"), F.greatest("x0", "x1")
     cell = lambda v, step, off: F.floor(v / F.lit(step) + F.lit(off)).cast("long")
     e = e.withColumn("_bx", F.explode(F.sequence(cell(low, sx, -1 - slack), cell(high, sx, slack))))
@@ -235,7 +238,7 @@ def road_pixels(pixels: DataFrame, edges: DataFrame, height: int, width: int, st
     e = e.withColumn("_by", F.explode(F.sequence(cell(F.least(left, right), sy, -1 - slack), cell(F.greatest(left, right), sy, slack))))
     p = inner.withColumn("_px", cell(F.col("lon"), sx, 0)).withColumn("_py", cell(F.col("lat"), sy, 0))
     meets = edge_meets_box(F.col("lon"), F.col("lat"), F.lit(sx), F.lit(sy))
-    return p.join(e, (F.col("_px") == F.col("_bx")) & (F.col("_py") == F.col("_by")) & meets, "left_semi").select("row", "col")
+    return p.join(e.hint("merge"), (F.col("_px") == F.col("_bx")) & (F.col("_py") == F.col("_by")) & meets, "left_semi").select("row", "col")
 
 
 def roads_in_bbox(edges: DataFrame, roi: tuple, line: str = "line") -> DataFrame:
