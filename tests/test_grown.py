@@ -1,6 +1,7 @@
 """Steps that failed, or grew faster than their input, on larger copies of the tables."""
 
 from terracol.operators import joins as J
+from terracol.operators import raster as R
 
 
 def at(df):
@@ -15,3 +16,9 @@ def test_edges_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in once._jdf.queryExecution().toString()
     many = J.road_pixels(pixels, edges.crossJoin(spark.range(50)), 20, 20, (0.5, 0.5))
     assert at(many) == at(once) and many.count() == once.count() > 15
+
+
+def test_circle_far_from_the_origin(spark):
+    cells = spark.createDataFrame([(90_000, 3), (90_001, 3), (1, 2_000_000_000), (0, -2_000_000_000)], "row int, col int")
+    assert at(R.circle_mask(cells, 90_000, 3, 0.5)) == {(90_000, 3)}
+    assert at(R.circle_mask(cells, 10, 50, 9.5)) == set()
