@@ -19,6 +19,8 @@ from terracol.functions.session import materialised
 
 #: Rows of right that make a part, and the least rows of left that a task answers.
 PART_ROWS, ASKED_ROWS = 200_000, 20_000
+#: Rows of left a place, on average, from which places are asked once and joined back; places that are sent to every task.
+REPEATED, BROADCAST_PLACES = 2, 100_000
 #: Bits of a place along each axis of the curve, and distances that are held at a time.
 CURVE_BITS, HELD = 20, 1 << 20
 
@@ -108,17 +110,32 @@ def box_distance(x, y, x0, x1, y0, y1) -> np.ndarray:
 def nearest(left: DataFrame, right: DataFrame, key: str, order: list[str], *, lx: str = "lx", ly: str = "ly", rx: str = "rx", ry: str = "ry") -> DataFrame:
     """For each row of left (identified by ``key``) the nearest row of right, ties to the least of ``order`` (columns of
     numbers): left's columns, right's columns and ``d2``. Column names must not clash. Rows without a place take no part;
-    an empty side gives an empty result. What reaches the driver is the box of each part, as many as there are shuffle
-    partitions at most."""
-    spark = left.sparkSession
+    an empty side gives an empty result. Where rows share places, a place is asked once, and gives its
+    least row only. What reaches the driver
+    is the box of each part, as many as there are shuffle partitions at most."""
     if not all(isinstance(right.schema[c].dataType, NumericType) for c in order):
         raise TypeError("order must be columns of numbers")
     placed = lambda df, x, y: df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
     left, right = placed(left, lx, ly), placed(right, rx, ry)
+    rows = left.agg(F.count("*").alias("rows"), F.approx_count_distinct(F.xxhash64(lx, ly)).alias("places")).first()
+    if rows["rows"] < REPEATED * rows["places"]:
+        return _nearest(left, right, [key], order, lx, ly, rx, ry)
+    found = materialised(_nearest(left.select(lx, ly).distinct(), right, [lx, ly], order, lx, ly, rx, ry))
+    few = found.count() <= BROADCAST_PLACES
+    return left.join(F.broadcast(found) if few else found, [lx, ly]).select(*left.columns, *right.columns, "d2")
+
+
+def _nearest(left: DataFrame, right: DataFrame, key: list[str], order: list[str], lx: str, ly: str, rx: str, ry: str) -> DataFrame:
+    """nearest of rows that all have a place; ``key``: the columns that identify left's rows."""
+    spark = left.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    extent = right.agg(F.min(rx), F.max(rx), F.min(ry), F.max(ry), F.count("*")).first()
+    extent = right.agg(F.min(rx), F.max(rx), F.min(ry), F.max(ry), F.count("*"), F.approx_count_distinct(F.xxhash64(rx, ry))).first()
     if not extent[4]:
         return left.join(right, F.lit(False)).withColumn("d2", F.lit(0.0))
+    if extent[4] >= REPEATED * extent[5]:
+        least = F.min_by(F.struct(*right.columns), F.struct(*order))
+        right = materialised(right.groupBy(rx, ry).agg(least.alias("_b")).select("_b.*"))
+        extent = (*extent[:4], right.count())
     n = min(parts, -(-extent[4] // PART_ROWS))
     if n == 1:
         dealt = right.withColumn("_part", F.lit(0))
@@ -148,9 +165,9 @@ def nearest(left: DataFrame, right: DataFrame, key: str, order: list[str], *, lx
     more = _with_parts(first.select(*left.columns, "d2", F.col("_part").alias("_home")), lx, ly, others, "d2", "_home").drop("d2", "_home")
     second = materialised(_answer(materialised(more), dealt, rows, order, lx, ly, rx, ry).drop("_part"))
     first = first.drop("_part")
-    again = second.select(key).distinct()
+    again = second.select(*key).distinct()
     both = first.join(again, key, "left_semi").unionByName(second)
-    best = both.groupBy(key).agg(F.min_by(F.struct(*both.columns), F.struct("d2", *order)).alias("_b")).select("_b.*")
+    best = both.groupBy(*key).agg(F.min_by(F.struct(*both.columns), F.struct("d2", *order)).alias("_b")).select("_b.*")
     return first.join(again, key, "left_anti").unionByName(best)
 
 

@@ -1,6 +1,10 @@
 """Steps that failed, or grew faster than their input, on larger copies of the tables."""
 
+from pyspark.sql import functions as F
+
+from terracol.operators import graph as G
 from terracol.operators import joins as J
+from terracol.operators import nearest as N
 from terracol.operators import raster as R
 
 
@@ -22,3 +26,68 @@ def test_circle_far_from_the_origin(spark):
     cells = spark.createDataFrame([(90_000, 3), (90_001, 3), (1, 2_000_000_000), (0, -2_000_000_000)], "row int, col int")
     assert at(R.circle_mask(cells, 90_000, 3, 0.5)) == {(90_000, 3)}
     assert at(R.circle_mask(cells, 10, 50, 9.5)) == set()
+
+
+def test_places_are_asked_once(spark, monkeypatch):
+    """3,000 rows on 30 places ask for 30 answers among 20 places, each with the row that asking them all gives."""
+    left = spark.range(3000).selectExpr("id AS idx", "(id * 7) % 30 * 0.5D AS lx", "(id * 7) % 30 % 4 * 1.0D AS ly")
+    right = spark.range(2000).selectExpr("1999 - id AS k", "id % 20 * 0.75D AS rx", "id % 20 % 3 * 1.0D AS ry")
+    seen, answer = [], N._answer
+
+    def watched(asked, dealt, *more):
+        seen.append((asked.count(), dealt.count()))
+        return answer(asked, dealt, *more)
+
+    monkeypatch.setattr(N, "_answer", watched)
+    got = J.nearest(left, right, "idx", ["k"])
+    assert got.columns == ["idx", "lx", "ly", "k", "rx", "ry", "d2"] and seen == [(30, 20)]
+    places = [r.asDict() for r in right.groupBy("rx", "ry").agg(F.min("k").alias("k")).collect()]
+    want = {(x, y): min(((x - p["rx"]) ** 2 + (y - p["ry"]) ** 2, p["k"]) for p in places) for x, y in left.select("lx", "ly").distinct().collect()}
+    rows = got.collect()
+    assert len(rows) == 3000 and all((r["d2"], r["k"]) == want[r["lx"], r["ly"]] for r in rows)
+
+
+def test_first_points_of_places_lead(spark, monkeypatch):
+    points = spark.range(4000).selectExpr("id AS idx", "(id * 13) % 40 * 0.3D AS x", "0.0D AS y")
+    seen, settle = [], J._settle
+    monkeypatch.setattr(J, "_settle", lambda open_, *more: seen.append(open_.count()) or settle(open_, *more))
+    got = {r["idx"] for r in J.leading_points(points, 0.7).collect()}
+    want = {}
+    for idx, x in ((i, i * 13 % 40 * 0.3) for i in range(4000)):
+        if all(abs(x - u) >= 0.7 for u in want.values()):
+            want[idx] = x
+    assert got == set(want) and max(seen) <= 40
+
+
+def test_near_places_are_not_broadcast(spark):
+    left = spark.range(300).selectExpr("id", "id * 0.1D AS lx", "0.0D AS ly")
+    right = spark.range(1000).selectExpr("id % 3 * 9.0D AS rx", "0.0D AS ry")
+    near = J.near_any(left, right, 0.35)
+    assert "BroadcastHashJoin" not in near._jdf.queryExecution().toString()
+    assert {r["id"] for r in near.collect()} == {i for i in range(300) if any(abs(i * 0.1 - u) < 0.35 for u in (0.0, 9.0, 18.0))}
+
+
+def test_routes_are_walked_once(spark):
+    """Pairs of equal ends: the last one's segment is on the path, as if all were walked."""
+    cells = spark.range(100).selectExpr("int(id / 10) AS row", "int(id % 10) AS col")
+    pairs = spark.range(60).selectExpr("id AS pair_id", "id * 7 % 5 AS seg_id", "id * 1.0D AS pci", "int(id % 4) AS r0", "0 AS c0", "int(id % 3) + 6 AS r1", "9 AS c1")
+    last = G.last_of_routes(pairs)
+    assert last.count() == 12
+    every, few = (G.segment_burn(G.shortest_paths(cells, p), pairs) for p in (pairs, last))
+    assert all(sorted(a.collect()) == sorted(b.collect()) for a, b in zip(every, few, strict=True))
+
+
+def test_line_values_by_place(spark, tmp_path):
+    """Many vertices of one place count once: a cell takes the first of the nearest."""
+    from terracol.plans import queries as Q
+
+    rows = [(k, k % 3) for k in [*range(40), *range(900, 940), *range(1800, 1840)]]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    found = Q.j8_line_pixel_values(spark, str(tmp_path))
+    place = lambda k: ((k * 7) % 90, k % 100)
+    got = {(r["row"], r["col"]): r["value"] for r in found.collect()}
+    for (row, col), value in got.items():
+        d2, k = min(((row - place(k)[0]) ** 2 + (col - place(k)[1]) ** 2, k) for k, _ in rows)
+        assert value == (k % 101 if d2 <= 3.5**2 else None)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(got) > 300 and "min_by(value" in plan
