@@ -63,7 +63,7 @@ def pci_segments(scene: Scene) -> tuple[DataFrame, DataFrame]:
     """Segment ids burnt along shortest road paths between consecutive points (of crossing pairs the later wins), and
     the segments' values (seg_id, pci)."""
     pairs = materialised(segment_pairs(scene))
-    return G.segment_burn(G.shortest_paths(scene.roads, pairs), pairs)
+    return G.segment_burn(G.shortest_paths(scene.roads, G.last_of_routes(pairs)), pairs)
 
 
 def enhance(labels: DataFrame, rgb: DataFrame, height: int, width: int, *, grow: int = 10, gray_threshold: float | None = None, white: float = 0.92, grad_threshold: float | None = None, shift: int = 20, compat: bool = True) -> tuple[DataFrame, DataFrame | None]:
