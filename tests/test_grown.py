@@ -91,3 +91,13 @@ def test_line_values_by_place(spark, tmp_path):
         assert value == (k % 101 if d2 <= 3.5**2 else None)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert len(got) > 300 and "min_by(value" in plan
+
+
+def test_a_long_row_of_squares_is_joined_in_few_rounds(spark, monkeypatch):
+    """60 squares in a row, in the order of their first cells, hang together."""
+    monkeypatch.setattr(G, "TILE", 4)
+    rounds, keep = [], G.materialised
+    monkeypatch.setattr(G, "materialised", lambda df: rounds.append(1) or keep(df))
+    cells = spark.range(240).selectExpr("int(id) AS row", "0 AS col", "1.0D AS label").unionByName(spark.range(3).selectExpr("int(id) * 2 + 10 AS row", "2 AS col", "1.0D AS label"))
+    got = G.connected_components(cells, True, by="label").groupBy("component").count().collect()
+    assert sorted(r["count"] for r in got) == [1, 1, 1, 240] and len(rounds) <= 3 + 4 * 8
