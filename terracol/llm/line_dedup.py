@@ -77,8 +77,10 @@ def page_host(url: Column) -> Column:
 
 
 def line_report(pages: DataFrame) -> DataFrame:
-    """page_id, host, n_lines, n_dropped and the MD5 of the kept text of every page."""
-    lines = pages.select("page_id", page_host(F.col("url")).alias("host"), page_lines(F.col("html")).alias("text")).withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
+    """page_id, host, n_lines, n_dropped and the MD5 of the kept text of every page. The pages' lines are written once, as
+    both passes read them."""
+    text = written(pages.select("page_id", page_host(F.col("url")).alias("host"), page_lines(F.col("html")).alias("text")))
+    lines = text.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
     return drop_boilerplate(lines, dropped="n_dropped").select("page_id", "host", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 

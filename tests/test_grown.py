@@ -101,3 +101,13 @@ def test_a_long_row_of_squares_is_joined_in_few_rounds(spark, monkeypatch):
     cells = spark.range(240).selectExpr("int(id) AS row", "0 AS col", "1.0D AS label").unionByName(spark.range(3).selectExpr("int(id) * 2 + 10 AS row", "2 AS col", "1.0D AS label"))
     got = G.connected_components(cells, True, by="label").groupBy("component").count().collect()
     assert sorted(r["count"] for r in got) == [1, 1, 1, 240] and len(rounds) <= 3 + 4 * 8
+
+
+def test_page_lines_are_found_once(spark):
+    """Both passes of op3 read the written lines: no pattern is left in the last one's plan."""
+    from terracol.llm import line_dedup
+
+    pages = spark.createDataFrame([(i, f"http://h{i % 2}/x", f"<p>same</p><script>no</script><p>own {i}</p>") for i in range(8)], "page_id long, url string, html string")
+    out = line_dedup.line_report(pages)
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [tuple(r)[:4] for r in out.orderBy("page_id").collect()] == [(i, f"h{i % 2}", 4, 1) for i in range(8)]
