@@ -123,7 +123,7 @@ def prepare_patches(pixels: DataFrame, segments: DataFrame, lut: DataFrame | Non
         labels = J.lookup_labels(ids, lut.select(F.col("seg_id").cast("double").alias("seg_id"), "pci"), fill).select("row", "col", "label", (F.col("label") > 0).alias("road"))
     joined = pixels.join(labels, ["row", "col"], "left").withColumn("label", F.coalesce("label", F.lit(fill))).withColumn("road", F.coalesce("road", F.lit(fill > 0)))
     on = joined.withColumn("bands", F.transform("bands", lambda x: F.when(F.col("road"), F.coalesce(no_nan(x), F.lit(0.0))).otherwise(0.0))).drop("road").withColumn("labeled_bands", F.col("bands"))
-    patches = R.tile_patches(on, height, width, crop, overlap)
+    patches = R.tile_patches(materialised(on), height, width, crop, overlap)  # they are cut twice: once for what has a label
     kept = R.drop_empty_patches(patches, patches.withColumn("value", F.col("label")))
     return {"regions": regions, "region_pixels": members, "region_frames": frames, "region_labels": frame_labels, "patches": kept.select("patch_id", "r", "c", "bands", "labeled_bands", "label")}
 
@@ -143,7 +143,7 @@ def pavement_pipeline(scene: Scene, roi: tuple, *, crop: int, overlap: float, se
     if r["y0"] is None:
         raise ValueError("the region of interest holds no pixel")
     pixels = R.crop_to(scene.pixels, rect)
-    pixels = A.normalize_bands_max(A.normalize_p95(pixels) if p95 else pixels)
+    pixels = materialised(A.normalize_bands_max(A.normalize_p95(pixels) if p95 else pixels))  # each step below reads them
     part = Scene(pixels, materialised(R.crop_to(scene.roads, rect)), scene.points, r["y1"] - r["y0"], r["x1"] - r["x0"])
     if segments:
         cells, lut = pci_segments(part)

@@ -111,3 +111,17 @@ def test_page_lines_are_found_once(spark):
     out = line_dedup.line_report(pages)
     assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
     assert [tuple(r)[:4] for r in out.orderBy("page_id").collect()] == [(i, f"h{i % 2}", 4, 1) for i in range(8)]
+
+
+def test_the_flow_scales_its_pixels_once(spark):
+    """Every step of the flow reads the written layers: no later plan crops and scales the image again."""
+    from terracol.plans import pipeline as P
+
+    pixels = spark.range(1600).selectExpr("int(id / 40) AS row", "int(id % 40) AS col", "id % 40 * 0.001D AS lon", "int(id / 40) * 0.001D AS lat", "array(id + 1D) AS bands")
+    points = spark.range(30).selectExpr("id AS idx", "id * 0.0011D AS lon", "id * 0.0009D AS lat", "id % 5 + 1D AS pci", "1 AS seg_id")
+    scene = P.Scene(pixels, pixels.select("row", "col"), points, 40, 40)
+    out = P.pavement_pipeline(scene, (-1.0, 1.0, -1.0, 1.0), crop=8, overlap=0.25)["patches"]
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.collect()
+    top = max(r["bands"][0] for r in rows)
+    assert rows and 0.5 < top <= 1.0 and all(r["label"] > 0 or r["bands"][0] == 0 for r in rows)
