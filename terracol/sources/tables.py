@@ -63,6 +63,8 @@ def scan_seg_lut(spark: SparkSession, path: str, whole: bool = True) -> DataFram
 TILE_BITS, ZONE_BITS = 8, 12
 #: Zones that a filter names one by one.
 NAMED_ZONES = 4096
+#: Folders that a table is cut into, about: a table that would have more gets larger zones.
+MOST_FOLDERS = 256
 
 
 def z_code(row: Column, col: Column, bits: int) -> Column:
@@ -77,9 +79,21 @@ def z_code(row: Column, col: Column, bits: int) -> Column:
     return F.shiftleft(spread(row), 1).bitwiseOR(spread(col))
 
 
+def zone_bits_for(df: DataFrame, by: tuple[str, ...], least: int) -> int:
+    """The least size of zones, from ``least`` on, that makes about MOST_FOLDERS folders at most. A zone's number without
+    its last two bits is that of the zone of twice the side."""
+    sides = range(least, 32)
+    zones = df.select(*by, z_code(F.col("row"), F.col("col"), least).alias("_z")).distinct()
+    counts = zones.agg(*[F.approx_count_distinct(F.struct(*by, F.shiftright("_z", 2 * (b - least)))).alias(str(b)) for b in sides]).first()
+    return next((b for b in sides if counts[str(b)] <= MOST_FOLDERS), 31)
+
+
 def write_tiled(df: DataFrame, path: str, *by: str, zone_bits: int = ZONE_BITS) -> None:
-    """Rows (row, col, ...) in Z-order below path, with a folder for each value of the columns ``by`` and each zone. The
-    zones' size is part of the folders' name, so readers need not be told."""
+    """Rows (row, col, ...) in Z-order below path, with a folder for each value of the columns ``by`` and each zone, of
+    2^zone_bits cells a side or larger: the number of folders doesn't follow the table's size, a small region of a large
+    table is found by its rows and columns inside them. The zones' size is part of the folders' name, so readers need
+    not be told."""
+    zone_bits = zone_bits_for(df, by, zone_bits)
     zone = f"zone_{zone_bits}"
     keys = [*by, zone, "tile"]
     placed = df.withColumn("tile", z_code(F.col("row"), F.col("col"), TILE_BITS)).withColumn(zone, z_code(F.col("row"), F.col("col"), zone_bits))

@@ -125,3 +125,18 @@ def test_the_flow_scales_its_pixels_once(spark):
     rows = out.collect()
     top = max(r["bands"][0] for r in rows)
     assert rows and 0.5 < top <= 1.0 and all(r["label"] > 0 or r["bands"][0] == 0 for r in rows)
+
+
+def test_folders_do_not_follow_the_table(spark, tmp_path, monkeypatch):
+    """A strip of 400 zones is stored in few folders of larger ones, and gives the same rows."""
+    from terracol.sources import tables as S
+
+    monkeypatch.setattr(S, "MOST_FOLDERS", 40)
+    pixels = spark.range(6400).selectExpr("int(id / 4) AS row", "int(id % 4) AS col", "id % 2 AS data_source", "id AS value")
+    path = str(tmp_path / "pixels")
+    S.write_pixel_table(pixels, path, zone_bits=2)
+    folders = [p for p in (tmp_path / "pixels").glob("data_source=*/zone_*")]
+    assert 8 <= len(folders) <= 44
+    assert {r["value"] for r in S.scan_pixel_table(spark, path, 1).collect()} == set(range(1, 6400, 2))
+    got = S.scan_pixel_table(spark, path, 0, (700, 790, 1, 4)).collect()
+    assert {r["value"] for r in got} == {r * 4 + c for r in range(700, 790) for c in range(1, 4) if (r * 4 + c) % 2 == 0}
