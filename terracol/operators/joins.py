@@ -41,8 +41,13 @@ def within(left: DataFrame, right: DataFrame, radius: float, *, lx: str = "lx",
 
 def near_any(left: DataFrame, right: DataFrame, radius: float, *, lx: str = "lx", ly: str = "ly", rx: str = "rx", ry: str = "ry", inclusive: bool = False) -> DataFrame:
     """Rows of left with a row of right closer than ``radius``: a semi-join, so left's rows aren't multiplied. Each place of
-    right counts once and is sent to the 9 buckets around it; rows of left have one bucket, and both are sorted by it."""
-    a, b = _keyed(left, lx, ly, radius), _around(right.select(rx, ry).distinct(), rx, ry, radius).hint("merge")
+    right counts once and is sent to the 9 buckets around it; rows of left have one bucket, and both are sorted by it. Rows
+    of left outside the box of right's places, two radii wider, are not sent."""
+    x, y, reach = F.col(lx), F.col(ly), F.lit(2.0 * radius)
+    box = right.agg(F.min(rx).alias("_x0"), F.max(rx).alias("_x1"), F.min(ry).alias("_y0"), F.max(ry).alias("_y1"))
+    inside = (x >= F.col("_x0") - reach) & (x <= F.col("_x1") + reach) & (y >= F.col("_y0") - reach) & (y <= F.col("_y1") + reach)
+    a = _keyed(left.crossJoin(F.broadcast(box)).where(inside).select(*left.columns), lx, ly, radius)
+    b = _around(right.select(rx, ry).distinct(), rx, ry, radius).hint("merge")
     d = F.sqrt(squared(lx, ly, rx, ry))
     hit = d <= radius if inclusive else d < radius
     return a.join(b, (a["_bx"] == b["_bx"]) & (a["_by"] == b["_by"]) & hit, "left_semi").select(*left.columns).distinct()

@@ -140,3 +140,31 @@ def test_folders_do_not_follow_the_table(spark, tmp_path, monkeypatch):
     assert {r["value"] for r in S.scan_pixel_table(spark, path, 1).collect()} == set(range(1, 6400, 2))
     got = S.scan_pixel_table(spark, path, 0, (700, 790, 1, 4)).collect()
     assert {r["value"] for r in got} == {r * 4 + c for r in range(700, 790) for c in range(1, 4) if (r * 4 + c) % 2 == 0}
+
+
+def test_rows_far_from_all_places_are_not_sent(spark):
+    """A semi-join sorts what may be near a place: of 100,000 rows on a line the 30 around two places."""
+    left = spark.range(100_000).selectExpr("id", "id * 0.1D AS lx", "0.0D AS ly")
+    right = spark.createDataFrame([(5.0, 0.0), (7.0, 0.05)], "rx double, ry double")
+    near = J.near_any(left, right, 0.35)
+    assert {r["id"] for r in near.collect()} == {i for i in range(100_000) if min(abs(i * 0.1 - 5.0), ((i * 0.1 - 7.0) ** 2 + 0.05**2) ** 0.5) < 0.35}
+    sent = [int(line.split("=")[1]) for line in _sent(near)]
+    assert sent and max(sent) < 200
+    assert J.near_any(left, right.limit(0), 0.35).count() == 0 and J.near_any(left.limit(0), right, 0.35).count() == 0
+
+
+def _sent(df):
+    """Rows written by the exchanges of a plan that has run."""
+    df.collect()
+    plan, out = [df._jdf.queryExecution().executedPlan()], []
+    while plan:
+        node = plan.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plan.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plan.append(node.plan())
+        elif name == "ShuffleExchangeExec":
+            out.append(f"rows={node.metrics().apply('shuffleRecordsWritten').value()}")
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    return out
