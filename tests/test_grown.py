@@ -168,3 +168,22 @@ def _sent(df):
             out.append(f"rows={node.metrics().apply('shuffleRecordsWritten').value()}")
         plan += [node.children().apply(i) for i in range(node.children().size())]
     return out
+
+
+def test_pairs_of_places_are_measured_once(spark, monkeypatch):
+    """400 rows on 7 places: distances of places, all pairs of rows, also where a place's rows make several lists."""
+    left = spark.range(400).selectExpr("id AS i", "id % 7 * 0.3D AS lx", "0.0D AS ly").unionByName(spark.sql("SELECT 900L AS i, cast(null AS double) AS lx, 0.0D AS ly UNION ALL SELECT cast(null AS long), 0.3D, 0.0D"))
+    right = spark.range(300).selectExpr("id AS j", "id % 5 * 0.3D AS rx", "0.1D AS ry")
+    seen, measure = [], J.within
+
+    def watched(a, b, *more, **named):
+        seen.append((a.count(), b.count()))
+        return measure(a, b, *more, **named)
+
+    monkeypatch.setattr(J, "within", watched)
+    monkeypatch.setattr(J, "PLACE_ROWS", 16)
+    got = [tuple(r) for r in J.range_pairs(left, right, 0.4, "i", "j").collect()]
+    at = [(i, i % 7) for i in range(400)] + [(None, 1)]
+    want = {(i, j) for i, p in at for j in range(300) if (((p - j % 5) * 0.3) ** 2 + 0.01) ** 0.5 < 0.4}
+    assert seen == [(7, 5)] and len(got) == len(want) and set(got) == want
+    assert J.range_pairs(left.limit(0), right, 0.4, "i", "j").count() == 0
