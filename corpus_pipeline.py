@@ -37,8 +37,9 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingle sets of Jaccard similarity 0.8 or more: MinHash cells bring
-    sets together, every link is checked exactly (a few bits of a SimHash cannot tell 0.8; the README has figures).
+    """One document of each group linked by five-word shingle sets of Jaccard similarity 0.8 or more: SimHashes are linked
+    through op5's grid, what 4 bits cannot tell is brought together by MinHash cells (the README has figures), and
+    every link is checked exactly.
 
     It is the one of smallest doc_id (null last), of rows that share this id the one of smallest text hash, of
     repeated rows any. Null and blank texts are one group. Links are made of whole texts; chains of links are one

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, bounded_batches, discard, shuffle_partitions, slices, unused, utf8, written
-from .shingle_sets import links_between, shingle_hashes, verified_pairs, with_cells, with_sets
+from .shingle_sets import links_between, majority_bits, shingle_hashes, verified_pairs, with_cells, with_sets
 
 BITS = 4
 #: Chance that two random two-bit segments have equal counts, and the cost of a pair as a share of a row's.
@@ -31,14 +31,7 @@ _ODD = 0x5555555555555555
 
 def text_fingerprint(text: bytes, words: int = 4) -> int:
     """64-bit SimHash of a lower-cased text's word shingles, repeats included; 0 without words."""
-    h = shingle_hashes(text, words)
-    n = len(h)
-    if not n:
-        return 0
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return majority_bits(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", words: int = 4) -> DataFrame:
@@ -208,27 +201,45 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", words: int = 5, jacc
     """One row per document: doc_id, ``fp`` (long, the hash of its set of word shingles) and ``component_id``, the
     smallest doc_id reachable over links of documents whose sets have at least this Jaccard similarity.
 
-    Candidates share a MinHash cell (see shingle_sets, which states the share of pairs at 0.8 that do not) and every
-    link is checked exactly. First the members of each cell are compared with its first one, then what the components
-    of these links leave apart in a cell is compared pair by pair. Equal sets are one node, however many documents
-    share it. Null and blank texts are one group. Nulls, repeated rows and other columns as in simhash_duplicates.
+    The sets' SimHashes are linked through the grid, and each set is compared with the first one of its fingerprint's
+    component. A few bits cannot tell 0.8, so what these links leave apart is brought together by MinHash cells (see
+    shingle_sets, which states the share of pairs at 0.8 that share none). Every link is checked exactly. First the
+    members of each cell are compared with its first one, then what the components of these links leave apart in a
+    cell is compared pair by pair. Equal sets are one node, however many documents share it. Null and blank texts are
+    one group. Nulls, repeated rows and other columns as in simhash_duplicates.
     """
     bounded_batches(docs.sparkSession)
     found = written(with_cells(docs, text=text, words=words))
-    nodes = written(_first_rows(found.groupBy(F.col("fp").alias("node"), "cells")))
+    nodes = written(_first_rows(found.groupBy(F.col("fp").alias("node"), "simhash", "cells")))
+    alike = written(simhash_pairs(nodes.select("node", "simhash")))
     cells = nodes.select("node", F.explode("cells").alias("cell"))
     crowded = cells.groupBy("cell").agg(F.min("node").alias("lead"), F.count("*").alias("rows")).where("rows > 1")
     shared = written(cells.join(crowded, "cell").select("cell", "node", "lead", "rows"))
-    members = written(nodes.select("node", "low", "low_hash").join(shared.select("node").distinct(), "node", "left_semi"))
+    met = shared.select("node").unionAll(alike.select("a")).unionAll(alike.select("b")).distinct()
+    members = written(nodes.select("node", "low", "low_hash").join(met, "node", "left_semi"))
     sets = written(with_sets(_rows_of(docs, members.select("low", "low_hash"), text), text=text, words=words).join(members.select("node"), "node", "left_semi").distinct())
+    near = written(verified_pairs(alike, sets, jaccard))
+    joined = written(connected_components(members, near))
     stars = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    edges = written(verified_pairs(stars, sets, jaccard))
+    a, b = joined.toDF("a", "_a"), joined.toDF("b", "_b")
+    stars = stars.join(a, "a").join(b, "b").where("_a <> _b").select("a", "b")
+    edges = written(near.unionAll(verified_pairs(stars, sets, jaccard)))
     placed = shared.join(connected_components(members, edges), "node")
     apart = placed.where("rows > 2").groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("cell")
     rest = links_between(placed.join(apart, "cell").select("cell", "node", "component", "rows"), sets, jaccard)
     return _classes(found, nodes, connected_components(nodes, edges.unionByName(rest)))
 
 
+def simhash_pairs(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+    """Pairs (a, b) of nodes (node, simhash): b and the smallest node of its component of fingerprints, which are linked at
+    ``bits`` or fewer differing bits. Nodes of one fingerprint are linked."""
+    prints = written(nodes.select(F.col("simhash").alias("node")).distinct())
+    classes = connected_components(prints, link_fingerprints(prints.select("node", F.col("node").alias("fp")), bits))
+    placed = nodes.join(classes.toDF("simhash", "component"), "simhash").select("node", "component")
+    first = placed.groupBy("component").agg(F.min("node").alias("a"), F.count("*").alias("rows")).where("rows > 1")
+    return placed.join(first, "component").where("node <> a").select("a", F.col("node").alias("b"))
+
+
 def simhash_duplicates(docs: DataFrame, *, text: str = "text", words: int = 4, bits: int = BITS) -> DataFrame:
     """One row per document: doc_id, ``fp`` (long) and ``component_id``, the smallest doc_id reachable over links of
     fingerprints that differ in at most ``bits`` (at most 4) bits.

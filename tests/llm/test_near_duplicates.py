@@ -78,3 +78,18 @@ def test_links_inside_a_cell_match_brute_force():
             return [[x == y for y in low] for x in low]
 
         assert joined([(a - 100, b - 100) for a, b in links]) == joined(alike)
+
+
+def test_simhash_links_a_pair_that_no_minhash_cell_holds(spark):
+    """12 words and two more: 8 of 10 shingles in common, no cell in common, SimHashes 3 bits apart."""
+    import numpy as np
+
+    whole = "w35246 w502342 w282874 w328607 w376157 w907851 w976321 w174331 w231022 w39500 w713843 w942395 w649205 w416550"
+    part = whole.rsplit(" ", 2)[0]
+    sets = [np.unique(shingle_sets.shingle_hashes(t.encode(), 5)) for t in (whole, part)]
+    assert [len(x) for x in sets] == [10, 8] and len(np.intersect1d(*sets)) == 8
+    assert not set(shingle_sets.set_cells(sets[0])) & set(shingle_sets.set_cells(sets[1]))
+    assert (shingle_sets.majority_bits(sets[0]) ^ shingle_sets.majority_bits(sets[1])).bit_count() == 3
+    docs = spark.createDataFrame([(1, whole), (2, part), (3, "other words of a third text")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs, simhash.near_duplicates, words=5, jaccard=0.8).collect()) == [1, 3]
