@@ -63,6 +63,27 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Bits of row_bits, at most; there are 16 for each hash up to there.
+ROW_BITS = 1 << 26
+
+
+def row_bits(hashes: DataFrame) -> tuple[DataFrame, int]:
+    """A bit for each value of the long column ``h``: (_word, _held) with words of 64 bits, ROW_BITS / 64 rows at most, and
+    the number of bits. ``hashes`` is read twice."""
+    bits = min(ROW_BITS, max(64, 1 << (16 * hashes.count()).bit_length()))
+    at = f"(h & {bits - 1}L)"
+    return hashes.selectExpr(f"shiftright({at}, 6) AS _word", f"shiftleft(1L, int({at} & 63L)) AS _bit").groupBy("_word").agg(F.bit_or("_bit").alias("_held")), bits
+
+
+def by_row_bits(df: DataFrame, h: Column, table: tuple[DataFrame, int], how: str) -> DataFrame:
+    """The rows of df whose hash h hits a bit of row_bits' table (left_semi), or those that hit none (left_anti). Every
+    hash that the table was made of hits, and by chance a few others; no row of df is moved."""
+    held, bits = table
+    word, mask = unused(df.columns, "_word", "_held")
+    at = h.bitwiseAND(F.lit(bits - 1))
+    return df.join(F.broadcast(held.toDF(word, mask)), (F.shiftright(at, 6) == F.col(word)) & (F.getbit(mask, at.bitwiseAND(F.lit(63))) == 1), how)
+
+
 def utf8(text: str = "text") -> Column:
     """Whole text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")

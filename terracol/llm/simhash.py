@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bounded_batches, discard, shuffle_partitions, slices, unused, utf8, written
+from .common import batch, bounded_batches, by_row_bits, discard, row_bits, shuffle_partitions, slices, unused, utf8, written
 from .shingle_sets import links_between, majority_bits, shingle_hashes, verified_pairs, with_cells, with_sets
 
 BITS = 4
@@ -263,11 +263,16 @@ def _first_rows(groups) -> DataFrame:
     return groups.agg(F.min(first).alias("_first")).select("*", F.col("_first.doc_id").alias("low"), F.col("_first.text_hash").alias("low_hash")).drop("_first")
 
 
-def _rows_of(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
-    """The rows of docs with the (doc_id, text hash) of ``rows``, which has two columns of any names."""
+def _rows_of(docs: DataFrame, rows: DataFrame, text: str, how: str = "left_semi") -> DataFrame:
+    """The rows of docs with the (doc_id, text hash) of ``rows``, which has two columns of any names and is read three
+    times; with left_anti all others. Only rows that hit a bit of theirs (see row_bits) are moved, whole texts are not."""
     key, of = unused(docs.columns, "_id", "_text_hash")
     named = rows.toDF(key, of).distinct()
-    return docs.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(utf8(text)) == F.col(of)), "left_semi").select(*docs.columns)
+    table = row_bits(named.select(F.xxhash64(key, of).alias("h")))
+    mine, own = F.col("doc_id").cast("long"), F.xxhash64(utf8(text))
+    hit = by_row_bits(docs, F.xxhash64(mine, own), table, "left_semi")
+    out = hit.join(named, mine.eqNullSafe(F.col(key)) & (own == F.col(of)), how)
+    return out if how == "left_semi" else by_row_bits(docs, F.xxhash64(mine, own), table, how).unionAll(out)
 
 
 def _classes(found: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -292,9 +297,12 @@ def keep_one(docs: DataFrame, by: Callable[..., DataFrame] = simhash_duplicates,
     other columns pass through unchanged, whatever their names.
     """
     classes = written(by(docs, text=text, **how))
-    first = classes.where((F.col("doc_id").eqNullSafe(F.col("component_id"))) & (F.col("text_hash") == F.col("first_hash")))
-    kept = _rows_of(docs, first.select("doc_id", "text_hash"), text)
-    if first.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+    first = (F.col("doc_id").eqNullSafe(F.col("component_id"))) & (F.col("text_hash") == F.col("first_hash"))
+    rows = written(classes.groupBy("doc_id", "text_hash").agg(F.bool_or(first).alias("first"), F.count("*").alias("rows")).where("rows > 1 OR NOT first"))
+    kept = _rows_of(docs, rows.where("NOT first").select("doc_id", "text_hash"), text, "left_anti")
+    again = rows.where("first").select("doc_id", "text_hash")
+    if again.isEmpty():
         return kept
     (of,) = unused(docs.columns, "_text_hash")
-    return kept.withColumn(of, F.xxhash64(utf8(text))).dropDuplicates(["doc_id", of]).drop(of)
+    once = _rows_of(kept, again, text).withColumn(of, F.xxhash64(utf8(text))).dropDuplicates(["doc_id", of]).drop(of)
+    return _rows_of(kept, again, text, "left_anti").unionAll(once)

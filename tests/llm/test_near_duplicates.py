@@ -93,3 +93,20 @@ def test_simhash_links_a_pair_that_no_minhash_cell_holds(spark):
     docs = spark.createDataFrame([(1, whole), (2, part), (3, "other words of a third text")], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs, simhash.near_duplicates, words=5, jaccard=0.8).collect()) == [1, 3]
+
+
+def test_only_rows_in_question_are_moved(spark):
+    """Of 4,000 texts of which 20 go, some 20 are sent to a join; the others pass beside it."""
+    from pyspark.sql import functions as F
+
+    from terracol.llm.common import by_row_bits, row_bits
+
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    gone = docs.where("doc_id % 200 = 7").select("doc_id", F.xxhash64(F.col("text").cast("binary")).alias("text_hash"))
+    h = F.xxhash64("doc_id", F.xxhash64(F.col("text").cast("binary")))
+    table = row_bits(gone.select(F.xxhash64("doc_id", "text_hash").alias("h")))
+    hit, free = (by_row_bits(docs, h, table, how) for how in ("left_semi", "left_anti"))
+    assert hit.where("doc_id % 200 = 7").count() == 20 and hit.count() < 600 and hit.count() + free.count() == 4000
+    assert simhash._rows_of(docs, gone, "text", "left_anti").where("doc_id % 200 <> 7").count() == 3980
+    assert simhash._rows_of(docs, gone, "text").count() == 20
+    assert simhash._rows_of(docs, gone.limit(0), "text", "left_anti").count() == 4000
