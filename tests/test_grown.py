@@ -187,3 +187,27 @@ def test_pairs_of_places_are_measured_once(spark, monkeypatch):
     want = {(i, j) for i, p in at for j in range(300) if (((p - j % 5) * 0.3) ** 2 + 0.01) ** 0.5 < 0.4}
     assert seen == [(7, 5)] and len(got) == len(want) and set(got) == want
     assert J.range_pairs(left.limit(0), right, 0.4, "i", "j").count() == 0
+
+
+def test_pairs_are_handed_on_a_list_at_a_time(spark, monkeypatch):
+    """The first pair of two lists comes before their other pairs are made: a task holds one row's pairs, not all of them."""
+    monkeypatch.setattr(J, "PLACE_ROWS", 64)
+    left = spark.range(256).selectExpr("id AS i", "0.0D AS lx", "0.0D AS ly")
+    right = spark.range(256).selectExpr("id AS j", "0.1D AS rx", "0.0D AS ry")
+    pairs = J.range_pairs(left, right, 0.4, "i", "j")
+    assert pairs.count() == 256 * 256
+    first = pairs.limit(1)
+    assert len(first.collect()) == 1
+    plan, made = [first._jdf.queryExecution().executedPlan()], []
+    while plan:
+        node = plan.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plan.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plan.append(node.plan())
+        elif name == "GenerateExec":
+            made.append(node.metrics().apply("numOutputRows").value())
+            continue
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    assert len(made) == 1 and 1 <= made[0] <= 256
